@@ -132,10 +132,8 @@ def with_info(annotated: DataFrame) -> DataFrame:
 
 def vcf_lines(annotated: DataFrame) -> DataFrame:
     """Text lines of annotated variants."""
-    return with_info(annotated).select(
-        "*",
-        F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "new_info", F.array_join("rest", "\t")).alias("_line"),
-    ).withColumn("value", F.rtrim("_line")).drop("_line")
+    named = F.array("chrom", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter", "new_info")
+    return with_info(annotated).withColumn("value", F.array_join(F.concat(named, "rest"), "\t"))
 
 
 def annotation_rate(annotated: DataFrame) -> DataFrame:

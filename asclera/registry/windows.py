@@ -11,14 +11,14 @@ SIZES = (7, 14, 30, 60)
 def rolling(kind):
     def build(t):
         out = windows.rolling(t.events.select("event_id", "user_id", "ts", "value"), "value", "user_id", ["ts"], SIZES, [kind])
-        return out.select("event_id", *[F.round(f"value_ROLLING_{kind}_{w}", 6).alias(f"w{w}") for w in SIZES])
+        return out.select("event_id", *[F.round(f"value_ROLLING_{kind}_{w}", 8).alias(f"w{w}") for w in SIZES])
 
     return build
 
 
 def rolling_sql(function):
     frames = ", ".join(
-        f"ROUND({function}(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN {w} PRECEDING AND CURRENT ROW), 6) AS w{w}" for w in SIZES
+        f"ROUND({function}(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN {w} PRECEDING AND CURRENT ROW), 8) AS w{w}" for w in SIZES
     )
     return f"SELECT event_id, {frames} FROM events"
 
