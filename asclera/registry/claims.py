@@ -104,17 +104,17 @@ def _(t):
     """WITH e AS (SELECT o_custkey AS member_id, greatest(MIN(o_orderdate)::DATE, DATE '1995-03-01') AS a, least(MAX(o_orderdate)::DATE, DATE '1997-02-15') AS b FROM orders GROUP BY 1),
        c AS (SELECT o_custkey AS member_id, SUM(o_totalprice) AS total_cost FROM orders WHERE o_orderdate::DATE >= DATE '1995-03-01' AND o_orderdate <= DATE '1997-02-15' GROUP BY 1)
        SELECT member_id, greatest(0, 12 * (year(b) - year(a)) + month(b) - month(a) + 1) AS member_months, ROUND(COALESCE(total_cost, 0), 2) AS total_cost,
-       ROUND(COALESCE(total_cost, 0) / greatest(1, 12 * (year(b) - year(a)) + month(b) - month(a) + 1), 3) AS pmpm FROM e LEFT JOIN c USING (member_id)""",
+       ROUND(COALESCE(total_cost, 0) / greatest(1, 12 * (year(b) - year(a)) + month(b) - month(a) + 1), 8) AS pmpm FROM e LEFT JOIN c USING (member_id)""",
 )
 def _(t):
     out = claims.member_cost(visits(t), eligibility(t), "1995-03-01", "1997-02-15")
-    return out.withColumns({"total_cost": F.round("total_cost", 2), "pmpm": F.round("pmpm", 3)})
+    return out.withColumns({"total_cost": F.round("total_cost", 2), "pmpm": F.round("pmpm", 8)})
 
 
 @query(
     "CL-06",
     """WITH m AS (SELECT o_custkey AS member_id, 12 * (year(least(MAX(o_orderdate)::DATE, DATE '1998-08-02')) - year(MIN(o_orderdate))) +
-         month(least(MAX(o_orderdate)::DATE, DATE '1998-08-02')) - month(MIN(o_orderdate)) + 1 AS mo FROM orders GROUP BY 1),
+         month(least(MAX(o_orderdate)::DATE, DATE '1998-08-02')) - month(MIN(o_orderdate)) + 1 AS mo FROM orders GROUP BY 1 HAVING MIN(o_orderdate)::DATE <= DATE '1998-08-02'),
        c AS (SELECT o_custkey AS member_id, SUM(o_totalprice) AS cost FROM orders WHERE o_orderdate >= DATE '1996-01-01' GROUP BY 1)
        SELECT ROUND(AVG(cost / mo), 4) AS medical_pmpm, ROUND(SUM(cost) / SUM(mo), 4) AS aggregate_pmpm FROM c JOIN m USING (member_id)""",
 )
