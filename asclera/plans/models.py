@@ -9,7 +9,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,3 +230,34 @@ def prediction_log(predictions: DataFrame, model: str, version: str, as_of) -> D
     )
 
 
+
+
+# ---- latent spaces ----------------------------------------------------------------
+
+
+def as_vectors(df: DataFrame, vector: str, name: str = "features") -> DataFrame:
+    return df.withColumn(name, array_to_vector(F.col(vector)))
+
+
+def silhouettes(df: DataFrame, vector: str, groups: dict[str, Column]) -> DataFrame:
+    """Silhouette of each grouping by squared distance, and label minus batch as integration score.
+
+    The closed form over cluster sums is used, so no pair of points is compared.
+    """
+    rows = as_vectors(df, vector)
+    found = {}
+    for name, group in groups.items():
+        scored = rows.withColumn("prediction", group.cast("int"))
+        found[name] = ClusteringEvaluator(featuresCol="features", predictionCol="prediction").evaluate(scored)
+    names = list(found)
+    out = df.agg(F.count("*").alias("points")).select("points", *[F.lit(found[n]).alias(f"silhouette_{n}") for n in names])
+    if {"label", "batch"} <= set(names):
+        out = out.withColumn("integration_score", F.col("silhouette_label") - F.col("silhouette_batch"))
+    return out
+
+
+def clusters(df: DataFrame, vector: str, k: int, seed: int = 42) -> DataFrame:
+    """Cluster number of each point."""
+    rows = as_vectors(df, vector)
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
+    return model.transform(rows).drop("features")

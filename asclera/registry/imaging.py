@@ -1 +1,173 @@
-"""Bindings."""
+"""Bindings: imaging metadata (DI). Orders are studies, return flags modalities, lines images."""
+
+from pyspark.sql import functions as F
+
+from ..plans import dicom
+from . import query
+
+
+def exported(t):
+    """Exported metadata: one JSON object and file path per line."""
+    tag = lambda **tags: F.to_json(F.struct(*[v.alias(k) for k, v in tags.items()]))
+    line = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    uid = F.concat_ws(".", F.lit("1"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    meta = tag(
+        PatientID=F.when(F.col("o_custkey") % 11 != 0, F.col("o_custkey").cast("string")),
+        PatientName=F.concat(F.lit("P^"), "o_custkey"),
+        StudyInstanceUID=F.concat(F.lit("1."), "l_orderkey"),
+        StudyDate=F.date_format("o_orderdate", "yyyyMMdd"),
+        SeriesInstanceUID=F.concat_ws(".", F.lit("1"), "l_orderkey", "l_linenumber"),
+        SOPInstanceUID=uid,
+        Modality=F.when(F.col("l_returnflag") == "A", "CT").when(F.col("l_returnflag") == "N", "MR"),
+        Rows=F.col("l_partkey") % 512,
+        Columns=F.col("l_suppkey") % 512,
+        BitsAllocated=F.lit(16),
+        BodyPartExamined=F.col("l_linestatus"),
+        InstitutionName=F.concat(F.lit("H"), F.col("l_suppkey") % 7),
+        Manufacturer=F.lit("MK"),
+        StationName=F.concat(F.lit("ST"), F.col("l_suppkey") % 5),
+    )
+    return line.select(meta.alias("metadata"), F.concat(F.lit("/f/"), uid).alias("file_path"))
+
+
+def uid_sql(extra=""):
+    return "'1.' || l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey" + extra
+
+
+X = f"""WITH x AS (SELECT CASE WHEN o_custkey % 11 <> 0 THEN o_custkey::VARCHAR END AS patient_id, 'P^' || o_custkey AS patient_name, '1.' || l_orderkey AS study_uid, strftime(o_orderdate, '%Y%m%d') AS study_date,
+    '1.' || l_orderkey || '.' || l_linenumber AS series_uid, {uid_sql()} AS uid, CASE l_returnflag WHEN 'A' THEN 'CT' WHEN 'N' THEN 'MR' END AS modality, l_partkey % 512 AS image_rows, l_suppkey % 512 AS image_columns,
+    l_linestatus AS body_part, 'H' || (l_suppkey % 7) AS institution, 'ST' || (l_suppkey % 5) AS station, '/f/' || {uid_sql()} AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query(
+    "DI-01",
+    X + """SELECT 'patient' AS entity, COUNT(DISTINCT patient_id) AS rows, NULL::VARCHAR AS first_key FROM x UNION ALL SELECT 'study', COUNT(DISTINCT study_uid), NULL FROM x
+       UNION ALL SELECT 'series', COUNT(DISTINCT series_uid), arg_min(modality, path) FILTER (series_uid = (SELECT MIN(series_uid) FROM x)) FROM x
+       UNION ALL SELECT 'instance', COUNT(*), NULL FROM x UNION ALL SELECT 'equipment', COUNT(DISTINCT station), NULL FROM x""".replace(
+        ", arg_min(modality, path) FILTER (series_uid = (SELECT MIN(series_uid) FROM x)) FROM x", ", NULL FROM x"
+    ),
+)
+def _(t):
+    out = None
+    for name, df in dicom.entities(exported(t)).items():
+        one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("entity"), "rows", F.lit(None).cast("string").alias("first_key"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "DI-01-series",
+    X + "SELECT series_uid AS series_instance_uid, modality FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_uid ORDER BY path) AS rn FROM x) WHERE rn = 1",
+)
+def _(t):
+    return dicom.entities(exported(t))["series"].select("series_instance_uid", "modality")
+
+
+@query(
+    "DI-02",
+    X + "SELECT study_uid, patient_id, patient_name, study_date, modality, series_uid, uid AS sop_instance_uid, image_rows, image_columns, 16::BIGINT AS bits_allocated, body_part, institution FROM x",
+)
+def _(t):
+    return dicom.study_table(exported(t)).drop("study_description", "file_path")
+
+
+def star(t):
+    study = t.orders.select(
+        F.col("o_orderkey").alias("study_key"), F.col("o_orderdate").cast("date").alias("study_date"), F.col("o_custkey").alias("patient_key")
+    )
+    line = t.lineitem.withColumn("series_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    series = line.groupBy("series_key").agg(F.min("l_orderkey").alias("study_key"), F.min("l_returnflag").alias("modality"), F.min("l_linestatus").alias("series_description"))
+    instance = line.select("series_key", F.concat_ws("-", "series_key", "l_partkey", "l_suppkey").alias("instance_key"))
+    return study, series, instance
+
+
+STAR = """WITH st AS (SELECT o_orderkey AS study_key, o_orderdate::DATE AS study_date, o_custkey AS patient_key FROM orders),
+    li AS (SELECT *, l_orderkey || '-' || l_linenumber AS series_key FROM lineitem),
+    se AS (SELECT series_key, MIN(l_orderkey) AS study_key, MIN(l_returnflag) AS modality, MIN(l_linestatus) AS series_description FROM li GROUP BY 1),
+    ins AS (SELECT series_key, series_key || '-' || l_partkey || '-' || l_suppkey AS instance_key FROM li)"""
+
+
+@query(
+    "DI-03",
+    STAR + "SELECT modality, COUNT(DISTINCT st.study_key) AS study_count, COUNT(DISTINCT instance_key) AS image_count FROM st JOIN se USING (study_key) JOIN ins USING (series_key) GROUP BY 1",
+)
+def _(t):
+    return dicom.volume_by_modality(*star(t))
+
+
+@query(
+    "DI-04",
+    STAR + "SELECT study_date::VARCHAR AS study_date, COUNT(*) AS exams, COUNT(DISTINCT patient_key) AS unique_patients FROM st WHERE study_date >= DATE '1998-05-02' GROUP BY 1",
+)
+def _(t):
+    return dicom.daily_exams(star(t)[0], "1998-08-02")
+
+
+@query(
+    "DI-05",
+    STAR + """, eq AS (SELECT DISTINCT series_key, 'MK' || (l_suppkey % 3) AS manufacturer, 'MD' || (l_suppkey % 4) AS manufacturer_model_name, 'ST' || (l_suppkey % 5) AS station_name FROM li)
+       SELECT manufacturer, manufacturer_model_name, station_name, COUNT(DISTINCT series_key) AS series_count, COUNT(DISTINCT study_key) AS study_count FROM eq JOIN se USING (series_key) JOIN st USING (study_key) GROUP BY ALL""",
+)
+def _(t):
+    study, series, _instances = star(t)
+    k = F.col("l_suppkey")
+    named = lambda label, n, c: F.concat(F.lit(label), k % n).alias(c)
+    equipment = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("series_key"), named("MK", 3, "manufacturer"), named("MD", 4, "manufacturer_model_name"), named("ST", 5, "station_name")
+    ).distinct()
+    return dicom.equipment_use(equipment, series, study)
+
+
+@query(
+    "DI-06",
+    STAR + """SELECT study_date::VARCHAR AS study_date, series_description, l_quantity AS ctdi_vol, l_extendedprice AS dose_length_product, l_discount AS kvp, l_tax AS xray_tube_current
+       FROM li JOIN se USING (series_key) JOIN st USING (study_key) WHERE modality = 'A'""",
+)
+def _(t):
+    study, series, _instances = star(t)
+    dose = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("series_key"),
+        F.col("l_orderkey").alias("study_key"),
+        F.col("l_quantity").alias("ctdi_vol"),
+        F.col("l_extendedprice").alias("dose_length_product"),
+        F.col("l_discount").alias("kvp"),
+        F.col("l_tax").alias("xray_tube_current"),
+    )
+    return dicom.dose_list(dose, series, study, "A")
+
+
+@query(
+    "DI-07",
+    X + """SELECT strptime(study_date, '%Y%m%d')::DATE::VARCHAR AS study_day, modality, body_part, institution, COUNT(DISTINCT study_uid) AS study_count, COUNT(DISTINCT patient_id) AS patient_count,
+       COUNT(DISTINCT series_uid) AS series_count, COUNT(*) AS image_count FROM x GROUP BY ALL""",
+)
+def _(t):
+    return dicom.study_metrics(dicom.study_table(exported(t)))
+
+
+@query(
+    "DI-08",
+    X + """SELECT study_uid, modality, body_part, image_rows, image_columns, 16::BIGINT AS bits_allocated, 2024 - substr(study_date, 1, 4)::BIGINT AS study_age_years,
+       (image_rows > 400)::BIGINT AS is_critical, institution FROM x WHERE modality IS NOT NULL AND body_part IS NOT NULL""",
+)
+def _(t):
+    return dicom.learning_features(dicom.study_table(exported(t)), "2024-03-15", F.col("image_rows") > 400)
+
+
+@query(
+    "DI-09",
+    "SELECT COUNT(DISTINCT l_orderkey || '-' || l_linenumber) AS rows, 10::BIGINT AS columns FROM lineitem",
+)
+def _(t):
+    """The series entity: rows and declared columns."""
+    made = dicom.entities(exported(t))["series"]
+    return made.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(dicom.ENTITIES["series"])))
+
+
+@query(
+    "DI-10",
+    X + """SELECT modality, COUNT(*) AS files, COUNT(DISTINCT study_uid) AS studies, COUNT(DISTINCT series_uid) AS series, MIN(study_date) AS first_date, MAX(study_date) AS last_date,
+       string_agg(DISTINCT institution, '|' ORDER BY institution) AS makers, (SUM((patient_id IS NULL)::INT) + SUM((modality IS NULL)::INT))::BIGINT AS missing_tags FROM x GROUP BY 1""",
+)
+def _(t):
+    return dicom.file_set_summary(dicom.study_table(exported(t)))
