@@ -183,6 +183,7 @@ def variable_genes(counts: DataFrame, n: int = 2000, bins: int = 20, batch: str
 def marker_genes(values: DataFrame, obs: DataFrame, group: str, n: int | None = 10, fdr: float = 0.05, min_lfc: float = 0.5, value: str = "value") -> DataFrame:
     """Genes higher in a group than in the rest, by Welch's test with adjusted p-values.
 
+    Values are logged; the fold change is that of the means taken back from the log.
     Sums per group and gene are taken once; the rest of a group is the total minus
     the group. Adjusted p-values follow Benjamini and Hochberg within a group.
     """
@@ -200,7 +201,7 @@ def marker_genes(values: DataFrame, obs: DataFrame, group: str, n: int | None =
     tested = joined.select(
         group,
         "gene",
-        F.round(F.log2((m1 + 1e-9) / (m2 + 1e-9)), 6).alias("lfc"),
+        F.round(F.log2((F.expm1(m1) + 1e-9) / (F.expm1(m2) + 1e-9)), 6).alias("lfc"),
         F.try_divide(m1 - m2, F.sqrt(F.greatest(v1 / n1 + v2 / n2, F.lit(1e-300)))).alias("t"),
     ).withColumn("p_value", two_sided("t"))
     up = Window.partitionBy(group).orderBy("p_value", "gene")

@@ -140,8 +140,8 @@ def chunk_table(chunked: DataFrame) -> DataFrame:
     )
 
 
-def chunk_report(docs: DataFrame, key: str, text: str) -> DataFrame:
+def chunk_report(docs: DataFrame, key: str, text: str, **options) -> DataFrame:
     """Documents processed, chunks made, and documents that could not be read."""
-    made = chunks(docs.filter(F.col(text).isNotNull()), key, text)
+    made = chunks(docs.filter(F.col(text).isNotNull()), key, text, **options)
     unread = docs.filter(F.col(text).isNull()).agg(F.count("*")).scalar()
     return made.agg(F.count_distinct(key).alias("documents_processed"), F.count("*").alias("chunks_created")).withColumn("errors", unread)

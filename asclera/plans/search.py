@@ -34,6 +34,14 @@ def matching(filters: Mapping[str, object] | None) -> Column:
     return condition
 
 
+def _occurrences(tokens: str, term: str) -> Column:
+    return F.size(F.filter(tokens, lambda w: w == term))
+
+
+def _any_of(tokens: str, terms: list[str]) -> Column:
+    return F.exists(tokens, lambda w: w.isin(terms))
+
+
 def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
@@ -53,7 +61,7 @@ def search(
     terms = query_terms(query)
     tokens = docs.select(key, *columns, *[c for c in (filters or {}) if c not in (key, *columns)], tx.words(text).alias("_t"))
     counted = tokens.select(
-        "*", F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda w, t=t: w == t)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+        "*", F.size("_t").alias("_n"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)]
     ).drop("_t")
     stats = counted.agg(
         F.count("*").alias("total"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
@@ -100,7 +108,7 @@ def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataF
 
 def probe(queries: Sequence[str], docs: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """Number of results for each probe query, at most n; all probes in one scan."""
-    hits = [F.exists("_t", lambda w, ts=query_terms(q): w.isin(ts)) for q in queries]
+    hits = [_any_of("_t", query_terms(q)) for q in queries]
     one = docs.select(tx.words(text).alias("_t")).agg(*[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hits)])
     rows = F.array(
         *[F.struct(F.lit(q).alias("query"), F.least(F.col(f"n{i}"), F.lit(n)).alias("result_count")) for i, q in enumerate(queries)]
