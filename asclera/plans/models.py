@@ -86,17 +86,16 @@ def classification_metrics(predictions: DataFrame, label: str, prediction: str =
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
     actual = cells.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("actual"), F.sum(hit).alias("hits"))
     predicted = cells.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
-    total = cells.agg(F.sum("n")).scalar()
     per = actual.join(predicted, "c", "left").withColumn("predicted", F.coalesce("predicted", F.lit(0)))
     precision = F.coalesce(F.try_divide("hits", "predicted"), F.lit(0.0))
     recall = F.coalesce(F.try_divide("hits", "actual"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    weight = F.col("actual") / total
+    weighted = lambda c: F.sum(c * F.col("actual")) / F.sum("actual")
     return per.agg(
         (F.sum("hits") / F.sum("actual")).alias("accuracy"),
-        F.sum(precision * weight).alias("precision"),
-        F.sum(recall * weight).alias("recall"),
-        F.sum(f1 * weight).alias("f1"),
+        weighted(precision).alias("precision"),
+        weighted(recall).alias("recall"),
+        weighted(f1).alias("f1"),
     )
 
 
