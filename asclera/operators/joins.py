@@ -29,8 +29,12 @@ def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str
 
 
 def not_done(work: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Incremental selection: work items without a finished record."""
-    return work.join(done.select(*on), list(on), "left_anti")
+    """Incremental selection: work items without a finished record.
+
+    The finished keys are made distinct map-side, so a key that was finished very
+    often does not weigh on one task of the join.
+    """
+    return work.join(done.select(*on).distinct(), list(on), "left_anti")
 
 
 def configured_and_open(
@@ -38,10 +42,8 @@ def configured_and_open(
 ) -> DataFrame:
     """Items with a configuration (text key, case ignored) that are not done yet."""
     left, right = config_on
-    active = config.select(F.lower(F.col(right)).alias("_config_key"))
-    return work.join(active, F.lower(F.col(left)) == F.col("_config_key"), "left_semi").join(
-        done.select(*done_on), list(done_on), "left_anti"
-    )
+    active = config.select(F.lower(F.col(right)).alias("_config_key")).distinct()
+    return not_done(work.join(active, F.lower(F.col(left)) == F.col("_config_key"), "left_semi"), done, done_on)
 
 
 def ignoring_case(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import aggregates, ranges, windows
 
@@ -213,7 +214,7 @@ def marker_genes(values: DataFrame, obs: DataFrame, group: str, n: int | None =
     return windows.top_per_group(hits, [group], [F.desc("lfc"), F.col("gene")], n) if n else hits
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided(t: pd.Series) -> pd.Series:
     """Two-sided tail of the normal distribution."""
     return t.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))

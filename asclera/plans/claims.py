@@ -207,8 +207,11 @@ def continuously_enrolled(eligibility: DataFrame, start, end, max_gap: int = 1)
 
 
 def washed_out(cohort: DataFrame, prior: DataFrame, lookback_days: int = 365) -> DataFrame:
-    """Cohort members without a matching claim in the lookback before their index date."""
-    earlier = prior.select(F.col("member_id").alias("_m"), F.col("service_from_date").alias("_d"))
+    """Cohort members without a matching claim in the lookback before their index date.
+
+    Claims become one row per member and day first, which bounds what a member brings.
+    """
+    earlier = prior.select(F.col("member_id").alias("_m"), F.col("service_from_date").alias("_d")).distinct()
     hit = (
         (F.col("member_id") == F.col("_m"))
         & (F.col("_d") < F.col("index_date"))

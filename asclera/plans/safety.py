@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import aggregates
 
@@ -54,7 +55,7 @@ def _cells() -> tuple[Column, Column, Column, Column]:
     return a, b, c, d
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p_value(chi2: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return chi2.map(lambda x: None if pd.isna(x) else math.erfc(math.sqrt(x / 2)))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import nested
 from ..operators import aggregates, joins
@@ -83,7 +84,7 @@ def frequency_reference(rows: DataFrame, order: str = "line_no") -> DataFrame:
     return aggregates.last_by(out, ["key"], [F.col(order)], ["AF", "AF_popmax", "nhomalt"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def six_digits(value: pd.Series) -> pd.Series:
     """General number format with six significant digits."""
     return value.map(lambda v: None if pd.isna(v) else f"{v:.6g}")

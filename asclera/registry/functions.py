@@ -330,6 +330,15 @@ def _(t):
     return clinical_docs.questions(config)
 
 
+@query(
+    "UD-02",
+    """SELECT conv_id, turn, 'a ![x](x)' || chr(10) || chr(10) || '**IMAGE DESCRIPTION:** ' || role || chr(10) || ' b' AS enriched FROM conversations""",
+)
+def _(t):
+    images = F.array(F.struct(F.lit("x").alias("image_id"), F.col("role").alias("description")))
+    return t.conversations.select("conv_id", "turn", text.insert_descriptions(F.lit("a ![x](x) b"), images).alias("enriched"))
+
+
 @query("UD-03")
 def _(t):
     from ..plans import notes
@@ -339,6 +348,17 @@ def _(t):
     )
 
 
+@query(
+    "UD-04",
+    """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM conversations), c AS (SELECT role, word, COUNT(*) AS n FROM w GROUP BY ALL)
+       SELECT role, string_agg(word, ' ' ORDER BY n DESC, word) AS keywords FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY role ORDER BY n DESC, word) AS rn FROM c) WHERE rn <= 5 GROUP BY 1""",
+)
+def _(t):
+    from ..plans import notes
+
+    return notes.group_keywords(t.conversations, "role", "text", 5)
+
+
 @query(
     "UD-05",
     "SELECT conv_id, i AS part FROM (SELECT conv_id, MAX(turn) AS m FROM conversations GROUP BY 1), generate_series(0, 20) s(i) WHERE i <= m",
@@ -348,6 +368,19 @@ def _(t):
     return last.select("conv_id", F.explode(F.sequence(F.lit(0), "m")).alias("part"))
 
 
+@query(
+    "UD-06",
+    """SELECT 'PLAN' AS section, o_orderstatus AS key, COUNT(*)::VARCHAR AS value FROM orders WHERE o_custkey = 7 GROUP BY 2
+       UNION ALL SELECT 'STEPS', l_returnflag, COUNT(*)::VARCHAR FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 GROUP BY 2""",
+)
+def _(t):
+    from ..operators import sets
+
+    mine = t.orders.filter("o_custkey = 7")
+    steps = t.lineitem.join(mine, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return sets.report([("PLAN", mine.groupBy("o_orderstatus").agg(F.count("*").alias("n")), "o_orderstatus", "n"), ("STEPS", steps, "l_returnflag", "n")])
+
+
 @query("UD-07", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 25")
 def _(t):
     from ..operators import joins

@@ -7,16 +7,15 @@ failure leaves the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import aggregates
+from ..operators import aggregates, ranges
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str | None = None, files: int | None = None, form: str = "parquet") -> DataFrame:
@@ -124,37 +123,39 @@ def threshold_alerts(stream: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return stream.select("*", F.explode(hits).alias("alert"))
 
 
-def changed_states(stream: DataFrame, key: str, time: str, state: Column) -> DataFrame:
-    """Rows where the state of an entity differs from the one before, so an alert fires once.
+def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Rows that earlier batches have written, None before the first."""
+    try:
+        return spark.read.parquet(path).filter(F.col("batch_id") < before)
+    except AnalysisException:
+        return None
 
-    Only the last state and its time are kept per entity. Rows of a batch arrive in
-    pieces and are sorted by time; a reading older than the kept one is passed over.
+
+def changed_states(stream: DataFrame, key: str, time: str, state: Column, path: str, checkpoint: str) -> StreamingQuery:
+    """Write rows whose state differs from the one before, so an alert fires once.
+
+    Within a batch the state before comes from a range-split window, so a busy entity
+    is not held by one task; across batches from the last state stored per entity.
+    Rows older than the stored one are passed over.
     """
-    kind = stream.schema[key].dataType.simpleString()
-    narrow = stream.select(F.col(key), F.col(time).cast("timestamp").alias("at"), state.alias("state"))
-
-    def step(found: tuple, pieces: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        last, when = kept.get if kept.exists else (None, None)
-        # rows of one entity in one batch, only the three narrow columns
-        rows = pd.concat(list(pieces)).sort_values("at")
-        out = []
-        for at, value in zip(rows["at"], rows["state"]):
-            if when is not None and at.value <= when:
-                continue
-            if value != last:
-                out.append((found[0], at, last, value))
-            last, when = value, at.value
-        if when is not None:
-            kept.update((last, when))
-        yield pd.DataFrame(out, columns=[key, "at", "previous", "state"])
-
-    return narrow.groupBy(key).applyInPandasWithState(
-        step,
-        f"{key} {kind}, at timestamp, previous string, state string",
-        "last string, at_ns long",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
+
+    def work(batch: DataFrame, number: int) -> None:
+        rows = batch.select(key, F.col(time).alias("at"), state.alias("state"))
+        kept = _stored(batch.sparkSession, f"{path}/last", number)
+        if kept is None:
+            known = rows.withColumns({"_at": F.lit(None).cast(rows.schema["at"].dataType), "_state": F.lit(None).cast("string")})
+        else:
+            last = aggregates.last_by(kept, [key], [F.col("at")], ["at", "state"]).select(key, F.col("at").alias("_at"), F.col("state").alias("_state"))
+            known = rows.join(last, key, "left").filter(F.col("_at").isNull() | (F.col("at") > F.col("_at")))
+        seen = ranges.over_ranges(
+            known, [key], ["at"], lambda w: {"_before": F.lag("state").over(w), "_later": F.lag(F.lit(True)).over(w)}, before=1
+        )
+        before = F.when(F.col("_later"), F.col("_before")).otherwise(F.col("_state"))
+        changes = seen.withColumn("previous", before).filter(~F.col("previous").eqNullSafe(F.col("state")))
+        write_batch(changes.select(key, "at", "previous", "state"), number, f"{path}/changes")
+        write_batch(aggregates.last_by(known, [key], [F.col("at")], ["at", "state"]), number, f"{path}/last")
+
+    return each_batch(stream, work, checkpoint)
 
 
 def latest_values(stream: DataFrame, key: str, time: str, columns: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
