@@ -94,7 +94,7 @@ def number_in_name(name: Column | str, pattern: str, default: int = 1) -> Column
 
 def words(text: Column | str) -> Column:
     """Lower-case alphanumeric tokens."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(_col(text)), "[^a-z0-9]+"), "")
 
 
 def word_count(text: Column | str) -> Column:

@@ -57,9 +57,18 @@ def per_setting(entities: DataFrame, settings: Sequence[dict[str, object]]) -> D
     return entities.select("*", F.inline(rows))
 
 
+def with_row(df: DataFrame, one_row: DataFrame, name: str = "_one") -> DataFrame:
+    """Add a one-row aggregate to every row as a struct.
+
+    It is a single scalar subquery however many of its fields are used, so the
+    aggregate runs once and no join is planned.
+    """
+    return df.select("*", one_row.select(F.struct("*")).scalar().alias(name))
+
+
 def with_total(df: DataFrame, totals: DataFrame) -> DataFrame:
-    """Add the columns of a one-row aggregate to every row as scalar subqueries."""
-    return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
+    """Add the columns of a one-row aggregate to every row."""
+    return with_row(df, totals).select(*df.columns, *[F.col("_one")[c].alias(c) for c in totals.columns])
 
 
 def one_row(**values: Column | DataFrame) -> dict[str, Column]:

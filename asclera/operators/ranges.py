@@ -209,14 +209,16 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -
     return running_sums(df, [], order, {name: F.lit(1).cast("bigint")})
 
 
-def order_statistic(df: DataFrame, column: str, position: int, limit: int = 200_000) -> float:
-    """Exact value at a 0-based position of the sorted non-null column.
+def order_statistic(df: DataFrame, column: str, position: int, limit: int = 200_000, count: int = 1) -> list[float]:
+    """Exact values at ``count`` positions of the sorted non-null column, from a 0-based one on.
 
     Narrows the value range by counting rows between approximate quantiles until
     at most ``limit`` rows are left, then sorts those. Only bounded data reaches
     the driver whatever the size of the table.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    if count > 1:
+        return [v for i in range(count) for v in order_statistic(df, column, position + i, limit)]
     inside, skipped = values, 0
     low = high = None
     while inside.count() > limit:
@@ -232,7 +234,7 @@ def order_statistic(df: DataFrame, column: str, position: int, limit: int = 200_
                 high = cut
                 break
             if skipped + counts[f"le{i}"] > position:
-                return cut
+                return [cut]
             low, below = cut, counts[f"le{i}"]
         skipped += below
         # the cut values themselves are ruled out, so the bracket always shrinks
@@ -241,18 +243,34 @@ def order_statistic(df: DataFrame, column: str, position: int, limit: int = 200_
             inside = inside.filter(F.col("v") > low)
         if high is not None:
             inside = inside.filter(F.col("v") < high)
-    rows = inside.orderBy("v").limit(position - skipped + 1).collect()
-    return rows[-1]["v"]
+    rows = inside.orderBy("v").offset(position - skipped).limit(1).collect()
+    return [rows[0]["v"]]
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], share: float = 0.5, limit: int = 200_000) -> dict[str, float | None]:
+    """Exact quantile of each column with linear interpolation between neighbours.
+
+    Up to ``limit`` rows Spark's own exact percentile takes all columns in one pass.
+    Beyond it the percentile would hold every distinct value in one task, so each
+    column is narrowed down instead.
+    """
+    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if max(sizes) <= limit:
+        row = df.agg(*[F.percentile(F.col(c).cast("double"), share).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        return dict(zip(columns, row))
+    found: dict[str, float | None] = {}
+    for c, n in zip(columns, sizes):
+        spot = (n - 1) * share
+        if n == 0:
+            found[c] = None
+        elif spot == math.floor(spot):
+            found[c] = order_statistic(df, c, math.floor(spot))[0]
+        else:
+            lower, upper = order_statistic(df, c, math.floor(spot), count=2)
+            found[c] = lower + (upper - lower) * (spot - math.floor(spot))
+    return found
 
 
 def exact_quantile(df: DataFrame, column: str, share: float = 0.5) -> float | None:
-    """Exact quantile with linear interpolation between neighbours (the median by default)."""
-    n = df.filter(F.col(column).isNotNull()).count()
-    if n == 0:
-        return None
-    spot = (n - 1) * share
-    lower = order_statistic(df, column, math.floor(spot))
-    if spot == math.floor(spot):
-        return lower
-    upper = order_statistic(df, column, math.floor(spot) + 1)
-    return lower + (upper - lower) * (spot - math.floor(spot))
+    """Exact quantile of one column (the median by default)."""
+    return exact_quantiles(df, [column], share)[column]

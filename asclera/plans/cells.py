@@ -59,24 +59,32 @@ def cell_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def mad_bounds(df: DataFrame, metric: str, mads: float) -> tuple[float, float]:
-    """Median minus and plus ``mads`` unscaled median absolute deviations, both medians exact."""
-    median = ranges.exact_quantile(df, metric)
-    spread = ranges.exact_quantile(df.select(F.abs(F.col(metric) - F.lit(median)).alias("d")), "d")
-    return median - mads * spread, median + mads * spread
+def mad_bounds(df: DataFrame, mads: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Median minus and plus n unscaled median absolute deviations per metric, all medians exact."""
+    medians = ranges.exact_quantiles(df, list(mads))
+    apart = df.select(*[F.abs(F.col(m) - F.lit(medians[m])).alias(m) for m in mads])
+    spreads = ranges.exact_quantiles(apart, list(mads))
+    return {m: (medians[m] - n * spreads[m], medians[m] + n * spreads[m]) for m, n in mads.items()}
+
+
+def outside(metric: str, bounds: tuple[float, float]) -> Column:
+    return (F.col(metric) < bounds[0]) | (F.col(metric) > bounds[1])
 
 
 def mad_outliers(df: DataFrame, metric: str, mads: float, name: str | None = None) -> DataFrame:
-    low, high = mad_bounds(df, metric, mads)
-    return df.withColumn(name or f"outlier_{metric}", (F.col(metric) < low) | (F.col(metric) > high))
+    bounds = mad_bounds(df, {metric: mads})
+    return df.withColumn(name or f"outlier_{metric}", outside(metric, bounds[metric]))
 
 
 def pass_flags(obs: DataFrame, mads: dict[str, float] = MADS, max_mito: float = MAX_MITO) -> DataFrame:
-    """Outlier flag per metric and ``pass_qc``; a high mitochondrial share also fails."""
-    out = obs
-    for metric, n in mads.items():
-        low, high = mad_bounds(obs, metric, n)
-        out = out.withColumn(f"outlier_{metric}", (F.col(metric) < low) | (F.col(metric) > high))
+    """Outlier flag per metric and ``pass_qc``; a high mitochondrial share also fails.
+
+    The metrics are kept while their medians are taken, which needs several passes.
+    """
+    kept = obs.persist()
+    bounds = mad_bounds(kept, mads)
+    kept.unpersist()
+    out = obs.withColumns({f"outlier_{m}": outside(m, b) for m, b in bounds.items()})
     mito = F.col("outlier_pct_counts_mt") | threshold("pct_counts_mt", ">", max_mito)
     out = out.withColumn("outlier_pct_counts_mt", mito)
     bad = F.col("outlier_total_counts") | F.col("outlier_n_genes_by_counts") | F.col("outlier_pct_counts_mt")
@@ -104,7 +112,7 @@ def keep_genes(counts: DataFrame, min_cells: int | None = 20, min_counts: float
 
 def summary(obs: DataFrame, counts: DataFrame, label: str = "") -> DataFrame:
     """Cells, genes, mean and exact median of the metrics."""
-    medians = {m: ranges.exact_quantile(obs, m) for m in ("total_counts", "n_genes_by_counts")}
+    medians = ranges.exact_quantiles(obs, ["total_counts", "n_genes_by_counts"])
     genes = counts.agg(F.count_distinct("gene")).scalar()
     return obs.agg(
         F.count("*").alias("cells"),

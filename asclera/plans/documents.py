@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import partitions
 
 # Header line patterns in order, with the group that holds the header text.
 HEADERS = [
@@ -21,47 +22,60 @@ OVERLAP = 200
 STORED_LENGTH = 16000
 
 
+# Characters that count as white space at the ends of a text.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def _strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE))
+
 
+def header_text(bare: Column, strict: bool = False) -> Column:
+    """Header text of a stripped line, NULL for ordinary lines.
 
-def header_text(line: Column, strict: bool = False) -> Column:
-    """Header text of a line, NULL for ordinary lines."""
-    bare = _strip(line)
+    One test with all patterns sorts out the ordinary lines before the single ones.
+    """
     rules = list(HEADERS)
     if strict:
         rules[2] = (STRICT_NUMBER, 2)
-    return F.coalesce(*[tx.first_match(bare, f"(?Ud){p}", g) for p, g in rules])
+    any_rule = "|".join(f"(?:{p})" for p, _ in rules)
+    found = F.coalesce(*[tx.first_match(bare, f"(?Ud){p}", g) for p, g in rules])
+    return F.when(F.regexp_like(bare, F.lit(f"(?Ud){any_rule}")), found)
 
 
-def sections(text: Column | str, strict: bool = False) -> Column:
-    """Array of (header, start_line, end_line, content).
+def with_sections(docs: DataFrame, text: str, name: str = "sections", strict: bool = False) -> DataFrame:
+    """Add an array of (header, start_line, end_line, content).
 
     Lines before the first header belong to the first section; a text without
-    headers is one section named Document.
+    headers is one section named Document. Lines and headers are columns of their
+    own, so each line is read once.
     """
-    body = F.col(text) if isinstance(text, str) else text
-    lines = F.split(body, "\n", -1)
-    marked = F.transform(lines, lambda line, i: F.struct(i.alias("at"), header_text(line, strict).alias("header")))
-    heads = F.filter(marked, lambda m: m["header"].isNotNull())
+    staged = docs.withColumn("_lines", F.split(F.col(text), "\n", -1)).withColumn(
+        "_heads",
+        F.filter(
+            F.transform("_lines", lambda line, i: F.struct(i.alias("pos"), header_text(_strip(line), strict).alias("header"))),
+            lambda m: m["header"].isNotNull(),
+        ),
+    )
+    lines, heads = F.col("_lines"), F.col("_heads")
     last = F.size(lines) - 1
 
     def section(head: Column, i: Column) -> Column:
-        following = F.try_element_at(heads, i + 2)["at"]
-        end = F.coalesce(following - 1, last)
-        own = F.slice(lines, head["at"] + 2, end - head["at"])
-        before = F.when(i == 0, F.slice(lines, F.lit(1), head["at"])).otherwise(F.array().cast("array<string>"))
+        end = F.coalesce(F.try_element_at(heads, i + 2)["pos"] - 1, last)
+        own = F.slice(lines, head["pos"] + 2, end - head["pos"])
+        before = F.when(i == 0, F.slice(lines, F.lit(1), head["pos"])).otherwise(F.array().cast("array<string>"))
         return F.struct(
             _strip(head["header"]).alias("header"),
-            head["at"].alias("start_line"),
+            head["pos"].alias("start_line"),
             end.alias("end_line"),
             F.array_join(F.concat(before, own), "\n").alias("content"),
         )
 
     whole = F.array(
-        F.struct(F.lit("Document").alias("header"), F.lit(0).alias("start_line"), last.alias("end_line"), body.alias("content"))
+        F.struct(F.lit("Document").alias("header"), F.lit(0).alias("start_line"), last.alias("end_line"), F.col(text).alias("content"))
     )
-    return F.when(F.size(heads) > 0, F.transform(heads, section)).otherwise(whole)
+    found = F.when(F.size(heads) > 0, F.transform(heads, section)).otherwise(whole)
+    return staged.withColumn(name, found).drop("_lines", "_heads")
 
 
 def pack(content: Column, most: int = MAX_CHUNK, overlap: int = OVERLAP, hard_split: bool = False) -> Column:
@@ -104,7 +118,8 @@ def chunks(
 ) -> DataFrame:
     """One row per chunk with section header, index within the document, and counts."""
     source = F.col(name).cast("string") if name else F.col(key).cast("string")
-    split = docs.select(F.col(key), source.alias("source_file"), sections(text, strict).alias("_s"))
+    named = partitions.spread(docs.select(F.col(key), source.alias("source_file"), F.col(text).alias("_text")))
+    split = with_sections(named, "_text", "_s", strict).drop("_text")
     texts = F.flatten(
         F.transform(
             "_s",

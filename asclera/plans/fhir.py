@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import nested
+from ..operators import partitions
 
 CODING = "array<struct<system:string,code:string,display:string>>"
 CONCEPT = f"struct<coding:{CODING},text:string>"
@@ -208,7 +209,7 @@ FLATTEN = {
 
 def flatten(resources: DataFrame, kind: str, json: str = "resource", source: str | None = None, strict: bool = False) -> DataFrame:
     """Rows of one resource type as a flat table. ``resources`` holds one JSON text per row."""
-    mine = resources.filter(F.get_json_object(json, "$.resourceType") == kind)
+    mine = partitions.spread(resources).filter(F.get_json_object(json, "$.resourceType") == kind)
     parsed = mine.withColumn("_r", F.from_json(F.col(json), SCHEMAS[kind]))
     r = F.col("_r")
     columns = {"id": r["id"], **FLATTEN[kind](r, strict)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates, naming
-from ..operators import aggregates
+from ..operators import aggregates, partitions
 
 MASK = "***MASKED***"
 # The identifiers to protect, with name fragments that reveal them.
@@ -111,6 +111,6 @@ def sensitive_columns(df: DataFrame) -> DataFrame:
         found |= {f"{k}_rows": F.count_if(F.regexp_like(F.col(c), F.lit(p))) for k, p in VALUE_PATTERNS.items()}
         return found
 
-    rows = aggregates.per_column(df, texts, measures)
+    rows = aggregates.per_column(partitions.spread(df), texts, measures)
     any_value = F.col("email_rows") + F.col("phone_rows") + F.col("ssn_rows") > 0
     return rows.withColumn("sensitive", F.col("name_class").isNotNull() | any_value)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import aggregates
+from ..operators import aggregates, joins
 
 # Naming conventions and their patterns.
 NAMING_PATTERNS = {
@@ -178,22 +178,20 @@ def duplicates(df: DataFrame, table: str, keys: Sequence[str], most: float = 0.0
 def outlier_counts(df: DataFrame, columns: Sequence[str], deviations: float = 3.0) -> DataFrame:
     """Values further than ``deviations`` sample deviations from the mean.
 
-    Mean and deviation of all columns come from one scan as scalar subqueries that
-    Spark merges; a second scan counts.
+    Mean and deviation of all columns come from one scan as one scalar subquery; a
+    second scan counts.
     """
     stats = df.agg(
         *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]
     )
     at = {c: i for i, c in enumerate(columns)}
+    one = F.col("_one")
 
     def measures(c: str) -> dict[str, Column]:
-        mean, dev = stats.select(f"m{at[c]}").scalar(), stats.select(f"s{at[c]}").scalar()
-        return {
-            "outlier_count": F.count_if(F.abs(F.col(c) - mean) > F.lit(deviations) * dev),
-            "total_count": F.count(c),
-        }
+        apart = F.abs(F.col(c) - one[f"m{at[c]}"])
+        return {"outlier_count": F.count_if(apart > F.lit(deviations) * one[f"s{at[c]}"]), "total_count": F.count(c)}
 
-    rows = aggregates.per_column(df, columns, measures)
+    rows = aggregates.per_column(joins.with_row(df, stats), columns, measures)
     ratio = F.round(F.coalesce(F.try_divide(F.col("outlier_count"), F.col("total_count")), F.lit(0.0)), 6)
     return rows.withColumn("outlier_ratio", ratio)
 

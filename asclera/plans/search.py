@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naming
 from ..functions import text as tx
-from ..operators import joins, windows
+from ..operators import joins, partitions, windows
 
 K1 = 1.2
 B = 0.75
@@ -59,19 +59,19 @@ def search(
     shuffled. Weights use the whole collection; the filter limits what is returned.
     """
     terms = query_terms(query)
-    tokens = docs.select(key, *columns, *[c for c in (filters or {}) if c not in (key, *columns)], tx.words(text).alias("_t"))
+    tokens = partitions.spread(docs).select(key, *columns, *[c for c in (filters or {}) if c not in (key, *columns)], tx.words(text).alias("_t"))
     counted = tokens.select(
         "*", F.size("_t").alias("_n"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)]
     ).drop("_t")
     stats = counted.agg(
         F.count("*").alias("total"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     )
-    get = lambda c: stats.select(c).scalar()
+    one = F.col("_one")
     score = sum(
-        (_idf(get("total"), get(f"df{i}")) * _weight(F.col(f"_tf{i}"), F.col("_n"), get("mean")) for i in range(len(terms))), F.lit(0.0)
+        (_idf(one["total"], one[f"df{i}"]) * _weight(F.col(f"_tf{i}"), F.col("_n"), one["mean"]) for i in range(len(terms))), F.lit(0.0)
     )
     return (
-        counted.filter(matching(filters))
+        joins.with_row(counted.filter(matching(filters)), stats)
         .withColumn("score", score)
         .filter("score > 0")
         .orderBy(F.desc("score"), key)
@@ -89,15 +89,16 @@ def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataF
     """
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tx.words(query_text))).alias("term"))
     vocabulary = asked.select("term").distinct()
-    sized = docs.select(F.col(key).alias("doc"), tx.words(text).alias("_t")).withColumn("_n", F.size("_t"))
+    sized = partitions.spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("_x"))).select("doc", tx.words("_x").alias("_t")).withColumn("_n", F.size("_t"))
     stats = sized.agg(F.count("*").alias("total"), F.avg("_n").alias("mean"))
     hits = sized.select("doc", "_n", F.explode("_t").alias("term")).join(joins.small(vocabulary), "term")
     counts = hits.repartition("doc").groupBy("doc", "_n", "term").agg(F.count("*").alias("tf"))
     found = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(found, "term").withColumn("idf", _idf(stats.select("total").scalar(), F.col("df")))
-    part = F.col("idf") * _weight(F.col("tf"), F.col("_n"), stats.select("mean").scalar())
+    one = F.col("_one")
+    weighted = joins.with_row(asked.join(found, "term"), stats).withColumn("idf", _idf(one["total"], F.col("df")))
+    part = F.col("idf") * _weight(F.col("tf"), F.col("_n"), one["mean"])
     scored = (
-        counts.join(joins.small(weighted.select("query_id", "term", "idf")), "term")
+        joins.with_row(counts.join(weighted.select("query_id", "term", "idf"), "term"), stats)
         .withColumn("_s", part)
         .groupBy("doc", "query_id")
         .agg(F.sum("_s").alias("score"))
@@ -109,7 +110,7 @@ def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataF
 def probe(queries: Sequence[str], docs: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """Number of results for each probe query, at most n; all probes in one scan."""
     hits = [_any_of("_t", query_terms(q)) for q in queries]
-    one = docs.select(tx.words(text).alias("_t")).agg(*[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hits)])
+    one = partitions.spread(docs.select(text)).select(tx.words(text).alias("_t")).agg(*[F.count_if(h).alias(f"n{i}") for i, h in enumerate(hits)])
     rows = F.array(
         *[F.struct(F.lit(q).alias("query"), F.least(F.col(f"n{i}"), F.lit(n)).alias("result_count")) for i, q in enumerate(queries)]
     )

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import ranges
+from ..operators import joins, ranges
 
 
 def prepare(patients: DataFrame, deaths: DataFrame, as_of) -> DataFrame:
@@ -121,7 +121,7 @@ def log_rank_parts(df: DataFrame, group: str, time: str = "time", event: str = "
     columns = ["c"] + [f"c{i}" for i in range(len(names))]
     seen = ranges.running_sums(per_time, [], ["time"], {f"_{c}": F.col(c) for c in columns})
     totals = per_time.agg(*[F.sum(c).alias(c) for c in columns])
-    risk = seen.withColumns({f"n{c[1:]}": totals.select(c).scalar() - F.col(f"_{c}") + F.col(c) for c in columns})
+    risk = joins.with_row(seen, totals).withColumns({f"n{c[1:]}": F.col("_one")[c] - F.col(f"_{c}") + F.col(c) for c in columns})
     live = risk.filter("d > 0")
     # hypergeometric variance; a single patient at risk adds none
     factor = F.when(F.col("n") > 1, F.col("d") * (F.col("n") - F.col("d")) / (F.col("n") * F.col("n") * (F.col("n") - 1))).otherwise(0.0)

@@ -41,7 +41,7 @@ HEADED = """WITH w AS (SELECT doc_id, lang, source, list_transform(string_split(
 
 @query("DOC-02", HEADED + "SELECT doc_id, header, start_line, end_line, sha256(content) AS content_hash FROM z")
 def _(t):
-    rows = headed(t).select("doc_id", F.explode(documents.sections("text")).alias("_s"))
+    rows = documents.with_sections(headed(t), "text").select("doc_id", F.explode("sections").alias("_s"))
     return rows.select("doc_id", "_s.header", "_s.start_line", "_s.end_line", F.sha2("_s.content", 256).alias("content_hash"))
 
 
@@ -385,7 +385,7 @@ DRUG = "CASE o_orderkey % 3 WHEN 0 THEN 'Metformin' WHEN 1 THEN 'aspirin' ELSE '
        NULL::VARCHAR AS respiratory_rate, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 10 + 90)::VARCHAR END AS oxygen_saturation, NULL::VARCHAR AS weight, NULL::VARCHAR AS height FROM orders""",
 )
 def _(t):
-    return clinic(t).select("o_orderkey", *[c.alias(n) for n, c in notes.vitals("note").items()])
+    return notes.vital_signs(clinic(t), "o_orderkey", "note")
 
 
 NOTE = f"""WITH n AS (SELECT o_orderkey, o_custkey, 'CHIEF COMPLAINT: pain ' || o_custkey || chr(10) || '12 days' || chr(10) || 'VITALS' || chr(10) || 'BP: ' || (o_orderkey % 80 + 90) || '/' || (o_orderkey % 40 + 50) || ', HR ' || (o_custkey % 60 + 50) ||

@@ -24,6 +24,8 @@ def configure(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
+    if context.master.startswith("local") and spark.conf.get("spark.asclera.spread", None) is None:
+        spark.conf.set("spark.asclera.spread", str(context.defaultParallelism))
     return spark
 
 

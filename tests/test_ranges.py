@@ -74,6 +74,7 @@ def test_exact_quantile_narrows(skewed, monkeypatch):
     values = [r["v"] for r in skewed.collect()]
     want = statistics.median(values)
     assert ranges.exact_quantile(skewed, "v") == want
+    assert ranges.exact_quantiles(skewed, ["v"], 0.5, limit=50)["v"] == want
     ordered = sorted(values)
     for position in (0, 10, 1499, 2999):
-        assert ranges.order_statistic(skewed, "v", position, limit=5) == ordered[position]
+        assert ranges.order_statistic(skewed, "v", position, limit=5) == [ordered[position]]
