@@ -128,7 +128,8 @@ def chunks(
             ),
         )
     )
-    rows = split.select(key, "source_file", F.posexplode(texts).alias("chunk_index", "_c"))
+    # the outer form keeps Spark from building the chunks a second time in a filter below
+    rows = split.select(key, "source_file", F.posexplode_outer(texts).alias("chunk_index", "_c")).filter(F.col("_c").isNotNull())
     return rows.select(
         key,
         F.concat_ws("_", "source_file", F.col("chunk_index").cast("string")).alias("chunk_id"),

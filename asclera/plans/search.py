@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,11 @@ def _occurrences(tokens: str, term: str) -> Column:
     return F.size(F.filter(tokens, lambda w: w == term))
 
 
+def _mentions(text: Column, terms: list[str]) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(t)) for t in terms], F.lit(False))
+
+
 def _any_of(tokens: str, terms: list[str]) -> Column:
     return F.exists(tokens, lambda w: w.isin(terms))
 
@@ -59,25 +65,25 @@ def search(
     shuffled. Weights use the whole collection; the filter limits what is returned.
     """
     terms = query_terms(query)
-    tokens = partitions.spread(docs).select(key, *columns, *[c for c in (filters or {}) if c not in (key, *columns)], tx.words(text).alias("_t"))
-    counted = tokens.select(
-        "*", F.size("_t").alias("_n"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)]
-    ).drop("_t")
-    stats = counted.agg(
+
+    def counts(rows: DataFrame) -> DataFrame:
+        tokens = rows.select(key, *columns, tx.words(text).alias("_t"))
+        return tokens.select(
+            key, *columns, F.size("_t").alias("_n"), *[_occurrences("_t", t).alias(f"_tf{i}") for i, t in enumerate(terms)]
+        )
+
+    stats = counts(partitions.spread(docs)).agg(
         F.count("*").alias("total"), F.avg("_n").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]
     )
     one = F.col("_one")
     score = sum(
         (_idf(one["total"], one[f"df{i}"]) * _weight(F.col(f"_tf{i}"), F.col("_n"), one["mean"]) for i in range(len(terms))), F.lit(0.0)
     )
-    return (
-        joins.with_row(counted.filter(matching(filters)), stats)
-        .withColumn("score", score)
-        .filter("score > 0")
-        .orderBy(F.desc("score"), key)
-        .limit(n)
-        .select(key, *columns, "score")
-    )
+    # a plain substring test at the scan drops most texts; zero scores go after the limit,
+    # since a filter on the score itself would be evaluated once more below
+    possible = partitions.spread(docs.filter(matching(filters)).filter(_mentions(F.col(text), terms)))
+    best = joins.with_row(counts(possible), stats).withColumn("score", score).orderBy(F.desc("score"), key).limit(n)
+    return best.filter("score > 0").select(key, *columns, "score")
 
 
 def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
@@ -91,7 +97,8 @@ def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataF
     vocabulary = asked.select("term").distinct()
     sized = partitions.spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("_x"))).select("doc", tx.words("_x").alias("_t")).withColumn("_n", F.size("_t"))
     stats = sized.agg(F.count("*").alias("total"), F.avg("_n").alias("mean"))
-    hits = sized.select("doc", "_n", F.explode("_t").alias("term")).join(joins.small(vocabulary), "term")
+    # the outer form keeps Spark from testing the token array at the scan as well
+    hits = sized.select("doc", "_n", F.explode_outer("_t").alias("term")).join(joins.small(vocabulary), "term")
     counts = hits.repartition("doc").groupBy("doc", "_n", "term").agg(F.count("*").alias("tf"))
     found = counts.groupBy("term").agg(F.count("*").alias("df"))
     one = F.col("_one")
