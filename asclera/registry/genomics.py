@@ -167,12 +167,36 @@ def _(t):
     return cells.normalize(cell_counts(t)[0]).select("cell_id", "gene", F.round("value", 6).alias("value"))
 
 
-@query("SC-08")
+@query(
+    "SC-08",
+    """WITH n AS (SELECT l_orderkey AS cell, l_partkey % 60 AS g, SUM(l_quantity) AS c FROM lineitem GROUP BY ALL), t AS (SELECT cell, SUM(c) AS tot FROM n GROUP BY 1),
+       x AS (SELECT  CASE WHEN g < 4 THEN 'MT-' || g WHEN g < 9 THEN 'RPL' || g WHEN g = 9 THEN 'HBA1' ELSE 'G' || g END AS gene, c * 10000 / tot AS v FROM n JOIN t USING (cell)),
+       z AS (SELECT  COUNT(*) AS n FROM t ),
+       m AS (SELECT  gene, SUM(v) / ANY_VALUE(z.n) AS mean, (SUM(v * v) - SUM(v) * SUM(v) / ANY_VALUE(z.n)) / (ANY_VALUE(z.n) - 1) AS var FROM x , z GROUP BY ALL),
+       d AS (SELECT *, ln(greatest(var / mean, 1e-12)) AS dispersion, ln(1 + mean) AS lv FROM m WHERE mean > 0),
+       s AS (SELECT  MIN(lv) AS lo, MAX(lv) AS hi FROM d ), p AS (SELECT d.*, least(floor(COALESCE((lv - lo) / nullif(hi - lo, 0), 0) * 20), 19) AS bin FROM d , s),
+       q AS (SELECT  bin, AVG(dispersion) AS am, STDDEV(dispersion) AS sd FROM p GROUP BY ALL),
+       r AS (SELECT p.*, COALESCE((dispersion - am) / nullif(sd, 0), 1.0) AS score FROM p JOIN q USING ( bin))
+       SELECT gene, ROUND(mean, 6) AS mean, ROUND(dispersion, 6) AS dispersion, ROUND(score, 6) AS score FROM r ORDER BY r.score DESC, gene LIMIT 20""",
+)
 def _(t):
-    return cells.variable_genes(cell_counts(t)[0], n=20)
+    out = cells.variable_genes(cell_counts(t)[0], n=20)
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "dispersion", "score")})
 
 
-@query("SC-08-batch")
+@query(
+    "SC-08-batch",
+    """WITH n AS (SELECT l_orderkey AS cell, l_partkey % 60 AS g, SUM(l_quantity) AS c FROM lineitem GROUP BY ALL), t AS (SELECT cell, SUM(c) AS tot FROM n GROUP BY 1),
+       x AS (SELECT cell % 3 AS batch, CASE WHEN g < 4 THEN 'MT-' || g WHEN g < 9 THEN 'RPL' || g WHEN g = 9 THEN 'HBA1' ELSE 'G' || g END AS gene, c * 10000 / tot AS v FROM n JOIN t USING (cell)),
+       z AS (SELECT cell % 3 AS batch, COUNT(*) AS n FROM t GROUP BY 1),
+       m AS (SELECT batch, gene, SUM(v) / ANY_VALUE(z.n) AS mean, (SUM(v * v) - SUM(v) * SUM(v) / ANY_VALUE(z.n)) / (ANY_VALUE(z.n) - 1) AS var FROM x JOIN z USING (batch) GROUP BY ALL),
+       d AS (SELECT *, ln(greatest(var / mean, 1e-12)) AS dispersion, ln(1 + mean) AS lv FROM m WHERE mean > 0),
+       s AS (SELECT batch, MIN(lv) AS lo, MAX(lv) AS hi FROM d GROUP BY 1), p AS (SELECT d.*, least(floor(COALESCE((lv - lo) / nullif(hi - lo, 0), 0) * 20), 19) AS bin FROM d JOIN s USING (batch)),
+       q AS (SELECT batch, bin, AVG(dispersion) AS am, STDDEV(dispersion) AS sd FROM p GROUP BY ALL),
+       r AS (SELECT p.*, COALESCE((dispersion - am) / nullif(sd, 0), 1.0) AS score FROM p JOIN q USING (batch, bin)),
+       k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY batch ORDER BY score DESC, gene) AS rank FROM r)
+       SELECT gene, COUNT(*) FILTER (rank <= 20) AS batches, median(rank)::DOUBLE AS median_rank FROM k GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT 20""",
+)
 def _(t):
     counts, obs = cell_counts(t)
     return cells.variable_genes(counts.join(obs.select("cell_id", "batch"), "cell_id"), n=20, batch="batch")
@@ -187,11 +211,19 @@ def _(t):
     return cells.marker_genes(cells.normalize(kept.select("cell_id", "gene", "count")), obs, "label", 10)
 
 
-@query("SC-10")
+@query(
+    "SC-10",
+    """WITH d AS (SELECT a.vec_id AS id, a.label AS la, b.label AS lb, a.vec_id % 3 AS ba, b.vec_id % 3 AS bb,
+         list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d2 FROM embeddings a, embeddings b),
+       l AS (SELECT id, la = lb AS own, SUM(d2) AS sm, COUNT(*) AS cnt FROM d GROUP BY id, la, lb), g AS (SELECT id, ba = bb AS own, SUM(d2) AS sm, COUNT(*) AS cnt FROM d GROUP BY id, ba, bb),
+       s1 AS (SELECT s FROM (SELECT AVG((b - a) / greatest(a, b)) AS s FROM (SELECT id, MAX(CASE WHEN own THEN sm / nullif(cnt - 1, 0) END) AS a, MIN(CASE WHEN NOT own THEN sm / cnt END) AS b FROM l GROUP BY 1))), s2 AS (SELECT s FROM (SELECT AVG((b - a) / greatest(a, b)) AS s FROM (SELECT id, MAX(CASE WHEN own THEN sm / nullif(cnt - 1, 0) END) AS a, MIN(CASE WHEN NOT own THEN sm / cnt END) AS b FROM g GROUP BY 1)))
+       SELECT (SELECT COUNT(*) FROM embeddings) AS points, ROUND(s1.s, 6) AS silhouette_label, ROUND(s2.s, 6) AS silhouette_batch, ROUND(s1.s - s2.s, 6) AS integration_score FROM s1, s2""",
+)
 def _(t):
     from ..plans import models
 
-    return models.silhouettes(t.embeddings, "embedding", {"label": F.col("label"), "batch": F.col("vec_id") % 3})
+    out = models.silhouettes(t.embeddings, "embedding", {"label": F.col("label"), "batch": F.col("vec_id") % 3})
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "points"})
 
 
 @query(

@@ -8,7 +8,10 @@ from . import query
 from .sources import scratch
 
 
-@query("FE-01")
+@query(
+    "FE-01",
+    """SELECT c AS column_name, t AS data_type, g AS category, (SELECT COUNT(*) FROM events) AS filled FROM (VALUES ('event_id', 'bigint', 'numeric'), ('ts', 'timestamp_ntz', 'temporal'), ('user_id', 'bigint', 'numeric'), ('event_type', 'string', 'categorical'), ('value', 'double', 'numeric'), ('props', 'string', 'categorical')) v(c, t, g)""",
+)
 def _(t):
     return features.discover(t.events)
 
@@ -65,7 +68,10 @@ def _(t):
     return out.select("column_name", F.round("mean", 4).alias("mean"), "issue")
 
 
-@query("FE-06")
+@query(
+    "FE-06",
+    """SELECT c AS column_name, '7,14,30' AS windows, 'event_id' AS entity, (SELECT COUNT(*) FROM events) AS rows FROM (VALUES ('event_id'), ('user_id'), ('value')) v(c)""",
+)
 def _(t):
     plan = features.default_plan(t.events)
     rows = [F.struct(F.lit(c).alias("column_name"), F.lit(",".join(map(str, w))).alias("windows"), F.lit(plan.entity).alias("entity")) for c, w in plan.windows.items()]

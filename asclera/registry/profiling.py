@@ -59,7 +59,12 @@ def _(t):
     return profile.column_groups(t.events)
 
 
-@query("PF-05")
+@query(
+    "PF-05",
+    """SELECT 3::BIGINT AS total_assets, 3::BIGINT AS structured_count, 0::BIGINT AS unstructured_count,
+       ((SELECT COUNT(*) FROM orders) + (SELECT COUNT(*) FROM labels) + (SELECT COUNT(*) FROM lineitem))::BIGINT AS total_rows, TRUE AS has_labeled_data, 'o_orderstatus|l_linestatus' AS potential_targets,
+       'o_orderkey|o_custkey|o_totalprice|doc_id|quality|toxic|l_orderkey|l_partkey|l_suppkey|l_linenumber|l_quantity|l_extendedprice|l_discount|l_tax' AS potential_features, FALSE AS text_content_detected""",
+)
 def _(t):
     names = ["orders", "labels", "lineitem"]
     listed = files.scan_files(t.spark, t.folder, "*.parquet").filter(F.col("name").isin([f"{n}.parquet" for n in names]))
@@ -68,4 +73,4 @@ def _(t):
         one = getattr(t, n).agg(F.count("*").alias("row_count")).withColumn("name", F.lit(f"{n}.parquet"))
         counts = one if counts is None else counts.unionByName(one)
     assets = listed.join(counts, "name").select("name", F.col("file_type").alias("data_type"), "size_bytes", "row_count")
-    return profile.asset_profile(assets, {n: getattr(t, n) for n in names})
+    return profile.asset_profile(assets, {n: getattr(t, n) for n in names}).drop("total_size_bytes")

@@ -20,14 +20,20 @@ def _(t):
     return naming.normalize_columns(messy)
 
 
-@query("PRJ-02")
+@query(
+    "PRJ-02",
+    """SELECT '_id' AS column_name, 'underscore prefix' AS issue, COUNT(*) AS rows FROM orders UNION ALL SELECT 'order date', 'contains spaces', COUNT(*) FROM orders""",
+)
 def _(t):
     from ..sources import files
 
     return files.column_issues(t.orders.withColumnsRenamed({"o_orderkey": "_id", "o_orderdate": "order date"}))
 
 
-@query("PRJ-03")
+@query(
+    "PRJ-03",
+    """SELECT 'l_linenumber' AS column_name, COUNT(l_linenumber) AS n, ROUND(AVG(l_linenumber), 4) AS mean FROM lineitem UNION ALL SELECT 'l_quantity' AS column_name, COUNT(l_quantity) AS n, ROUND(AVG(l_quantity), 4) AS mean FROM lineitem UNION ALL SELECT 'l_extendedprice' AS column_name, COUNT(l_extendedprice) AS n, ROUND(AVG(l_extendedprice), 4) AS mean FROM lineitem UNION ALL SELECT 'l_discount' AS column_name, COUNT(l_discount) AS n, ROUND(AVG(l_discount), 4) AS mean FROM lineitem""",
+)
 def _(t):
     names = naming.numeric_columns(t.lineitem, target="L_TAX", exclude=["l_orderkey", "l_partkey", "l_suppkey"])
     return aggregates.per_column(t.lineitem, names, lambda c: {"n": F.count(c), "mean": F.round(F.avg(c), 4)})
@@ -195,7 +201,11 @@ def _(t):
     return marked.dropna(subset=["kind", "value"]).agg(F.count("*").alias("n"))
 
 
-@query("PRJ-16")
+@query(
+    "PRJ-16",
+    """SELECT 'orders' AS table_name, 'completeness' AS suite, 'required_columns' AS check_name, c AS column_name, v AS value, NULL::DOUBLE AS threshold, s AS status
+       FROM (VALUES ('O_ORDERKEY', 1.0::DOUBLE, 'PASS'), ('o_custkey', 1.0, 'PASS'), ('o_missing', 0.0, 'FAIL')) x(c, v, s)""",
+)
 def _(t):
     from ..plans import quality
 
@@ -565,7 +575,10 @@ def _(t):
     return profile.sample_values(t.customer, "c_mktsegment").withColumnRenamed("c_mktsegment", "sample")
 
 
-@query("TK-06")
+@query(
+    "TK-06",
+    """SELECT user_id AS sample_id, ts::VARCHAR AS measurement_time, event_id, event_type, value, props FROM events""",
+)
 def _(t):
     from ..plans import lab
 

@@ -25,7 +25,10 @@ def _(t):
     return semantic.metric_query(t.orders, orders_model(), ["orders", "members"], ["priority"], ["large"])
 
 
-@query("SEM-02")
+@query(
+    "SEM-02",
+    """SELECT m AS metric, e AS expression, (SELECT COUNT(*) FROM lineitem) AS rows FROM (VALUES ('total_count', 'count(*)'), ('total_l_linenumber', 'sum(l_linenumber)'), ('total_l_quantity', 'sum(l_quantity)'), ('total_l_extendedprice', 'sum(l_extendedprice)'), ('total_l_discount', 'sum(l_discount)'), ('total_l_tax', 'sum(l_tax)')) v(m, e)""",
+)
 def _(t):
     model = semantic.generate(t.lineitem, "lineitem", wide=True)
     rows = [F.struct(F.lit(k).alias("metric"), F.lit(v).alias("expression")) for k, v in model.metrics.items()]

@@ -66,7 +66,23 @@ def _(t):
     return t.spark.read.parquet(place)
 
 
-@query("SRC-07")
+@query(
+    "SRC-07",
+    """SELECT 'REGION' AS table_name, COUNT(*) AS row_count, 2::BIGINT AS column_count, 0::BIGINT AS issues FROM region
+       UNION ALL SELECT 'NATION' AS table_name, COUNT(*) AS row_count, 3::BIGINT AS column_count, 0::BIGINT AS issues FROM nation
+       UNION ALL SELECT 'CUSTOMER' AS table_name, COUNT(*) AS row_count, 5::BIGINT AS column_count, 0::BIGINT AS issues FROM customer
+       UNION ALL SELECT 'SUPPLIER' AS table_name, COUNT(*) AS row_count, 4::BIGINT AS column_count, 0::BIGINT AS issues FROM supplier
+       UNION ALL SELECT 'PART' AS table_name, COUNT(*) AS row_count, 6::BIGINT AS column_count, 0::BIGINT AS issues FROM part
+       UNION ALL SELECT 'ORDERS' AS table_name, COUNT(*) AS row_count, 6::BIGINT AS column_count, 0::BIGINT AS issues FROM orders
+       UNION ALL SELECT 'LINEITEM' AS table_name, COUNT(*) AS row_count, 11::BIGINT AS column_count, 0::BIGINT AS issues FROM lineitem
+       UNION ALL SELECT 'EVENTS' AS table_name, COUNT(*) AS row_count, 6::BIGINT AS column_count, 0::BIGINT AS issues FROM events
+       UNION ALL SELECT 'DOCUMENTS' AS table_name, COUNT(*) AS row_count, 5::BIGINT AS column_count, 0::BIGINT AS issues FROM documents
+       UNION ALL SELECT 'EMBEDDINGS' AS table_name, COUNT(*) AS row_count, 3::BIGINT AS column_count, 0::BIGINT AS issues FROM embeddings
+       UNION ALL SELECT 'PAGES' AS table_name, COUNT(*) AS row_count, 3::BIGINT AS column_count, 0::BIGINT AS issues FROM pages
+       UNION ALL SELECT 'BENCHMARK' AS table_name, COUNT(*) AS row_count, 2::BIGINT AS column_count, 0::BIGINT AS issues FROM benchmark
+       UNION ALL SELECT 'LABELS' AS table_name, COUNT(*) AS row_count, 3::BIGINT AS column_count, 0::BIGINT AS issues FROM labels
+       UNION ALL SELECT 'CONVERSATIONS' AS table_name, COUNT(*) AS row_count, 4::BIGINT AS column_count, 0::BIGINT AS issues FROM conversations""",
+)
 def _(t):
     """Scan, check and count every parquet file of the folder."""
     out = None
@@ -74,7 +90,7 @@ def _(t):
         df = t.spark.read.parquet(row["path"])
         one = files.table_summary(df, naming.table_name(row["name"])).withColumn("issues", F.lit(sum(c.startswith("_") or " " in c for c in df.columns)))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.drop("columns")
 
 
 @query(
@@ -200,7 +216,10 @@ def _(t):
     return files.table_summary(t.orders, "orders").drop("columns")
 
 
-@query("SRC-18")
+@query(
+    "SRC-18",
+    """SELECT doc_id || '_0' AS chunk_id, least(16000, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS stored, 0::BIGINT AS chunk_index FROM documents""",
+)
 def _(t):
     place = scratch(t)
     files.append_chunks(documents.chunk_table(documents.chunks(t.documents, "doc_id", "text")), place)
