@@ -175,7 +175,8 @@ def variable_genes(counts: DataFrame, n: int = 2000, bins: int = 20, batch: str
     placed = placed.withColumn("bin", F.least(F.floor(share * bins), F.lit(bins - 1)))
     stats = placed.groupBy(*keys, "bin").agg(F.avg("dispersion").alias("_m"), F.stddev_samp("dispersion").alias("_d"))
     # a bin with one gene has no deviation: its gene scores one
-    score = F.coalesce(F.try_divide(F.col("dispersion") - F.col("_m"), F.nullif(F.col("_d"), F.lit(0.0))), F.lit(1.0))
+    # rounded, so that bins of two genes tie instead of being ordered by the last float digit
+    score = F.round(F.coalesce(F.try_divide(F.col("dispersion") - F.col("_m"), F.nullif(F.col("_d"), F.lit(0.0))), F.lit(1.0)), 9)
     scored = placed.join(stats, [*keys, "bin"]).withColumn("score", score)
     if not batch:
         return scored.orderBy(F.desc("score"), "gene").limit(n).select("gene", "mean", "dispersion", "score")

@@ -82,12 +82,12 @@ def _(t):
 
 
 EAV = """WITH eav AS (SELECT o_orderkey AS doc, 'PRIORITY' AS field, o_orderpriority AS value FROM orders
-    UNION ALL SELECT o_orderkey, 'STATUS', o_orderstatus FROM orders WHERE o_orderkey % 3 <> 0)"""
+    UNION ALL SELECT o_orderkey, 'STATUS', o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW')"""
 
 
 def eav(t):
     first = t.orders.select(F.col("o_orderkey").alias("doc"), F.lit("PRIORITY").alias("field"), F.col("o_orderpriority").alias("value"))
-    second = t.orders.filter("o_orderkey % 3 <> 0").select(
+    second = t.orders.filter("o_orderpriority <> '5-LOW'").select(
         F.col("o_orderkey").alias("doc"), F.lit("STATUS").alias("field"), F.col("o_orderstatus").alias("value")
     )
     return first.unionByName(second)

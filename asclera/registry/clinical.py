@@ -264,10 +264,10 @@ def observed(t):
 
 
 def held(t):
-    """Conditions: one per order of a customer, every third order."""
+    """Conditions: one per order of a customer."""
     p = F.col("o_orderpriority")
     shown = F.when(p == "1-URGENT", "Type 2 diabetes").when(p == "2-HIGH", "Hypertension").when(p == "3-MEDIUM", "Asthma").otherwise("Fracture")
-    return t.orders.filter("o_orderkey % 3 = 0").select(
+    return t.orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("patient_id"),
         shown.alias("code_display"),
@@ -287,7 +287,7 @@ P = """WITH p AS (SELECT c_custkey AS patient_id, c_name AS family_name, make_da
     ob AS (SELECT o_orderkey AS id, o_custkey AS patient_id, CASE o_orderstatus WHEN 'F' THEN 'Vitals' WHEN 'O' THEN 'Labs' ELSE 'Anthropometric' END AS cat, o_orderdate AS d FROM orders),
     co AS (SELECT o_orderkey AS id, o_custkey AS patient_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'Type 2 diabetes' WHEN '2-HIGH' THEN 'Hypertension' WHEN '3-MEDIUM' THEN 'Asthma' ELSE 'Fracture' END AS shown,
       CASE o_orderpriority WHEN '1-URGENT' THEN 'Endocrine' WHEN '2-HIGH' THEN 'Cardiovascular' WHEN '3-MEDIUM' THEN 'Respiratory' ELSE 'Other' END AS cat,
-      CASE WHEN o_orderstatus = 'F' THEN 'active' ELSE 'resolved' END AS st, o_orderdate AS d FROM orders WHERE o_orderkey % 3 = 0),
+      CASE WHEN o_orderstatus = 'F' THEN 'active' ELSE 'resolved' END AS st, o_orderdate AS d FROM orders),
     q AS (SELECT pe.*, COUNT(DISTINCT ob.id) AS total_observations, COUNT(DISTINCT CASE WHEN ob.cat = 'Labs' THEN ob.id END) AS lab_count,
       COUNT(DISTINCT CASE WHEN ob.cat = 'Vitals' THEN ob.id END) AS vitals_count, COUNT(DISTINCT co.id) AS total_conditions,
       COUNT(DISTINCT CASE WHEN st = 'active' THEN co.id END) AS active_conditions, COALESCE(string_agg(DISTINCT shown, '|' ORDER BY shown), '') AS condition_list,
@@ -375,13 +375,13 @@ def _(t):
 
 @query(
     "SEM-07",
-    RISK + "SELECT z.patient_id, z.age_group, CASE WHEN z.patient_id % 2 = 0 THEN k.risk_score END AS risk_score FROM z JOIN k USING (patient_id)",
+    RISK + "SELECT z.patient_id, z.age_group, CASE WHEN z.gender = 'male' THEN k.risk_score END AS risk_score FROM z JOIN k USING (patient_id)",
 )
 def _(t):
     from ..plans import semantic
 
     base = p360(t)
-    predictions = patients.rule_risk(patients.risk_training(base, AS_OF)).filter("patient_id % 2 = 0")
+    predictions = patients.rule_risk(patients.risk_training(base, AS_OF)).filter("gender = 'male'")
     link = semantic.Relationship("patient_360", "risk_predictions", [("patient_id", "patient_id")])
     return semantic.joined(base, predictions, link).select("patient_id", "age_group", "risk_score")
 
@@ -414,14 +414,14 @@ def concepts(t):
 
 def relations(t):
     k = F.col("p_partkey")
-    return t.part.filter(k % 3 != 0).select(
+    return t.part.filter("p_type <> 'SMALL'").select(
         k.cast("int").alias("concept_id_1"),
         (k % 97 + 1000001).cast("int").alias("concept_id_2"),
         F.when(k % 5 == 0, "Is a").otherwise("Maps to").alias("relationship_id"),
     )
 
 
-MAPS = """SELECT p_partkey AS k, s_suppkey + 1000000 AS std, s_name, s_suppkey % 4 <> 0 AS is_s FROM part JOIN supplier ON s_suppkey = p_partkey % 97 + 1 WHERE p_partkey % 3 <> 0 AND p_partkey % 5 <> 0"""
+MAPS = """SELECT p_partkey AS k, s_suppkey + 1000000 AS std, s_name, s_suppkey % 4 <> 0 AS is_s FROM part JOIN supplier ON s_suppkey = p_partkey % 97 + 1 WHERE p_type <> 'SMALL' AND p_partkey % 5 <> 0"""
 
 
 @query(

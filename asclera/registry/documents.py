@@ -73,10 +73,10 @@ def _(t):
 @query(
     "DOC-04",
     r"""SELECT doc_id, length(b) AS char_count, len(list_filter(string_split_regex(b, '\s+'), lambda w: w <> '')) AS word_count
-       FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents) WHERE length(b) <= 8000""",
+       FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents)""",
 )
 def _(t):
-    out = documents.chunks(t.documents.filter(F.length("text") <= 8000), "doc_id", "text", most=100_000)
+    out = documents.chunks(t.documents, "doc_id", "text", most=10_000_000)
     return out.groupBy("doc_id").agg(F.sum("char_count").alias("char_count"), F.sum("word_count").alias("word_count"))
 
 
@@ -131,7 +131,7 @@ TREE = """WITH h AS (SELECT CASE WHEN turn = 0 THEN 'c' || conv_id || '.pdf' ELS
 
 
 def flags(t):
-    rows = tree(t).filter("conv_id % 3 <> 0")
+    rows = tree(t).filter("role = 'user'")
     return rows.select("path", F.lit("IMAGE_FLAG").alias("field_name"), F.when(F.col("turn") % 2 == 0, "YES").otherwise("NO").alias("field_value")).union(
         rows.select("path", F.lit("complex_tables_flag"), F.when(F.col("conv_id") % 5 == 0, "YES").otherwise("NO"))
     )
@@ -139,7 +139,7 @@ def flags(t):
 
 @query(
     "DOC-07",
-    TREE + """SELECT path, parent_path, CASE WHEN conv_id % 3 <> 0 AND (turn % 2 = 0 OR conv_id % 5 = 0) THEN 'LAYOUT' ELSE 'OCR' END AS parse_mode, conv_id % 3 <> 0 AND turn % 2 = 0 AS extract_images,
+    TREE + """SELECT path, parent_path, CASE WHEN role = 'user' AND (turn % 2 = 0 OR conv_id % 5 = 0) THEN 'LAYOUT' ELSE 'OCR' END AS parse_mode, role = 'user' AND turn % 2 = 0 AS extract_images,
        CASE WHEN parent_path IS NOT NULL THEN turn * 10 + 1 ELSE 1 END AS start_page_offset FROM h WHERE path NOT IN (SELECT parent_path FROM h WHERE parent_path IS NOT NULL) AND turn <> 3""",
 )
 def _(t):
@@ -159,11 +159,11 @@ def _(t):
 
 @query(
     "DOC-09",
-    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '![i](i)' || chr(10) || chr(10) || '**IMAGE DESCRIPTION:** ' || role || chr(10) || ' ' || text ELSE '![i](i) ' || text END AS page_content FROM conversations""",
+    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN '![i](i)' || chr(10) || chr(10) || '**IMAGE DESCRIPTION:** ' || role || chr(10) || ' ' || text ELSE '![i](i) ' || text END AS page_content FROM conversations""",
 )
 def _(t):
     pages = t.conversations.select("conv_id", "turn", F.concat(F.lit("![i](i) "), "text").alias("page_content"))
-    images = t.conversations.filter("turn % 2 = 0").select(
+    images = t.conversations.filter("role = 'user'").select(
         "conv_id", "turn", F.lit(0).alias("image_index"), F.lit("i").alias("image_id"), F.col("role").alias("description")
     )
     return cd.describe_images(pages, images, ["conv_id", "turn"])
@@ -258,7 +258,7 @@ def _(t):
 
 @query(
     "DOC-15",
-    """SELECT o_orderkey AS path, upper(o_orderpriority) AS "PATIENT_NAME", CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey::VARCHAR END AS "MRN" FROM orders WHERE o_orderstatus = 'F'""",
+    """SELECT o_orderkey AS path, upper(o_orderpriority) AS "PATIENT_NAME", CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey::VARCHAR END AS "MRN" FROM orders WHERE o_orderstatus = 'F'""",
 )
 def _(t):
     return cd.type_view(fields(t), "F", ["PATIENT_NAME", "MRN"])
@@ -266,7 +266,7 @@ def _(t):
 
 def fields(t):
     row = lambda name, value: [F.col("o_orderkey").alias("path"), F.col("o_orderstatus").alias("doc_type"), F.lit(name).alias("field_name"), value.cast("string").alias("field_value")]
-    return t.orders.select(*row("PATIENT_NAME", F.col("o_orderpriority"))).union(t.orders.filter("o_orderkey % 3 <> 0").select(*row("MRN", F.col("o_custkey"))))
+    return t.orders.select(*row("PATIENT_NAME", F.col("o_orderpriority"))).union(t.orders.filter("o_orderpriority <> '5-LOW'").select(*row("MRN", F.col("o_custkey"))))
 
 
 def content(t):
@@ -275,8 +275,9 @@ def content(t):
     hierarchy = tree(t).select("path", "parent_path")
     roots = tree(t).select(F.coalesce("parent_path", "path").alias("path"), "conv_id").distinct()
     labels = roots.select("path", F.when(F.col("conv_id") % 2 == 0, "EVEN").otherwise("ODD").alias("doc_type"))
-    a = roots.filter("conv_id % 3 = 0").select("path", F.concat(F.lit("N"), "conv_id").alias("PATIENT_NAME"))
-    b = roots.filter("conv_id % 4 < 2").select("path", F.lit("B").alias("PATIENT_NAME"), F.concat(F.lit("M"), "conv_id").alias("MRN"))
+    k = F.col("conv_id")
+    a = roots.select("path", F.when(k % 3 == 0, F.concat(F.lit("N"), k)).alias("PATIENT_NAME"))
+    b = roots.select("path", F.when(k % 4 < 2, "B").alias("PATIENT_NAME"), F.when(k % 4 < 2, F.concat(F.lit("M"), k)).alias("MRN"))
     return cd.content(pages, hierarchy, labels, [a, b])
 
 
@@ -362,7 +363,7 @@ def _(t):
     return cd.unconfigured_types(typed(t), config(t))
 
 
-@query("DOC-23-coverage", "SELECT o_orderstatus AS doc_type, COUNT(*) AS documents, COUNT(*) + SUM((o_orderkey % 3 <> 0)::INT)::BIGINT AS fields FROM orders GROUP BY 1")
+@query("DOC-23-coverage", "SELECT o_orderstatus AS doc_type, COUNT(*) AS documents, COUNT(*) + SUM((o_orderpriority <> '5-LOW')::INT)::BIGINT AS fields FROM orders GROUP BY 1")
 def _(t):
     return cd.extraction_coverage(fields(t))
 

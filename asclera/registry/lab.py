@@ -9,7 +9,7 @@ from . import query
 
 def lab_documents(t):
     """One lab document per order, a measurement per line, written from lineitem."""
-    rows = t.lineitem.filter("l_linenumber <= 7").select(
+    rows = t.lineitem.select(
         "l_orderkey",
         "l_linenumber",
         F.col("l_partkey").cast("string").alias("Sample_ID"),
@@ -96,14 +96,14 @@ def read_files(t):
     k = F.col("s_suppkey")
     tissue = F.when(k % 3 == 0, "T").when(k % 3 == 1, "N").otherwise("x")
     stem = F.concat(F.lit("/data/P"), F.lpad(k.cast("string"), 4, "0"), F.lit("_"), tissue, F.lit("_L00"), k % 2 + 1)
-    both = t.supplier.select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("r"), stem.alias("stem"))
-    return both.filter((F.col("r") == 1) | (k % 4 != 0)).select("s_suppkey", F.concat("stem", F.lit("_R"), "r", F.lit("_001.fastq.gz")).alias("path"))
+    reads = F.when(F.col("s_acctbal") > 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return t.supplier.select("s_suppkey", F.explode(reads).alias("r"), stem.alias("stem")).select("s_suppkey", F.concat("stem", F.lit("_R"), "r", F.lit("_001.fastq.gz")).alias("path"))
 
 
 READS = """WITH b AS (SELECT s_suppkey AS k, lpad(s_suppkey::VARCHAR, 4, '0') AS pid, CASE s_suppkey % 3 WHEN 0 THEN 'T' WHEN 1 THEN 'N' ELSE 'x' END AS tis,
-      's' AS s, 'L00' || (s_suppkey % 2 + 1) AS lane FROM supplier),
+      s_acctbal > 0 AS pair, 'L00' || (s_suppkey % 2 + 1) AS lane FROM supplier),
     f AS (SELECT k, pid, tis, lane, r, '/data/P' || pid || '_' || tis || '_' || lane || '_R' || r || '_001.fastq.gz' AS path
-          FROM b, (VALUES (1), (2)) v(r) WHERE r = 1 OR k % 4 <> 0)"""
+          FROM b, (VALUES (1), (2)) v(r) WHERE r = 1 OR pair)"""
 
 
 @query("MF-01", READS + "SELECT path, 'P' || pid || '_' || tis AS sample, 'P' || pid AS patient, lane FROM f")

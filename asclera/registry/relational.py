@@ -405,29 +405,28 @@ def _(t):
 
 @query(
     "JN-16",
-    """WITH a AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R1_001.fastq.gz' AS r1 FROM supplier WHERE s_suppkey % 5 <> 0),
-       b AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R2_001.fastq.gz' AS r2 FROM supplier WHERE s_suppkey % 3 <> 0)
+    """WITH a AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R1_001.fastq.gz' AS r1 FROM supplier WHERE s_acctbal > 0),
+       b AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R2_001.fastq.gz' AS r2 FROM supplier WHERE s_nationkey <> 3)
        SELECT COALESCE(a.sample, b.sample) AS sample, r1, r2 FROM a FULL OUTER JOIN b ON a.sample = b.sample""",
 )
 def _(t):
     k = F.col("s_suppkey")
     reads = lambda n: F.concat(F.lit("S"), k, F.lit(f"_R{n}_001.fastq.gz")).alias(f"r{n}")
-    first = t.supplier.filter(k % 5 != 0).select(k.alias("sample"), reads(1))
-    second = t.supplier.filter(k % 3 != 0).select(k.alias("sample"), reads(2))
+    first = t.supplier.filter("s_acctbal > 0").select(k.alias("sample"), reads(1))
+    second = t.supplier.filter("s_nationkey <> 3").select(k.alias("sample"), reads(2))
     return first.join(second, "sample", "full_outer")
 
 
 @query(
     "JN-17",
-    """WITH a AS (SELECT doc_id, lang AS mrn, NULL AS patient FROM documents WHERE doc_id % 2 = 0),
-       b AS (SELECT doc_id, source AS mrn, lang || '!' AS patient FROM documents WHERE doc_id % 3 = 0)
+    """WITH a AS (SELECT doc_id, lang AS mrn, NULL AS patient FROM documents WHERE lang = 'en'),
+       b AS (SELECT doc_id, source AS mrn, lang || '!' AS patient FROM documents WHERE n_chars > 500)
        SELECT d.doc_id, COALESCE(a.mrn, b.mrn) AS mrn, COALESCE(a.patient, b.patient) AS patient
        FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN b ON b.doc_id = d.doc_id""",
 )
 def _(t):
-    k = F.col("doc_id")
-    a = t.documents.filter(k % 2 == 0).select("doc_id", F.col("lang").alias("mrn"))
-    b = t.documents.filter(k % 3 == 0).select("doc_id", F.col("source").alias("mrn"), F.concat("lang", F.lit("!")).alias("patient"))
+    a = t.documents.filter("lang = 'en'").select("doc_id", F.col("lang").alias("mrn"))
+    b = t.documents.filter("n_chars > 500").select("doc_id", F.col("source").alias("mrn"), F.concat("lang", F.lit("!")).alias("patient"))
     return joins.first_available(t.documents.select("doc_id"), [a, b], "doc_id", ["mrn", "patient"])
 
 

@@ -68,7 +68,26 @@ def _(t):
     return semantic.metric_query(t.orders, orders_model(), ["orders", "revenue"], ["year"], ["o_orderstatus <> 'P'"], ["-revenue"], 3)
 
 
-@query("SEM-05")
+def report_sql():
+    """Rows of each report: patient reports from the patient tables, the rest from the flat reports."""
+    from .clinical import RISK
+    from .safety import FLAT, SIGNALS
+
+    risk = lambda q: f"({RISK} {q})"
+    rows = {
+        "patients": "1",
+        "high_risk": "1",
+        "common_conditions": risk("SELECT COUNT(DISTINCT c) FROM (SELECT unnest(string_split(condition_list, '|')) AS c FROM z WHERE condition_list <> '')"),
+        "demographics": risk("SELECT COUNT(*) FROM (SELECT DISTINCT computed_risk_level, gender FROM z)"),
+        "top_signals": f"({SIGNALS} SELECT COUNT(*) FROM s WHERE signal_status = 'SIGNAL')",
+        "report_count": "1",
+        "risk_by_gender": risk("SELECT COUNT(DISTINCT gender) FROM k"),
+        "most_events": f"({FLAT} SELECT least(10, COUNT(DISTINCT drug_name)) FROM f)",
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS report, ({sql})::BIGINT AS rows" for name, sql in rows.items())
+
+
+@query("SEM-05", report_sql())
 def _(t):
     from .clinical import AS_OF, p360
     from .safety import flat

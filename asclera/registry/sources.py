@@ -123,16 +123,18 @@ def _(t):
     return delimited.read_quoted(t.spark, place, "doc_id bigint, text string")
 
 
-@query("SRC-11", "SELECT c_custkey::VARCHAR AS id, c_name AS family_name FROM customer")
+@query("SRC-11", "SELECT c_custkey::VARCHAR AS id, c_name AS family_name, unnest(['lines', 'bundle']) AS form FROM customer")
 def _(t):
     place = scratch(t)
     resource = F.struct(F.lit("Patient").alias("resourceType"), F.col("c_custkey").cast("string").alias("id"), F.array(F.struct(F.col("c_name").alias("family"))).alias("name"))
-    bundles = t.customer.groupBy((F.col("c_custkey") % 40).alias("file")).agg(
-        F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.collect_list(F.struct(resource.alias("resource"))).alias("entry"))).alias("value")
+    # one resource per line, and bundles of at most 50 resources held in a table
+    t.customer.select(F.to_json(resource).alias("value")).write.text(place)
+    read = landing.read_fhir(t.spark, place, "ndjson").select("resource", F.lit("lines").alias("form"))
+    bundles = t.customer.groupBy(F.floor(F.col("c_custkey") / 50).alias("b")).agg(
+        F.to_json(F.struct(F.lit("Bundle").alias("resourceType"), F.collect_list(F.struct(resource.alias("resource"))).alias("entry"))).alias("bundle")
     )
-    bundles.repartition(8, "file").select("file", "value").write.partitionBy("file").text(place)
-    read = landing.read_fhir(t.spark, place)
-    return fhir.flatten(read, "Patient", source="source_file").select("id", "family_name")
+    held = landing.resources_of(bundles).select("resource", F.lit("bundle").alias("form"))
+    return fhir.flatten(read.unionByName(held), "Patient", source="form").select("id", "family_name", F.col("_source_file").alias("form"))
 
 
 @query("SRC-12", "SELECT COUNT(*) AS landed, SUM((props->>'$.k')::BIGINT)::BIGINT AS total FROM events WHERE event_id % 10 <> 0")
@@ -197,11 +199,11 @@ def _(t):
     "SRC-16",
     """SELECT 'chr' || (p_partkey % 22 + 1) || chr(9) || p_partkey * 10 || chr(9) || 'rs' || p_partkey || chr(9) || 'A' || chr(9) ||
        CASE WHEN p_partkey % 4 = 0 THEN 'C,G' ELSE 'T' END || chr(9) || '50' || chr(9) || 'PASS' || chr(9) || 'DP=' || p_size ||
-       CASE WHEN p_partkey % 3 = 0 THEN ';CLNSIG=Benign' ELSE '' END AS value FROM part""",
+       CASE WHEN known THEN ';CLNSIG=Benign' ELSE '' END AS value FROM (SELECT *, ('chr' || (p_partkey % 22 + 1) || ':' || p_partkey * 10 || ':' || CASE WHEN p_partkey % 4 = 0 THEN 'C,G' ELSE 'T' END) IN (SELECT 'chr' || (p_partkey % 22 + 1) || ':' || p_partkey * 10 || ':' || CASE WHEN p_partkey % 4 = 0 THEN 'C,G' ELSE 'T' END FROM part WHERE p_type = 'SMALL') AS known FROM part)""",
 )
 def _(t):
     rows = variants.parse_lines(vcf_rows(t))
-    known = vcf_rows(t).filter("line_no % 3 = 0")
+    known = vcf_rows(t).join(t.part.filter("p_type = 'SMALL'").select(F.col("p_partkey").alias("line_no")), "line_no", "left_semi")
     reference = variants.parse_lines(known).withColumn("info", F.lit("CLNSIG=Benign"))
     none = variants.frequency_reference(rows.limit(0))
     annotated = variants.annotate(rows, variants.significance_reference(reference), none).withColumn("file", F.lit("a"))

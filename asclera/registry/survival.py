@@ -24,11 +24,11 @@ def subjects(t):
 
 
 def arms(t):
-    """Patients with enrolment, arm and a death date for half of them."""
+    """Patients with enrolment, arm and a death date for those whose order is closed."""
     people = t.orders.select(
         F.col("o_orderkey").alias("patient_id"), F.col("o_orderdate").cast("date").alias("enrollment_date"), F.col("o_orderpriority").alias("treatment_arm")
     )
-    deaths = t.orders.filter("o_orderkey % 2 = 0").select(
+    deaths = t.orders.filter("o_orderstatus = 'F'").select(
         F.col("o_orderkey").alias("patient_id"), F.date_add(F.col("o_orderdate").cast("date"), (F.col("o_custkey") % 400).cast("int")).alias("death_date")
     )
     return people, deaths
@@ -47,8 +47,8 @@ GROUPED = S + K.format(g="segment,", p="PARTITION BY segment")
 
 @query(
     "SV-01",
-    """SELECT o_orderkey AS patient_id, o_orderpriority AS treatment_arm, (CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 400 ELSE DATE '1999-01-01' - o_orderdate::DATE END)::BIGINT AS survival_days,
-       (o_orderkey % 2 = 0)::BIGINT AS death_event FROM orders""",
+    """SELECT o_orderkey AS patient_id, o_orderpriority AS treatment_arm, (CASE WHEN o_orderstatus = 'F' THEN o_custkey % 400 ELSE DATE '1999-01-01' - o_orderdate::DATE END)::BIGINT AS survival_days,
+       (o_orderstatus = 'F')::BIGINT AS death_event FROM orders""",
 )
 def _(t):
     people, deaths = arms(t)
