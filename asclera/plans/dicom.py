@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import aggregates
+from ..operators import aggregates, partitions
 
 # Tag of each column of the five entity tables.
 ENTITIES = {
@@ -89,16 +89,21 @@ STUDY_COLUMNS = {
 REQUIRED_TAGS = ["study_uid", "series_uid", "sop_instance_uid", "patient_id", "modality", "study_date"]
 
 
+def parse(raw: DataFrame, json: str) -> DataFrame:
+    """Metadata parsed once per row into the column ``_value``; bad JSON gives NULL."""
+    return partitions.spread(raw).withColumn("_value", F.try_parse_json(F.col(json)))
+
+
 def entities(metadata: DataFrame, json: str = "metadata", path: str = "file_path") -> dict[str, DataFrame]:
     """Five entity tables from exported metadata, one JSON object per file.
 
     Entities keep the record of the first file by path; instances keep every file.
     """
-    value = F.try_parse_json(F.col(json))
+    parsed = parse(metadata, json)
     out = {}
     for name, tags in ENTITIES.items():
-        rows = metadata.select(
-            *[F.try_variant_get(value, f"$.{tag}", "string").alias(c) for c, tag in tags.items()], F.col(path).alias("file_path")
+        rows = parsed.select(
+            *[F.try_variant_get("_value", f"$.{tag}", "string").alias(c) for c, tag in tags.items()], F.col(path).alias("file_path")
         )
         if name == "instance":
             out[name] = rows
@@ -116,8 +121,9 @@ def entities(metadata: DataFrame, json: str = "metadata", path: str = "file_path
 
 def study_table(raw: DataFrame, json: str = "metadata", keep: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Flat study rows with typed columns."""
-    value = F.try_parse_json(F.col(json))
-    return raw.select(*[F.try_variant_get(value, f"$.{tag}", kind).alias(c) for c, (tag, kind) in STUDY_COLUMNS.items()], *keep)
+    return parse(raw, json).select(
+        *[F.try_variant_get("_value", f"$.{tag}", kind).alias(c) for c, (tag, kind) in STUDY_COLUMNS.items()], *keep
+    )
 
 
 def ingestion_summary(studies: DataFrame) -> DataFrame:

@@ -248,5 +248,5 @@ def bundle_summary(resources: DataFrame, json: str = "resource") -> DataFrame:
 
 def typed_view(raw: DataFrame, json: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """A typed view over raw JSON: column -> (path, type), NULL where the value does not fit."""
-    value = F.try_parse_json(F.col(json))
-    return raw.select("*", *[F.try_variant_get(value, path, kind).alias(c) for c, (path, kind) in fields.items()])
+    parsed = raw.withColumn("_value", F.try_parse_json(F.col(json)))
+    return parsed.select(*raw.columns, *[F.try_variant_get("_value", path, kind).alias(c) for c, (path, kind) in fields.items()])

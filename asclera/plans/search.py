@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
@@ -86,6 +86,37 @@ def search(
     return best.filter("score > 0").select(key, *columns, "score")
 
 
+def build_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 256) -> str:
+    """Store word counts per document by word bucket, so that later queries read few files.
+
+    Rows of a bucket are dealt out by document as well, since a frequent word may
+    hold a large share of all rows.
+    """
+    sized = partitions.spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("_x"))).select("doc", tx.words("_x").alias("_t"))
+    rows = sized.select("doc", F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
+    counts = rows.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+    placed = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    dealt = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(16)))
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/words")
+    sized.agg(F.count("*").alias("total"), F.avg(F.size("_t")).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    return path
+
+
+def search_index(spark: SparkSession, path: str, query: str, n: int = 10) -> DataFrame:
+    """Best documents for a query from a stored index; only the buckets of its words are read."""
+    terms = query_terms(query)
+    stats = spark.read.parquet(f"{path}/stats")
+    total, mean, buckets = stats.first()
+    # constant expressions, folded before the files are chosen
+    places = [F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]
+    in_bucket = reduce(lambda a, b: a | b, places, F.lit(False))
+    hits = spark.read.parquet(f"{path}/words").filter(in_bucket & F.col("term").isin(terms))
+    found = joins.small(hits.groupBy("term").agg(F.count("*").alias("df")))
+    part = _idf(F.lit(total), F.col("df")) * _weight(F.col("tf"), F.col("length"), F.lit(mean))
+    scored = hits.join(found, "term").withColumn("_s", part).groupBy("doc").agg(F.sum("_s").alias("score"))
+    return scored.orderBy(F.desc("score"), "doc").limit(n)
+
+
 def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
     """Best documents for each query of a table.
 

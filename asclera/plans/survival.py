@@ -210,7 +210,8 @@ def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps:
     """
     x, p = list(covariates), len(covariates)
     means = df.agg(*[F.avg(c).alias(c) for c in x]).first()
-    centred = df.select(F.col(time), F.col(event), *[(F.col(c) - F.lit(float(means[c]))).alias(c) for c in x])
+    # every step reads the same narrow rows, so they are kept for the fit
+    centred = df.select(F.col(time), F.col(event), *[(F.col(c) - F.lit(float(means[c]))).alias(c) for c in x]).persist()
     beta = np.zeros(p)
     for _ in range(steps):
         m = _cox_moments(centred, time, event, x, beta)
@@ -231,6 +232,7 @@ def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps:
         if np.max(np.abs(step)) < tolerance:
             break
         beta = beta + step
+    centred.unpersist()
     return {"covariates": x, "beta": beta, "covariance": np.linalg.inv(info), "log_likelihood": loglik, "means": [float(means[c]) for c in x]}
 
 

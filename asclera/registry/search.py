@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import neighbors
 from ..plans import search
 from . import query
+from .sources import scratch
 
 TOKENS = """WITH tk AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
     dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n FROM documents), st AS (SELECT COUNT(*) AS total, AVG(n) AS mean FROM dl),
@@ -35,6 +36,16 @@ def _(t):
     return out.withColumn("score", F.round("score", 6))
 
 
+@query(
+    "SE-03-index",
+    TOKENS + """SELECT doc_id, ROUND(SUM(s), 6) AS score FROM sc WHERE term IN ('data', 'system', 'model') GROUP BY ALL ORDER BY SUM(s) DESC, doc_id LIMIT 15""",
+)
+def _(t):
+    place = search.build_index(t.documents, "doc_id", "text", scratch(t), buckets=8)
+    out = search.search_index(t.spark, place, "data system model", 15)
+    return out.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query(
     "SE-04",
     TOKENS + """, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),

@@ -64,8 +64,8 @@ def write_batch(df: DataFrame, batch: int, path: str) -> None:
 
 def flatten_new(raw: DataFrame, json: str, fields: dict[str, tuple[str, str]], path: str, checkpoint: str, keep: Sequence[str] = ()) -> StreamingQuery:
     """Typed columns of new raw rows appended to a table."""
-    value = F.try_parse_json(F.col(json))
-    typed = raw.select(*keep, *[F.try_variant_get(value, p, kind).alias(c) for c, (p, kind) in fields.items()])
+    parsed = raw.withColumn("_value", F.try_parse_json(F.col(json)))
+    typed = parsed.select(*keep, *[F.try_variant_get("_value", p, kind).alias(c) for c, (p, kind) in fields.items()])
     return append_to(typed, path, checkpoint)
 
 
