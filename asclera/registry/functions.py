@@ -355,12 +355,12 @@ def _(t):
 @query(
     "UD-03",
     """SELECT term, label, SUM(n)::BIGINT AS mentions, SUM((n > 0)::INT)::BIGINT AS documents FROM (SELECT t AS term, l AS label, len(regexp_extract_all(lower(text), '\\b' || t || '\\b')) AS n
-       FROM documents, (VALUES ('the', 'WORD'), ('data', 'TOPIC')) v(t, l)) GROUP BY ALL HAVING SUM(n) > 0""",
+       FROM documents, (VALUES ('the', 'WORD'), ('with', 'TOPIC')) v(t, l)) GROUP BY ALL HAVING SUM(n) > 0""",
 )
 def _(t):
     from ..plans import notes
 
-    return notes.targets(t.documents, "doc_id", "text", {"the": "WORD", "data": "TOPIC"}).groupBy("term", "label").agg(
+    return notes.targets(t.documents, "doc_id", "text", {"the": "WORD", "with": "TOPIC"}).groupBy("term", "label").agg(
         F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("documents")
     )
 

@@ -50,9 +50,9 @@ def _(t):
     return t.part.filter(claims.any_code(["p_type", "p_brand"], ["S", "PRO"])).select("p_partkey")
 
 
-@query("PRJ-05", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%PART 1%' OR p_name ILIKE '%green%'")
+@query("PRJ-05", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RING%' OR p_name ILIKE '%Blue%'")
 def _(t):
-    return t.part.filter(F.col("p_name").ilike("%PART 1%") | F.col("p_name").ilike("%green%")).select("p_partkey", "p_name")
+    return t.part.filter(F.col("p_name").ilike("%RING%") | F.col("p_name").ilike("%Blue%")).select("p_partkey", "p_name")
 
 
 @query(
@@ -78,7 +78,8 @@ def _(t):
 
 @query(
     "PRJ-08",
-    """SELECT doc_id,
+    """WITH d AS (SELECT doc_id, text || CASE lang WHEN 'en' THEN ' Blood pressure and DIABETES' WHEN 'fr' THEN ' glucose, asthma' WHEN 'de' THEN ' bmi tumor' ELSE ' Heart rate; heart' END AS text FROM documents)
+       SELECT doc_id,
        CASE WHEN text ILIKE '%blood pressure%' THEN 'Vitals' WHEN text ILIKE '%heart rate%' THEN 'Vitals'
             WHEN text ILIKE '%glucose%' OR text ILIKE '%hemoglobin%' THEN 'Labs'
             WHEN text ILIKE '%cholesterol%' OR text ILIKE '%triglyceride%' THEN 'Labs'
@@ -88,15 +89,18 @@ def _(t):
             WHEN text ILIKE '%asthma%' OR text ILIKE '%COPD%' THEN 'Respiratory'
             WHEN text ILIKE '%depression%' OR text ILIKE '%anxiety%' THEN 'Behavioral'
             WHEN text ILIKE '%cancer%' OR text ILIKE '%tumor%' THEN 'Oncology' ELSE 'Other' END AS condition_class
-       FROM documents""",
+       FROM d""",
 )
 def _(t):
     from ..plans import patients
 
+    lang = F.col("lang")
+    said = F.when(lang == "en", " Blood pressure and DIABETES").when(lang == "fr", " glucose, asthma").when(lang == "de", " bmi tumor").otherwise(" Heart rate; heart")
+    body = F.concat("text", said)
     return t.documents.select(
         "doc_id",
-        text.keyword_class("text", patients.OBSERVATION_CLASSES).alias("observation_class"),
-        text.keyword_class("text", patients.CONDITION_CLASSES).alias("condition_class"),
+        text.keyword_class(body, patients.OBSERVATION_CLASSES).alias("observation_class"),
+        text.keyword_class(body, patients.CONDITION_CLASSES).alias("condition_class"),
     )
 
 
@@ -185,11 +189,11 @@ def _(t):
     return kept.select("cell_id", "n_genes", F.round("pct_mt", 4).alias("pct_mt"))
 
 
-@query("PRJ-14", "SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_name ILIKE '%a'")
+@query("PRJ-14", "SELECT n_name, n_regionkey::BIGINT AS n_regionkey FROM nation WHERE n_name ILIKE 'nation%1%'")
 def _(t):
     from ..plans import clinical_docs
 
-    return clinical_docs.optional(t.nation, {"n_name": "%a", "n_regionkey": None}).select("n_name", "n_regionkey")
+    return clinical_docs.optional(t.nation, {"n_name": "nation%1%", "n_regionkey": None}).select("n_name", "n_regionkey")
 
 
 @query(

@@ -28,21 +28,21 @@ def _(t):
 
 @query(
     "SE-03",
-    TOKENS + """SELECT doc_id, lang, ROUND(SUM(s), 6) AS score FROM sc JOIN documents USING (doc_id) WHERE term IN ('data', 'system', 'model') AND lang = 'en'
-       GROUP BY ALL ORDER BY SUM(s) DESC, doc_id LIMIT 15""",
+    TOKENS + """SELECT doc_id, lang, ROUND(SUM(s), 6) AS score FROM sc JOIN documents USING (doc_id) WHERE term IN ('with', 'from', 'rewh') AND lang = 'en'
+       GROUP BY ALL ORDER BY ROUND(SUM(s), 9) DESC, doc_id LIMIT 15""",
 )
 def _(t):
-    out = search.search(t.documents, "doc_id", "text", "Data system MODEL", ["lang"], {"lang": "en"}, 15)
+    out = search.search(t.documents, "doc_id", "text", "With from REWH", ["lang"], {"lang": "en"}, 15)
     return out.withColumn("score", F.round("score", 6))
 
 
 @query(
     "SE-03-index",
-    TOKENS + """SELECT doc_id, ROUND(SUM(s), 6) AS score FROM sc WHERE term IN ('data', 'system', 'model') GROUP BY ALL ORDER BY SUM(s) DESC, doc_id LIMIT 15""",
+    TOKENS + """SELECT doc_id, ROUND(SUM(s), 6) AS score FROM sc WHERE term IN ('with', 'from', 'rewh') GROUP BY ALL ORDER BY ROUND(SUM(s), 9) DESC, doc_id LIMIT 15""",
 )
 def _(t):
     place = search.build_index(t.documents, "doc_id", "text", scratch(t), buckets=8)
-    out = search.search_index(t.spark, place, "data system model", 15)
+    out = search.search_index(t.spark, place, "with from rewh", 15)
     return out.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
@@ -72,30 +72,30 @@ def _(t):
 @query(
     "SE-06",
     TOKENS + """SELECT o_orderpriority AS code, COUNT(DISTINCT o_custkey) AS members, ANY_VALUE(d)::BIGINT AS documents FROM orders JOIN (VALUES
-       ('1-URGENT', (SELECT COUNT(*) FROM (SELECT doc_id FROM tf WHERE term IN ('data', 'model') GROUP BY 1 HAVING COUNT(*) = 2))),
-       ('2-HIGH', (SELECT COUNT(*) FROM tf WHERE term = 'system'))) v(p, d) ON p = o_orderpriority GROUP BY 1""",
+       ('1-URGENT', (SELECT COUNT(*) FROM (SELECT doc_id FROM tf WHERE term IN ('from', 'rewh') GROUP BY 1 HAVING COUNT(*) = 2))),
+       ('2-HIGH', (SELECT COUNT(*) FROM tf WHERE term = 'with'))) v(p, d) ON p = o_orderpriority GROUP BY 1""",
 )
 def _(t):
     cohort = t.orders.select(F.col("o_orderpriority").alias("code"), "o_custkey")
-    return search.cohort_evidence(cohort, "code", "o_custkey", t.documents, "doc_id", "text", {"1-URGENT": "data model", "2-HIGH": "system"})
+    return search.cohort_evidence(cohort, "code", "o_custkey", t.documents, "doc_id", "text", {"1-URGENT": "from rewh", "2-HIGH": "with"})
 
 
 @query(
     "SE-07",
-    TOKENS + """SELECT q AS query, least(3, (SELECT COUNT(*) FROM tf WHERE term = q)) AS result_count, (SELECT COUNT(*) FROM tf WHERE term = q) > 0 AS has_results FROM (VALUES ('test'), ('example'), ('recent')) v(q)""",
+    TOKENS + """SELECT q AS query, least(3, (SELECT COUNT(*) FROM tf WHERE term = q)) AS result_count, (SELECT COUNT(*) FROM tf WHERE term = q) > 0 AS has_results FROM (VALUES ('the'), ('rewh'), ('recent')) v(q)""",
 )
 def _(t):
-    return search.probe(["test", "example", "recent"], t.documents, "doc_id", "text")
+    return search.probe(["the", "rewh", "recent"], t.documents, "doc_id", "text")
 
 
 @query(
     "SE-08",
-    TOKENS + """SELECT doc_id, source, ROUND(SUM(s), 6) AS score FROM sc JOIN documents USING (doc_id) WHERE term IN ('data') AND lang IN ('en', 'de') AND source = (SELECT MIN(source) FROM documents)
-       GROUP BY ALL ORDER BY SUM(s) DESC, doc_id LIMIT 10""",
+    TOKENS + """SELECT doc_id, source, ROUND(SUM(s), 6) AS score FROM sc JOIN documents USING (doc_id) WHERE term IN ('from', 'der') AND lang IN ('en', 'de') AND source = (SELECT MIN(source) FROM documents)
+       GROUP BY ALL ORDER BY ROUND(SUM(s), 9) DESC, doc_id LIMIT 10""",
 )
 def _(t):
     first = t.documents.agg(F.min("source")).first()[0]
-    out = search.search(t.documents, "doc_id", "text", "data", ["source"], {"lang": ["en", "de"], "source": first}, 10)
+    out = search.search(t.documents, "doc_id", "text", "from der", ["source"], {"lang": ["en", "de"], "source": first}, 10)
     return out.withColumn("score", F.round("score", 6))
 
 

@@ -29,17 +29,21 @@ def _(t):
     return files.scan_files(t.spark, t.folder, "*.parquet").select("name", "size_bytes", "file_type")
 
 
-EXT = "CASE WHEN contains({c}, '.') THEN lower(list_last(string_split({c}, '.'))) ELSE '' END"
+ENDINGS = [".parquet", ".CSV", ".json", ".jsonl", ".pdf", ".docx", ".Doc", ".txt", ".xml", ".avro", ".orc", ".md", "", ".zip"]
+
+
+def named_pages(t):
+    """File names: the page address, cleaned, with one of the endings."""
+    stem = F.regexp_replace("url", "[^a-z0-9/]", "_")
+    return t.pages.select("page_id", F.concat(stem, F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))).alias("name"))
 
 
 @query(
     "SRC-02",
-    f"""WITH u AS (SELECT page_id, url, {EXT.format(c='url')} AS e FROM pages)
-       SELECT page_id, CASE WHEN e IN ('parquet','csv','json','pdf','docx','txt','xml','avro','orc') THEN e WHEN e = 'jsonl' THEN 'json'
-       WHEN e = 'doc' THEN 'docx' ELSE 'unknown' END AS file_type FROM u""",
+    f"""SELECT page_id, ['parquet', 'csv', 'json', 'json', 'pdf', 'docx', 'docx', 'txt', 'xml', 'avro', 'orc', 'unknown', 'unknown', 'unknown'][page_id % {len(ENDINGS)} + 1] AS file_type FROM pages""",
 )
 def _(t):
-    return t.pages.select("page_id", text.file_type("url").alias("file_type"))
+    return named_pages(t).select("page_id", text.file_type("name").alias("file_type"))
 
 
 @query("SRC-03")
