@@ -34,10 +34,10 @@ def _(t):
 
 @query(
     "AG-03",
-    "SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS flags FROM lineitem WHERE l_quantity > 45 GROUP BY 1",
+    "SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_returnflag)), '|') AS flags FROM lineitem GROUP BY 1",
 )
 def _(t):
-    return t.lineitem.filter("l_quantity > 45").groupBy("l_suppkey").agg(ag.sorted_set("l_returnflag").alias("flags"))
+    return t.lineitem.groupBy("l_orderkey").agg(ag.sorted_set("l_returnflag").alias("flags"))
 
 
 @query(

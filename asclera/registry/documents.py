@@ -435,12 +435,18 @@ def _(t):
     return t.part.groupBy(notes.entity_group(label).alias("entity_group")).agg(F.count("*").alias("n"))
 
 
+@query("TX-06", "SELECT o_orderkey, 'E11.' || (o_orderkey % 10) AS codes FROM orders")
+def _(t):
+    return clinic(t).select("o_orderkey", notes.icd_codes("note").alias("codes"))
+
+
 @query(
-    "TX-06",
-    r"""SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Z]\d{2}(?:\.\d{1,4})?'), '|') AS codes FROM documents""",
+    "TX-06-documents",
+    r"""SELECT len(regexp_extract_all(text, '[A-Z]\d{2}(?:\.\d{1,4})?')) AS codes, COUNT(*) AS documents FROM documents GROUP BY 1""",
 )
 def _(t):
-    return t.documents.select("doc_id", notes.icd_codes("text").alias("codes"))
+    found = t.documents.select(F.size(notes.icd_codes("text")).alias("codes"))
+    return found.groupBy("codes").agg(F.count("*").alias("documents"))
 
 
 @query(
