@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import simhash
+from . import decontaminate, licenses, pieces, simhash
 from .common import table
 
+#: The path of the tokenizer's model file; a session may set another.
+PIECES = "spark.asclera.pieces"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -30,3 +33,42 @@ def query(name: str, sql: str | None = None):
 @query("op2_simhash")
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), shingle=3)
+
+
+@query("op3_decontamination", """
+with d as (
+  select doc_id, row_number() over () as k, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+win as (
+  select item_id, least(10, len(w)) as size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as words
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
+sizes as (select distinct size from win),
+runs as (
+  select k, size, i, array_to_string(w[i:i + size - 1], ' ') as words
+  from (select k, w, size, unnest(range(1, len(w) - size + 2)) as i from d, sizes where len(w) >= size)),
+hit as (select distinct runs.k, runs.size, runs.i, win.item_id from runs join win using (size, words)),
+places as (select k, count(distinct p) as n_hit from (select k, unnest(range(i, i + size)) as p from hit) group by k),
+items as (select k, count(*) as n_items, string_agg(item, ',' order by item) as l from (select distinct k, cast(item_id as varchar) as item from hit) group by k)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(l, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join places using (k) left join items using (k)""")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def model_path(spark: SparkSession) -> str:
+    if set_path := spark.conf.get(PIECES, None):
+        return set_path
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op4_pieces")
+def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digests(pieces.round_trip(table(spark, folder, "documents"), model_path(spark)))
+
+
+@query("op6_licenses")
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.labels(table(spark, folder, "documents"))
