@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, licenses, pieces, simhash
-from .common import table
+from . import decontaminate, licenses, pieces, quality, simhash, toxicity
+from .common import remainder, table
 
 #: The path of the tokenizer's model file; a session may set another.
 PIECES = "spark.asclera.pieces"
@@ -72,3 +73,21 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_licenses")
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.labels(table(spark, folder, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels, remainder("doc_id", 5) != 0)
+    return toxicity.judge(docs, model, out="t").select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "t.score", "t.predicted", F.size("t.passages").alias("n_passages")
+    )
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = quality.fit(docs, labels, remainder("doc_id", 3) != 1)
+    return quality.judge(docs, model, out="q").select(
+        "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "q.score", "q.predicted"
+    )
