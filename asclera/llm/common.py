@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,10 +24,24 @@ def text_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL: list[str] = []
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; in a session without one (tests), the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/asclera"
+    """The folder of spark.checkpoint.dir, which all executors reach.
+
+    A local session without the setting (tests) gets a folder that goes when the
+    program ends; on a cluster the setting is required.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="asclera-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
@@ -32,9 +49,19 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``stored`` wrote; call it when their results have been written."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -354,12 +354,15 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "c
     return docs.withColumn(out, arrow_column(run, "struct<ids:array<int>,decoded:string>")(text_col))
 
 
-def digests(coded: DataFrame, id_col: str = "doc_id", out: str = "coded") -> DataFrame:
-    """Counts and SHA-256 digests of a round trip."""
-    ids = F.array_join(F.col(out).ids.cast("array<string>"), " ")
+def digests(coded: DataFrame, id_col: str = "doc_id", out: str = "coded", ids: str | None = None) -> DataFrame:
+    """Counts and SHA-256 digests of a round trip; with ``ids`` also the joined ids under that name."""
+    joined = F.array_join(F.col(out).ids.cast("array<string>"), " ")
     return coded.select(
-        id_col,
+        F.col(id_col),
         F.size(F.col(out).ids).cast("bigint").alias("n_tokens"),
-        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        joined.alias("_joined"),
         F.sha2(F.col(out).decoded.cast("binary"), 256).alias("decoded_sha256"),
-    )
+    ).select(
+        id_col, "n_tokens", F.sha2(F.col("_joined").cast("binary"), 256).alias("ids_sha256"), "decoded_sha256",
+        *([F.col("_joined").alias(ids)] if ids else []),
+    )

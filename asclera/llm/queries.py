@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, licenses, pieces, quality, simhash, toxicity
+from . import decontaminate, language, licenses, pieces, quality, sharding, simhash, toxicity, urls, vectors
 from .common import remainder, table
 
 #: The path of the tokenizer's model file; a session may set another.
@@ -91,3 +91,55 @@ def op5_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, model, out="q").select(
         "doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "q.score", "q.predicted"
     )
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs, remainder("doc_id", 4) != 2)
+    return language.judge(docs, model, out="l").select(
+        "doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(True)).alias("held_out"), F.col("l.lang").alias("lang_pred"), "l.score", "l.rejected"
+    )
+
+
+_RULES = ", ".join(f"('{rule}', '{verdict}', {len(rule)})" for rule, verdict in urls.RULES)
+_BLOCKED = ", ".join(f"('{domain}')" for domain in urls.BLOCKED)
+
+
+@query("op8_urls", f"""
+with u as (select page_id, row_number() over () as k, case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end as rest from pages),
+p as (
+  select page_id, k, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+rules(rule, verdict, size) as (values {_RULES}),
+fit as (
+  select k, arg_max(rule, size) as rule, arg_max(verdict, size) as verdict from p, rules
+  where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1))) and starts_with(path, substr(rule, position('/' in rule)))
+  group by k),
+blocked(domain) as (values {_BLOCKED}),
+bad as (select distinct k from p, blocked where host = domain or ends_with(host, '.' || domain))
+select page_id, host, path, rule, coalesce(verdict, case when bad.k is null then 'allow' else 'block' end) as verdict
+from p left join fit using (k) left join bad using (k)""")
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(table(spark, folder, "documents"), 24)
+
+
+@query("op10_vectors", """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+ok as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v
+  where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(e, lambda x: x * x)) > 0),
+pair as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(id, other) as (select vec_id, vec_id from ok union select reach.id, pair.b from reach join pair on reach.other = pair.a),
+least as (select id, min(other) as component_id from reach group by id),
+many as (select a, count(*) as n from pair group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, coalesce(component_id, vec_id) = vec_id as kept
+from v left join many on many.a = vec_id left join least on least.id = vec_id""")
+def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))

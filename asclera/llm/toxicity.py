@@ -35,7 +35,7 @@ class Settings:
     per_class: int = 8000  # labelled documents of each class that are learned from
     most_terms: int = 50_000  # size of the lexicon
     prior: float = 0.1  # weight of the Dirichlet prior, as a share of all counts
-    least_z: float = 3.5  # significance of a token's log-odds
+    least_z: float = 2.8  # significance of a token's log-odds
     least_odds: float = 1.5  # words that merely mark a language or a topic stay below
     penalty: float = 0.15  # score of every other token, negated
     expected: float = 0.05  # a segment is significant if ordinary text holds fewer

@@ -1,24 +1,81 @@
-"""The corpus pipeline: documents in, encoded documents out."""
+"""The corpus pipeline: from documents to encoded training documents.
+
+Every stage works on all rows that the one before kept. The columns a stage adds for
+itself are gone from what it returns, whatever other columns the documents have.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asclera.llm import simhash
+from asclera.llm import decontaminate, language, pieces, quality, simhash
+from asclera.llm.common import remainder, stored, table
+from asclera.llm.queries import model_path
 
+#: Models and fingerprints have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id is not in ``gone``; null ids stay, rows of one id go together."""
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
+    out = _unused(docs, "quality")
+    return quality.judge(docs, model, out=out).filter(F.col(out).predicted == 1).drop(out)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows."""
+    model = language.fit(docs, remainder("doc_id", 4) != 2)
+    out = _unused(docs, "language")
+    return language.judge(docs, model, out=out).filter(~F.col(out).rejected).drop(out)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    return docs.join(found.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    """Of every group of linked fingerprints the document with the smallest id."""
+    found = simhash.near_duplicates(docs, shingle=3)
+    return _without(docs, found.filter("doc_id <> component_id"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.filter("contaminated"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, the ids of the text joined by blanks, their number, and digests of ids and decoded text."""
+    out = _unused(docs, "coded")
+    coded = pieces.round_trip(docs, model_path(spark), out=out)
+    return pieces.digests(coded, out=out, ids="ids")
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("SimHash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("SentencePiece encoding and decoding", encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for number, (_name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES) - 1:
+            docs = stored(docs, "stage")
     return docs
