@@ -30,7 +30,7 @@ UNKNOWN = "und"
 class Settings:
     most_grams: int = 600_000  # size of the model, over all languages
     most_languages: int = 400
-    calibration: int = 4000  # learned documents on which rejection is calibrated
+    calibration: int = 4000  # documents set apart on which rejection is calibrated
     slack: float = 1.5  # how far beyond the worst of them a text may lie
     confident: int = 40  # characters that count in the score
 
@@ -64,15 +64,15 @@ def texts_of(column: pa.Array) -> list[list[str]]:
     return [WORD.findall((b or b"").decode("utf-8", "replace").lower()) for b in column.cast(pa.binary()).to_pylist()]
 
 
-def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """lang, gram, n: every run of five characters of all given documents."""
+def count_grams(docs: DataFrame, text_col: str, lang_col: str, apart: Column) -> DataFrame:
+    """lang, gram, n, n_rest: every run of five characters of all given documents, and of those not set apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: dict[str, Counter] = {}
-            for lang, words in zip(batch.column(1).to_pylist(), texts_of(batch.column(0))):
-                counts.setdefault(lang, Counter()).update(words)
-            for lang, counter in counts.items():
+            counts: dict[tuple[str, bool], Counter] = {}
+            for lang, aside, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts_of(batch.column(0))):
+                counts.setdefault((lang, aside), Counter()).update(words)
+            for (lang, aside), counter in counts.items():
                 if not counter:
                     continue
                 codes, many = windows(list(counter))
@@ -81,11 +81,13 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 grams = np.ascontiguousarray(codes[first]).view(f"<U{ORDER}").ravel().tolist()
                 n = np.bincount(where, weight).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), pa.array(grams, pa.string()), pa.array(n)], ["lang", "gram", "n"]
+                    [pa.array([lang] * len(n), pa.string()), pa.array(grams, pa.string()), pa.array(n), pa.array(n * (not aside))],
+                    ["lang", "gram", "n", "n_rest"],
                 )
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return rows.mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), apart.alias("apart"))
+    counted = rows.mapInArrow(run, "lang string, gram string, n bigint, n_rest bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rest").alias("n_rest"))
 
 
 def _bounded(counts: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
@@ -201,7 +203,7 @@ def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], conf
                 _, first, n_left = np.unique(hashed(codes[:, 1:]), return_index=True, return_counts=True)
                 codes, counts = codes[:, 1:][first], n_left.astype(np.float64)
     levels: list[Level] = []
-    unseen = np.log(np.array([o[3][0] / letters for o in orders[0]]))
+    unseen = np.full(size, -np.log(letters))  # the back-off of the lowest order is added on the way
     for n in range(1, ORDER + 1):
         union, first = np.unique(np.concatenate([hashed(o[0]) for o in orders[n - 1]]), return_index=True)
         codes = np.concatenate([o[0] for o in orders[n - 1]])[first]
@@ -222,29 +224,43 @@ def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], conf
     return Model(languages, levels, unseen.astype(np.float32), confident=confident)
 
 
+def _characters(counts: pa.Table, languages: list[str], column: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(characters of five, counts) of every language, without runs that do not occur."""
+    out = []
+    for lang in languages:
+        part = counts.filter(pa.compute.and_(pa.compute.equal(counts["lang"], lang), pa.compute.greater(counts[column], 0))).sort_by("gram")
+        codes = np.array(part["gram"].to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
+        out.append((codes, part[column].to_numpy().astype(np.float64)))
+    return out
+
+
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """Count all documents that ``learn`` marks and whose language is not null.
 
     Counting covers every such text; only the size of the finished model is bounded,
-    by leaving out its rarest runs. With nothing to learn from, no language is known.
+    by leaving out its rarest runs. One learnable id in eight is set apart: a model of
+    the other seven says how far texts it has not seen lie from its own, which
+    calibrates rejection; the finished model counts all eight. With nothing to learn
+    from, no language is known.
     """
     spark = text_session(docs.sparkSession)
     known = docs.filter(learn & F.col(lang_col).isNotNull())
-    counts = stored(count_grams(known, text_col, lang_col), "grams")
+    place = F.xxhash64(F.col(id_col).cast("string"))
+    apart = F.pmod(place, F.lit(8)) == 0
+    counts = stored(count_grams(known, text_col, lang_col, apart), "grams")
     chosen, languages = _bounded(counts, settings)
     table = chosen.toArrow()
-    grams = []
-    for lang in languages:
-        part = table.filter(pa.compute.equal(table["lang"], lang)).sort_by("gram")
-        codes = np.array(part["gram"].to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
-        grams.append((codes, part["n"].to_numpy().astype(np.float64)))
-    model = build(languages, grams, settings.confident)
-    if not languages:
+    model = build(languages, _characters(table, languages, "n"), settings.confident)
+    model.mean, model.reach = np.zeros(len(languages)), np.full(len(languages), np.inf)
+    rest = [k for k, (codes, _) in enumerate(_characters(table, languages, "n_rest")) if len(codes)]
+    if not rest:
         return model
 
-    ids = known.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(settings.calibration)
+    names = [languages[k] for k in rest]
+    others = build(names, _characters(table, names, "n_rest"), settings.confident)
+    ids = known.filter(apart).select(id_col).distinct().orderBy(place, id_col).limit(settings.calibration)
     sample = docs.join(F.broadcast(ids), id_col).select(F.col(text_col).cast("string").alias("text"))
-    handle = spark.sparkContext.broadcast(model)
+    handle = spark.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,12 +272,18 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
 
     judged = sample.mapInArrow(run, "lang bigint, entropy double, chars bigint").filter("chars > 0").toArrow()
     lang, entropy, chars = (judged[c].to_numpy() for c in ("lang", "entropy", "chars"))
-    model.mean, model.reach = np.zeros(len(languages)), np.full(len(languages), np.inf)
-    for k in range(len(languages)):
-        own = lang == k
-        if own.sum() >= 30:  # too few say nothing about the tail: reject nothing
+    # few texts of a language say little about its tail, so its reach is that of the widest language
+    farthest = np.full(len(rest), np.nan)
+    for i, k in enumerate(rest):
+        own = lang == i
+        if own.any():
             model.mean[k] = np.average(entropy[own], weights=chars[own])
-            model.reach[k] = settings.slack * max(0.0, ((entropy[own] - model.mean[k]) * _weight(chars[own])).max())
+            farthest[i] = ((entropy[own] - model.mean[k]) * _weight(chars[own])).max()
+    if np.isfinite(farthest).any():
+        widest = settings.slack * max(0.0, float(np.nanmax(farthest)))
+        for i, k in enumerate(rest):
+            if np.isfinite(farthest[i]):
+                model.reach[k] = widest
     return model
 
 
