@@ -102,8 +102,8 @@ def search_column(df: DataFrame) -> str | None:
     return max(texts, key=len) if texts else None
 
 
-def attribute_columns(df: DataFrame, search: str, wanted: list[str] | None = None, most: int = 5) -> list[str]:
-    """Wanted columns that exist, else up to ``most`` other text columns."""
+def attribute_columns(df: DataFrame, search: str, wanted: list[str] | None = None, most: int | None = None) -> list[str]:
+    """Wanted columns that exist, else the other text columns (up to ``most`` if given)."""
     have = {c.upper() for c in df.columns}
     if search.upper() not in have:
         raise ValueError(f"search column {search} not found")

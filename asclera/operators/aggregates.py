@@ -104,8 +104,8 @@ def per_column(
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
-def column_statistics(df: DataFrame, columns: Sequence[str], most: int | None = 20, accuracy: int = 10_000) -> DataFrame:
-    """mean, standard deviation, min, max and approximate median of the first columns, in one pass."""
+def column_statistics(df: DataFrame, columns: Sequence[str], most: int | None = None, accuracy: int = 10_000) -> DataFrame:
+    """mean, standard deviation, min, max and approximate median of all columns (or the first ``most``), in one pass."""
 
     def measures(c: str) -> dict[str, Column]:
         v = F.col(c).cast("double")
@@ -120,10 +120,16 @@ def column_statistics(df: DataFrame, columns: Sequence[str], most: int | None =
     return per_column(df, list(columns)[:most], measures)
 
 
-def correlations(df: DataFrame, columns: Sequence[str], most: int | None = 10) -> DataFrame:
-    """Pearson correlation of every pair of the first columns, all in one pass."""
+def correlations(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
+    """Pearson correlation of every pair of columns (or of the first ``most``), all in one pass."""
     pairs = list(combinations(list(columns)[:most], 2))
-    one = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+
+    def pearson(a: str, b: str) -> Column:
+        # a column that does not vary has no correlation; corr() would end the whole report
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+    one = df.agg(*[pearson(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = [
         F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)

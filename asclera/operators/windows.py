@@ -87,6 +87,6 @@ def history_before(df: DataFrame, key: str, before_id, time: str, limit: int, sc
     return older.filter(F.col(time) < at).orderBy(F.col(time).desc(), F.col(key).desc()).limit(limit)
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int = 1000, offset: int = 0, most: int = 10_000) -> DataFrame:
+def page(df: DataFrame, order: Sequence[Column], limit: int = 1000, offset: int = 0) -> DataFrame:
     """One page of a sorted table."""
-    return df.orderBy(*order).offset(offset).limit(min(limit, most))
+    return df.orderBy(*order).offset(offset).limit(limit)

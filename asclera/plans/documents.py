@@ -19,7 +19,6 @@ HEADERS = [
 STRICT_NUMBER = r"^(\d+\.\d*\.?\d*)\s+(.+)$"
 MAX_CHUNK = 8000
 OVERLAP = 200
-STORED_LENGTH = 16000
 
 
 # Characters that count as white space at the ends of a text.
@@ -142,7 +141,7 @@ def chunks(
 
 
 def chunk_table(chunked: DataFrame) -> DataFrame:
-    """Rows as stored: the chunk text cut to the column length, counts as a JSON text."""
+    """Rows as stored: the whole chunk text, counts as a JSON text."""
     counts = F.to_json(F.struct("char_count", "word_count"))
     return chunked.select(
         "chunk_id",
@@ -150,7 +149,7 @@ def chunk_table(chunked: DataFrame) -> DataFrame:
         "document_type",
         F.lit(None).cast("int").alias("page_number"),
         "section_header",
-        F.substring("chunk_text", 1, STORED_LENGTH).alias("chunk"),
+        F.col("chunk_text").alias("chunk"),
         "chunk_index",
         counts.alias("metadata"),
     )

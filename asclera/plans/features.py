@@ -47,17 +47,20 @@ def discover(df: DataFrame) -> DataFrame:
 
 
 def default_plan(df: DataFrame, entity: str | None = None, time: str | None = None, tiebreak: Sequence[str] = ()) -> FeaturePlan:
-    """Plan from the schema: first id-like column, first time column, three numeric columns."""
+    """Plan from the schema: first id-like column, first time column, all numeric columns.
+
+    ``tiebreak`` orders rows of one time; without it, windows over ties depend on how rows arrive.
+    """
     by_kind: dict[str, list[str]] = {}
     for f in df.schema:
         by_kind.setdefault(naming.feature_category(f.dataType), []).append(f.name)
     temporal = by_kind.get("temporal", [])
     entity = entity or next((c for c in df.columns if "id" in c.lower()), None)
     time = time or (temporal[0] if temporal else None)
-    plan = FeaturePlan(entity=entity, dates=temporal[:3], categorical=by_kind.get("categorical", [])[:5])
+    plan = FeaturePlan(entity=entity, dates=temporal, categorical=by_kind.get("categorical", []))
     if entity and time:
         plan.order = [time, *tiebreak]
-        for c in by_kind.get("numeric", [])[:3]:
+        for c in by_kind.get("numeric", []):
             plan.windows[c] = [7, 14, 30]
             plan.lags[c] = [1, 7, 14]
     return plan
@@ -100,17 +103,17 @@ def materialize(features: DataFrame, path: str, partition_by: Sequence[str] = ()
     return path
 
 
-def statistics(df: DataFrame, columns: Sequence[str], most: int = 20) -> DataFrame:
+def statistics(df: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
     """Feature statistics with an issue where a feature does not vary."""
     rows = aggregates.column_statistics(df, columns, most)
     return rows.withColumn("issue", F.when(F.col("std") == 0, "zero variance"))
 
 
-def pipeline(df: DataFrame, path: str | None = None, **hints) -> DataFrame:
+def pipeline(df: DataFrame, path: str | None = None, *, tiebreak: Sequence[str], **hints) -> DataFrame:
     """Discover, plan, build, store when a path is given, and describe the new features."""
-    made = build(df, default_plan(df, **hints))
+    made = build(df, default_plan(df, tiebreak=tiebreak, **hints))
     if path:
         materialize(made, path)
         made = df.sparkSession.read.parquet(path)
     new = [c for c in made.columns if c not in df.columns]
-    return statistics(made, new, 10)
+    return statistics(made, new)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator, Sequence
 
@@ -11,11 +12,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import naming
 from ..operators import joins, ranges
@@ -47,42 +49,69 @@ def split(df: DataFrame, key: str, test_share: float = 0.2) -> tuple[DataFrame,
     return joins.split_by_key(df, key, round(100 * (1 - test_share)))
 
 
-def _stages(features: Sequence[str], model) -> Pipeline:
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            model,
-        ]
-    )
+def _filled(feature: str) -> str:
+    return f"_filled_{feature}"
+
+
+def _pipeline(rows: DataFrame, features: Sequence[str], model, after: Sequence = ()) -> PipelineModel:
+    """Missing features become the mean of the training rows, so that no row is lost in training or scoring."""
+    names = list(features)
+    stages = [
+        Imputer(inputCols=names, outputCols=[_filled(f) for f in names]),
+        VectorAssembler(inputCols=[_filled(f) for f in names], outputCol="raw_features"),
+        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        model,
+    ]
+    return Pipeline(stages=[*stages, *after]).fit(rows)
+
+
+def _classified(df: DataFrame, target: str, features: Sequence[str], choose) -> PipelineModel:
+    """Learn classes of any type; the prediction is the class itself (a number where the target is one)."""
+    known = df.withColumn("_target", F.col(target).cast("string")).filter(F.col("_target").isNotNull())
+    index = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(known)
+    number = isinstance(df.schema[target].dataType, (T.NumericType, T.BooleanType))
+    kind = "CAST(CAST(_named AS BOOLEAN) AS DOUBLE)" if isinstance(df.schema[target].dataType, T.BooleanType) else "CAST(_named AS DOUBLE)"
+    after = [
+        IndexToString(inputCol="_class", outputCol="_named", labels=index.labels),
+        SQLTransformer(statement=f"SELECT *, {kind if number else '_named'} AS prediction FROM __THIS__"),
+    ]
+    return _pipeline(index.transform(known), features, choose(len(index.labels)), after)
 
 
 def train(df: DataFrame, target: str, features: Sequence[str], task: str, trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
-    """Scaling and boosted trees; more than two classes use a random forest."""
-    labelled = df.withColumn("label", F.col(target).cast("double"))
+    """Scaling and boosted trees; more than two classes use a random forest.
+
+    Classes may be numbers or texts. Rows whose target is null are not learned from.
+    """
     if task == "regression":
-        model = GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed)
-    elif labelled.select("label").distinct().limit(3).count() <= 2:
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
-    else:
-        model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
-    return _stages(features, model).fit(labelled)
+        known = df.withColumn("label", F.col(target).cast("double")).filter(F.col("label").isNotNull())
+        return _pipeline(known, features, GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed))
+
+    def choose(classes: int):
+        if classes <= 2:
+            return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_class")
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_class")
+
+    return _classified(df, target, features, choose)
 
 
 def train_forest(df: DataFrame, target: str, features: Sequence[str], trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
-    return _stages(features, model).fit(df.withColumn("label", F.col(target).cast("double")))
+    return _classified(
+        df, target, features, lambda _: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_class")
+    )
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Rows with their prediction; working columns are dropped."""
+    """All rows with their prediction; working columns are dropped."""
     made = model.transform(df)
-    return made.drop("raw_features", "features", "rawPrediction", "probability")
+    filled = [c for c in made.columns if c.startswith("_filled_")]
+    return made.drop("raw_features", "features", "rawPrediction", "probability", "_class", "_named", *filled)
 
 
 def classification_metrics(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """Accuracy and weighted precision, recall and F1, from the confusion counts."""
-    cells = predictions.groupBy(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p")).agg(F.count("*").alias("n"))
+    kind = "string" if isinstance(predictions.schema[label].dataType, T.StringType) else "double"
+    cells = predictions.groupBy(F.col(label).cast(kind).alias("y"), F.col(prediction).cast(kind).alias("p")).agg(F.count("*").alias("n"))
     hit = F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)
     actual = cells.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("actual"), F.sum(hit).alias("hits"))
     predicted = cells.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
@@ -125,7 +154,7 @@ def load(place: str) -> PipelineModel:
 
 def importances(model: PipelineModel, features: Sequence[str], df: DataFrame) -> DataFrame:
     """Tree importance per feature next to the rows it was learnt on."""
-    weights = model.stages[-1].featureImportances.toArray()
+    weights = next(s for s in model.stages if hasattr(s, "featureImportances")).featureImportances.toArray()
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(float(w)).alias("importance")) for f, w in zip(features, weights)])
     return df.agg(F.count("*").alias("rows")).select("rows", F.inline(rows))
 
@@ -170,12 +199,13 @@ def _path_norm(n: float) -> float:
 
 
 def _grow(points: np.ndarray, depth: int, rng: np.random.Generator) -> list:
-    spread = points.max(axis=0) - points.min(axis=0) if len(points) else np.zeros(1)
-    usable = np.flatnonzero(spread > 0)
-    if depth == 0 or len(points) <= 1 or not len(usable):
+    """Random cuts; a missing value lies on the right of every cut."""
+    known = [points[:, i][~np.isnan(points[:, i])] for i in range(points.shape[1])]
+    usable = [i for i, v in enumerate(known) if len(v) and v.max() > v.min()]
+    if depth == 0 or len(points) <= 1 or not usable:
         return [float(len(points))]
     f = int(rng.choice(usable))
-    at = float(rng.uniform(points[:, f].min(), points[:, f].max()))
+    at = float(rng.uniform(known[f].min(), known[f].max()))
     left = points[:, f] < at
     return [f, at, _grow(points[left], depth - 1, rng), _grow(points[~left], depth - 1, rng)]
 
@@ -190,28 +220,38 @@ def _depths(tree: list, x: np.ndarray, depth: int = 0) -> np.ndarray:
     return out
 
 
-def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, seed: int = 42) -> DataFrame:
+def isolation_scores(df: DataFrame, key: str, features: Sequence[str], trees: int = 100, seed: int = 42, sample: int = FOREST_SAMPLE) -> DataFrame:
     """Anomaly score per row from an isolation forest.
 
-    Each tree learns from 256 rows chosen by key hash, as the method prescribes, so
-    the forest is fitted on a fixed amount of data and travels with the scoring
-    function. Every row is scored.
+    Each tree learns from its own ``sample`` rows (all, if there are fewer), drawn
+    by hashes of key and tree over all rows and grown in a task of its own. Trees hold
+    at most two nodes per row, so the forest is small enough to travel with the
+    scoring function. Every row is scored; a missing feature lies right of every cut.
     """
     names = list(features)
-    chosen = df.select(*[F.col(f).cast("double").alias(f) for f in names], F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(key).alias("_k"))
-    rows = chosen.orderBy("_h", "_k").limit(FOREST_SAMPLE * trees).drop("_h", "_k").toPandas().to_numpy(dtype="float64")
-    size = min(FOREST_SAMPLE, max(len(rows), 1))
-    rng = np.random.default_rng(seed)
-    depth = math.ceil(math.log2(max(size, 2)))
-    forest = [_grow(rows[i::trees] if len(rows) >= 2 * trees else rows, depth, rng) for i in range(trees)]
-    norm = _path_norm(size) or 1.0
+    values = F.array(*[F.col(f).cast("double") for f in names])
+    # a third more than needed is drawn by hash, and cut to the smallest hashes per tree
+    share = min(1.0, 4 / 3 * sample / max(1, df.count()))
+    drawn = df.select(values.alias("x"), F.col(key).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    drawn = drawn.withColumn("h", F.pmod(F.xxhash64("k", "tree", F.lit(seed)), F.lit(1 << 40))).filter(F.col("h") <= share * (1 << 40)).drop("k")
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = int(rows["tree"].iloc[0])
+        chosen = rows.sort_values("h").head(sample)["x"]
+        points = np.array([[np.nan if v is None else v for v in x] for x in chosen], dtype="float64")
+        grown = _grow(points, math.ceil(math.log2(max(len(points), 2))), np.random.default_rng([seed, tree]))
+        return pd.DataFrame({"tree": [tree], "size": [len(points)], "grown": [json.dumps(grown)]})
+
+    rows = drawn.groupBy("tree").applyInPandas(grow, "tree int, size int, grown string").orderBy("tree").collect()  # one row per tree
+    forest = [(json.loads(r["grown"]), _path_norm(r["size"])) for r in rows]
 
     @F.pandas_udf("double")
     def anomaly(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in parts:
             x = np.column_stack([c.to_numpy(dtype="float64") for c in columns]) if len(columns[0]) else np.empty((0, len(columns)))
-            mean = sum((_depths(t, x) for t in forest), np.zeros(len(x))) / len(forest)
-            yield pd.Series(np.power(2.0, -mean / norm))
+            # a tree of one row tells nothing apart and counts as average
+            parts_of = [_depths(t, x) / norm if norm else np.ones(len(x)) for t, norm in forest]
+            yield pd.Series(np.power(2.0, -np.mean(parts_of, axis=0) if parts_of else np.ones(len(x))))
 
     return df.withColumn("anomaly_score", anomaly(*[F.col(f).cast("double") for f in names]))
 

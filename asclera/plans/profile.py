@@ -81,7 +81,7 @@ def preview(df: DataFrame, n: int = 5, order: list[str] | None = None) -> DataFr
     return rows.limit(min(max(1, n), 20)).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
 
 
-def asset_profile(assets: DataFrame, tables: dict[str, DataFrame], most_targets: int = 5, most_features: int = 20) -> DataFrame:
+def asset_profile(assets: DataFrame, tables: dict[str, DataFrame], most_targets: int | None = None, most_features: int | None = None) -> DataFrame:
     """One row about a set of assets (name, data_type, size_bytes, row_count) and the columns of their tables."""
     targets, features = [], []
     for df in tables.values():

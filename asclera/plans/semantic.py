@@ -37,7 +37,7 @@ class SemanticModel:
 
 
 def generate(df: DataFrame, name: str, wide: bool = False) -> SemanticModel:
-    """Model of a table: roles from names and types, at most 15 dimensions and 10 facts when wide."""
+    """Model of a table: roles from names and types."""
     model = SemanticModel(name)
     for f in df.schema:
         if naming.field_role(f.name, f.dataType, wide) == "fact":
@@ -46,9 +46,6 @@ def generate(df: DataFrame, name: str, wide: bool = False) -> SemanticModel:
             model.time_dimensions[f.name] = f.name
         else:
             model.dimensions[f.name] = f.name
-    most_dims, most_facts = (15, 10) if wide else (10, 10)
-    model.dimensions = dict(list(model.dimensions.items())[: most_dims - len(model.time_dimensions)])
-    model.facts = dict(list(model.facts.items())[:most_facts])
     model.metrics = {"total_count": "count(*)"} | {f"total_{c.lower()}": f"sum({c})" for c in model.facts}
     return model
 
@@ -116,7 +113,7 @@ def is_valid(spark: SparkSession, sql: str) -> tuple[bool, str]:
         spark.sql(sql)
         return True, ""
     except (AnalysisException, ParseException) as error:
-        return False, str(error)[:100]
+        return False, str(error)
 
 
 # The metrics of the four health tables.

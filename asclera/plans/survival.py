@@ -202,11 +202,12 @@ def _cox_moments(df: DataFrame, time: str, event: str, x: Sequence[str], beta: n
     return ranges.running_sums(back, [], ["_back"], {f"n_{n}": F.col(n) for n in risky}).filter("d > 0")
 
 
-def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps: int = 20, tolerance: float = 1e-7) -> dict:
+def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps: int = 100, tolerance: float = 1e-7) -> dict:
     """Proportional hazards by Newton steps with Efron ties.
 
     Each step is one aggregate over the data and one over the distinct event
-    times; the driver only solves a p by p system.
+    times; the driver only solves a p by p system. A fit that does not settle within
+    ``steps`` raises an error.
     """
     x, p = list(covariates), len(covariates)
     means = df.agg(*[F.avg(c).alias(c) for c in x]).first()
@@ -232,6 +233,9 @@ def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps:
         if np.max(np.abs(step)) < tolerance:
             break
         beta = beta + step
+    else:
+        centred.unpersist()
+        raise ValueError(f"no convergence in {steps} steps; the covariates may separate the events")
     centred.unpersist()
     return {"covariates": x, "beta": beta, "covariance": np.linalg.inv(info), "log_likelihood": loglik, "means": [float(means[c]) for c in x]}
 

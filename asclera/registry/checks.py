@@ -177,8 +177,8 @@ def _(t):
 
 @query(
     "V-17",
-    """SELECT 'label_balance' AS check_name, 1::BIGINT AS issues, 'Consider using SMOTE or class weights for imbalanced data' AS recommendation
-       UNION ALL SELECT 'leakage_risk', 1, 'Ensure proper temporal train/test split to prevent data leakage'""",
+    """SELECT 'label_balance' AS check_name, 1::BIGINT AS issues, 'Weigh or resample the rare classes before training' AS recommendation
+       UNION ALL SELECT 'leakage_risk', 1, 'Split training and test rows by time, so that nothing later is learned from'""",
 )
 def _(t):
     return quality.recommendations(quality.ml_suite(t.labels, "labels", "toxic", ["quality", "toxic"], least=0.15))

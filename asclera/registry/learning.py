@@ -80,7 +80,7 @@ def _(t):
 
 @query("FE-07")
 def _(t):
-    return features.pipeline(event_rows(t), scratch(t), entity="user_id", time="ts")
+    return features.pipeline(event_rows(t), scratch(t), tiebreak=["event_id"], entity="user_id", time="ts")
 
 
 # ---- models -----------------------------------------------------------------------------

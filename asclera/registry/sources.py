@@ -224,7 +224,7 @@ def _(t):
 
 @query(
     "SRC-18",
-    """SELECT doc_id || '_0' AS chunk_id, least(16000, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) AS stored, 0::BIGINT AS chunk_index FROM documents""",
+    """SELECT doc_id || '_0' AS chunk_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS stored, 0::BIGINT AS chunk_index FROM documents""",
 )
 def _(t):
     place = scratch(t)

@@ -119,7 +119,7 @@ def _(t):
         t.events.filter(delivery).write.mode("append").parquet(f"{place}/in")
         stream = feeds.change_feed(t.spark, f"{place}/in", t.events.schema)
         feeds.changed_states(stream, "user_id", "ts", state, f"{place}/out", f"{place}/state")
-    return result(t, f"{place}/out/changes").groupBy("user_id", "previous", "state").agg(F.count("*").alias("n"))
+    return result(t, f"{place}/out/derived").groupBy("user_id", "previous", "state").agg(F.count("*").alias("n"))
 
 
 @query("SS-09", "SELECT user_id, MAX(ts)::VARCHAR AS ts, arg_max(value, ts) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")

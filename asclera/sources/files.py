@@ -86,7 +86,7 @@ def load_folder(spark: SparkSession, path: str, schema: str | None = None) -> Da
             load_table(df, target)
             rows.append((file["name"], target, spark.table(target).count(), len(df.columns), None))
         except Exception as error:  # one bad file must not stop the others
-            rows.append((file["name"], None, None, None, str(error)[:300]))
+            rows.append((file["name"], None, None, None, str(error)))
     return spark.createDataFrame(rows, "source string, table_name string, row_count bigint, column_count int, error string")
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,39 +122,24 @@ def threshold_alerts(stream: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return stream.select("*", F.explode(hits).alias("alert"))
 
 
-def _stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """Rows that earlier batches have written, None before the first."""
-    try:
-        return spark.read.parquet(path).filter(F.col("batch_id") < before)
-    except AnalysisException:
-        return None
+def changed_states(stream: DataFrame, key: str, time: str, state: Column, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keep the table of rows whose state differs from the one before, in ``path``/derived.
 
-
-def changed_states(stream: DataFrame, key: str, time: str, state: Column, path: str, checkpoint: str) -> StreamingQuery:
-    """Write rows whose state differs from the one before, so an alert fires once.
-
-    Within a batch the state before comes from a range-split window, so a busy entity
-    is not held by one task; across batches from the last state stored per entity.
-    Rows older than the stored one are passed over.
+    Readings are stored by bucket, and the changes of the touched buckets are derived
+    anew, so a late reading takes its place in its entity's order: it fires if its
+    state differs from the one before it, and the reading behind it is judged again.
+    The state before comes from a range-split window, so a busy entity is not held by
+    one task. A reading delivered twice changes nothing.
     """
 
-    def work(batch: DataFrame, number: int) -> None:
-        rows = batch.select(key, F.col(time).alias("at"), state.alias("state"))
-        kept = _stored(batch.sparkSession, f"{path}/last", number)
-        if kept is None:
-            known = rows.withColumns({"_at": F.lit(None).cast(rows.schema["at"].dataType), "_state": F.lit(None).cast("string")})
-        else:
-            last = aggregates.last_by(kept, [key], [F.col("at")], ["at", "state"]).select(key, F.col("at").alias("_at"), F.col("state").alias("_state"))
-            known = rows.join(last, key, "left").filter(F.col("_at").isNull() | (F.col("at") > F.col("_at")))
+    def derive(rows: DataFrame) -> DataFrame:
         seen = ranges.over_ranges(
-            known, [key], ["at"], lambda w: {"_before": F.lag("state").over(w), "_later": F.lag(F.lit(True)).over(w)}, before=1
+            rows.dropDuplicates(), [key], ["at", "state"], lambda w: {"previous": F.lag("state").over(w)}, before=1
         )
-        before = F.when(F.col("_later"), F.col("_before")).otherwise(F.col("_state"))
-        changes = seen.withColumn("previous", before).filter(~F.col("previous").eqNullSafe(F.col("state")))
-        write_batch(changes.select(key, "at", "previous", "state"), number, f"{path}/changes")
-        write_batch(aggregates.last_by(known, [key], [F.col("at")], ["at", "state"]), number, f"{path}/last")
+        return seen.filter(~F.col("previous").eqNullSafe(F.col("state"))).select(key, "at", "previous", "state")
 
-    return each_batch(stream, work, checkpoint)
+    readings = stream.select(key, F.col(time).alias("at"), state.alias("state"))
+    return refresh_by_key(readings, key, derive, path, checkpoint, buckets)
 
 
 def latest_values(stream: DataFrame, key: str, time: str, columns: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
