@@ -103,5 +103,5 @@ def test_wide_tables_are_not_cut(spark):
 
 def test_separated_fit_is_refused(spark):
     rows = spark.createDataFrame([(float(i), 1 if i < 20 else 0, float(i < 20)) for i in range(1, 40)], "t double, e int, x double")
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError, match="no convergence"):
         survival.cox(rows, "t", "e", ["x"], steps=3)
