@@ -13,66 +13,85 @@ from ..operators import aggregates, ranges
 GENDER_CONCEPTS = {"M": 8507, "F": 8532}
 EHR_DIAGNOSIS = 32817
 
-# Columns of the tables that the loads read and write. Types follow the names, see ``typed``.
-COLUMNS = {
-    "concept": "concept_id! concept_name! domain_id! vocabulary_id! concept_class_id! standard_concept concept_code! "
-    "valid_start_date! valid_end_date! invalid_reason",
-    "concept_relationship": "concept_id_1! concept_id_2! relationship_id! valid_start_date! valid_end_date! invalid_reason",
-    "person": "person_id! gender_concept_id! year_of_birth! month_of_birth day_of_birth birth_datetime race_concept_id! "
-    "ethnicity_concept_id! location_id provider_id care_site_id person_source_value gender_source_value "
-    "gender_source_concept_id race_source_value race_source_concept_id ethnicity_source_value ethnicity_source_concept_id",
-    "observation_period": "observation_period_id! person_id! observation_period_start_date! observation_period_end_date! "
-    "period_type_concept_id!",
-    "death": "person_id! death_date! death_datetime death_type_concept_id cause_concept_id cause_source_value "
-    "cause_source_concept_id",
+# The vocabulary tables and clinical tables that loads read and write. Keys of rows are wide.
+TABLES = {
+    "concept": """
+        concept_id int not null, concept_name string not null, domain_id string not null, vocabulary_id string not null,
+        concept_class_id string not null, standard_concept string, concept_code string not null,
+        valid_start_date date not null, valid_end_date date not null, invalid_reason string""",
+    "concept_relationship": """
+        concept_id_1 int not null, concept_id_2 int not null, relationship_id string not null,
+        valid_start_date date not null, valid_end_date date not null, invalid_reason string""",
+    "person": """
+        person_id bigint not null, gender_concept_id int not null, year_of_birth int not null, month_of_birth int, day_of_birth int,
+        birth_datetime timestamp_ntz, race_concept_id int not null, ethnicity_concept_id int not null,
+        location_id bigint, provider_id bigint, care_site_id bigint, person_source_value string,
+        gender_source_value string, gender_source_concept_id int, race_source_value string, race_source_concept_id int,
+        ethnicity_source_value string, ethnicity_source_concept_id int""",
+    "observation_period": """
+        observation_period_id bigint not null, person_id bigint not null, observation_period_start_date date not null,
+        observation_period_end_date date not null, period_type_concept_id int not null""",
+    "visit_occurrence": """
+        visit_occurrence_id bigint not null, person_id bigint not null, visit_concept_id int not null,
+        visit_start_date date not null, visit_start_datetime timestamp_ntz, visit_end_date date not null,
+        visit_end_datetime timestamp_ntz, visit_type_concept_id int not null, provider_id bigint, care_site_id bigint,
+        visit_source_value string, visit_source_concept_id int, admitted_from_concept_id int, admitted_from_source_value string,
+        discharged_to_concept_id int, discharged_to_source_value string, preceding_visit_occurrence_id bigint""",
+    "condition_occurrence": """
+        condition_occurrence_id bigint not null, person_id bigint not null, condition_concept_id int not null,
+        condition_start_date date not null, condition_start_datetime timestamp_ntz, condition_end_date date,
+        condition_end_datetime timestamp_ntz, condition_type_concept_id int not null, condition_status_concept_id int,
+        stop_reason string, provider_id bigint, visit_occurrence_id bigint, visit_detail_id bigint,
+        condition_source_value string, condition_source_concept_id int, condition_status_source_value string""",
+    "drug_exposure": """
+        drug_exposure_id bigint not null, person_id bigint not null, drug_concept_id int not null,
+        drug_exposure_start_date date not null, drug_exposure_start_datetime timestamp_ntz,
+        drug_exposure_end_date date not null, drug_exposure_end_datetime timestamp_ntz, verbatim_end_date date,
+        drug_type_concept_id int not null, stop_reason string, refills int, quantity double, days_supply int, sig string,
+        route_concept_id int, lot_number string, provider_id bigint, visit_occurrence_id bigint, visit_detail_id bigint,
+        drug_source_value string, drug_source_concept_id int, route_source_value string, dose_unit_source_value string""",
+    "procedure_occurrence": """
+        procedure_occurrence_id bigint not null, person_id bigint not null, procedure_concept_id int not null,
+        procedure_date date not null, procedure_datetime timestamp_ntz, procedure_end_date date,
+        procedure_end_datetime timestamp_ntz, procedure_type_concept_id int not null, modifier_concept_id int, quantity int,
+        provider_id bigint, visit_occurrence_id bigint, visit_detail_id bigint,
+        procedure_source_value string, procedure_source_concept_id int, modifier_source_value string""",
+    "measurement": """
+        measurement_id bigint not null, person_id bigint not null, measurement_concept_id int not null,
+        measurement_date date not null, measurement_datetime timestamp_ntz, measurement_time string,
+        measurement_type_concept_id int not null, operator_concept_id int, value_as_number double, value_as_concept_id int,
+        unit_concept_id int, range_low double, range_high double, provider_id bigint, visit_occurrence_id bigint,
+        visit_detail_id bigint, measurement_source_value string, measurement_source_concept_id int, unit_source_value string,
+        unit_source_concept_id int, value_source_value string, measurement_event_id bigint, meas_event_field_concept_id int""",
+    "observation": """
+        observation_id bigint not null, person_id bigint not null, observation_concept_id int not null,
+        observation_date date not null, observation_datetime timestamp_ntz, observation_type_concept_id int not null,
+        value_as_number double, value_as_string string, value_as_concept_id int, qualifier_concept_id int, unit_concept_id int,
+        provider_id bigint, visit_occurrence_id bigint, visit_detail_id bigint, observation_source_value string,
+        observation_source_concept_id int, unit_source_value string, qualifier_source_value string,
+        value_source_value string, observation_event_id bigint, obs_event_field_concept_id int""",
+    "death": """
+        person_id bigint not null, death_date date not null, death_datetime timestamp_ntz, death_type_concept_id int,
+        cause_concept_id int, cause_source_value string, cause_source_concept_id int""",
 }
-# Vocabulary keys are text although their names end like numbers.
-TEXT_KEYS = {"domain_id", "vocabulary_id", "concept_class_id", "relationship_id"}
 
 
-def typed(columns: str) -> T.StructType:
-    """Schema from column names: the ending decides the type, ``!`` marks a required column."""
-
-    def kind(name: str) -> str:
-        if name in TEXT_KEYS:
-            return "string"
-        if name.endswith("_datetime"):
-            return "timestamp_ntz"
-        if name.endswith("_date"):
-            return "date"
-        if name.startswith(("concept_id", "year_of", "month_of", "day_of")) or name.endswith("concept_id"):
-            return "int"
-        if name.endswith(("_id", "_key", "_count", "_number")):
-            return "bigint"
-        if name.startswith(("range_", "value_as_number", "quantity", "amount_")):
-            return "double"
-        return "string"
-
-    parts = [(c.rstrip("!"), c.endswith("!")) for c in columns.split()]
-    return T.StructType.fromDDL(", ".join(f"{n} {kind(n)}{' not null' if must else ''}" for n, must in parts))
+def schemas(**more: str) -> dict[str, T.StructType]:
+    """Schemas by table: the ones above, and any other given as ``table="name type, ..."``."""
+    return {name: T.StructType.fromDDL(columns) for name, columns in {**TABLES, **more}.items()}
 
 
-def event_table(subject: str, entry: str = "occurrence", extra: str = "") -> str:
-    """Columns of a clinical event table: key, person, concept, dates, type, visit and source.
+def conformed(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows in the declared columns, order and types; absent optional columns are NULL.
 
-    ``condition`` gives condition_occurrence_id ... condition_source_concept_id.
+    An absent required column is an error. Rows that miss a required value stay, as a
+    load reports them (``rulebook``) instead of losing them.
     """
-    return (
-        f"{subject}_{entry}_id! person_id! {subject}_concept_id! {subject}_start_date! {subject}_start_datetime {subject}_end_date "
-        f"{subject}_end_datetime {subject}_type_concept_id! provider_id visit_occurrence_id visit_detail_id "
-        f"{subject}_source_value {subject}_source_concept_id {extra}"
-    )
-
-
-def schemas(**more: str) -> dict[str, T.StructType]:
-    """Schemas by table: the ones above, the event tables, and any columns given as ``table="names"``."""
-    events = {
-        "condition_occurrence": event_table("condition", extra="condition_status_concept_id stop_reason condition_status_source_value"),
-        "procedure_occurrence": event_table("procedure", extra="modifier_concept_id modifier_source_value"),
-        "device_exposure": event_table("device", "exposure"),
-        "visit_occurrence": event_table("visit", extra="care_site_id admitted_from_concept_id discharged_to_concept_id"),
-    }
-    return {name: typed(columns) for name, columns in {**COLUMNS, **events, **more}.items()}
+    have = {c.lower() for c in rows.columns}
+    if missing := [f.name for f in schema if not f.nullable and f.name.lower() not in have]:
+        raise ValueError(f"missing columns: {missing}")
+    value = lambda f: F.col(f.name) if f.name.lower() in have else F.lit(None)
+    return rows.select(*[value(f).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def map_codes(concept: DataFrame, relationship: DataFrame, vocabulary: str) -> DataFrame:

@@ -92,7 +92,12 @@ DICOM = {
         "required": ["series_instance_uid", "study_instance_uid", "modality", "series_number"],
         "key": ["series_instance_uid"],
         "types": {"series_instance_uid": "string", "modality": "string"},
-        "allowed": {"modality": "CT MR XR US MG PT NM DX CR IO RF XA OT SC DOC SR KO PR SEG REG RTPLAN RTDOSE RTSTRUCT".split()},
+        "allowed": {
+            "modality": [
+                "CT", "MR", "XR", "US", "MG", "PT", "NM", "DX", "CR", "IO", "RF", "XA", "OT", "SC", "DOC", "SR", "KO", "PR", "SEG",
+                "REG", "RTPLAN", "RTDOSE", "RTSTRUCT",
+            ]
+        },
         "refers": {"study_instance_uid": ("study", "study_instance_uid")},
     },
     "instance": {
@@ -120,7 +125,10 @@ CLINICAL_DOCS = {
         "key": ["document_id"],
         "types": {"document_id": "string", "document_type": "string", "confidence_score": "double"},
         "allowed": {
-            "document_type": "discharge_summary pathology_report radiology_report progress_note operative_note consultation_note lab_report nursing_note other".split()
+            "document_type": [
+                "discharge_summary", "pathology_report", "radiology_report", "progress_note", "operative_note", "consultation_note",
+                "lab_report", "nursing_note", "other",
+            ]
         },
     },
     "extracted_fields": {

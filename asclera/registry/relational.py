@@ -234,15 +234,11 @@ def _(t):
 @query(
     "JN-02",
     """SELECT c_custkey, COALESCE(n, 0) AS n, ROUND(COALESCE(total, 0.0), 2) AS total FROM customer LEFT JOIN
-       (SELECT o_custkey, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders WHERE o_totalprice > 200000 GROUP BY 1)
+       (SELECT o_custkey, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders GROUP BY 1)
        ON o_custkey = c_custkey""",
 )
 def _(t):
-    spent = (
-        t.orders.filter("o_totalprice > 200000")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
-    )
+    spent = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
     out = joins.with_default(t.customer.select("c_custkey"), spent, ["c_custkey"], {"n": 0, "total": 0.0})
     return out.withColumn("total", F.round("total", 2))
 
@@ -287,12 +283,12 @@ def _(t):
 
 @query(
     "JN-06",
-    """SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey FROM orders) o
-       WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey AND c_acctbal > 0)""",
+    """SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, nullif(o_custkey, 7) + 100 AS o_custkey FROM orders) o
+       WHERE o_custkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o.o_custkey)""",
 )
 def _(t):
-    child = t.orders.select("o_orderkey", F.nullif("o_custkey", F.lit(7)).alias("o_custkey"))
-    return joins.orphans(child, "o_custkey", t.customer.filter("c_acctbal > 0"), "c_custkey")
+    child = t.orders.select("o_orderkey", (F.nullif("o_custkey", F.lit(7)) + 100).alias("o_custkey"))
+    return joins.orphans(child, "o_custkey", t.customer, "c_custkey")
 
 
 @query("JN-07", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -331,15 +327,11 @@ def _(t):
 @query(
     "JN-11",
     """SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey
-       JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' WHERE c_acctbal > 0""",
+       JOIN region ON n_regionkey = r_regionkey""",
 )
 def _(t):
-    nations = t.nation.join(t.region.filter("r_name <> 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return (
-        t.customer.filter("c_acctbal > 0")
-        .join(joins.small(nations), F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("c_custkey", "r_name")
-    )
+    nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return t.customer.join(joins.small(nations), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name")
 
 
 @query(
@@ -409,15 +401,14 @@ def _(t):
 
 @query(
     "JN-16",
-    """WITH a AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R1_001.fastq.gz' AS r1 FROM supplier WHERE s_acctbal > 0),
-       b AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R2_001.fastq.gz' AS r2 FROM supplier WHERE s_nationkey <> 3)
+    """WITH a AS (SELECT s_suppkey AS sample, 'S' || s_suppkey || '_R1_001.fastq.gz' AS r1 FROM supplier),
+       b AS (SELECT s_suppkey + 5 AS sample, 'S' || (s_suppkey + 5) || '_R2_001.fastq.gz' AS r2 FROM supplier)
        SELECT COALESCE(a.sample, b.sample) AS sample, r1, r2 FROM a FULL OUTER JOIN b ON a.sample = b.sample""",
 )
 def _(t):
-    k = F.col("s_suppkey")
-    reads = lambda n: F.concat(F.lit("S"), k, F.lit(f"_R{n}_001.fastq.gz")).alias(f"r{n}")
-    first = t.supplier.filter("s_acctbal > 0").select(k.alias("sample"), reads(1))
-    second = t.supplier.filter("s_nationkey <> 3").select(k.alias("sample"), reads(2))
+    reads = lambda k, n: [k.alias("sample"), F.concat(F.lit("S"), k, F.lit(f"_R{n}_001.fastq.gz")).alias(f"r{n}")]
+    first = t.supplier.select(*reads(F.col("s_suppkey"), 1))
+    second = t.supplier.select(*reads(F.col("s_suppkey") + 5, 2))
     return first.join(second, "sample", "full_outer")
 
 
@@ -487,25 +478,25 @@ def _(t):
 
 @query(
     "ST-04",
-    """WITH g AS (SELECT DISTINCT l_returnflag AS d, l_partkey AS gene FROM lineitem WHERE l_quantity > 40)
+    """WITH g AS (SELECT DISTINCT l_returnflag AS d, l_partkey || '-' || l_suppkey AS gene FROM lineitem)
        SELECT gene FROM g GROUP BY gene HAVING COUNT(*) = (SELECT COUNT(DISTINCT d) FROM g)""",
 )
 def _(t):
-    rows = t.lineitem.filter("l_quantity > 40").withColumnRenamed("l_partkey", "gene")
+    rows = t.lineitem.withColumn("gene", F.concat_ws("-", "l_partkey", "l_suppkey"))
     return sets.in_every([rows.filter(F.col("l_returnflag") == f) for f in ("A", "N", "R")], "gene")
 
 
 @query(
     "ST-04-overlap",
-    """WITH r AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45),
-       o AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
-       SELECT (SELECT COUNT(*) FROM r) AS reference_count, (SELECT COUNT(*) FROM r JOIN o USING (l_partkey)) AS common_count,
-       ROUND((SELECT COUNT(*) FROM r JOIN o USING (l_partkey)) * 100.0 / (SELECT COUNT(*) FROM r), 1) AS overlap_pct,
-       CASE WHEN (SELECT COUNT(*) FROM r JOIN o USING (l_partkey)) * 100.0 / (SELECT COUNT(*) FROM r) < 50 THEN 'WARN' ELSE 'PASS' END AS status""",
+    """WITH r AS (SELECT DISTINCT l_partkey || '-' || l_suppkey AS gene FROM lineitem WHERE l_returnflag = 'A'),
+       o AS (SELECT DISTINCT l_partkey || '-' || l_suppkey AS gene FROM lineitem WHERE l_returnflag = 'R')
+       SELECT (SELECT COUNT(*) FROM r) AS reference_count, (SELECT COUNT(*) FROM r JOIN o USING (gene)) AS common_count,
+       ROUND((SELECT COUNT(*) FROM r JOIN o USING (gene)) * 100.0 / (SELECT COUNT(*) FROM r), 1) AS overlap_pct,
+       CASE WHEN (SELECT COUNT(*) FROM r JOIN o USING (gene)) * 100.0 / (SELECT COUNT(*) FROM r) < 50 THEN 'WARN' ELSE 'PASS' END AS status""",
 )
 def _(t):
-    rows = t.lineitem.filter("l_quantity > 45")
-    return sets.overlap(rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag = 'R'"), "l_partkey")
+    rows = t.lineitem.withColumn("gene", F.concat_ws("-", "l_partkey", "l_suppkey"))
+    return sets.overlap(rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag = 'R'"), "gene")
 
 
 @query(

@@ -103,7 +103,7 @@ def _(t):
 )
 def _(t):
     place = scratch(t)
-    fields = delimited.REPORT_TABLES["DRUG"].split()
+    fields = delimited.REPORT_TABLES["DRUG"]
     known = {"primaryid": F.col("l_orderkey"), "role_cod": F.lit("PS"), "drugname": F.concat(F.lit("Dröge"), "l_partkey")}
     rows = t.lineitem.select(*[known.get(c, F.lit(None)).cast("string").alias(c) for c in fields])
     rows.write.option("sep", "$").option("header", True).option("encoding", "ISO-8859-1").csv(f"{place}/DRUG24Q1.txt")

@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Columns of the adverse event report tables.
 REPORT_TABLES = {
-    "DEMO": "primaryid caseid caseversion i_f_code event_dt mfr_dt init_fda_dt fda_dt rept_cod auth_num mfr_num mfr_sndr lit_ref "
-    "age age_cod age_grp sex e_sub wt wt_cod rept_dt to_mfr occp_cod reporter_country occr_country",
-    "DRUG": "primaryid caseid drug_seq role_cod drugname prod_ai val_vbm route dose_vbm cum_dose_chr cum_dose_unit dechal rechal "
-    "lot_num exp_dt nda_num dose_amt dose_unit dose_form dose_freq",
-    "REAC": "primaryid caseid pt drug_rec_act",
-    "OUTC": "primaryid caseid outc_cod",
-}
+    "DEMO": [
+        "primaryid", "caseid", "caseversion", "i_f_code", "event_dt", "mfr_dt", "init_fda_dt", "fda_dt", "rept_cod", "auth_num",
+        "mfr_num", "mfr_sndr", "lit_ref", "age", "age_cod", "age_grp", "sex", "e_sub", "wt", "wt_cod", "rept_dt", "to_mfr",
+        "occp_cod", "reporter_country", "occr_country",
+    ],
+    "DRUG": [
+        "primaryid", "caseid", "drug_seq", "role_cod", "drugname", "prod_ai", "val_vbm", "route", "dose_vbm", "cum_dose_chr",
+        "cum_dose_unit", "dechal", "rechal", "lot_num", "exp_dt", "nda_num", "dose_amt", "dose_unit", "dose_form", "dose_freq",
+    ],
+    "REAC": ["primaryid", "caseid", "pt", "drug_rec_act"],
+    "OUTC": ["primaryid", "caseid", "outc_cod"],
+}
 NUMBERS = {"age", "wt"}
 
 
 def report_schema(table: str) -> str:
-    return ", ".join(f"{c} {'double' if c in NUMBERS else 'string'}" for c in REPORT_TABLES[table].split())
+    return ", ".join(f"{c} {'double' if c in NUMBERS else 'string'}" for c in REPORT_TABLES[table])
 
 
 def read_reports(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -290,6 +290,47 @@ def test_lab_flattening(spark):
     assert lab.as_table(made, ["ct", "sample_id"]).columns == ["sample_id", "ct"]
 
 
+def test_lab_entries_at_any_depth(spark):
+    deep = """{"x-aggregate-document": {"x-document": [
+        {"measurement-aggregate-document": {"analyst": "group", "list": [1], "none": null, "measurement-document": [
+            {"a": {"b": {"c": {"d": {"e": {"value": 5, "unit": "s"}, "f": "{\\"value\\": 1}"}}}}, "analyst": "own", "off": null, "t": true},
+            {"cube": [1, "p", 2.5], "empty": {}, "value": 7, "in": {"value": {"k": 1}}}]}},
+        {"measurement-aggregate-document": {"analyst": "next", "measurement-document": [{}]}},
+        {"other": 1}]}}"""
+    made = lab.measurements(spark.createDataFrame([(1, deep), (2, "{bad"), (3, None), (4, ""), (5, "{}")], "id int, document string"), keep=["id"])
+    assert [(r["id"], r["position"], r["entries"]) for r in made.orderBy("position").collect()] == [
+        (1, 0, {"analyst": "own", "a_b_c_d_e": "5", "a_b_c_d_e_unit": "s", "a_b_c_d_f": '{"value": 1}', "t": "true"}),
+        (1, 1, {"analyst": "group", "cube": '[1, "p", 2.5]', "value": "7", "in": '{"k":1}'}),
+        (1, 2, {"analyst": "next"}),
+    ]
+
+
+def test_unreadable_lab_documents_give_error_rows(spark):
+    given = spark.createDataFrame([(1, "{}"), (2, "{bad"), (3, None), (4, " ")], "id int, document string")
+    assert rows(lab.unreadable(given, keep=["id"])) == [(2, "not valid JSON", 4)]
+
+
+def test_medication_offsets_count_characters(spark):
+    note = "Größe \U0001f600 ASPIRIN, no aspirin aspirin 81.5 MG. Insulins; takes insulin 5 units"
+    given = spark.createDataFrame([(1, note), (2, None), (3, "")], "id int, note string")
+    got = rows(notes.medications(given, "id", "note"), "start")
+    assert got == [
+        (1, "ASPIRIN", note.index("ASPIRIN"), note.index("ASPIRIN") + 7, "81.5", "MG", False),
+        (1, "aspirin", note.index("aspirin"), note.index("aspirin") + 7, "81.5", "MG", True),
+        (1, "aspirin", note.rindex("aspirin"), note.rindex("aspirin") + 7, "81.5", "MG", True),
+        (1, "insulin", note.rindex("insulin"), note.rindex("insulin") + 7, "5", "units", True),
+    ]
+
+
+def test_omop_rows_conform(spark):
+    given = spark.createDataFrame([("7", "2024-01-02")], "person_id string, death_date string")
+    made = omop.conformed(given, omop.schemas()["death"])
+    assert made.columns[:2] == ["person_id", "death_date"] and len(made.columns) == 7
+    assert one(made)["person_id"] == 7 and one(made)["cause_concept_id"] is None
+    with pytest.raises(ValueError):
+        omop.conformed(given.drop("death_date"), omop.schemas()["death"])
+
+
 def test_question_is_checked_without_running(spark):
     assert semantic.is_valid(spark, "SELECT 1")[0] and not semantic.is_valid(spark, "SELECT FROM WHERE")[0]
 
