@@ -206,36 +206,41 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     weight = np.array([r.other + 0.5 for r in words] or [0.5])
     model.rate = _rate(np.append(found, -settings.penalty), np.append(weight, max(1.0, n0 - weight.sum())))
 
-    judged = _segments_of(sample, model)
-    ordinary = [r for r in judged if r["label"] == 0]
     # E[number of segments of score >= s] = K N exp(-lambda s), at the least score seen as a segment
-    least = min((s for r in judged for s in r["segments"]), default=1.0)
-    seen = sum(len(r["segments"]) for r in ordinary) + 0.5
-    model.log_k = float(np.log(seen) + model.rate * least - np.log(max(1, sum(r["n"] for r in ordinary))))
-    evidence = [model.evidence([(0, 0, s) for s in r["segments"]], r["n"]) for r in judged]
-    model.curve = logistic(np.log1p(evidence), np.array([r["label"] for r in judged]))
+    counted = _measured(sample, model)
+    ordinary = counted["label"] == 0
+    found = counted["n_segments"] > 0
+    least = float(counted["least"][found].min()) if found.any() else 1.0
+    seen = counted["n_segments"][ordinary].sum() + 0.5
+    model.log_k = float(np.log(seen) + model.rate * least - np.log(max(1, counted["n"][ordinary].sum())))
+    judged = _measured(sample, model)
+    model.curve = logistic(np.log1p(judged["evidence"]), judged["label"])
     return model
 
 
-def _segments_of(sample: DataFrame, model: Model) -> list[dict]:
-    """Label, token count and segment scores of the sample, which bounds what reaches the driver."""
+def _measured(sample: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Label, tokens, segments, least segment score and evidence of every sample document.
+
+    All segments count; five numbers a document reach the driver, so the sample's size bounds them.
+    """
     handle = sample.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(handle.value)
+        model = handle.value
+        lexicon = Lexicon(model)
         for batch in batches:
             rows = []
-            for words in words_of(batch.column(0)):
+            for label, words in zip(batch.column(1).to_pylist(), words_of(batch.column(0))):
                 found = segments(np.fromiter(map(lexicon.__getitem__, words), float, len(words)))
-                # the largest are enough for the curve
-                rows.append((len(words), sorted((s for _a, _b, s in found), reverse=True)[:50]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.float64()))],
-                ["label", "n", "segments"],
-            )
+                least = min((s for _a, _b, s in found), default=0.0)
+                rows.append({"label": label, "n": len(words), "n_segments": len(found), "least": least, "evidence": model.evidence(found, len(words))})
+            yield pa.RecordBatch.from_pylist(rows, MEASURED)
+
+    table = sample.select("text", "_label").mapInArrow(run, "label int, n bigint, n_segments bigint, least double, evidence double").toArrow()
+    return {name: table[name].to_numpy() for name in table.column_names}
+
 
-    table = sample.select("text", "_label").mapInArrow(run, "label int, n bigint, segments array<double>").toArrow()
-    return table.to_pylist()
+MEASURED = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("n_segments", pa.int64()), ("least", pa.float64()), ("evidence", pa.float64())])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float]:
