@@ -24,7 +24,7 @@ def corpus(df: DataFrame, key: str, search: str | None = None, attributes: list[
 
 
 def query_terms(query: str) -> list[str]:
-    return sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    return sorted(set(re.findall(r"[^\W_]+", query.lower())))
 
 
 def matching(filters: Mapping[str, object] | None) -> Column:

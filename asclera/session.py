@@ -18,19 +18,14 @@ RUNTIME_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; on a local master also size the shuffle."""
+    """Apply the runtime settings, the same on every master."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
-    if context.master.startswith("local") and spark.conf.get("spark.asclera.spread", None) is None:
-        spark.conf.set("spark.asclera.spread", str(context.defaultParallelism))
     return spark
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", **settings: str) -> SparkSession:
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks, its shuffles sized to its cores unless ``settings`` say otherwise."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("asclera")
@@ -42,6 +37,10 @@ def local_session(cores: int | str = "*", memory: str = "8g", **settings: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    # session settings like any other: a cluster sets its own
+    for key in ("spark.sql.shuffle.partitions", "spark.asclera.spread"):
+        if key not in settings:
+            spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
     return configure(spark)
 
 
