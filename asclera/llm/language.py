@@ -13,17 +13,23 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_column, stored, text_session
+from .common import arrow_column, rows_of, stored, text_session
 
 ORDER = 5
-WORD = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters without being letters: fractions, raised digits, numerals.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+WORD = re.compile(rf"[^\W_{NUMERALS}]+")
 UNKNOWN = "und"
+#: Parts into which the runs of one frequency are dealt.
+PARTS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -90,25 +96,60 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str, apart: Column) ->
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("n_rest").alias("n_rest"))
 
 
-def _bounded(counts: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
-    """The counts that fit the model: of each language those from a frequency on."""
+def _chosen(counts: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
+    """The runs of five that the model holds: of each language the most frequent ones.
+
+    Frequencies are grouped in steps of an eighth of a doubling. Of the step on the edge
+    the runs are taken in the order of their hash until the share is used up.
+    """
+    languages = sorted(r.lang for r in rows_of(counts.select("lang").distinct(), settings.most_languages))
     step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = counts.groupBy("lang", step.alias("step")).count().collect()  # at most 512 steps a language
-    languages = sorted({r.lang for r in sizes})
-    if len(languages) > settings.most_languages:
-        raise ValueError(f"{len(languages)} languages; the model is built for {settings.most_languages}")
+    place = F.pmod(F.xxhash64("gram"), F.lit(PARTS))
     share = settings.most_grams // max(1, len(languages))
-    least: list[Column] = [F.lit(0)]
+    sizes = counts.groupBy("lang", step.alias("step")).count().collect()  # at most 512 steps a language
+    fits = F.lit(True)
     for lang in languages:
-        total, bar = 0, 0
+        total = 0
         for r in sorted((r for r in sizes if r.lang == lang), key=lambda r: -r.step):
-            total += r["count"]
-            if total > share:
-                bar = r.step + 1
+            if total + r["count"] > share:
+                part = PARTS * (share - total) // r["count"]
+                inside = (step > r.step) | ((step == r.step) & (place < part))
+                fits = F.when(F.col("lang") == lang, inside).otherwise(fits)
                 break
-        if bar:
-            least.append(F.when(F.col("lang") == lang, F.lit(bar)).otherwise(F.lit(0)))
-    return counts.filter(step >= (F.greatest(*least) if len(least) > 1 else least[0])), languages
+            total += r["count"]
+    return counts.filter(fits), languages
+
+
+def own_probabilities(counts: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
+    """(lang, gram, own, own_rest) of the runs that the model holds and all their endings; and the languages.
+
+    ``own`` is the discounted share of a run among all runs of its context, before
+    back-off; ``own_rest`` the same without the documents set apart, null where the run
+    does not occur there. Continuation counts, discounts and context totals are taken
+    over all runs of the corpus, whether the model holds them or not.
+    """
+    columns = ("n", "n_rest")
+    orders = [counts.select("lang", "gram", *columns)]
+    while len(orders) < ORDER:  # below the highest order a run counts once for every character that precedes it
+        ending = F.substring("gram", 2, ORDER).alias("gram")
+        orders.append(orders[-1].groupBy("lang", ending).agg(*[F.count_if(F.col(c) > 0).alias(c) for c in columns]))
+    every = stored(reduce(DataFrame.unionByName, orders), "orders")
+
+    context = F.substring(F.col("gram"), F.lit(1), F.length("gram") - 1).alias("context")
+    totals = every.groupBy("lang", context).agg(*[F.sum(c).alias(f"total_{c}") for c in columns])
+    once, twice = (lambda c: F.count_if(F.col(c) == 1)), (lambda c: F.count_if(F.col(c) == 2))
+    share = lambda c: once(c) / F.greatest(F.lit(1), once(c) + 2 * twice(c))
+    # a row per order and language, whose number _chosen bounds
+    discounts = every.groupBy("lang", F.length("gram").alias("size")).agg(
+        *[F.greatest(F.lit(0.1), F.least(F.lit(0.9), share(c))).alias(f"discount_{c}") for c in columns]
+    )
+    chosen, languages = _chosen(counts, settings)
+    endings = F.explode(F.array(*[F.substring("gram", i, ORDER) for i in range(1, ORDER + 1)]))
+    held = chosen.select("lang", endings.alias("gram")).distinct()
+    rows = every.join(held, ["lang", "gram"], "left_semi").select("*", context, F.length("gram").alias("size"))
+    rows = rows.join(totals, ["lang", "context"]).join(F.broadcast(discounts), ["lang", "size"])
+    own = lambda c: F.when(F.col(c) > 0, (F.col(c) - F.col(f"discount_{c}")) / F.col(f"total_{c}"))
+    return rows.select("lang", "gram", own("n").alias("own"), own("n_rest").alias("own_rest")), languages
 
 
 @dataclass
@@ -183,25 +224,22 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == keys
 
 
-def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], confident: int = 40) -> Model:
-    """The model from (characters of five, counts) of every language."""
+def build(languages: list[str], grams: list[list[tuple[np.ndarray, np.ndarray]]], confident: int = 40) -> Model:
+    """The model from (characters, own probabilities) of every order, the lowest first, in every language.
+
+    The back-off weight of a context is what its runs leave over, so that the
+    probabilities after a context add up to one whichever runs the model holds.
+    """
     size = len(languages)
     if not size:
         return Model([], [], np.zeros(0), confident=confident)
-    letters = len(np.unique(np.concatenate([c[:, -1] for c, _ in grams]))) + 1
+    letters = len(np.unique(np.concatenate([orders[0][0][:, 0] for orders in grams]))) + 1
     orders: list[list[tuple]] = [[] for _ in range(ORDER)]
-    for codes, counts in grams:
-        for n in range(ORDER, 0, -1):
-            once, twice = (counts == 1).sum(), (counts == 2).sum()
-            discount = float(np.clip(once / max(1, once + 2 * twice), 0.1, 0.9))
+    for one in grams:
+        for n, (codes, own) in enumerate(one):
             context, where = np.unique(hashed(codes[:, :-1]), return_inverse=True)
-            total, kinds = np.bincount(where, counts), np.bincount(where)
-            own = (counts - discount) / total[where]
-            back = discount * kinds / total
-            orders[n - 1].append((codes, own, context, back, where))
-            if n > 1:  # below the highest order a gram counts once for every character that precedes it
-                _, first, n_left = np.unique(hashed(codes[:, 1:]), return_index=True, return_counts=True)
-                codes, counts = codes[:, 1:][first], n_left.astype(np.float64)
+            back = np.maximum(1 - np.bincount(where, own, len(context)), 1e-12)
+            orders[n].append((codes, own, context, back))
     levels: list[Level] = []
     unseen = np.full(size, -np.log(letters))  # the back-off of the lowest order is added on the way
     for n in range(1, ORDER + 1):
@@ -224,21 +262,27 @@ def build(languages: list[str], grams: list[tuple[np.ndarray, np.ndarray]], conf
     return Model(languages, levels, unseen.astype(np.float32), confident=confident)
 
 
-def _characters(counts: pa.Table, languages: list[str], column: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(characters of five, counts) of every language, without runs that do not occur."""
+def _characters(grams: pa.Table, languages: list[str], column: str) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+    """(characters, own probabilities) of every order in every language, without runs that do not occur."""
     out = []
     for lang in languages:
-        part = counts.filter(pa.compute.and_(pa.compute.equal(counts["lang"], lang), pa.compute.greater(counts[column], 0))).sort_by("gram")
-        codes = np.array(part["gram"].to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER)
-        out.append((codes, part[column].to_numpy().astype(np.float64)))
+        part = grams.filter(pc.and_(pc.equal(grams["lang"], lang), pc.is_valid(grams[column]))).sort_by("gram")
+        sizes = pc.utf8_length(part["gram"])
+        orders = []
+        for n in range(1, ORDER + 1):
+            some = part.filter(pc.equal(sizes, n))
+            codes = np.array(some["gram"].to_pylist(), f"<U{n}").view("<u4").reshape(-1, n)
+            orders.append((codes, some[column].to_numpy()))
+        out.append(orders)
     return out
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
     """Count all documents that ``learn`` marks and whose language is not null.
 
-    Counting covers every such text; only the size of the finished model is bounded,
-    by leaving out its rarest runs. One learnable id in eight is set apart: a model of
+    Counts and all statistics drawn from them cover every such text; only the size of
+    the finished model is bounded, by leaving out its rarest runs, whose probability goes
+    to the shorter runs. One learnable id in eight is set apart: a model of
     the other seven says how far texts it has not seen lie from its own, which
     calibrates rejection; the finished model counts all eight. With nothing to learn
     from, no language is known.
@@ -248,16 +292,16 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     place = F.xxhash64(F.col(id_col).cast("string"))
     apart = F.pmod(place, F.lit(8)) == 0
     counts = stored(count_grams(known, text_col, lang_col, apart), "grams")
-    chosen, languages = _bounded(counts, settings)
+    chosen, languages = own_probabilities(counts, settings)
     table = chosen.toArrow()
-    model = build(languages, _characters(table, languages, "n"), settings.confident)
+    model = build(languages, _characters(table, languages, "own"), settings.confident)
     model.mean, model.reach = np.zeros(len(languages)), np.full(len(languages), np.inf)
-    rest = [k for k, (codes, _) in enumerate(_characters(table, languages, "n_rest")) if len(codes)]
+    without = _characters(table, languages, "own_rest")
+    rest = [k for k, orders in enumerate(without) if len(orders[0][0])]
     if not rest:
         return model
 
-    names = [languages[k] for k in rest]
-    others = build(names, _characters(table, names, "n_rest"), settings.confident)
+    others = build([languages[k] for k in rest], [without[k] for k in rest], settings.confident)
     ids = known.filter(apart).select(id_col).distinct().orderBy(place, id_col).limit(settings.calibration)
     sample = docs.join(F.broadcast(ids), id_col).select(F.col(text_col).cast("string").alias("text"))
     handle = spark.sparkContext.broadcast(others)

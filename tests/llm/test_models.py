@@ -1,6 +1,7 @@
 """Toxicity, quality and language: their parts against plain forms, and held-out accuracy."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -104,20 +105,73 @@ def test_quality(spark):
     assert quality.judge(held, quality.fit(docs, labels.limit(0), F.lit(True))).filter("quality.predicted = 0").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    rnd = random.Random(3)
-    grams = []
-    for letters in ("abcd", "bcde"):
-        words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(200)]
-        codes, _ = language.windows(words)
-        _, first, n = np.unique(language.hashed(codes), return_index=True, return_counts=True)
-        grams.append((codes[first], n.astype(float)))
-    model = language.build(["x", "y"], grams)
-    letters = [ord(c) for c in "abcde "]
-    for context in ("    ", "   a", "abcd", "zzzz", "  be"):
-        codes = np.array([[*map(ord, context), c] for c in [*letters, ord("?")]])
-        p = np.exp(model.log_probabilities(codes).astype(float))
-        assert np.allclose(p.sum(0), 1, atol=1e-4), (context, p.sum(0))
+def kneser_ney(counts):
+    """Interpolated Kneser-Ney by its definition: probability of a character after a context of up to four."""
+    tables = {language.ORDER: counts}
+    for n in range(language.ORDER - 1, 0, -1):
+        tables[n] = Counter(g[1:] for g in tables[n + 1])
+    letters = len(tables[1]) + 1
+    cut = {}
+    for n, t in tables.items():
+        once, twice = (sum(c == k for c in t.values()) for k in (1, 2))
+        cut[n] = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+
+    def p(context, char, n=language.ORDER):
+        if not n:
+            return 1 / letters
+        context = context[len(context) - n + 1 :]
+        after = [c for g, c in tables[n].items() if g[:-1] == context]
+        lower = p(context, char, n - 1)
+        if not after:
+            return lower
+        return (max(0, tables[n].get(context + char, 0) - cut[n]) + cut[n] * len(after) * lower) / sum(after)
+
+    return p
+
+
+def random_counts(letters, seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(200)]
+    return Counter(map("".join, (map(chr, w) for w in language.windows(words)[0])))
+
+
+def language_model(spark, counts, **settings):
+    rows = [(lang, g, n, n) for lang, c in counts.items() for g, n in c.items()]
+    chosen, languages = language.own_probabilities(spark.createDataFrame(rows, "lang string, gram string, n long, n_rest long"), language.Settings(**settings))
+    return language.build(languages, language._characters(chosen.toArrow(), languages, "own"))
+
+
+CONTEXTS = ("    ", "   a", "abcd", "zzzz", "  be")
+
+
+def odds(model, context, chars):
+    return np.exp(model.log_probabilities(np.array([[*map(ord, context), ord(c)] for c in chars])).astype(float))
+
+
+def test_kneser_ney(spark):
+    counts = {"x": random_counts("abcd", 3), "y": random_counts("abcd", 4)}
+    model = language_model(spark, counts)
+    plain = [kneser_ney(c) for c in counts.values()]
+    for context in CONTEXTS:
+        got = odds(model, context, "abcd ?")
+        assert np.allclose(got.sum(0), 1, atol=1e-4), (context, got.sum(0))
+        assert np.allclose(got, [[p(context, c) for p in plain] for c in "abcd ?"], rtol=1e-4), context
+
+
+def test_kneser_ney_of_bounded_size(spark):
+    """Left-out runs give their probability to shorter ones; a language of rare runs keeps some."""
+    counts = {"x": random_counts("abcd", 3), "y": Counter(dict.fromkeys(random_counts("abcd", 4), 1))}
+    whole, part = language_model(spark, counts), language_model(spark, counts, most_grams=200)
+    assert len(part.levels[-1].grams) < len(whole.levels[-1].grams)
+    for context in CONTEXTS:
+        got = odds(part, context, "abcd ?")
+        assert np.allclose(got.sum(0), 1, atol=1e-4), (context, got.sum(0))
+    held = part.levels[-1].contexts
+    assert all((np.isin(language.hashed(np.array([[*map(ord, g[:-1])] for g in c])), held)).any() for c in counts.values())
+
+
+def test_numerals_are_no_letters(spark):
+    assert language.WORD.findall("a½b ² Ⅷ ٣ x_y 日本 é") == ["a", "b", "x", "y", "日本", "é"]
 
 
 def test_language(spark):
