@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import arrow_column, rows_of, stored, text_session
 
 ORDER = 5
-#: Signs that count as word characters without being letters: fractions, raised digits, numerals.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-WORD = re.compile(rf"[^\W_{NUMERALS}]+")
+WORD = re.compile(r"[^\W\d_]+")
+#: Signs that count as word characters without being letters or digits: fractions, raised digits, numerals.
+NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 UNKNOWN = "und"
 #: Parts into which the runs of one frequency are dealt.
 PARTS = 1_000_000
@@ -65,9 +65,16 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[at[:, None] + np.arange(ORDER)], many
 
 
+def words_in(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    if not text.isascii() and (odd := NUMERALS.intersection(text)):
+        text = text.translate(dict.fromkeys(map(ord, odd), " "))
+    return WORD.findall(text)
+
+
 def texts_of(column: pa.Array) -> list[list[str]]:
     """The words of every text; null texts have none."""
-    return [WORD.findall((b or b"").decode("utf-8", "replace").lower()) for b in column.cast(pa.binary()).to_pylist()]
+    return [words_in((b or b"").decode("utf-8", "replace").lower()) for b in column.cast(pa.binary()).to_pylist()]
 
 
 def count_grams(docs: DataFrame, text_col: str, lang_col: str, apart: Column) -> DataFrame:
