@@ -36,8 +36,7 @@ PARTS = 1_000_000
 class Settings:
     most_grams: int = 600_000  # size of the model, over all languages
     most_languages: int = 400
-    calibration: int = 4000  # documents set apart on which rejection is calibrated
-    slack: float = 1.5  # how far beyond the worst of them a text may lie
+    slack: float = 1.5  # how far beyond the worst text set apart a text may lie
     confident: int = 40  # characters that count in the score
 
 
@@ -309,8 +308,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return model
 
     others = build([languages[k] for k in rest], [without[k] for k in rest], settings.confident)
-    ids = known.filter(apart).select(id_col).distinct().orderBy(place, id_col).limit(settings.calibration)
-    sample = docs.join(F.broadcast(ids), id_col).select(F.col(text_col).cast("string").alias("text"))
+    sample = known.filter(apart).select(F.col(text_col).cast("string").alias("text"))
     handle = spark.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,23 +319,30 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 [pa.array(best), pa.array(entropy[np.arange(len(best)), best]), pa.array(chars)], ["lang", "entropy", "chars"]
             )
 
-    judged = sample.mapInArrow(run, "lang bigint, entropy double, chars bigint").filter("chars > 0").toArrow()
-    lang, entropy, chars = (judged[c].to_numpy() for c in ("lang", "entropy", "chars"))
-    # few texts of a language say little about its tail, so its reach is that of the widest language
-    farthest = np.full(len(rest), np.nan)
-    for i, k in enumerate(rest):
-        own = lang == i
-        if own.any():
-            model.mean[k] = np.average(entropy[own], weights=chars[own])
-            farthest[i] = ((entropy[own] - model.mean[k]) * _weight(chars[own])).max()
-    if np.isfinite(farthest).any():
-        widest = settings.slack * max(0.0, float(np.nanmax(farthest)))
-        for i, k in enumerate(rest):
-            if np.isfinite(farthest[i]):
-                model.reach[k] = widest
+    judged = stored(sample.mapInArrow(run, "lang bigint, entropy double, chars bigint").filter("chars > 0"), "judged")
+    own = calibrate(judged, settings)
+    for i, (mean, reach) in own.items():
+        model.mean[rest[i]], model.reach[rest[i]] = mean, reach
+    if own:  # a language without texts set apart is judged like the one that is hardest to foretell
+        for k in set(range(len(languages))) - {rest[i] for i in own}:
+            model.mean[k], model.reach[k] = max(m for m, _ in own.values()), max(r for _, r in own.values())
     return model
 
 
+def calibrate(judged: DataFrame, settings: Settings = Settings()) -> dict[int, tuple[float, float]]:
+    """Number of language: (mean cross-entropy, reach) of all texts set apart (columns lang, entropy, chars).
+
+    Few texts of a language say little about its tail, so the reach is that of the
+    widest language.
+    """
+    means = judged.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("chars")) / F.sum("chars")).alias("mean"))
+    weight = F.sqrt(F.least(F.lit(100), F.col("chars")))
+    # a row per language
+    rows = judged.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.max((F.col("entropy") - F.col("mean")) * weight).alias("far")).collect()
+    widest = settings.slack * max([0.0, *(r.far for r in rows)])
+    return {r.lang: (r.mean, widest) for r in rows}
+
+
 def judge(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
     """Add a struct column ``out``: lang, score, entropy, rejected.
 

@@ -192,6 +192,18 @@ def test_language(spark):
     assert language.judge(held, nothing, out="l").filter("l.lang <> 'und'").count() == 0
 
 
+def test_every_language_gets_a_reach(spark):
+    """A language too rare to have a text set apart is calibrated like the others."""
+    docs = table(spark, FOLDER, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    number = next(i for i in range(10**6, 10**6 + 99) if spark.range(1).select(F.pmod(F.xxhash64(F.lit(str(i))), F.lit(8))).first()[0])
+    rare = spark.createDataFrame([(number, "жизнь идёт своим чередом и всё повторяется снова " * 5, "ru")], "doc_id long, text string, lang string")
+    model = language.fit(docs.unionByName(rare), F.lit(True))
+    assert "ru" in model.languages and np.isfinite(model.reach).all()
+    strange = language.judge(documents(spark, [(1, "щъёэ жщцф юыэх ъфщ " * 30)]), model, out="l").select("l.*").first()
+    assert (strange.lang, strange.rejected) == ("ru", True)
+    assert not language.judge(rare, model, out="l").filter("l.rejected").count()
+
+
 def test_queries_hold_their_folds(spark):
     for name, divisor, rest in (("op1_toxicity", 5, 0), ("op5_quality", 3, 1), ("op7_language", 4, 2)):
         out = QUERIES[name](spark, "/root/testdata/sf0.001")
