@@ -18,7 +18,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_column, rows_of, stored, text_session
@@ -36,7 +36,9 @@ PARTS = 1_000_000
 class Settings:
     most_grams: int = 600_000  # size of the model, over all languages
     most_languages: int = 400
-    slack: float = 1.5  # how far beyond the worst text set apart a text may lie
+    quantile: float = 0.99  # share of the texts set apart that rejection is calibrated on
+    slack: float = 2.0  # how many times as far a text may lie
+    prior: int = 100  # texts that the quantile of all languages counts in that of one
     confident: int = 40  # characters that count in the score
 
 
@@ -329,18 +331,36 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return model
 
 
+def _quantile(rows: DataFrame, value: Column, weight: Column, share: float, *keys: str) -> DataFrame:
+    """keys, at: the value below which a share of the weight lies, in steps of a thousandth; exact whatever the order of rows."""
+    steps = rows.groupBy(*keys, F.floor(value * 1000).alias("step")).agg(F.sum(weight).alias("weight"))
+    part = Window.partitionBy(*(keys or [F.lit(0)]))
+    below = F.sum("weight").over(part.orderBy("step"))
+    steps = steps.select(*keys, "step", below.alias("below"), F.sum("weight").over(part).alias("total"))
+    return steps.filter(F.col("below") >= F.col("total") * share).groupBy(*keys).agg(((F.min("step") + 1) / 1000).alias("at"))
+
+
 def calibrate(judged: DataFrame, settings: Settings = Settings()) -> dict[int, tuple[float, float]]:
-    """Number of language: (mean cross-entropy, reach) of all texts set apart (columns lang, entropy, chars).
+    """Number of language: (typical cross-entropy, reach) of all texts set apart (columns lang, entropy, chars).
 
-    Few texts of a language say little about its tail, so the reach is that of the
-    widest language.
+    The typical value is the median by weight of characters, the reach ``slack`` times
+    a high quantile of the weighted deviation, so that single texts that are foreign or
+    mislabelled move neither. Few texts of a language say little about its tail: its
+    quantile is averaged with that of all texts, which counts as ``prior`` texts.
     """
-    means = judged.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("chars")) / F.sum("chars")).alias("mean"))
-    weight = F.sqrt(F.least(F.lit(100), F.col("chars")))
+    weight = F.least(F.lit(100), F.col("chars"))
+    middle = _quantile(judged, F.col("entropy"), weight, 0.5, "lang").withColumnRenamed("at", "mean")
+    apart = stored(
+        judged.join(F.broadcast(middle), "lang").select("lang", "mean", ((F.col("entropy") - F.col("mean")) * F.sqrt(weight)).alias("far")), "apart"
+    )
+    pooled = _quantile(apart, F.col("far"), F.lit(1), settings.quantile).first()
+    if pooled is None:
+        return {}
+    many = apart.groupBy("lang", "mean").agg(F.count(F.lit(1)).alias("n"))
     # a row per language
-    rows = judged.join(F.broadcast(means), "lang").groupBy("lang", "mean").agg(F.max((F.col("entropy") - F.col("mean")) * weight).alias("far")).collect()
-    widest = settings.slack * max([0.0, *(r.far for r in rows)])
-    return {r.lang: (r.mean, widest) for r in rows}
+    rows = many.join(_quantile(apart, F.col("far"), F.lit(1), settings.quantile, "lang"), "lang").collect()
+    shrunk = lambda r: (r.n * r.at + settings.prior * pooled.at) / (r.n + settings.prior)
+    return {r.lang: (r.mean, settings.slack * max(0.0, shrunk(r))) for r in rows}
 
 
 def judge(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:

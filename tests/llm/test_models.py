@@ -204,6 +204,19 @@ def test_every_language_gets_a_reach(spark):
     assert not language.judge(rare, model, out="l").filter("l.rejected").count()
 
 
+def test_dirty_texts_do_not_widen_the_reach(spark):
+    """Of the texts set apart a few that lie far off, and very long, move neither the middle nor the reach."""
+    rnd = random.Random(7)
+    clean = [(k, rnd.gauss(1.4, 0.1), 400) for k in (0, 1) for _ in range(2000)] + [(2, rnd.gauss(1.4, 0.1), 400) for _ in range(5)]
+    dirty = [(rnd.choice((0, 1)), 6.0, 10**6) for _ in range(12)]
+    kind = "lang long, entropy double, chars long"
+    plain, mixed = (language.calibrate(spark.createDataFrame(rows, kind).repartition(5)) for rows in (clean, clean + dirty))
+    for lang in (0, 1, 2):
+        assert abs(plain[lang][0] - 1.4) < 0.1 and abs(mixed[lang][0] - plain[lang][0]) < 0.01
+        assert 3 < plain[lang][1] < 6 and mixed[lang][1] < 1.3 * plain[lang][1]
+    assert language.calibrate(spark.createDataFrame([], kind)) == {}
+
+
 def test_queries_hold_their_folds(spark):
     for name, divisor, rest in (("op1_toxicity", 5, 0), ("op5_quality", 3, 1), ("op7_language", 4, 2)):
         out = QUERIES[name](spark, "/root/testdata/sf0.001")
