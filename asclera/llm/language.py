@@ -2,7 +2,7 @@
 
 A model of order five is kept for every language, over lower-cased words of letters
 with a blank behind and blanks in front. All languages share sorted arrays of n-gram
-hashes; beside each hash stand its log-probabilities in every language, back-off
+hashes, split into parts of bounded size; beside each hash stand its log-probabilities in every language, back-off
 included. A text gets the language of the lowest cross-entropy per character; a text
 that no learned language explains as well as its own texts is rejected.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -30,11 +30,14 @@ NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not
 UNKNOWN = "und"
 #: Parts into which the runs of one frequency are dealt.
 PARTS = 1_000_000
+#: Bytes of text that are scored together when the model has several parts.
+GROUP = 16 << 20
 
 
 @dataclass(frozen=True)
 class Settings:
-    most_grams: int = 600_000  # size of the model, over all languages
+    most_grams: int | None = None  # a number makes a smaller, coarser model; None keeps every run
+    part_cells: int = 8_000_000  # runs times languages that a part of the model holds
     most_languages: int = 400
     quantile: float = 0.99  # share of the texts set apart that rejection is calibrated on
     slack: float = 2.0  # how many times as far a text may lie
@@ -105,12 +108,14 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str, apart: Column) ->
 
 
 def _chosen(counts: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]]:
-    """The runs of five that the model holds: of each language the most frequent ones.
+    """The runs of five that the model holds: all, or under ``most_grams`` of each language the most frequent ones.
 
     Frequencies are grouped in steps of an eighth of a doubling. Of the step on the edge
     the runs are taken in the order of their hash until the share is used up.
     """
     languages = sorted(r.lang for r in rows_of(counts.select("lang").distinct(), settings.most_languages))
+    if settings.most_grams is None:
+        return counts, languages
     step = F.floor(F.log2("n") * 8).cast("int")
     place = F.pmod(F.xxhash64("gram"), F.lit(PARTS))
     share = settings.most_grams // max(1, len(languages))
@@ -175,8 +180,6 @@ class Model:
     languages: list[str]
     levels: list[Level]  # orders 1 to ORDER
     unseen: np.ndarray  # log-probability of a character never seen
-    mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    reach: np.ndarray = field(default_factory=lambda: np.zeros(0))
     confident: int = 40
 
     def log_probabilities(self, codes: np.ndarray) -> np.ndarray:
@@ -196,28 +199,33 @@ class Model:
         out[left] += self.unseen
         return out
 
-    def word_odds(self, words: list[str]) -> np.ndarray:
-        """Per word the sum over its characters."""
+    def word_odds(self, words: list[str], part: int = 0, parts: int = 1) -> np.ndarray:
+        """Per word the sum over those of its characters that the part judges."""
         out = np.zeros((len(words), len(self.languages)))
         for low in range(0, len(words), 20_000):
             some = words[low : low + 20_000]
             codes, many = windows(some)
-            out[low : low + len(some)] = np.add.reduceat(self.log_probabilities(codes), np.cumsum(many) - many, axis=0, dtype=np.float64)
+            if parts == 1:
+                odds = self.log_probabilities(codes)
+            else:
+                here = part_of(codes, parts) == part
+                odds = np.zeros((len(codes), len(self.languages)), np.float32)
+                odds[here] = self.log_probabilities(codes[here])
+            out[low : low + len(some)] = np.add.reduceat(odds, np.cumsum(many) - many, axis=0, dtype=np.float64)
         return out
 
-    def entropies(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropy per character in every language, characters) of every text; zeros without words."""
-        index = {w: i for i, w in enumerate(set().union(*texts))}
-        odds = self.word_odds(list(index)) if index else np.zeros((0, len(self.languages)))
-        size = np.fromiter((len(w) + 1 for w in index), np.int64, len(index))
-        out, chars = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        for i, words in enumerate(texts):
-            if words:
-                at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                chars[i] = size[at].sum()
-                # one row at a time would lose digits; numpy adds in pairs
-                out[i] = -odds[at].sum(0) / chars[i]
-        return out, chars
+
+def mean_odds(texts: list[list[str]], index: dict[str, int], odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(negative mean of the words' odds per character, characters) of every text."""
+    size = np.fromiter((len(w) + 1 for w in index), np.int64, len(index))
+    out, chars = np.zeros((len(texts), odds.shape[1])), np.zeros(len(texts), np.int64)
+    for i, words in enumerate(texts):
+        if words:
+            at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+            chars[i] = size[at].sum()
+            # one row at a time would lose digits; numpy adds in pairs
+            out[i] = -odds[at].sum(0) / chars[i]
+    return out, chars
 
 
 def _weight(chars: np.ndarray) -> np.ndarray:
@@ -232,6 +240,72 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == keys
 
 
+def part_of(codes: np.ndarray, many: int) -> np.ndarray:
+    """The part of every run of five: by the third and fourth character, the end of its context."""
+    return (codes[:, 2].astype(np.int64) * 1_000_003 + codes[:, 3].astype(np.int64) * 7919) % 2_147_483_647 % many
+
+
+def part_column(many: int) -> Column:
+    """The same in Spark for a run of three to five; shorter runs belong to every part."""
+    size = F.length("gram")
+    code = lambda back: F.ascii(F.substring(F.col("gram"), size - back, F.lit(1))).cast("bigint")
+    place = (code(2) * 1_000_003 + code(1) * 7919) % 2_147_483_647 % many
+    return F.when(size > 2, place).otherwise(-1).cast("int")
+
+
+@dataclass
+class Parts:
+    """A model in parts that are broadcast one by one, so that neither driver nor task holds it whole.
+
+    The chain of endings and contexts that a run of five needs lies in one part, so
+    its probability does not depend on the number of parts.
+    """
+
+    languages: list[str]
+    parts: list
+    mean: np.ndarray
+    reach: np.ndarray
+    confident: int
+
+    def entropies(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(cross-entropy per character in every language, characters) of every text; zeros without words."""
+        index = {w: i for i, w in enumerate(set().union(*texts))}
+        words, odds = list(index), np.zeros((len(index), len(self.languages)))
+        for k, part in enumerate(self.parts if words else []):
+            odds += part.value.word_odds(words, k, len(self.parts))
+            if len(self.parts) > 1 and part._path is not None:
+                del part._value  # the next use reads it again from the executor's disk
+        return mean_odds(texts, index, odds)
+
+    def batches(self, columns: Iterator[pa.Array]) -> Iterator[tuple[list[int], list[list[str]]]]:
+        """(rows, words) of the batches; with several parts as many together as GROUP allows, as every group reads all parts."""
+        texts: list[list[str]] = []
+        sizes: list[int] = []
+        held = 0
+        for column in columns:
+            texts += texts_of(column)
+            sizes.append(len(column))
+            held += column.nbytes
+            if len(self.parts) == 1 or held >= GROUP:
+                yield sizes, texts
+                texts, sizes, held = [], [], 0
+        if sizes:
+            yield sizes, texts
+
+
+def in_parts(spark, table: DataFrame, languages: list[str], column: str, settings: Settings) -> Parts:
+    """The parts from the stored own probabilities of ``column``; the driver holds one at a time."""
+    rows = table.filter(F.col(column).isNotNull()).select("lang", "gram", F.col(column))
+    many = max(1, -(-rows.count() * len(languages) // settings.part_cells))
+    parts = []
+    if many > 1:
+        rows = stored(rows.withColumn("part", part_column(many)).sort("part"), "parts")
+    for k in range(many if languages else 0):
+        some = rows.filter(F.col("part").isin(-1, k)) if many > 1 else rows
+        parts.append(spark.sparkContext.broadcast(build(languages, _characters(some.toArrow(), languages, column), settings.confident)))
+    return Parts(languages, parts, np.zeros(len(languages)), np.full(len(languages), np.inf), settings.confident)
+
+
 def build(languages: list[str], grams: list[list[tuple[np.ndarray, np.ndarray]]], confident: int = 40) -> Model:
     """The model from (characters, own probabilities) of every order, the lowest first, in every language.
 
@@ -285,12 +359,11 @@ def _characters(grams: pa.Table, languages: list[str], column: str) -> list[list
     return out
 
 
-def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Model:
+def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> Parts:
     """Count all documents that ``learn`` marks and whose language is not null.
 
-    Counts and all statistics drawn from them cover every such text; only the size of
-    the finished model is bounded, by leaving out its rarest runs, whose probability goes
-    to the shorter runs. One learnable id in eight is set apart: a model of
+    Counts, statistics and the finished model cover every run of every such text; the
+    model grows with them and is split into parts of bounded size. One learnable id in eight is set apart: a model of
     the other seven says how far texts it has not seen lie from its own, which
     calibrates rejection; the finished model counts all eight. With nothing to learn
     from, no language is known.
@@ -301,21 +374,20 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     apart = F.pmod(place, F.lit(8)) == 0
     counts = stored(count_grams(known, text_col, lang_col, apart), "grams")
     chosen, languages = own_probabilities(counts, settings)
-    table = chosen.toArrow()
-    model = build(languages, _characters(table, languages, "own"), settings.confident)
-    model.mean, model.reach = np.zeros(len(languages)), np.full(len(languages), np.inf)
-    without = _characters(table, languages, "own_rest")
-    rest = [k for k, orders in enumerate(without) if len(orders[0][0])]
+    table = stored(chosen, "own")
+    model = in_parts(spark, table, languages, "own", settings)
+    # a row per language
+    seen = {r.lang for r in table.filter("own_rest is not null").select("lang").distinct().collect()}
+    rest = [k for k, lang in enumerate(languages) if lang in seen]
     if not rest:
         return model
 
-    others = build([languages[k] for k in rest], [without[k] for k in rest], settings.confident)
+    others = in_parts(spark, table, [languages[k] for k in rest], "own_rest", settings)
     sample = known.filter(apart).select(F.col(text_col).cast("string").alias("text"))
-    handle = spark.sparkContext.broadcast(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entropy, chars = handle.value.entropies(texts_of(batch.column(0)))
+        for _, texts in others.batches(batch.column(0) for batch in batches):
+            entropy, chars = others.entropies(texts)
             best = entropy.argmin(1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(best), pa.array(entropy[np.arange(len(best)), best]), pa.array(chars)], ["lang", "entropy", "chars"]
@@ -363,7 +435,7 @@ def calibrate(judged: DataFrame, settings: Settings = Settings()) -> dict[int, t
     return {r.lang: (r.mean, settings.slack * max(0.0, shrunk(r))) for r in rows}
 
 
-def judge(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
+def judge(docs: DataFrame, model: Parts, text_col: str = "text", out: str = "language") -> DataFrame:
     """Add a struct column ``out``: lang, score, entropy, rejected.
 
     A text that is null, empty or without a letter is ``und`` with score 0 and
@@ -372,12 +444,9 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lan
     length. Rows are neither joined nor dropped, so repeated rows and null ids stay; a
     column named ``out`` is replaced. An empty table stays empty.
     """
-    spark = text_session(docs.sparkSession)
-    handle = spark.sparkContext.broadcast(model)
+    text_session(docs.sparkSession)
 
-    def run(column: pa.Array) -> pa.Array:
-        model = handle.value
-        texts = texts_of(column)
+    def verdicts(texts: list[list[str]]) -> pa.StructArray:
         n = len(texts)
         lang, score, entropy, rejected = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n), np.ones(n, bool)
         if model.languages:
@@ -395,5 +464,11 @@ def judge(docs: DataFrame, model: Model, text_col: str = "text", out: str = "lan
             [pa.array(lang, pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], ["lang", "score", "entropy", "rejected"]
         )
 
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for sizes, texts in model.batches(columns):
+            found = verdicts(texts)
+            for low, size in zip(np.cumsum([0, *sizes]).tolist(), sizes):
+                yield found.slice(low, size)
+
     kind = "struct<lang:string,score:double,entropy:double,rejected:boolean>"
     return docs.withColumn(out, arrow_column(run, kind)(F.col(text_col).cast("string")))

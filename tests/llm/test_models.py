@@ -170,6 +170,28 @@ def test_kneser_ney_of_bounded_size(spark):
     assert all((np.isin(language.hashed(np.array([[*map(ord, g[:-1])] for g in c])), held)).any() for c in counts.values())
 
 
+def test_every_run_is_kept(spark):
+    """More different runs than any bound on the model's size that came before."""
+    letter = lambda k: F.chr(F.lit(97) + F.floor(F.col("id") / 26**k) % 26)
+    counts = spark.range(700_000).select(F.lit("x").alias("lang"), F.concat(*[letter(k) for k in range(5)]).alias("gram"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("n_rest"))
+    kept, _ = language.own_probabilities(counts, language.Settings())
+    assert kept.filter("length(gram) = 5").count() == 700_000
+
+
+def test_parts_do_not_change_verdicts(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    rare = spark.createDataFrame([(10**6 + i, "日本語の文章です 𠀀𠀁𠀂 " * 3, "ja") for i in range(9)], "doc_id long, text string, lang string")
+    docs = docs.unionByName(rare)
+    whole, split = (language.fit(docs, F.lit(True), settings=language.Settings(**s)) for s in ({}, {"part_cells": 20_000}))
+    assert len(whole.parts) == 1 and len(split.parts) > 3
+    assert max(len(p.value.levels[-1].grams) for p in split.parts) < 0.7 * len(whole.parts[0].value.levels[-1].grams)
+    one, two = ({(r.doc_id): r.l for r in language.judge(docs, m, out="l").collect()} for m in (whole, split))
+    assert one.keys() == two.keys() and np.allclose(whole.reach, split.reach)
+    for k, a in one.items():
+        b = two[k]
+        assert (a.lang, a.rejected) == (b.lang, b.rejected) and np.isclose(a.entropy, b.entropy) and np.isclose(a.score, b.score)
+
+
 def test_numerals_are_no_letters():
     assert language.words_in("a½b ² Ⅷ ٣ x_y 日本 é") == ["a", "b", "x", "y", "日本", "é"]
 
