@@ -25,9 +25,10 @@ def _unused(docs: DataFrame, name: str) -> str:
     return name
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose id is not in ``gone``; null ids stay, rows of one id go together."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents, written once with a number of their own for every row, and that column's name."""
+    row = _unused(docs, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,15 +46,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked fingerprints the document with the smallest id."""
-    found = simhash.near_duplicates(docs, shingle=3)
-    return _without(docs, found.filter("doc_id <> component_id"))
+    """Of every group of linked fingerprints one row: of the smallest id, or without an id if none has one."""
+    rows, row = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    found = simhash.near_duplicates(rows.select(key.alias("key"), "text"), id_col="key", shingle=3)
+    gone = found.filter("key.row <> component_id.row").select(F.col("key.row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    """Documents that hold no window of a benchmark item, row by row."""
+    rows, row = _numbered(docs)
+    found = decontaminate.contamination(rows.select(row, "text"), table(spark, sf_dir, "benchmark"), id_col=row)
+    return rows.join(found.filter("contaminated").select(row), row, "left_anti").select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,14 @@ def test_stages_keep_columns(spark):
     for _name, stage in pipeline.STAGES:
         assert stage(spark, documents(spark, []), FOLDER).count() == 0
     assert len(pipeline.STAGES) == 5
+
+
+def test_rows_are_judged_one_by_one(spark):
+    """Null, repeated and shared ids: every row stands or falls by its own text."""
+    leak = max((r.text for r in table(spark, FOLDER, "benchmark").collect() if r.text), key=len)
+    clean = ["a harbour pilot counts ships at dawn while gulls circle over cold slate water", "seven tailors mend one velvet curtain for the theatre on the hill before winter"]
+    out = pipeline.benchmark_decontamination(spark, documents(spark, [(None, leak), (1, leak), (1, clean[0]), (None, clean[1]), (1, leak)]), FOLDER)
+    assert sorted((r.text, r.doc_id) for r in out.collect()) == [(clean[0], 1), (clean[1], None)]
+    rows = [(5, clean[0]), (5, clean[0]), (5, clean[1]), (3, clean[0]), (None, clean[0]), (None, "x y z w"), (None, "x y z w")]
+    out = pipeline.near_duplicates(spark, documents(spark, rows), FOLDER)
+    assert sorted((r.text, r.doc_id) for r in out.collect()) == [(clean[0], 3), (clean[1], 5), ("x y z w", None)]
