@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, language, licenses, pieces, quality, sharding, simhash, toxicity, urls, vectors
+from . import decontaminate, infill, language, licenses, packing, pieces, quality, sharding, simhash, toxicity, turns, urls, vectors
 from .common import remainder, table
 
-#: The path of the tokenizer's model file; a session may set another.
+#: The paths of the tokenizers' files; a session may set others.
 PIECES = "spark.asclera.pieces"
+BYTES = "spark.asclera.bytes"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,12 +58,12 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-def model_path(spark: SparkSession) -> str:
-    if set_path := spark.conf.get(PIECES, None):
+def model_path(spark: SparkSession, setting: str = PIECES, name: str = "piece_bpe_32k.model") -> str:
+    if set_path := spark.conf.get(setting, None):
         return set_path
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 @query("op4_pieces")
@@ -143,3 +144,35 @@ select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as comp
 from v left join many on many.a = vec_id left join least on least.id = vec_id""")
 def op10_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op11_turns")
+def op11_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.contract(table(spark, folder, "conversations"))
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack(table(spark, folder, "documents"), model_path(spark, BYTES, "byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "start", "length", packing.ids_crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step"
+    )
+
+
+@query("op13_infill", """
+with d as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as x,
+    regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') as l from documents),
+h as (
+  select *, len(l) as n, cast('0x' || x[1:8] as bigint) as h1, cast('0x' || x[9:16] as bigint) as h2,
+    cast('0x' || x[17:24] as bigint) as h3, cast('0x' || x[25:32] as bigint) as h4 from d),
+c as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+p as (select *, array_to_string(l[1:a], '') as prefix, array_to_string(l[a + 1:b], '') as middle, array_to_string(l[b + 1:n], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(t) as restored_sha256
+from p""")
+def op13_infill(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(infill.transform(table(spark, folder, "documents")))
