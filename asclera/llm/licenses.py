@@ -3,19 +3,25 @@
 Rolling word k-grams of texts are joined with the places of the same grams in the
 templates. A copy of a template puts its votes on one diagonal (word number in the
 text less word number in the template); words put in or left out shift the rest to
-a neighbouring diagonal, so neighbours are merged before the span is verified.
+a neighbouring diagonal. So each diagonal is merged with those behind it that a copy
+may reach, a window bounded by the template's length: what stands beside a copy falls
+outside or adds to it, but cannot undo it. A merged window is verified by its longest
+run of grams in the order of both text and template.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from bisect import bisect_left
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import grams, tokens
-from .common import stored, text_session
+from .common import arrow_column, stored, text_session
 
 GRAM = 2
-#: Diagonals at most this far apart are one copy with words put in or left out.
+#: A copy may hold half as many words more than the template, and this many.
 NEIGHBOURS = 3
 #: Share of a template's grams that a verified copy holds. Templates of fewer grams
 #: must be held whole, as a single word tells versions and variants apart.
@@ -67,6 +73,59 @@ def template_grams(spark: SparkSession, phrases: list[tuple[str, str]], notices:
     return spark.createDataFrame(rows, kind)
 
 
+def _drift(n_grams):
+    """How far the diagonals of one copy may lie apart."""
+    return n_grams // 2 + NEIGHBOURS
+
+
+def longest_run(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain of (place, at) that rises in both."""
+    ends: list[int] = []  # the least last ``at`` of the chains of each length
+    last: list[int] = []  # the hit that such a chain ends with
+    before: list[int] = []
+    ordered = sorted(set(hits), key=lambda h: (h[0], -h[1]))
+    for k, (_, at) in enumerate(ordered):
+        n = bisect_left(ends, at)
+        before.append(last[n - 1] if n else -1)
+        ends[n:] = [at] + ends[n + 1 :]
+        last[n:] = [k] + last[n + 1 :]
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(ordered[k])
+        k = before[k]
+    return out[::-1]
+
+
+def _runs(near: pa.Array) -> pa.Array:
+    """Length, first and last word of the longest run of every window of diagonals."""
+    found = []
+    for window in near.to_pylist():
+        if window is None:
+            found.append((0, None, None))
+            continue
+        run = longest_run([(p, p + v["diagonal"]) for v in window for p in v["places"]])
+        found.append((len(run), run[0][1], run[-1][1]))
+    return pa.StructArray.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["n", "first", "last"])
+
+
+def _copies(votes: DataFrame, reach: int) -> DataFrame:
+    """A row per diagonal, with the copy that begins there: first, last, held, verified. ``reach``: the greatest drift."""
+    behind = Window.partitionBy("doc", "template").orderBy("diagonal").rangeBetween(0, reach)
+    least = F.when(F.col("n_grams") < WHOLE_BELOW, F.lit(1.0)).otherwise(F.lit(HELD))
+    share: Column = F.size("places") / F.col("n_grams")
+    merged = (
+        votes.withColumn("near", F.collect_list(F.struct("diagonal", "places")).over(behind))
+        .withColumn("near", F.filter("near", lambda v: v["diagonal"] - F.col("diagonal") <= F.floor(F.col("n_grams") / 2) + NEIGHBOURS))
+        .withColumn("together", F.size(F.array_distinct(F.flatten(F.transform("near", lambda v: v["places"])))) / F.col("n_grams"))
+    )
+    # one diagonal is in order by itself; a merged window is looked at where it may be a copy
+    run = F.when((F.size("near") > 1) & (F.col("together") >= least), F.col("near"))
+    looked = merged.withColumn("run", arrow_column(_runs, "struct<n:bigint,first:bigint,last:bigint>")(run))
+    held = F.greatest(share, F.col("run.n") / F.col("n_grams"))
+    first, last = F.coalesce("run.first", F.col("low")), F.coalesce("run.last", F.col("high"))
+    return looked.select("doc", "label", "base", first.alias("first"), last.alias("last"), held.alias("held"), (held >= least).alias("verified"))
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -74,7 +133,10 @@ def scan(
     phrases: list[tuple[str, str]] = PHRASES,
     notices: list[tuple[str, str]] = NOTICES,
 ) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): spans has doc, label, base, first, last (words), held (share of grams), verified."""
+    """(documents, spans): spans has doc, label, base, first, last (words), held (share of grams), verified.
+
+    A copy with words put in is met on each of its diagonals, so its spans may overlap.
+    """
     spark = text_session(docs.sparkSession)
     templates = template_grams(spark, phrases, notices)
     only = grams.broadcast(spark, grams.shared_filter(templates, "gram"))
@@ -97,26 +159,8 @@ def scan(
     exact = votes.filter(F.col("base") & (F.size("places") == F.col("n_grams"))).select(
         "doc", "label", "base", F.col("diagonal").alias("first"), F.col("high").alias("last"), F.lit(1.0).alias("held")
     )
-    line = Window.partitionBy("doc", "template").orderBy("diagonal")
-    begins = (F.col("diagonal") - F.lag("diagonal").over(line) > NEIGHBOURS).cast("int")
-    merged = (
-        votes.filter(~F.col("base"))
-        .withColumn("copy", F.sum(F.coalesce(begins, F.lit(0))).over(line))
-        .groupBy("doc", "template", "label", "base", "n_grams", "copy")
-        .agg(
-            F.min("low").alias("first"),
-            F.max("high").alias("last"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("together"),
-            F.max(F.size("places")).alias("alone"),
-        )
-    )
-    # a merged copy may hold some words more than the template, but not many
-    near = F.col("last") - F.col("first") + 1 <= 1.5 * F.col("n_grams") + NEIGHBOURS
-    held = F.when(near, F.col("together")).otherwise(F.col("alone")) / F.col("n_grams")
-    least = F.when(F.col("n_grams") < WHOLE_BELOW, F.lit(1.0)).otherwise(F.lit(HELD))
-    return documents, exact.withColumn("verified", F.lit(True)).unionByName(
-        merged.select("doc", "label", "base", "first", "last", held.alias("held"), (held >= least).alias("verified"))
-    )
+    reach = max([_drift(len(tokens.words_of(text))) for text, _ in notices], default=0)
+    return documents, exact.withColumn("verified", F.lit(True)).unionByName(_copies(votes.filter(~F.col("base")), reach))
 
 
 def labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

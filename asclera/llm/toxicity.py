@@ -84,23 +84,27 @@ class Lexicon(dict):
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, past-last, score), in one pass (Ruzzo and Tompa)."""
+    """All maximal scoring segments (first, past-last, score), in linear time (Ruzzo and Tompa).
+
+    Each held segment knows the nearest earlier one that begins at a lower sum. A search
+    follows these links, and the new segment's link leads past all that it has passed,
+    so no segment is passed twice.
+    """
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    held: list[tuple[int, int, float, float]] = []  # first, past-last, sums before and behind
+    held: list[tuple[int, int, float, float, int]] = []  # first, past-last, sums before and behind, link
     for i in np.flatnonzero(scores > 0):
         first, last, low, high = int(i), int(i) + 1, float(total[i]), float(total[i + 1])
-        while held:
-            j = len(held) - 1
-            # nearest earlier segment that begins lower; those passed cannot be joined later,
-            # but stay in the answer, so the search leaps over them
+        j = len(held) - 1
+        while True:
             while j >= 0 and held[j][2] >= low:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= high:
                 break
-            first, low = held[j][0], held[j][2]
+            first, _, low, _, link = held[j]
             del held[j:]
-        held.append((first, last, low, high))
-    return [(a, b, high - low) for a, b, low, high in held]
+            j = link
+        held.append((first, last, low, high, j))
+    return [(a, b, high - low) for a, b, low, high, _ in held]
 
 
 def words_of(column: pa.Array) -> Iterator[list[str]]:

@@ -244,3 +244,19 @@ def test_queries_hold_their_folds(spark):
         out = QUERIES[name](spark, "/root/testdata/sf0.001")
         assert out.count() == 200
         assert out.filter((remainder("doc_id", divisor) == rest) != F.col("held_out")).count() == 0
+
+
+def test_segments_take_linear_time():
+    """Falling sums, the case in which every earlier segment begins higher."""
+    import time
+
+    import numpy as np
+
+    def taken(n):
+        scores = np.tile([1.0, -2.0], n)
+        start = time.process_time()
+        assert len(toxicity.segments(scores)) == n
+        return time.process_time() - start
+
+    small, large = min(taken(50_000) for _ in range(3)), taken(500_000)
+    assert large < 30 * small

@@ -154,3 +154,34 @@ def test_shards(spark):
     assert len(sizes) == 6 and max(sizes) - min(sizes) <= 2 * 408
     assert sharding.shards(documents(spark, []), 6).count() == 0
     assert sharding.shards(documents(spark, [(1, "a")]), 6).count() == 1
+
+
+MIT = licenses.NOTICES[2][0]
+
+
+def test_what_stands_beside_a_copy_cannot_undo_it(spark):
+    words = MIT.split()
+    edited = " ".join([*words[:9], "kindly", *words[9:]])
+    rows = [
+        (1, edited),
+        (2, edited + " documentation files" * 20),
+        (3, "of this software " * 20 + edited),
+        (4, " ".join(reversed(words))),
+        (5, " ".join(words[::2])),
+        (6, " documentation files" * 200),
+        (7, f"{edited} {edited}"),
+    ]
+    got = {r.doc_id: "mit-text" in r.labels.split(",") for r in licenses.labels(documents(spark, rows)).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: True}
+
+
+def test_longest_run_against_all_chains():
+    import itertools
+    import random
+
+    rnd = random.Random(9)
+    for _ in range(200):
+        hits = [(rnd.randrange(6), rnd.randrange(8)) for _ in range(rnd.randint(0, 8))]
+        best = max((len(c) for n in range(len(hits) + 1) for c in itertools.combinations(sorted(hits), n) if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:]))), default=0)
+        run = licenses.longest_run(hits)
+        assert len(run) == best and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(run, run[1:])) and set(run) <= set(hits)
