@@ -5,7 +5,8 @@ single key holds a large share of a very big table that task never finishes. The
 functions here cut the sort order ``keys + order`` at sampled points into ranges
 of similar size, so that a hot key is spread over many ranges while a cold key
 normally stays inside one. The sample only chooses the cut points; every row is
-kept, and results do not depend on where the cuts fall.
+kept, and results do not depend on where the cuts fall. Running sums and order
+statistics have one plan at every size.
 
 Bounds: at most ``MAX_RANGES`` cut points are held by the driver, and the rows
 copied across a cut are at most ``before + after`` per cut.
@@ -14,10 +15,18 @@ copied across a cut are at most ``before + after`` per cut.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import kept
 
 ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 4096
@@ -159,49 +168,86 @@ def over_ranges(
     )
 
 
-def running_sums(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    sums: dict[str, Column],
-    cuts: list[tuple] | None = None,
-) -> DataFrame:
-    """Add running totals from the first row of a key up to the current row.
-
-    With no ``keys`` the total runs over the whole table without moving it to one
-    task: each range sums itself and adds the total of the ranges before it.
+def _summed(rows: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Running totals of ``names`` within each partition and key, with the partition and place of every row."""
+    added = T.StructType.fromDDL("_part int, _at bigint, _leads boolean")
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen, leads = TaskContext.get().partitionId(), 0, True
+        last, carried = None, {}
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            table = {c: batch.column(i) for i, c in enumerate(columns)}
+            begins = np.zeros(n, bool)  # rows with another key than the row before
+            for k in keys:
+                c = table[k]
+                same = pc.equal(c.slice(1), c.slice(0, n - 1))
+                both = pc.and_(c.slice(1).is_null(), c.slice(0, n - 1).is_null())
+                begins[1:] |= ~pc.or_(pc.fill_null(same, False), both).to_numpy(zero_copy_only=False)
+            head = tuple(table[k][0].as_py() for k in keys)
+            new_head = seen > 0 and head != last
+            begins[0] = new_head or not seen
+            group = np.cumsum(begins)
+            first = int(np.searchsorted(group, group[0], "right"))  # rows of the key that the batch begins with
+            for name in names:
+                kind = np.float64 if pa.types.is_floating(table[name].type) else np.int64
+                x = pc.fill_null(table[name], 0).to_numpy(zero_copy_only=False).astype(kind)
+                total = pd.Series(x).groupby(group).cumsum().to_numpy().copy()
+                if not begins[0]:
+                    total[:first] += carried[name]
+                carried[name] = total[-1]
+                table[name] = pa.array(total)
+            leading = np.zeros(n, bool)
+            if leads:
+                stop = 0 if new_head else first
+                leading[:stop] = True
+                leads = stop == n
+            yield pa.RecordBatch.from_arrays(
+                [*table.values(), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(seen, seen + n)), pa.array(leading)],
+                [*columns, *added.names],
+            )
+            seen += n
+            last = tuple(table[k][n - 1].as_py() for k in keys)
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *added.fields]))
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Add running totals from the first row of a key (or of the table) up to the current row.
+
+    One plan at every size: rows are partitioned by ranges of ``keys + order``, a
+    partition sums what it has, and the rows of the key that it begins with get the
+    total of that key in the partitions before. The sums are whole numbers or doubles;
+    a null adds nothing. The driver sees one row per partition.
     """
-    keys, order = list(keys), list(order)
-    if cuts is None:
-        cuts = cut_points(df, keys + order)
-    if not cuts and keys:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    split = df.withColumn(RANGE, range_id(df, keys + order, cuts) if cuts else F.lit(0))
-    w = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = split.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
-    if not cuts:
-        return local.drop(RANGE)
-    # one row per range and edge key: bounded by twice the number of cuts
-    totals = (
-        _on_edge(split, keys, cuts)
-        .groupBy(RANGE, *keys)
-        .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    )
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col(RANGE).alias("_o_range"),
-        *[F.col(k).alias(f"_o_{i}") for i, k in enumerate(keys)],
-        *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums],
-    )
-    condition = F.col(RANGE) == F.col("_o_range")
-    for i, k in enumerate(keys):
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_o_{i}"))
-    joined = local.join(F.broadcast(offsets), condition, "left")
-    kept = [c for c in df.columns]
-    return joined.select(
-        *kept, *[(F.col(n) + F.coalesce(F.col(f"_o_{n}"), F.lit(0))).alias(n) for n in sums]
+    keys, order, names = list(keys), list(order), list(sums)
+    parts = {n: f"_sum_{i}" for i, n in enumerate(names)}
+    wide = {n: "double" if isinstance(df.select(c.alias("c")).schema["c"].dataType, (T.FractionalType)) else "bigint" for n, c in sums.items()}
+    rows = df.select("*", *[c.cast(wide[n]).alias(parts[n]) for n, c in sums.items()])
+    near = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order) if keys or order else rows
+    # kept, since the totals and the rows must come from the same partitioning
+    local = kept(_summed(near, keys, list(parts.values())))
+    edges = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("_"))
+    ends = local.groupBy("_part").agg(
+        F.min_by(edges, "_at").alias("first"), F.max_by(edges, "_at").alias("last"), F.max_by(F.struct(*parts.values()), "_at").alias("total"), F.min("_leads").alias("alone")
     )
+    offsets, at, carried = [], None, None
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):
+        ahead = carried if carried is not None and tuple(r["first"]) == at else None
+        if ahead:
+            offsets.append((r["_part"], *ahead))
+        at = tuple(r["last"])
+        carried = tuple(a + b for a, b in zip(r["total"], ahead)) if ahead and r["alone"] else tuple(r["total"])
+    kind = ", ".join(["_part int", *[f"_ahead_{i} {wide[n]}" for i, n in enumerate(names)]])
+    ahead = df.sparkSession.createDataFrame(offsets, kind)
+    # at most a row per partition
+    joined = local.join(F.broadcast(ahead), "_part", "left")
+    add = lambda i: F.when(F.col("_leads"), F.coalesce(f"_ahead_{i}", F.lit(0))).otherwise(0)
+    kept_columns = [c for c in df.columns if c not in names]
+    return joined.select(*kept_columns, *[(F.col(parts[n]) + add(i)).alias(n) for i, n in enumerate(names)])
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
@@ -209,66 +255,99 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -
     return running_sums(df, [], order, {name: F.lit(1).cast("bigint")})
 
 
-def order_statistic(df: DataFrame, column: str, position: int, limit: int = 200_000, count: int = 1) -> list[float]:
-    """Exact values at ``count`` positions of the sorted non-null column, from a 0-based one on.
+#: Bits of one digit in ``order_statistics``: 64 bits are four digits.
+DIGIT = 16
+
+
+def _ordered_bits(values: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; -0.0 counts as 0.0."""
+    bits = (values + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
+def _double_of(bits: int) -> float:
+    raw = bits ^ (1 << 63) if bits >> 63 else bits ^ ((1 << 64) - 1)
+    return float(np.array([raw], np.uint64).view(np.float64)[0])
+
+
+def _digit_counts(values: DataFrame, targets: list[tuple[int, int, int]], left: int) -> DataFrame:
+    """For targets (number, column, leading bits known so far) the rows by next digit, with the least and greatest value.
 
-    Narrows the value range by counting rows between approximate quantiles until
-    at most ``limit`` rows are left, then sorts those. Only bounded data reaches
-    the driver whatever the size of the table.
+    One pass over the table for all targets; a task sends one row per target and digit it has.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    if count > 1:
-        return [v for i in range(count) for v in order_statistic(df, column, position + i, limit)]
-    inside, skipped = values, 0
-    low = high = None
-    while inside.count() > limit:
-        shares = [i / 64 for i in range(1, 64)]
-        cuts = sorted(set(inside.agg(F.percentile_approx("v", shares, 2000)).first()[0]))
-        counts = inside.agg(
-            *[F.count_if(F.col("v") < c).alias(f"lt{i}") for i, c in enumerate(cuts)],
-            *[F.count_if(F.col("v") <= c).alias(f"le{i}") for i, c in enumerate(cuts)],
-        ).first()
-        below = 0
-        for i, cut in enumerate(cuts):
-            if skipped + counts[f"lt{i}"] > position:
-                high = cut
-                break
-            if skipped + counts[f"le{i}"] > position:
-                return [cut]
-            low, below = cut, counts[f"le{i}"]
-        skipped += below
-        # the cut values themselves are ruled out, so the bracket always shrinks
-        inside = values
-        if low is not None:
-            inside = inside.filter(F.col("v") > low)
-        if high is not None:
-            inside = inside.filter(F.col("v") < high)
-    rows = inside.orderBy("v").offset(position - skipped).limit(1).collect()
-    return [rows[0]["v"]]
-
-
-def exact_quantiles(df: DataFrame, columns: Sequence[str], share: float = 0.5, limit: int = 200_000) -> dict[str, float | None]:
-    """Exact quantile of each column with linear interpolation between neighbours.
-
-    Up to ``limit`` rows Spark's own exact percentile takes all columns in one pass.
-    Beyond it the percentile would hold every distinct value in one task, so each
-    column is narrowed down instead.
+    shift, below = np.uint64(left - DIGIT), left < 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], list[int]] = {}
+        for batch in batches:
+            bits = {}
+            for number, column, lead in targets:
+                if column not in bits:
+                    x = batch.column(column).drop_null().to_numpy(zero_copy_only=False)
+                    bits[column] = np.sort(_ordered_bits(x))
+                own = bits[column]
+                if below:
+                    begin = np.searchsorted(own, np.uint64(lead << left), "left")
+                    own = own[begin : np.searchsorted(own, np.uint64((lead << left) + (1 << left) - 1), "right")]
+                if not len(own):
+                    continue
+                digits = (own >> shift) & np.uint64((1 << DIGIT) - 1)
+                first = np.concatenate(([0], np.flatnonzero(digits[1:] != digits[:-1]) + 1, [len(own)]))
+                for i, j in zip(first[:-1], first[1:]):
+                    old = found.setdefault((number, int(digits[i])), [0, 1 << 64, -1])
+                    old[0] += int(j - i)
+                    old[1], old[2] = min(old[1], int(own[i])), max(old[2], int(own[j - 1]))
+        rows = [(n, d, c, str(low).zfill(20), str(high).zfill(20)) for (n, d), (c, low, high) in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string()))], list("ndclh"))
+
+    counted = values.mapInArrow(run, "n int, d int, c bigint, l string, h string")
+    return counted.groupBy("n", "d").agg(F.sum("c").alias("c"), F.min("l").alias("l"), F.max("h").alias("h"))
+
+
+def order_statistics(df: DataFrame, wanted: Mapping[str, Sequence[int]]) -> dict[str, list[float | None]]:
+    """Exact values at 0-based positions of the sorted non-null columns, all columns together.
+
+    A pass counts the rows by the next 16 bits of the ordered double and settles every
+    target whose digit holds a single value; four passes settle any table, whatever its
+    size. At most 65,536 rows a target reach the driver. A position past the end gives null.
     """
+    names = list(wanted)
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    out = {c: [None] * len(list(wanted[c])) for c in names}
+    open_targets = [(c, k, i, 0, position) for i, c in enumerate(names) for k, position in enumerate(wanted[c])]
+    for left in range(64, 0, -DIGIT):
+        if not open_targets:
+            break
+        # targets with the same leading digits are counted once
+        keys = sorted({(i, lead) for _, _, i, lead, _ in open_targets})
+        counted: dict[int, list] = {}
+        for r in _digit_counts(values, [(n, i, lead) for n, (i, lead) in enumerate(keys)], left).collect():
+            counted.setdefault(r.n, []).append((r.d, r.c, int(r.l), int(r.h)))
+        later = []
+        for c, k, i, lead, position in open_targets:
+            for digit, many, low, high in sorted(counted.get(keys.index((i, lead)), [])):
+                if position < many:
+                    if low == high:
+                        out[c][k] = _double_of(low)
+                    else:
+                        later.append((c, k, i, lead << DIGIT | digit, position))
+                    break
+                position -= many
+        open_targets = later
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], share: float = 0.5) -> dict[str, float | None]:
+    """Exact quantile of each column with linear interpolation between neighbours; null for a column without values."""
     sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    if max(sizes) <= limit:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), share).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return dict(zip(columns, row))
-    found: dict[str, float | None] = {}
-    for c, n in zip(columns, sizes):
-        spot = (n - 1) * share
-        if n == 0:
-            found[c] = None
-        elif spot == math.floor(spot):
-            found[c] = order_statistic(df, c, math.floor(spot))[0]
-        else:
-            lower, upper = order_statistic(df, c, math.floor(spot), count=2)
-            found[c] = lower + (upper - lower) * (spot - math.floor(spot))
-    return found
+    spots = {c: (n - 1) * share for c, n in zip(columns, sizes) if n}
+    found = order_statistics(df, {c: [math.floor(x), math.ceil(x)] for c, x in spots.items()})
+    out: dict[str, float | None] = dict.fromkeys(columns)
+    for c, spot in spots.items():
+        low, high = found[c]
+        out[c] = low if low == high else low + (high - low) * (spot - math.floor(spot))
+    return out
 
 
 def exact_quantile(df: DataFrame, column: str, share: float = 0.5) -> float | None:

@@ -67,7 +67,7 @@ def gap_episodes(
         df, [entity], order, lambda w: {"prev_time": F.lag(time).over(w)}, before=1, cuts=cuts
     )
     flagged = seen.withColumn("new_episode", F.when(gap | F.col("prev_time").isNull(), 1).otherwise(0))
-    return ranges.running_sums(flagged, [entity], order, {name: F.col("new_episode")}, cuts=cuts)
+    return ranges.running_sums(flagged, [entity], order, {name: F.col("new_episode")})
 
 
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

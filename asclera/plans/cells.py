@@ -79,12 +79,12 @@ def mad_outliers(df: DataFrame, metric: str, mads: float, name: str | None = Non
 def pass_flags(obs: DataFrame, mads: dict[str, float] = MADS, max_mito: float = MAX_MITO) -> DataFrame:
     """Outlier flag per metric and ``pass_qc``; a high mitochondrial share also fails.
 
-    The metrics are kept while their medians are taken, which needs several passes.
+    The medians take a few passes over the metrics, which are kept in memory or on disk
+    from the first pass on, so that the returned rows come from them as well.
     """
     kept = obs.persist()
     bounds = mad_bounds(kept, mads)
-    kept.unpersist()
-    out = obs.withColumns({f"outlier_{m}": outside(m, b) for m, b in bounds.items()})
+    out = kept.withColumns({f"outlier_{m}": outside(m, b) for m, b in bounds.items()})
     mito = F.col("outlier_pct_counts_mt") | threshold("pct_counts_mt", ">", max_mito)
     out = out.withColumn("outlier_pct_counts_mt", mito)
     bad = F.col("outlier_total_counts") | F.col("outlier_n_genes_by_counts") | F.col("outlier_pct_counts_mt")

@@ -49,17 +49,31 @@ def split(df: DataFrame, key: str, test_share: float = 0.2) -> tuple[DataFrame,
     return joins.split_by_key(df, key, round(100 * (1 - test_share)))
 
 
-def _filled(feature: str) -> str:
-    return f"_filled_{feature}"
+#: Working columns of a model, so that a table may have columns of any other name.
+_WORK = "_model_"
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def _pipeline(rows: DataFrame, features: Sequence[str], model, after: Sequence = ()) -> PipelineModel:
-    """Missing features become the mean of the training rows, so that no row is lost in training or scoring."""
-    names = list(features)
+    """Features of any numeric or boolean type as doubles; missing ones become the mean of the training rows.
+
+    So no row is lost in training or scoring. All columns made on the way have private names.
+    """
+    read = [f"{_WORK}in_{i}" for i in range(len(features))]
+    filled = [f"{_WORK}filled_{i}" for i in range(len(features))]
+    cast = ", ".join(f"CAST({_quoted(f)} AS DOUBLE) AS {name}" for f, name in zip(features, read))
+    model.setFeaturesCol(f"{_WORK}features").setLabelCol(f"{_WORK}label")
+    for name in ("rawPrediction", "probability"):
+        if model.hasParam(f"{name}Col"):
+            model.set(model.getParam(f"{name}Col"), f"{_WORK}{name}")
     stages = [
-        Imputer(inputCols=names, outputCols=[_filled(f) for f in names]),
-        VectorAssembler(inputCols=[_filled(f) for f in names], outputCol="raw_features"),
-        StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        SQLTransformer(statement=f"SELECT *, {cast} FROM __THIS__"),
+        Imputer(inputCols=read, outputCols=filled),
+        VectorAssembler(inputCols=filled, outputCol=f"{_WORK}raw"),
+        StandardScaler(inputCol=f"{_WORK}raw", outputCol=f"{_WORK}features", withMean=True, withStd=True),
         model,
     ]
     return Pipeline(stages=[*stages, *after]).fit(rows)
@@ -67,15 +81,16 @@ def _pipeline(rows: DataFrame, features: Sequence[str], model, after: Sequence =
 
 def _classified(df: DataFrame, target: str, features: Sequence[str], choose) -> PipelineModel:
     """Learn classes of any type; the prediction is the class itself (a number where the target is one)."""
-    known = df.withColumn("_target", F.col(target).cast("string")).filter(F.col("_target").isNotNull())
-    index = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(known)
-    number = isinstance(df.schema[target].dataType, (T.NumericType, T.BooleanType))
-    kind = "CAST(CAST(_named AS BOOLEAN) AS DOUBLE)" if isinstance(df.schema[target].dataType, T.BooleanType) else "CAST(_named AS DOUBLE)"
+    known = df.withColumn(f"{_WORK}target", F.col(_quoted(target)).cast("string")).filter(F.col(f"{_WORK}target").isNotNull())
+    index = StringIndexer(inputCol=f"{_WORK}target", outputCol=f"{_WORK}label", stringOrderType="alphabetAsc").fit(known)
+    kind = df.schema[target].dataType
+    named = f"{_WORK}named"
+    made = f"CAST(CAST({named} AS BOOLEAN) AS DOUBLE)" if isinstance(kind, T.BooleanType) else f"CAST({named} AS DOUBLE)"
     after = [
-        IndexToString(inputCol="_class", outputCol="_named", labels=index.labels),
-        SQLTransformer(statement=f"SELECT *, {kind if number else '_named'} AS prediction FROM __THIS__"),
+        IndexToString(inputCol=f"{_WORK}class", outputCol=named, labels=index.labels),
+        SQLTransformer(statement=f"SELECT *, {made if isinstance(kind, (T.NumericType, T.BooleanType)) else named} AS {_WORK}prediction FROM __THIS__"),
     ]
-    return _pipeline(index.transform(known), features, choose(len(index.labels)), after)
+    return _pipeline(index.transform(known), features, choose(len(index.labels)).setPredictionCol(f"{_WORK}class"), after)
 
 
 def train(df: DataFrame, target: str, features: Sequence[str], task: str, trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
@@ -84,28 +99,25 @@ def train(df: DataFrame, target: str, features: Sequence[str], task: str, trees:
     Classes may be numbers or texts. Rows whose target is null are not learned from.
     """
     if task == "regression":
-        known = df.withColumn("label", F.col(target).cast("double")).filter(F.col("label").isNotNull())
-        return _pipeline(known, features, GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed))
+        known = df.withColumn(f"{_WORK}label", F.col(_quoted(target)).cast("double")).filter(F.col(f"{_WORK}label").isNotNull())
+        return _pipeline(known, features, GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, predictionCol=f"{_WORK}prediction"))
 
     def choose(classes: int):
         if classes <= 2:
-            return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, predictionCol="_class")
-        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_class")
+            return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
+        return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
     return _classified(df, target, features, choose)
 
 
 def train_forest(df: DataFrame, target: str, features: Sequence[str], trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
-    return _classified(
-        df, target, features, lambda _: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, predictionCol="_class")
-    )
+    return _classified(df, target, features, lambda _: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed))
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """All rows with their prediction; working columns are dropped."""
-    made = model.transform(df)
-    filled = [c for c in made.columns if c.startswith("_filled_")]
-    return made.drop("raw_features", "features", "rawPrediction", "probability", "_class", "_named", *filled)
+    """All rows with their ``prediction``, which replaces a column of that name; working columns are dropped."""
+    made = model.transform(df).withColumn("prediction", F.col(f"{_WORK}prediction"))
+    return made.drop(*[c for c in made.columns if c.startswith(_WORK)])
 
 
 def classification_metrics(predictions: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import naming
@@ -91,62 +91,140 @@ def search(
     return best.filter("score > 0").select(key, *columns, "score")
 
 
+#: Blocks per unit of a word's weight in a document; weights are below ``K1 + 1``.
+LEVELS = 16
+#: Words of a query whose best documents give the first bound on its n-th score.
+LEADING = 4
+#: More than the rounding errors of a sum of weights.
+SLACK = 1e-6
+
+
 def build_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 256) -> str:
-    """Store word counts per document by word bucket, so that later queries read few files.
+    """Store an impact-ordered index: word weights in blocks of falling weight, and a table of the blocks.
 
-    Rows of a bucket are dealt out by document as well, since a frequent word may
-    hold a large share of all rows.
+    A posting's weight is the part of its score that depends on the document; a block
+    holds the postings of a word whose weights lie in one sixteenth. ``blocks`` has each
+    block's size and greatest weight. Postings are placed by word bucket; rows of a
+    bucket are dealt out by document as well, since a frequent word may hold a large
+    share of all rows, and lie by word and falling weight within a file.
     """
+    spark = docs.sparkSession
     sized = partitions.spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("_x"))).select("doc", tx.words("_x").alias("_t"))
-    rows = sized.select("doc", F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
+    stats = sized.agg(F.count("*").alias("total"), F.avg(F.size("_t")).alias("mean"))
+    kind = docs.schema[key].dataType.simpleString()
+    stats.withColumns({"buckets": F.lit(buckets), "kind": F.lit(kind)}).write.mode("overwrite").parquet(f"{path}/stats")
+    mean = spark.read.parquet(f"{path}/stats").first()["mean"]
+    rows = sized.select("doc", F.size("_t").alias("length"), F.explode("_t").alias("term"))
     counts = rows.groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
-    placed = counts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    dealt = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(16)))
+    weighed = counts.select("doc", "term", _weight(F.col("tf"), F.col("length"), F.lit(mean)).alias("weight"))
+    placed = weighed.withColumns(
+        {"level": F.floor(F.col("weight") * LEVELS).cast("int"), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")}
+    )
+    dealt = placed.repartition(F.col("bucket"), F.pmod(F.xxhash64("doc"), F.lit(16))).sortWithinPartitions("bucket", "term", F.desc("weight"))
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/words")
-    sized.agg(F.count("*").alias("total"), F.avg(F.size("_t")).alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    written = spark.read.schema(f"doc {kind}, term string, weight double, level int, bucket int").parquet(f"{path}/words")
+    blocks = written.groupBy("bucket", "term", "level").agg(F.max("weight").alias("top"), F.count("*").alias("size"))
+    blocks.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     return path
 
 
+class Index:
+    """A stored index, narrowed to the buckets of the words that are asked for."""
+
+    def __init__(self, spark: SparkSession, path: str, terms: DataFrame):
+        row = spark.read.parquet(f"{path}/stats").first()
+        self.total, buckets = row["total"], row["buckets"]
+        # at most ``buckets`` numbers
+        places = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+        inside = F.col("bucket").isin(places)
+        words = spark.read.schema(f"doc {row['kind']}, term string, weight double, level int, bucket int").parquet(f"{path}/words")
+        blocks = spark.read.schema("term string, level int, top double, size bigint, bucket int").parquet(f"{path}/blocks")
+        self.postings = words.filter(inside).select("term", "level", "doc", "weight")
+        self.blocks = blocks.filter(inside).select("term", "level", "top", "size")
+
+
+class BlockMax:
+    """Exact best documents of many queries that leaves blocks unread where they cannot matter.
+
+    A query's words are ordered by the most that each can add. A document is found
+    through the first of its words in that order, so a block must be read only if its
+    greatest weight and all that later words can add reach the query's bound: a score
+    that n documents are known to reach. What is read gives every document an upper
+    bound; only those that may still reach the n-th score are scored in full.
+    """
+
+    def __init__(self, index: Index, asked: DataFrame, n: int):
+        """``asked`` has distinct rows of query_id and term."""
+        self.index, self.n = index, n
+        of_query = Window.partitionBy("query_id").orderBy(F.desc("best"), "term")
+        known = index.blocks.join(asked.select("term").distinct(), "term", "left_semi")
+        terms = known.groupBy("term").agg(F.sum("size").alias("df"), F.max("top").alias("top")).withColumn("idf", _idf(F.lit(index.total), F.col("df")))
+        # the window holds one query's words
+        self.words = (
+            asked.join(terms, "term")
+            .withColumn("best", F.col("idf") * F.col("top"))
+            .withColumns({"place": F.row_number().over(of_query), "rest": F.sum("best").over(of_query.rowsBetween(1, Window.unboundedFollowing))})
+            .select("query_id", "term", "idf", "place", F.coalesce("rest", F.lit(0.0)).alias("rest"))
+        )
+        self.known = known
+
+    def scored(self, found: DataFrame) -> DataFrame:
+        """Full scores of pairs of query_id and doc."""
+        wanted = found.join(self.words.select("query_id", "term", "idf"), "query_id")
+        hits = wanted.join(self.index.postings, ["doc", "term"])
+        return hits.groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
+
+    def bounds(self) -> DataFrame:
+        """Per query a score that n documents reach: the best documents of its leading words, in full."""
+        leading = self.words.filter(F.col("place") <= LEADING).select("query_id", "term")
+        level = Window.partitionBy("term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+        head = self.known.join(leading.select("term").distinct(), "term", "left_semi").withColumn("above", F.coalesce(F.sum("size").over(level), F.lit(0)))
+        first = self.index.postings.join(head.filter(F.col("above") < self.n).select("term", "level"), ["term", "level"])
+        few = windows.top_per_group(first, ["term"], [F.desc("weight"), F.col("doc")], self.n).select("term", "doc")
+        seeds = leading.join(few, "term").select("query_id", "doc").distinct()
+        ranked = windows.top_per_group(self.scored(seeds), ["query_id"], [F.desc("score")], self.n)
+        return ranked.filter(F.col("rank") == self.n).select("query_id", (F.col("score") - SLACK).alias("bound"))
+
+    def cuts(self) -> DataFrame:
+        """Per query and word: the blocks to read, and the most that the word adds in an unread one."""
+        asked = self.words.join(self.bounds(), "query_id", "left")
+        reach = F.col("idf") * F.col("top") + F.col("rest") >= F.coalesce("bound", F.lit(0.0))
+        each = asked.join(self.known, "term").withColumn("read", reach)
+        return each.groupBy("query_id", "term", "idf", "bound").agg(
+            F.collect_list(F.when(F.col("read"), F.col("level"))).alias("levels"),
+            F.coalesce(F.max(F.when(~F.col("read"), F.col("idf") * F.col("top"))), F.lit(0.0)).alias("unread"),
+        )
+
+    def pairs(self, cuts: DataFrame) -> DataFrame:
+        """A row per query and posting of the blocks that are read."""
+        wanted = cuts.select("query_id", "term", "idf", "unread", F.explode("levels").alias("level"))
+        return wanted.join(self.index.postings, ["term", "level"])
+
+    def best(self) -> DataFrame:
+        cuts = self.cuts()
+        limits = cuts.groupBy("query_id").agg(F.sum("unread").alias("unread"), F.coalesce(F.max("bound"), F.lit(0.0)).alias("bound"))
+        gains = self.pairs(cuts).groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight") - F.col("unread")).alias("gain"))
+        possible = gains.join(limits, "query_id").filter(F.col("gain") + F.col("unread") >= F.col("bound") - SLACK)
+        return windows.top_per_group(self.scored(possible.select("query_id", "doc")), ["query_id"], _ranking("doc"), self.n)
+
+
 def search_index(spark: SparkSession, path: str, query: str, n: int = 10) -> DataFrame:
-    """Best documents for a query from a stored index; only the buckets of its words are read."""
+    """Best documents for a query from a stored index; only buckets and blocks that matter are read."""
     terms = query_terms(query)
-    stats = spark.read.parquet(f"{path}/stats")
-    total, mean, buckets = stats.first()
-    # constant expressions, folded before the files are chosen
-    places = [F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]
-    in_bucket = reduce(lambda a, b: a | b, places, F.lit(False))
-    hits = spark.read.parquet(f"{path}/words").filter(in_bucket & F.col("term").isin(terms))
-    found = joins.small(hits.groupBy("term").agg(F.count("*").alias("df")))
-    part = _idf(F.lit(total), F.col("df")) * _weight(F.col("tf"), F.col("length"), F.lit(mean))
-    scored = hits.join(found, "term").withColumn("_s", part).groupBy("doc").agg(F.sum("_s").alias("score"))
-    return scored.orderBy(*_ranking("doc")).limit(n)
-
-
-def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
-    """Best documents for each query of a table.
-
-    Only words that some query uses leave a text. Rows are placed by document, where
-    counting and scoring happen without another shuffle, and each partition keeps
-    its n best per query before the final ranking.
-    """
-    asked = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tx.words(query_text))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    sized = partitions.spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("_x"))).select("doc", tx.words("_x").alias("_t")).withColumn("_n", F.size("_t"))
-    stats = sized.agg(F.count("*").alias("total"), F.avg("_n").alias("mean"))
-    # the outer form keeps Spark from testing the token array at the scan as well
-    hits = sized.select("doc", "_n", F.explode_outer("_t").alias("term")).join(joins.small(vocabulary), "term")
-    counts = hits.repartition("doc").groupBy("doc", "_n", "term").agg(F.count("*").alias("tf"))
-    found = counts.groupBy("term").agg(F.count("*").alias("df"))
-    one = F.col("_one")
-    weighted = joins.with_row(asked.join(found, "term"), stats).withColumn("idf", _idf(one["total"], F.col("df")))
-    part = F.col("idf") * _weight(F.col("tf"), F.col("_n"), one["mean"])
-    scored = (
-        joins.with_row(counts.join(weighted.select("query_id", "term", "idf"), "term"), stats)
-        .withColumn("_s", part)
-        .groupBy("doc", "query_id")
-        .agg(F.sum("_s").alias("score"))
-    )
-    best = windows.top_per_group(scored, ["query_id"], _ranking("doc"), n)
+    asked = spark.createDataFrame([(0, t) for t in terms], "query_id int, term string")
+    best = BlockMax(Index(spark, path, asked), asked, n).best()
+    return best.select("doc", "score").orderBy(*_ranking("doc"))
+
+
+def asked_words(queries: DataFrame, query_key: str, query_text: str) -> DataFrame:
+    """Distinct words of every query."""
+    return queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tx.words(query_text))).alias("term"))
+
+
+def search_many(spark: SparkSession, path: str, queries: DataFrame, query_key: str, query_text: str, key: str, n: int = 10) -> DataFrame:
+    """Best documents for each query of a table from a stored index, exact."""
+    asked = asked_words(queries, query_key, query_text)
+    best = BlockMax(Index(spark, path, asked), asked, n).best()
     return best.select("query_id", F.col("doc").alias(key), "score", "rank")
 
 

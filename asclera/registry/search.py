@@ -53,7 +53,8 @@ def _(t):
        SELECT query_id, doc_id, ROUND(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, doc_id) AS rn FROM r) WHERE rn <= 5""",
 )
 def _(t):
-    out = search.search_many(t.benchmark, "item_id", "text", t.documents, "doc_id", "text", 5)
+    place = search.build_index(t.documents, "doc_id", "text", scratch(t), buckets=8)
+    out = search.search_many(t.spark, place, t.benchmark, "item_id", "text", "doc_id", 5)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

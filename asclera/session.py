@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings. All may be changed on a live session, so the same call
@@ -57,6 +61,26 @@ def checkpoint_folder(spark: SparkSession, fallback: str | None = None) -> str:
     return folder
 
 
+_OWN: list[str] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, with its partitions as they are.
+
+    A local session without ``spark.checkpoint.dir`` uses a folder that goes when the
+    program ends; on a cluster the setting is required.
+    """
+    spark = df.sparkSession
+    fallback = None
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="asclera-kept-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        fallback = _OWN[0]
+    checkpoint_folder(spark, fallback)
+    return df.checkpoint(eager=True)
+
+
 class Tables:
     """Attribute access to the parquet tables of one folder: ``t.orders``."""
 

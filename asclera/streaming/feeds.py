@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import aggregates, ranges
+from ..operators import ranges
+from . import levels
 
 
 def change_feed(spark: SparkSession, path: str, schema: T.StructType | str, pattern: str | None = None, files: int | None = None, form: str = "parquet") -> DataFrame:
@@ -142,16 +143,43 @@ def changed_states(stream: DataFrame, key: str, time: str, state: Column, path:
     return refresh_by_key(readings, key, derive, path, checkpoint, buckets)
 
 
+def keep_totals(stream: DataFrame, keys: Sequence[str], partial: dict[str, Column], merge: dict[str, Column], path: str, checkpoint: str) -> StreamingQuery:
+    """Keep aggregates per key current: a batch adds the partial aggregates of its own rows.
+
+    ``merge`` combines partial columns of the same names, as ``read_totals`` does. No
+    history is read, and late rows count like any other.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        found = batch.groupBy(*keys).agg(*[c.alias(n) for n, c in partial.items()])
+        levels.Levels(batch.sparkSession, path, keys, merge).add(found, number)
+
+    return each_batch(stream, work, checkpoint)
+
+
+def read_totals(spark: SparkSession, path: str, keys: Sequence[str], merge: dict[str, Column]) -> DataFrame | None:
+    """The aggregates kept by ``keep_totals``; None before the first batch."""
+    return levels.Levels(spark, path, keys, merge).read()
+
+
+def _newest(time: str) -> dict[str, Column]:
+    return {"_row": F.max_by("_row", time), time: F.max(time)}
+
+
 def latest_values(stream: DataFrame, key: str, time: str, columns: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
-    """Latest reading per entity; every batch stores the entities it changed."""
-    newest = stream.groupBy(key).agg(F.max_by(F.struct(*columns), time).alias("_row"), F.max(time).alias(time))
-    flat = newest.select(key, time, *[F.col("_row")[c].alias(c) for c in columns])
-    return each_batch(flat, lambda batch, number: write_batch(batch, number, path), checkpoint, mode="update")
+    """Latest reading per entity; a batch stores the entities it has, and batches are folded together."""
+    rows = stream.withColumn("_row", F.struct(*columns)).select(key, time, "_row")
+    return keep_totals(rows, [key], _newest(time), _newest(time), path, checkpoint)
 
 
-def read_latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+def read_latest(spark: SparkSession, path: str, key: str, time: str) -> DataFrame:
     """Current rows of a table written by ``latest_values``."""
-    return aggregates.last_by(spark.read.parquet(path), [key], [F.col("batch_id")]).drop("batch_id")
+    return read_totals(spark, path, [key], _newest(time)).select(key, time, "_row.*")
+
+
+def rows_behind_watermark(query: StreamingQuery) -> int:
+    """Rows that a finished run dropped because they came later than its watermark allows."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
 
 
 def session_episodes(stream: DataFrame, key: str, time: str, gap: str, aggs: Sequence[Column], delay: str = "1 day") -> DataFrame:

@@ -68,13 +68,41 @@ def test_global_row_numbers(skewed, small_ranges):
     assert [r["n"] for r in got] == list(range(1, 3001))
 
 
-def test_exact_quantile_narrows(skewed, monkeypatch):
+def test_running_sums_over_many_keys_and_parts(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", None, "a", "b"]) if i % 2 else "hot", i % 5 or None, i, rng.choice([None, 1.5, -2.0])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, g int, t int, v double").repartition(7)
+    got = ranges.running_sums(df, ["k", "g"], ["t"], {"total": F.col("v"), "many": F.lit(1)})
+    w = Window.partitionBy("k", "g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.coalesce(F.sum("v").over(w), F.lit(0.0)).alias("total"), F.sum(F.lit(1)).over(w).alias("many"))
+    assert as_set(got) == as_set(want)
+    assert ranges.running_sums(df.limit(0), ["k"], ["t"], {"n": F.lit(1)}).count() == 0
+
+
+def test_running_sums_do_not_meet_in_one_task(skewed):
+    from asclera.operators import ranges as r
+
+    plan = r._summed(skewed.repartitionByRange("t").sortWithinPartitions("t"), [], ["t"])._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+    assert "SinglePartition" not in r.row_numbers(skewed, ["t"])._jdf.queryExecution().toString()
+
+
+def test_exact_quantiles_of_all_columns(spark, skewed):
     import statistics
 
     values = [r["v"] for r in skewed.collect()]
-    want = statistics.median(values)
-    assert ranges.exact_quantile(skewed, "v") == want
-    assert ranges.exact_quantiles(skewed, ["v"], 0.5, limit=50)["v"] == want
+    assert ranges.exact_quantile(skewed, "v") == statistics.median(values)
     ordered = sorted(values)
-    for position in (0, 10, 1499, 2999):
-        assert ranges.order_statistic(skewed, "v", position, limit=5) == [ordered[position]]
+    spots = [0, 10, 1499, 2999]
+    assert ranges.order_statistics(skewed, {"v": spots})["v"] == [ordered[p] for p in spots]
+    rng = random.Random(4)
+    odd = [float("-inf"), -1e300, -3.5, -0.0, 0.0, 5e-324, 1e-300, 2.0, float("inf")]
+    rows = [(rng.choice(odd), rng.gauss(0, 1e-9) + 1, rng.randrange(10**12) if i % 3 else None, None) for i in range(999)]
+    df = spark.createDataFrame(rows, "a double, b double, c bigint, d double").repartition(5)
+    wanted = {c: list(range(0, 600, 37)) for c in "abc"}
+    found = ranges.order_statistics(df, wanted)
+    for i, c in enumerate("abc"):
+        column = sorted(r[i] for r in rows if r[i] is not None)
+        assert found[c] == [column[p] for p in wanted[c]]
+    assert ranges.exact_quantiles(df, ["c", "d"]) == {"c": statistics.median([float(r[2]) for r in rows if r[2] is not None]), "d": None}
+    assert ranges.order_statistics(df, {"a": [5000]}) == {"a": [None]}
