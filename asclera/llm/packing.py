@@ -44,17 +44,48 @@ STEP_TOKENS = 1 << 16
 WHITE = r"\t-\r \x85\xa0  -     　"
 INSIDE = regex.compile(rf"(?<=[{WHITE}]) (?=[{WHITE}]|\Z)")
 BORDER = regex.compile(rf" (?=[^{WHITE}])")
-#: Entries of a worker's cache of words, their greatest length, characters cut at once.
-CACHED_WORDS = 200_000
+#: Entries of each of a worker's two caches of words, greatest length of an entry, characters cut at once.
+CACHED_WORDS = 150_000
 CACHED_LENGTH = 64
 SPAN_CHARS = 1 << 20
 
+# Fixed value: the published pattern of byte-level tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters before this one have the same classes in every version of Unicode.
+UNCOMMON = "\u0250"
+
+
+def _letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: signs are themselves, other bytes follow from 256 on."""
+    signs = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in signs]
+    return {chr(b): b for b in signs} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def _merge_loop(library):
+    """tiktoken's encoder with the file's own vocabulary, or None where its order is not the order of the merges."""
+    import json
+
+    import tiktoken
+
+    model = json.loads(library.to_str())["model"]
+    vocabulary, letters = model["vocab"], _letters()
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t.content for t in library.get_added_tokens_decoder().values()}
+    plain = {t: i for t, i in vocabulary.items() if t not in special}
+    if model.get("ignore_merges") or made != sorted(made) or len(plain) != len(made) + 256:
+        return None
+    ranks = {bytes(letters[c] for c in t): i for t, i in plain.items()}
+    return tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
 
 class Words:
     """The ids of texts, each distinct word encoded once while it stays in a bounded cache.
 
     Only for byte-level tokenizers without a normalizer, whose pattern begins a token at
     every blank before another sign: there a text may be cut without changing its ids.
+    The merges are the file's; words of common characters go through the faster of two
+    merge loops, all else through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -62,12 +93,30 @@ class Words:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.fast = _merge_loop(self.library)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put words into the cache; returns those that were in neither cache."""
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = words.difference(known)
+        again = [w for w in new if w in older]
+        known.update((w, older[w]) for w in again)
+        fresh = list(new.difference(again))
+        common = [w for w in fresh if self.fast and (w.isascii() or max(w) < UNCOMMON)]
+        known.update((w, np.array(self.fast(" " + w), "<u4").tobytes()) for w in common)
+        if len(common) < len(fresh):
+            rare = [w for w in fresh if w not in known]
+            known.update(zip(rare, self._ids([" " + w for w in rare])))
+        return fresh
+
     def _span(self, text: str, first: bool) -> bytes:
         words = BORDER.split(text) if INSIDE.search(text) else text.split(" ")
         head = self._ids([words[0]])[0] if first else b""
@@ -75,15 +124,11 @@ class Words:
             words[0] = words[0].removeprefix(" ")
         else:
             words = words[1:]
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = list(set(words).difference(known))
-        known.update(zip(new, self._ids([" " + w for w in new])))
-        out = head + b"".join(map(known.__getitem__, words))
-        for w in new:
+        fresh = self._learn(set(words))
+        out = head + b"".join(map(self.known.__getitem__, words))
+        for w in fresh:
             if len(w) > CACHED_LENGTH:
-                del known[w]
+                del self.known[w]
         return out
 
     def encode(self, text: str) -> np.ndarray:
