@@ -221,13 +221,41 @@ def asked_words(queries: DataFrame, query_key: str, query_text: str) -> DataFram
     return queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tx.words(query_text))).alias("term"))
 
 
-def search_many(spark: SparkSession, path: str, queries: DataFrame, query_key: str, query_text: str, key: str, n: int = 10) -> DataFrame:
+def search_many_index(spark: SparkSession, path: str, queries: DataFrame, query_key: str, query_text: str, key: str, n: int = 10) -> DataFrame:
     """Best documents for each query of a table from a stored index, exact."""
     asked = asked_words(queries, query_key, query_text)
     best = BlockMax(Index(spark, path, asked), asked, n).best()
     return best.select("query_id", F.col("doc").alias(key), "score", "rank")
 
 
+def search_many(queries: DataFrame, query_key: str, query_text: str, docs: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
+    """Best documents for each query of a table.
+
+    Only words that some query uses leave a text. Rows are placed by document, where
+    counting and scoring happen without another shuffle, and each partition keeps
+    its n best per query before the final ranking.
+    """
+    asked = queries.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tx.words(query_text))).alias("term"))
+    vocabulary = asked.select("term").distinct()
+    sized = partitions.spread(docs.select(F.col(key).alias("doc"), F.col(text).alias("_x"))).select("doc", tx.words("_x").alias("_t")).withColumn("_n", F.size("_t"))
+    stats = sized.agg(F.count("*").alias("total"), F.avg("_n").alias("mean"))
+    # the outer form keeps Spark from testing the token array at the scan as well
+    hits = sized.select("doc", "_n", F.explode_outer("_t").alias("term")).join(joins.small(vocabulary), "term")
+    counts = hits.repartition("doc").groupBy("doc", "_n", "term").agg(F.count("*").alias("tf"))
+    found = counts.groupBy("term").agg(F.count("*").alias("df"))
+    one = F.col("_one")
+    weighted = joins.with_row(asked.join(found, "term"), stats).withColumn("idf", _idf(one["total"], F.col("df")))
+    part = F.col("idf") * _weight(F.col("tf"), F.col("_n"), one["mean"])
+    scored = (
+        joins.with_row(counts.join(weighted.select("query_id", "term", "idf"), "term"), stats)
+        .withColumn("_s", part)
+        .groupBy("doc", "query_id")
+        .agg(F.sum("_s").alias("score"))
+    )
+    best = windows.top_per_group(scored, ["query_id"], _ranking("doc"), n)
+    return best.select("query_id", F.col("doc").alias(key), "score", "rank")
+
+
 def probe(queries: Sequence[str], docs: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """Number of results for each probe query, at most n; all probes in one scan."""
     hits = [_any_of("_t", query_terms(q)) for q in queries]

@@ -46,7 +46,7 @@ def test_same_answers_as_scoring_everything(spark, stored):
     queries = spark.createDataFrame(list(enumerate(asked)), "q int, x string")
     for n in (1, 5, 400):
         got = {}
-        for r in search.search_many(spark, path, queries, "q", "x", "id", n).collect():
+        for r in search.search_many_index(spark, path, queries, "q", "x", "id", n).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
         for q, query in enumerate(asked):
             want = ranked(texts, query, n)
