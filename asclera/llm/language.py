@@ -10,6 +10,7 @@ that no learned language explains as well as its own texts is rejected.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,15 +19,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, rows_of, stored, text_session
+from .common import arrow_column, stored, text_session
 
 ORDER = 5
 WORD = re.compile(r"[^\W\d_]+")
 #: Signs that count as word characters without being letters or digits: fractions, raised digits, numerals.
 NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: Combining marks: vowel signs of Indic scripts and Thai, accents written apart.
+MARKS = frozenset(c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "M")
+MARKED_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 UNKNOWN = "und"
 #: Parts into which the runs of one frequency are dealt.
 PARTS = 1_000_000
@@ -38,7 +43,6 @@ GROUP = 16 << 20
 class Settings:
     most_grams: int | None = None  # a number makes a smaller, coarser model; None keeps every run
     part_cells: int = 8_000_000  # runs times languages that a part of the model holds
-    most_languages: int = 400
     quantile: float = 0.99  # share of the texts set apart that rejection is calibrated on
     slack: float = 2.0  # how many times as far a text may lie
     prior: int = 100  # texts that the quantile of all languages counts in that of one
@@ -70,10 +74,13 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_in(text: str) -> list[str]:
-    """The runs of letters of a text."""
-    if not text.isascii() and (odd := NUMERALS.intersection(text)):
+    """The runs of letters of a text, with the combining marks behind a letter."""
+    if text.isascii():
+        return WORD.findall(text)
+    signs = set(text)
+    if odd := NUMERALS & signs:
         text = text.translate(dict.fromkeys(map(ord, odd), " "))
-    return WORD.findall(text)
+    return (WORD if MARKS.isdisjoint(signs) else MARKED_WORD).findall(text)
 
 
 def texts_of(column: pa.Array) -> list[list[str]]:
@@ -113,7 +120,7 @@ def _chosen(counts: DataFrame, settings: Settings) -> tuple[DataFrame, list[str]
     Frequencies are grouped in steps of an eighth of a doubling. Of the step on the edge
     the runs are taken in the order of their hash until the share is used up.
     """
-    languages = sorted(r.lang for r in rows_of(counts.select("lang").distinct(), settings.most_languages))
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())  # as many as the corpus names
     if settings.most_grams is None:
         return counts, languages
     step = F.floor(F.log2("n") * 8).cast("int")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_column, labelled_ids, labelled_sample, text_session
+from .common import arrow_column, labelled_ids, labelled_sample, stored, text_session
 
 PASSAGE = 64
 RUN = 4  # words of a repeated run
@@ -25,7 +25,7 @@ RUN = 4  # words of a repeated run
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 3000  # labelled documents of each class that are learned from
-    most_passages: int = 200_000  # passages in training; whole documents, first by hash of the id
+    most_passages: int = 200_000  # passages in training, half of them for each class; whole documents only
     encoded: int = 16
     attention: int = 8
     epochs: int = 60
@@ -228,11 +228,31 @@ class Constant:
         return np.full(n, self.value)
 
 
+def fitting(sizes: list, most: int) -> list[tuple[int, int]]:
+    """(label, place) of the documents that are learned from, out of rows (label, place, n passages).
+
+    Each class has half of ``most`` passages. Its documents are taken in the order of
+    ``place``; one that does not fit is passed over, and the next ones are still tried.
+    A class of which no document fits takes its smallest, so that it is never without one.
+    """
+    chosen = []
+    for label in sorted({r[0] for r in sizes}):
+        own = sorted((r[1], r[2]) for r in sizes if r[0] == label)
+        left, taken = most // 2, []
+        for place, n in own:
+            if n <= left:
+                taken.append((label, place))
+                left -= n
+        chosen += taken or [(label, min(own, key=lambda r: (r[1], r[0]))[0])]
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", settings: Settings = Settings()):
     """Learn from at most ``settings.per_class`` labelled documents of each class.
 
-    Passages are encoded by Spark; the bounded sample of their features is learned
-    from on the driver. Without documents of both classes the score is constant.
+    Passages are encoded by Spark, and only the numbers of passages reach the driver
+    before the documents are chosen (``fitting``); the features of the chosen ones are
+    learned from on the driver. Without documents of both classes the score is constant.
     """
     text_session(docs.sparkSession)
     ids = labelled_ids(labels, id_col, label_col, learn, settings.per_class)
@@ -250,12 +270,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     bags = sample.select("text", "_label", F.xxhash64(F.col(id_col).cast("string"), "text").alias("place")).mapInArrow(
         run, "label int, bag binary, n bigint, place bigint"
     )
-    table = bags.toArrow().sort_by([("place", "ascending"), ("label", "ascending")])
-    fits = np.cumsum(table["n"].to_numpy()) <= settings.most_passages
-    y = table["label"].to_numpy()[fits].astype(float)
-    if len(y) == 0 or y.min() == y.max():
-        return Constant(float(y[0]) if len(y) else 1.0)
-    rows = [np.frombuffer(b.as_py(), np.float32).reshape(-1, N_FEATURES).astype(float) for b, ok in zip(table["bag"], fits) if ok]
+    bags = stored(bags, "quality_bags")
+    chosen = fitting(bags.groupBy("label", "place").agg(F.sum("n").alias("n")).collect(), settings.most_passages)
+    if len({label for label, _ in chosen}) < 2:
+        return Constant(float(chosen[0][0]) if chosen else 1.0)
+    # no more rows than the sample has documents
+    wanted = F.broadcast(bags.sparkSession.createDataFrame(chosen, "label int, place bigint"))
+    table = bags.join(wanted, ["label", "place"]).select("label", "bag", "place").toArrow()
+    table = table.sort_by([("place", "ascending"), ("label", "ascending")])
+    y = table["label"].to_numpy().astype(float)
+    rows = [np.frombuffer(b.as_py(), np.float32).reshape(-1, N_FEATURES).astype(float) for b in table["bag"]]
     return train(rows, y, settings)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_column, labelled_ids, labelled_sample, rows_of, stored, text_session
+from .common import arrow_column, labelled_ids, labelled_sample, stored, text_session
 
 WORD = re.compile(r"[^\W_]+")
 #: Beginnings of longer words count as tokens of their own, so that a form never
@@ -33,7 +33,6 @@ BEGINNINGS = (4, 5, 6)
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 8000  # labelled documents of each class that are learned from
-    most_terms: int = 50_000  # size of the lexicon
     prior: float = 0.1  # weight of the Dirichlet prior, as a share of all counts
     least_z: float = 2.8  # significance of a token's log-odds
     least_odds: float = 1.5  # words that merely mark a language or a topic stay below
@@ -125,16 +124,45 @@ def _smallest_grams(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(low[:, 0].copy()), pa.array(low[:, 1].copy())], ["a", "b"])
 
 
-def _without_copies(sample: DataFrame) -> DataFrame:
+def shingles(raw: bytes | None) -> frozenset:
+    """The runs of five words of a text."""
+    words = WORD.findall((raw or b"").decode("utf-8", "replace").lower())
+    return frozenset(zip(*(words[i:] for i in range(5))))
+
+
+def _similarity(one: pa.Array, two: pa.Array) -> pa.Array:
+    """Jaccard similarity of the runs of five words of two texts."""
+    out, last, held = [], None, frozenset()
+    for a, b in zip(one.cast(pa.binary()).to_pylist(), two.cast(pa.binary()).to_pylist()):
+        if b != last:
+            last, held = b, shingles(b)
+        own = shingles(a)
+        either = len(own | held)
+        out.append(len(own & held) / either if either else 0.0)
+    return pa.array(out, pa.float64())
+
+
+def _without_copies(sample: DataFrame, least: float = 0.8) -> DataFrame:
     """One document of each group of copies and most near copies, so that a text copied
-    often does not make all its words look significant. Very short texts are kept."""
+    often does not make all its words look significant.
+
+    Documents that agree in a smallest gram are compared with the first of them by id;
+    one goes only if its runs of five words have a similarity of ``least`` or more, so
+    documents that merely share a passage all stay. Texts of fewer than five words stay.
+    """
     marked = sample.withColumn("m", arrow_column(_smallest_grams, "struct<a:bigint,b:bigint>")("text"))
-    row = F.struct("id", "text", "_label", F.col("m.b").alias("b"))
     short = F.col("m.a") == np.iinfo(np.int64).max
-    key = lambda c: F.when(short, F.xxhash64("id")).otherwise(c)
-    once = marked.groupBy("_label", key(F.col("m.a")).alias("k")).agg(F.min_by(row, "id").alias("r")).select("r.*")
-    again = F.when(F.col("b") == np.iinfo(np.int64).max, F.xxhash64("id")).otherwise(F.col("b"))
-    return once.groupBy("_label", again.alias("k")).agg(F.min_by(F.struct("id", "text"), "id").alias("r")).select("r.id", "r.text", "_label")
+    alone = F.when(short, F.struct("id"))
+    once = stored(marked.groupBy("_label", "text", alone.alias("own")).agg(F.min("id").alias("id"), F.first("m").alias("m")), "toxic_texts")
+    near = arrow_column(_similarity, "double")
+    row = F.struct("id", "text")
+    for key in ("m.a", "m.b"):
+        long = once.filter(~short).select("_label", "id", "text", F.col(key).alias("k"))
+        first = long.groupBy("_label", "k").agg(F.min(row).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+        pairs = long.join(first, ["_label", "k"]).filter(row != F.col("first"))
+        copies = pairs.filter(near("text", "first.text") >= least).select("_label", "id", "text")
+        once = stored(once.join(copies, ["_label", "id", "text"], "left_anti"), "toxic_texts")
+    return once.select("id", "text", "_label")
 
 
 def _token_counts(sample: DataFrame) -> DataFrame:
@@ -171,9 +199,9 @@ def _lexicon(counts: DataFrame, settings: Settings) -> tuple[list, tuple[float,
         counts.select("token", odds.alias("odds"), z.alias("z"), "toxic", "other")
         .filter((F.col("z") >= settings.least_z) & (F.col("odds") >= settings.least_odds))
         .orderBy(F.desc("z"), "token")
-        .limit(settings.most_terms)
     )
-    return rows_of(chosen, settings.most_terms), (n1, n0)
+    # a significant token stands in several toxic documents of the sample, whose size bounds the lexicon
+    return chosen.collect(), (n1, n0)
 
 
 def _rate(scores: np.ndarray, weights: np.ndarray) -> float:

@@ -109,15 +109,23 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
 
 
-def _filed(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """size, direction, id, rounded coordinates, their scale and the rounding error, one row per direction."""
-    handle = classes.sparkSession.sparkContext.broadcast(codes)
+def _filed(classes: DataFrame) -> DataFrame:
+    """size, direction, id, rounded coordinates, their scale and the rounding error, one row per direction.
+
+    The directions of a length follow from it and the number of its vectors; a task
+    makes them when it meets the length and holds those of one length at a time.
+    """
+    plain = classes.select("id", "vector", F.size("vector").alias("size"))
+    sizes = plain.groupBy("size").agg(F.count(F.lit(1)).alias("many"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = None
         for batch in batches:
             lengths = np.asarray(pa.compute.list_value_length(batch.column(1)))
             for size in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == size))
+                if code is None or code.size != size:
+                    code = Code(int(size), part.column(2)[0].as_py())
                 x = matrix(part.column(1), int(size))
                 x = x / np.abs(x).max(1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -125,7 +133,7 @@ def _filed(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
                 rounded = np.round(x / scale[:, None]).astype(np.int8)
                 error = np.linalg.norm(x - rounded * scale[:, None], axis=1)
                 for low in range(0, len(x), 256):
-                    row, name = handle.value[int(size)].decode(x[low : low + 256])
+                    row, name = code.decode(x[low : low + 256])
                     row = row + low
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -140,7 +148,7 @@ def _filed(classes: DataFrame, codes: dict[int, Code]) -> DataFrame:
                     )
 
     kind = "size int, direction bigint, id bigint, coarse binary, scale double, error double"
-    return classes.select("id", "vector").mapInArrow(run, kind)
+    return plain.join(sizes, "size").select("id", "vector", "many").mapInArrow(run, kind)
 
 
 def _candidates(filed: DataFrame, least: float) -> DataFrame:
@@ -223,10 +231,7 @@ def _cosines(column_a: pa.Array, column_b: pa.Array) -> np.ndarray:
 
 def links(classes: DataFrame, least: float) -> DataFrame:
     """All found pairs a < b of different vectors with a cosine of ``least`` or more."""
-    sizes = {r.size: r.n for r in classes.groupBy(F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > 100:
-        raise ValueError("vectors of over a hundred different lengths")
-    pairs = _candidates(stored(_filed(classes, {size: Code(size, n) for size, n in sizes.items()}), "filed"), least)
+    pairs = _candidates(stored(_filed(classes), "filed"), least)
     cosine = arrow_column(lambda a, b: pa.array(_cosines(a, b)), "double")
     return (
         pairs.join(classes.select(F.col("id").alias("a"), F.col("vector").alias("x")), "a")

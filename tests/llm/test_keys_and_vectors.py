@@ -106,3 +106,9 @@ def test_near_duplicates(spark):
     want = [(i, many[i], root[i], root[i] == i) for i, _ in fine] + [(i, 0, i, True) for i, _ in odd]
     assert plain(got) == plain(want)
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(2 * n + k, [1.0 + i + k * 1e-4 for i in range(n)]) for n in range(2, 140) for k in (0, 1)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i - i % 2) for i, _ in rows}

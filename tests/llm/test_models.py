@@ -260,3 +260,62 @@ def test_segments_take_linear_time():
 
     small, large = min(taken(50_000) for _ in range(3)), taken(500_000)
     assert large < 30 * small
+
+
+def test_combining_marks_stay_in_words():
+    assert language.words_in("हिन्दी में किताब") == ["हिन्दी", "में", "किताब"]
+    assert language.words_in("ภาษาไทย e\u0301te\u0301 \u0301 ½c") == ["ภาษาไทย", "e\u0301te\u0301", "c"]
+
+
+def test_quality_takes_what_fits():
+    rows = [(0, 1, 900), (0, 2, 30), (0, 3, 30), (0, 4, 30), (1, 5, 700), (1, 6, 500)]
+    assert quality.fitting(rows, 150) == [(0, 2), (0, 3), (1, 6)]
+    assert quality.fitting([], 150) == []
+
+
+def test_a_long_text_leaves_no_constant(spark):
+    docs = documents(spark, [(i, ("Good plain words here. " if i % 2 else "BUY!!! $$$ 99 ") * (9 + 3000 * (i == 1))) for i in range(1, 21)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 21)], "doc_id long, quality int")
+    for most in (1, 100):
+        model = quality.fit(docs, labels, F.lit(True), settings=quality.Settings(most_passages=most, epochs=20))
+        assert isinstance(model, quality.Network)
+
+
+def test_documents_that_share_a_passage_all_train(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    shared = " ".join(word() for _ in range(60))
+    texts = [(i, f"{shared} {' '.join(word() for _ in range(60))}", i % 2) for i in range(100)]
+    copy = " ".join(word() for _ in range(200))
+    texts += [(200 + i, f"{copy} {word()}", 1) for i in range(30)] + [(300 + i, copy, 1) for i in range(3)] + [(400 + i, "two words", 0) for i in range(2)]
+    sample = spark.createDataFrame(texts, "id long, text string, _label int")
+    kept = [r.id for r in toxicity._without_copies(sample).collect()]
+    assert sorted(i for i in kept if i < 200) == list(range(100))
+    assert len([i for i in kept if 200 <= i < 400]) <= 6 and len([i for i in kept if i >= 400]) == 2
+
+
+def test_toxicity_counts_and_odds_against_a_plain_form(spark):
+    texts = [(f"foul foul{i % 3} calm", 1) for i in range(40)] + [(f"calm mild{i % 5}", 0) for i in range(60)] + [("foul calm", 0)]
+    sample = spark.createDataFrame(texts, "text string, _label int")
+    found, (n1, n0) = toxicity._lexicon(toxicity._token_counts(sample), toxicity.Settings())
+    counts = {}
+    for text, label in texts:
+        for token in {t for w in set(text.split()) for t in toxicity.marked(w)}:
+            counts.setdefault(token, [0, 0])[label] += 1
+    assert (n1, n0) == (sum(c[1] for c in counts.values()), sum(c[0] for c in counts.values()))
+    settings, expected = toxicity.Settings(), {}
+    for token, (other, toxic) in counts.items():
+        alpha, prior = settings.prior * (other + toxic), settings.prior * (n1 + n0)
+        y1, y0 = toxic + alpha, other + alpha
+        odds = np.log(y1 / (n1 + prior - y1)) - np.log(y0 / (n0 + prior - y0))
+        if odds >= settings.least_odds and odds / np.sqrt(1 / y1 + 1 / y0) >= settings.least_z:
+            expected[token] = odds
+    assert "foul" in expected and set(expected) == {r.token for r in found}
+    assert all(abs(expected[r.token] - r.odds) < 1e-9 for r in found)
+
+
+def test_more_languages_than_a_bound(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}xy word {chr(97 + i // 26)}q" * 3, f"l{i:03d}") for i in range(420)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language.count_grams(docs, "text", "lang", F.lit(False))
+    assert len(language._chosen(counts, language.Settings())[1]) == 420
