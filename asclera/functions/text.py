@@ -93,8 +93,8 @@ def number_in_name(name: Column | str, pattern: str, default: int = 1) -> Column
 
 
 def words(text: Column | str) -> Column:
-    """Lower-case tokens of letters and digits of any script."""
-    return F.array_remove(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case tokens of letters and digits of any script, with their combining marks."""
+    return F.array_remove(F.split(F.lower(_col(text)), r"[^\p{L}\p{N}\p{M}]+"), "")
 
 
 def word_count(text: Column | str) -> Column:

@@ -6,6 +6,11 @@ distance to the k-th neighbour follows from the pivot distances alone, and a poi
 is sent only to the cells that it may matter to (triangle inequality). Cells are
 cut into blocks of bounded size; a block pair gives at most k rows per point, never
 its pairs.
+
+Where that is still too much, ``graph`` approaches the neighbours of all points: a
+forest of random cuts gives first neighbours, and rounds of neighbour descent compare
+the points that share a neighbour. A point is copied once per tree and a few times k
+per round, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -14,13 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
 from . import windows
 
 PIVOTS = 256
 BLOCK = 4096
+#: Points from which the cuts of ``graph`` are fitted; every point is placed by them.
+CUT_SAMPLE = 4096
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -151,18 +160,156 @@ def nearest(
     return top.select(F.col("query").alias(key), "neighbor", "distance", "rank")
 
 
-def batch_mixing(points: DataFrame, key: str, vector: str, batch: str, k: int = 50) -> DataFrame:
-    """Mean share of all batches that appear among the k nearest points (the point itself counts)."""
-    found = nearest(points, points, key, vector, k)
+def _pairs_of_groups(rows: DataFrame, k: int) -> DataFrame:
+    """id, neighbor, distance: for each point the k nearest of its group that are no further than its ``worst``.
+
+    ``rows`` holds grp, part, id, v and worst; groups are of bounded size and a task
+    holds one at a time beside an Arrow batch.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def within(v: np.ndarray, worst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = (v**2).sum(1)
+        rough = size[:, None] + size[None, :] - 2 * v @ v.T
+        np.fill_diagonal(rough, np.inf)
+        many = min(k, len(v) - 1)
+        near = np.argpartition(rough, many - 1, axis=1)[:, :many]
+        distance = np.sqrt(((v[:, None, :] - v[near]) ** 2).sum(2))
+        i, j = np.nonzero(distance <= worst[:, None])
+        return i, near[i, j], distance[i, j]
+
+    def compared(table: pa.RecordBatch) -> pa.RecordBatch:
+        group, part = table.column(0).to_numpy(), table.column(1).to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (part[1:] != part[:-1]))))
+        ids = table.column(2)
+        code = ids.dictionary_encode().indices.to_numpy()
+        v = table.column(3).flatten().to_numpy().reshape(len(ids), -1)
+        worst = table.column(4).to_numpy()
+        one, two, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for low, high in zip(begin, np.append(begin[1:], len(ids))):
+            own = low + np.unique(code[low:high], return_index=True)[1]
+            if len(own) > 1:
+                i, j, d = within(v[own], worst[own])
+                one.append(own[i])
+                two.append(own[j])
+                far.append(d)
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(np.concatenate(one))), ids.take(pa.array(np.concatenate(two))), pa.array(np.concatenate(far))], ["id", "neighbor", "distance"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            group, part = both.column(0).to_numpy(), both.column(1).to_numpy()
+            other = np.flatnonzero((group != group[-1]) | (part != part[-1]))
+            done = int(other[-1]) + 1 if len(other) else 0  # the last group may go on in the next batch
+            if done:
+                yield compared(both.slice(0, done))
+            held = [both.slice(done)]
+        if held:
+            yield compared(held[0])
+
+    dealt = rows.select("grp", "part", "id", "v", "worst").repartition("grp", "part").sortWithinPartitions("grp", "part")
+    return dealt.mapInArrow(run, f"id {kind}, neighbor {kind}, distance double")
+
+
+def _in_trees(rows: DataFrame, trees: int, leaf: int, seed: int) -> DataFrame:
+    """grp, part, id, v, worst: every point in its leaf of every tree; leaves of over two ``leaf`` points are dealt into parts."""
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64("id")).select("v").limit(CUT_SAMPLE).collect()], dtype="float64")
+    depth = min(40, max(0, int(np.ceil(np.log2(max(1, rows.count()) / leaf)))))
+    random = np.random.default_rng(seed)
+    normals = random.normal(size=(trees, depth, sample.shape[1] if len(sample) else 1))
+    cuts = [np.median(sample @ n.T, axis=0) if len(sample) else np.zeros(depth) for n in normals]
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            for tree in range(trees):
+                code = ((v @ normals[tree].T > cuts[tree]) @ (1 << np.arange(depth, dtype=np.int64))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(code + (tree << 44)), batch.column(0), batch.column(1)], ["grp", "id", "v"])
+
+    placed = rows.select("id", "v").mapInArrow(place, f"grp bigint, id {kind}, v array<double>")
+    large = placed.groupBy("grp").count().filter(F.col("count") > 2 * leaf).select("grp", F.ceil(F.col("count") / leaf).cast("int").alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("id", "grp"), F.col("parts")), F.lit(0)).cast("int")
+    return placed.join(large, "grp", "left").select("grp", part.alias("part"), "id", "v", F.lit(float("inf")).alias("worst"))
+
+
+def _around_neighbors(rows: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """grp, part, id, v, worst: around every point its neighbours and the points that it is a neighbour of.
+
+    A point that is a neighbour of many has as many groups as it takes to hold 2k of them each.
+    """
+    worst = edges.groupBy("id").agg(F.when(F.count("*") >= k, F.max("distance")).otherwise(float("inf")).alias("worst"))
+    points = rows.join(worst, "id", "left").select("id", "v", F.coalesce("worst", F.lit(float("inf"))).alias("worst"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("count") / (2 * k))).cast("int").alias("parts")
+    centers = rows.select(F.col("id").alias("center")).join(edges.groupBy(F.col("neighbor").alias("center")).count(), "center", "left")
+    centers = centers.select("center", F.coalesce(parts, F.lit(1)).alias("parts"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    out = edges.select(F.col("id").alias("center"), F.col("neighbor").alias("id")).join(centers, "center").select("center", "id", every)
+    back = edges.select(F.col("neighbor").alias("center"), "id").join(centers, "center")
+    back = back.select("center", "id", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    own = centers.select("center", F.col("center").alias("id"), every)
+    members = out.unionByName(back).unionByName(own)
+    return members.join(points, "id").select(F.xxhash64("center").alias("grp"), "part", "id", "v", "worst")
+
+
+def graph(
+    points: DataFrame, key: str, vector: str, k: int, include_self: bool = True, trees: int = 4, leaf: int = 256, rounds: int = 2, seed: int = 42
+) -> DataFrame:
+    """About the k nearest points of every point by Euclidean distance, with the columns of ``nearest``.
+
+    Found by a forest of random cuts and ``rounds`` of neighbour descent; distances are
+    exact, and ``nearest`` finds the exact neighbours. Points whose vector is null are
+    left out; keys are unique and vectors of one length. No points give no rows.
+    """
+    wanted = max(1, k - 1) if include_self else k
+    rows = kept(points.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL"))
+
+    def best(found: DataFrame, n: int) -> DataFrame:
+        once = found.groupBy("id", "neighbor").agg(F.min("distance").alias("distance"))
+        return windows.top_per_group(once, ["id"], [F.col("distance"), F.col("neighbor")], n)
+
+    edges = kept(best(_pairs_of_groups(_in_trees(rows, trees, leaf, seed), wanted), wanted).drop("rank"))
+    for _ in range(rounds):
+        closer = _pairs_of_groups(_around_neighbors(rows, edges, wanted), wanted)
+        edges = kept(best(edges.unionByName(closer), wanted).drop("rank"))
+    if include_self:
+        edges = edges.unionByName(rows.select("id", F.col("id").alias("neighbor"), F.lit(0.0).alias("distance")))
+    return best(edges, k).select(F.col("id").alias(key), "neighbor", "distance", "rank")
+
+
+def recall(found: DataFrame, exact: DataFrame, key: str) -> DataFrame:
+    """One row: the queries of ``exact``, its neighbours, and the share of them that ``found`` has too."""
+    got = found.select(key, "neighbor", F.lit(1).alias("_hit"))
+    return exact.join(got, [key, "neighbor"], "left").agg(
+        F.count_distinct(key).alias("queries"), F.count("*").alias("neighbors"), (F.count("_hit") / F.count("*")).alias("recall")
+    )
+
+
+def batch_mixing(points: DataFrame, key: str, vector: str, batch: str, k: int = 50, exact: bool = True) -> DataFrame:
+    """Mean share of all batches that appear among the k nearest points (the point itself counts).
+
+    ``exact=False`` takes the neighbours from ``graph``.
+    """
+    found = nearest(points, points, key, vector, k) if exact else graph(points, key, vector, k)
     batches = points.select(F.col(key).alias("neighbor"), F.col(batch).alias("_batch"))
     per_point = found.join(batches, "neighbor").groupBy(key).agg(F.count_distinct("_batch").alias("seen"))
     total = points.agg(F.count_distinct(batch)).scalar()
     return per_point.agg(F.avg(F.col("seen") / total).alias("batch_mixing"), F.count("*").alias("points"))
 
 
-def vote(queries: DataFrame, reference: DataFrame, key: str, vector: str, label: str, k: int = 15, include_self: bool = True) -> DataFrame:
-    """Label by majority of the k nearest reference points, with the vote share as confidence."""
-    found = nearest(queries, reference, key, vector, k, include_self)
+def vote(queries: DataFrame, reference: DataFrame, key: str, vector: str, label: str, k: int = 15, include_self: bool = True, found: DataFrame | None = None) -> DataFrame:
+    """Label by majority of the k nearest reference points, with the vote share as confidence.
+
+    ``found`` gives neighbours that are known already, as those of ``graph``.
+    """
+    found = nearest(queries, reference, key, vector, k, include_self) if found is None else found
     labels = reference.select(F.col(key).alias("neighbor"), F.col(label).alias("_label"))
     votes = found.join(labels, "neighbor").groupBy(key, "_label").agg(F.count("*").alias("votes"))
     winner = votes.groupBy(key).agg(

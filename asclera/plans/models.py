@@ -9,12 +9,12 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, IndexToString, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,6 +171,101 @@ def importances(model: PipelineModel, features: Sequence[str], df: DataFrame) ->
     return df.agg(F.count("*").alias("rows")).select("rows", F.inline(rows))
 
 
+def _nodes(node) -> dict:
+    """A fitted tree as nested dicts; ``cover`` is the number of training rows of a node."""
+    found = {"cover": float(node.impurityStats().count()), "value": float(node.prediction()), "stats": [float(x) for x in node.impurityStats().stats()]}
+    if node.subtreeDepth():
+        split = node.split()
+        found |= {"feature": split.featureIndex(), "at": float(split.threshold()), "left": _nodes(node.leftChild()), "right": _nodes(node.rightChild())}
+    return found
+
+
+def _leaves(node: dict, value, steps: tuple = ()) -> Iterator[tuple[float, dict[int, tuple[float, float, float]]]]:
+    """(value, feature -> (lower bound, upper bound, share of training rows)) of every leaf of a tree."""
+    if "feature" not in node:
+        bounds: dict[int, tuple[float, float, float]] = {}
+        for feature, low, high, share in steps:
+            a, b, s = bounds.get(feature, (-np.inf, np.inf, 1.0))
+            bounds[feature] = (max(a, low), min(b, high), s * share)
+        yield value(node), bounds
+        return
+    for side, low, high in (("left", -np.inf, node["at"]), ("right", node["at"], np.inf)):
+        share = node[side]["cover"] / node["cover"]
+        yield from _leaves(node[side], value, (*steps, (node["feature"], low, high, share)))
+
+
+def shapley_values(leaves: Sequence[tuple[float, dict]], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Shapley values of every row of ``x`` and the value without any feature, for the sum of leaves.
+
+    A leaf is a product over its features: 1 or 0 for a known feature that leads there
+    or not, the share of training rows for an unknown one. The products over all sets
+    of known features of one size are the coefficients of a polynomial, so a leaf
+    costs the square of its number of features, not a power of two.
+    """
+    out, base = np.zeros(x.shape), 0.0
+    for value, bounds in leaves:
+        features = list(bounds)
+        share = np.array([bounds[f][2] for f in features])
+        base += value * float(np.prod(share))
+        leads = np.array([(x[:, f] > bounds[f][0]) & (x[:, f] <= bounds[f][1]) for f in features], float)
+        many = len(features)
+        weights = [math.factorial(k) * math.factorial(many - k - 1) / math.factorial(many) for k in range(many)]
+        for i, f in enumerate(features):
+            known = [np.ones(len(x))]  # by the number of other features that are known
+            for j in range(many):
+                if j != i:
+                    known = [
+                        (known[k] * share[j] if k < len(known) else 0.0) + (known[k - 1] * leads[j] if k else 0.0) for k in range(len(known) + 1)
+                    ]
+            out[:, f] += value * (leads[i] - share[i]) * sum(w * c for w, c in zip(weights, known))
+    return out, base
+
+
+def _forest_leaves(model, class_index: int) -> list[tuple[float, dict]]:
+    """The leaves of all trees, whose values add up to the raw score: of boosted trees the margin or value, of a forest the share of votes."""
+    found = []
+    boosted = isinstance(model, (GBTClassificationModel, GBTRegressionModel))
+    for tree, weight in zip(model.trees, model.treeWeights if boosted else [1 / len(model.trees)] * len(model.trees)):
+        value = (lambda n, w=weight: w * n["value"]) if boosted else (lambda n, w=weight: w * n["stats"][class_index] / sum(n["stats"]))
+        found += _leaves(_nodes(tree._call_java("rootNode")), value)
+    return found
+
+
+def attributions(model: PipelineModel, df: DataFrame, features: Sequence[str], class_index: int = 1) -> DataFrame:
+    """All rows with ``attributions``, a struct of a number per feature, and ``base``; together they are the row's raw score.
+
+    The raw score is the margin of boosted classification trees, the value of boosted
+    regression trees, and the probability of class ``class_index`` of a forest. Values
+    are path-dependent Shapley values over the fitted trees, computed in Arrow batches;
+    the trees are as large as training made them, not as the table. Missing features
+    are those that the model filled in.
+    """
+    at = next(i for i, s in enumerate(model.stages) if hasattr(s, "trees"))
+    leaves = _forest_leaves(model.stages[at], class_index)
+    ready = PipelineModel(model.stages[:at]).transform(df.drop(*[c for c in df.columns if c.startswith(_WORK)]))
+    p = len(features)
+
+    @F.pandas_udf("array<double>")
+    def explain(column: pd.Series) -> pd.Series:
+        x = np.stack(column.to_numpy()).astype("float64") if len(column) else np.zeros((0, p))
+        return pd.Series(list(shapley_values(leaves, x)[0]))
+
+    base = shapley_values(leaves, np.zeros((0, p)))[1]
+    values = ready.withColumn(f"{_WORK}values", explain(vector_to_array(f"{_WORK}features")))
+    struct = F.struct(*[F.col(f"{_WORK}values")[i].alias(f) for i, f in enumerate(features)])
+    made = values.withColumns({"attributions": struct, "base": F.lit(float(base))})
+    return made.drop(*[c for c in made.columns if c.startswith(_WORK)])
+
+
+def attribution_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], class_index: int = 1) -> DataFrame:
+    """Mean absolute attribution per feature over all rows."""
+    rows = attributions(model, df, features, class_index)
+    at = lambda f: F.col("attributions").getField(f)
+    one = rows.agg(F.count("*").alias("rows"), *[F.avg(F.abs(at(f))).alias(f"_{i}") for i, f in enumerate(features)])
+    pairs = [F.struct(F.lit(f).alias("feature"), F.col(f"_{i}").alias("importance")) for i, f in enumerate(features)]
+    return one.select("rows", F.inline(F.array(*pairs)))
+
+
 def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str) -> DataFrame:
     """Rise of the squared error when one feature is shuffled, per feature.
 

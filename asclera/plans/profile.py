@@ -17,10 +17,10 @@ UNSTRUCTURED = ["pdf", "docx", "txt"]
 def profile_columns(df: DataFrame, exact: bool = True, ranges: bool = True) -> DataFrame:
     """Per column: type, nullability, distinct values, nulls, null percent, meaning, min, max, mean.
 
-    All columns come out of a single aggregate. ``exact=False`` counts distinct
-    values with HyperLogLog, which needs no shuffle of the values.
+    Everything but exact distinct counts comes out of a single aggregate; those are
+    counted for all columns together (``distinct_counts``). ``exact=False`` counts
+    distinct values with HyperLogLog, which needs no shuffle of the values.
     """
-    count_distinct = F.count_distinct if exact else F.approx_count_distinct
     kinds = {f.name: f for f in df.schema}
 
     def measures(c: str) -> dict[str, Column]:
@@ -30,7 +30,7 @@ def profile_columns(df: DataFrame, exact: bool = True, ranges: bool = True) -> D
             "data_type": F.max(F.lit(field.dataType.simpleString())),
             "nullable": F.bool_or(F.lit(field.nullable)),
             "semantic_type": F.max(F.lit(naming.semantic_type(c))),
-            "distinct_count": count_distinct(F.col(c)),
+            "distinct_count": F.count(F.lit(None)) if exact else F.approx_count_distinct(F.col(c)),
             "null_count": F.count_if(F.col(c).isNull()),
             "null_pct": aggregates.percent(F.count_if(F.col(c).isNull()), F.count("*"), 4),
         }
@@ -40,7 +40,45 @@ def profile_columns(df: DataFrame, exact: bool = True, ranges: bool = True) -> D
             found["mean_value"] = F.round(F.avg(c), 4) if numeric else F.max(F.lit(None).cast("double"))
         return found
 
-    return aggregates.per_column(df, df.columns, measures, shared={"row_count": F.count("*")})
+    found = aggregates.per_column(df, df.columns, measures, shared={"row_count": F.count("*")})
+    if not exact:
+        return found
+    # a row per column
+    counts = F.broadcast(distinct_counts(df))
+    return found.join(counts.withColumnRenamed("distinct_count", "_distinct"), "column_name", "left").withColumn(
+        "distinct_count", F.coalesce("_distinct", "distinct_count")
+    ).select(*found.columns)
+
+
+def _as_text(field: T.StructField) -> Column:
+    """A text that differs wherever values of the column do; long ones by their digest."""
+    value, kind = F.col("`" + field.name.replace("`", "``") + "`"), field.dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0).cast(kind)  # minus zero equals zero
+    elif isinstance(kind, T.TimestampType):
+        value = F.unix_micros(value)  # the same local time may come twice a year
+    elif isinstance(kind, T.BinaryType):
+        value = F.hex(value)
+    text = value.cast("string")
+    return F.when(F.octet_length(text) < 64, text).otherwise(F.sha2(text, 256))
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """column_name and the exact number of its distinct values, for all columns in one shuffle of (column, value).
+
+    Values are merged before the shuffle, and a value counts once per column wherever it
+    lies, so no row is widened by the number of columns. Nested columns are counted by themselves.
+    """
+    plain = [f for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    nested = [f.name for f in df.schema if not isinstance(f.dataType, T.AtomicType)]
+    parts = []
+    if plain:
+        pairs = F.array(*[F.struct(F.lit(f.name).alias("column_name"), _as_text(f).alias("value")) for f in plain])
+        values = df.select(F.inline(pairs)).filter("value IS NOT NULL").distinct()
+        parts.append(values.groupBy("column_name").agg(F.count("*").alias("distinct_count")))
+    if nested:
+        parts.append(aggregates.per_column(df, nested, lambda c: {"distinct_count": F.count_distinct(F.col(c))}))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def key_candidates(profile: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Bindings: aggregations (AG)."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 from ..operators import aggregates as ag
 from ..operators import sets
@@ -202,6 +204,26 @@ def _(t):
     return rows.withColumn("correlation", F.round("correlation", 6))
 
 
+NUMBERS = {
+    "l_orderkey": "l_orderkey", "l_partkey": "l_partkey", "l_suppkey": "l_suppkey", "l_linenumber": "l_linenumber", "l_quantity": "l_quantity",
+    "l_extendedprice": "l_extendedprice", "l_discount": "l_discount", "l_tax": "l_tax", "net": "l_extendedprice * (1 - l_discount)",
+    "large": "CASE WHEN l_quantity > 25 THEN l_extendedprice END", "unit": "l_extendedprice / l_quantity",
+}
+
+
+@query(
+    "AG-18-wide",
+    "WITH n AS (SELECT " + ", ".join(f"({e})::DOUBLE AS {c}" for c, e in NUMBERS.items()) + " FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, ROUND(corr({a}, {b}), 6) AS correlation FROM n" for a, b in combinations(NUMBERS, 2)
+    ),
+)
+def _(t):
+    """Eleven columns, one of them with nulls: correlated by blocks."""
+    rows = t.lineitem.select(*[F.expr(e).cast("double").alias(c) for c, e in NUMBERS.items()])
+    return ag.correlations(rows, list(NUMBERS)).withColumn("correlation", F.round("correlation", 6))
+
+
 @query(
     "AG-19",
     """SELECT 'l_discount' AS column_name, ROUND(VARIANCE(l_discount), 6) AS variance FROM lineitem

@@ -367,7 +367,7 @@ def _(t):
 
 @query(
     "UD-04",
-    """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS word FROM conversations), c AS (SELECT role, word, COUNT(*) AS n FROM w GROUP BY ALL)
+    """WITH w AS (SELECT role, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+')) AS word FROM conversations), c AS (SELECT role, word, COUNT(*) AS n FROM w GROUP BY ALL)
        SELECT role, string_agg(word, ' ' ORDER BY n DESC, word) AS keywords FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY role ORDER BY n DESC, word) AS rn FROM c) WHERE rn <= 5 GROUP BY 1""",
 )
 def _(t):

@@ -240,6 +240,21 @@ def _(t):
     return out.withColumn("batch_mixing", F.round("batch_mixing", 6))
 
 
+@query(
+    "SC-11-graph",
+    """SELECT (SELECT COUNT(*) FROM embeddings) AS points, (SELECT COUNT(*) FROM embeddings) * LEAST(15, (SELECT COUNT(*) FROM embeddings)) AS edges,
+       COUNT(*) AS queries, TRUE AS recall_reached FROM embeddings WHERE vec_id % 100 = 0""",
+)
+def _(t):
+    """The neighbour graph of all points; its recall is measured for every hundredth id against all points."""
+    rows = t.embeddings.select("vec_id", "embedding")
+    found = neighbors.graph(rows, "vec_id", "embedding", 15)
+    exact = neighbors.nearest(rows.filter("vec_id % 100 = 0"), rows, "vec_id", "embedding", 15)
+    sizes = found.agg(F.count_distinct("vec_id").alias("points"), F.count("*").alias("edges"))
+    measured = neighbors.recall(found, exact, "vec_id").first()  # one row
+    return sizes.withColumns({"queries": F.lit(measured["queries"]).cast("bigint"), "recall_reached": F.lit(measured["recall"] >= 0.95)})
+
+
 @query("SC-12")
 def _(t):
     from ..plans import models

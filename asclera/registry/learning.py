@@ -189,6 +189,14 @@ def _(t):
     return models.permutation_importance(model, rows, ["l_quantity", "l_tax"], "l_extendedprice", "id")
 
 
+@query("ML-09-shapley")
+def _(t):
+    rows = labelled(t)
+    used = [*SENSORS, "l_discount"]
+    model = models.train(rows, "stuck", used, "classification", trees=3, depth=3)
+    return models.attribution_importance(model, rows, used)
+
+
 @query("ML-10")
 def _(t):
     rows = labelled(t)

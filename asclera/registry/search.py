@@ -7,8 +7,8 @@ from ..plans import search
 from . import query
 from .sources import scratch
 
-TOKENS = """WITH tk AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents),
-    dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n FROM documents), st AS (SELECT COUNT(*) AS total, AVG(n) AS mean FROM dl),
+TOKENS = """WITH tk AS (SELECT doc_id, source, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+')) AS term FROM documents),
+    dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+')) AS n FROM documents), st AS (SELECT COUNT(*) AS total, AVG(n) AS mean FROM dl),
     tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM tk GROUP BY ALL), df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY 1),
     sc AS (SELECT doc_id, term, ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS s FROM tf JOIN df USING (term) JOIN dl USING (doc_id), st)"""
 
@@ -46,7 +46,7 @@ def _(t):
     return out.select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
-MANY = TOKENS + """, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark),
+MANY = TOKENS + """, q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+')) AS term FROM benchmark),
        r AS (SELECT item_id AS query_id, doc_id, SUM(s) AS score FROM q JOIN sc USING (term) GROUP BY ALL)
        SELECT query_id, doc_id, ROUND(score, 6) AS score FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY ROUND(score, 9) DESC, doc_id) AS rn FROM r) WHERE rn <= 5"""
 

@@ -123,6 +123,24 @@ def _(t):
     return result(t, f"{place}/out/derived").groupBy("user_id", "previous", "state").agg(F.count("*").alias("n"))
 
 
+@query(
+    "SS-08-late",
+    """WITH s AS (SELECT user_id, ts, CASE WHEN value > 60 THEN 'ALERT' ELSE 'OK' END AS state, LAG(CASE WHEN value > 60 THEN 'ALERT' ELSE 'OK' END) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events)
+       SELECT user_id, ts::VARCHAR AS at, previous, state FROM s WHERE (previous IS NULL OR previous <> state)
+         AND date_trunc('millisecond', ts) < (SELECT date_trunc('millisecond', MAX(ts)) FROM events) - INTERVAL 5 DAY""",
+)
+def _(t):
+    """The alerts of the last four days before the cut come with the second delivery, behind younger readings."""
+    place = scratch(t)
+    state = F.when(F.col("value") > 60, "ALERT").otherwise("OK")
+    late = "(ts >= '2024-01-11' AND ts < '2024-01-15' AND value > 60)"
+    for delivery in (f"ts < '2024-01-15' AND NOT {late}", f"ts >= '2024-01-15' OR {late}"):
+        t.events.filter(delivery).write.mode("append").parquet(f"{place}/in")
+        stream = feeds.change_feed(t.spark, f"{place}/in", t.events.schema)
+        feeds.state_changes(stream, "user_id", "ts", state, f"{place}/out", f"{place}/state", "5 days")
+    return result(t, f"{place}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SS-09", "SELECT user_id, MAX(ts)::VARCHAR AS ts, arg_max(value, ts) AS value, arg_max(event_type, ts) AS event_type FROM events GROUP BY 1")
 def _(t):
     place = scratch(t)

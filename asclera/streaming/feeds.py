@@ -7,12 +7,14 @@ failure leaves the same result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import ranges
 from . import levels
@@ -143,6 +145,52 @@ def changed_states(stream: DataFrame, key: str, time: str, state: Column, path:
     return refresh_by_key(readings, key, derive, path, checkpoint, buckets)
 
 
+def state_changes(stream: DataFrame, key: str, time: str, state: Column, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Rows whose state differs from the one before (key, at, previous, state), appended to ``path``.
+
+    Readings may come up to ``delay`` late and still take their place; a change is
+    written once the watermark has passed its reading, and a reading behind the
+    watermark is dropped and counted (``rows_behind_watermark``). Kept per entity are
+    its last state and the readings of the delay, in a RocksDB store; no history is
+    read. The first reading of an entity is a change. Null states are states of their
+    own; rows with a null key or time never change state.
+    """
+    spark = stream.sparkSession
+    timed = event_time(stream.withColumn("_at", F.col(time)), "_at", delay).filter(F.col(key).isNotNull() & F.col("_at").isNotNull())
+    rows = timed.select(F.col(key), "_at", F.unix_micros("_at").alias("us"), state.cast("string").alias("state"))
+
+    def update(name: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        known, last, times, states = group.get if group.exists else (False, None, [], [])
+        waiting = set(zip(times, states))  # a reading delivered twice counts once
+        if not group.hasTimedOut:
+            for part in parts:
+                waiting.update((int(us), None if pd.isna(s) else s) for us, s in zip(part["us"], part["state"]))
+        passed = group.getCurrentWatermarkMs()
+        out, rest = [], []
+        for us, now in sorted(waiting, key=lambda r: (r[0], r[1] is not None, r[1] or "")):
+            if us // 1000 >= passed:
+                rest.append((us, now))
+                continue
+            if not known or now != last:
+                out.append((name[0], us, last, now))
+            known, last = True, now
+        group.update((known, last, [us for us, _ in rest], [s for _, s in rest]))
+        if rest:
+            group.setTimeoutTimestamp(max(rest[0][0] // 1000, passed) + 1)
+        yield pd.DataFrame(out, columns=[key, "us", "previous", "state"])
+
+    kind = f"`{key}` {stream.schema[key].dataType.simpleString()}, us bigint, previous string, state string"
+    memory = "known boolean, last string, times array<bigint>, states array<string>"
+    changes = rows.groupBy(key).applyInPandasWithState(update, kind, memory, "append", GroupStateTimeout.EventTimeTimeout)
+    out = changes.select(key, F.timestamp_micros("us").alias("at"), "previous", "state")
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return append_to(out, path, checkpoint)
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def keep_totals(stream: DataFrame, keys: Sequence[str], partial: dict[str, Column], merge: dict[str, Column], path: str, checkpoint: str) -> StreamingQuery:
     """Keep aggregates per key current: a batch adds the partial aggregates of its own rows.
 
