@@ -15,6 +15,7 @@ and joins the places with the tokens.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
@@ -47,12 +48,26 @@ BORDER = regex.compile(rf" (?=[^{WHITE}])")
 #: Entries of each of a worker's two caches of words, greatest length of an entry, characters cut at once.
 CACHED_WORDS = 150_000
 CACHED_LENGTH = 64
-SPAN_CHARS = 1 << 20
+SPAN_CHARS = 1 << 14
+#: A longer span, one without a border, goes word by word.
+LONG_SPAN = 1 << 20
 
 # Fixed value: the published pattern of byte-level tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters before this one have the same classes in every version of Unicode.
-UNCOMMON = "\u0250"
+
+
+def _unsettled() -> regex.Pattern:
+    """Characters whose class may differ between two libraries' versions of Unicode.
+
+    Those that an early version had not given out yet, those moved since, and all beyond
+    the first plane.
+    """
+    early = unicodedata.ucd_3_2_0
+    kind = lambda book, c: k[0] if (k := book.category(c))[0] in "LNZ" or k == "Cn" else ""
+    moved = [k for k in range(1 << 16) if (was := kind(early, chr(k))) == "Cn" or was != kind(unicodedata, chr(k))]
+    ends = np.flatnonzero(np.diff(moved) > 1)
+    ranges = zip([moved[0], *(moved[k + 1] for k in ends)], [*(moved[k] for k in ends), moved[-1]])
+    return regex.compile("[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in (*ranges, (1 << 16, 0x10FFFF))) + "]")
 
 
 def _letters() -> dict[str, int]:
@@ -84,8 +99,9 @@ class Words:
 
     Only for byte-level tokenizers without a normalizer, whose pattern begins a token at
     every blank before another sign: there a text may be cut without changing its ids.
-    The merges are the file's; words of common characters go through the faster of two
-    merge loops, all else through the tokenizer itself.
+    The merges are the file's; a span of settled characters goes whole through the faster
+    of two merge loops, the words of other spans through a cache and, if they hold
+    unsettled characters, the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -94,9 +110,13 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.fast = _merge_loop(self.library)
+        self.unsettled = _unsettled()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _settled(self, text: str) -> bool:
+        return self.fast is not None and (text.isascii() or not self.unsettled.search(text))
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -110,7 +130,7 @@ class Words:
         again = [w for w in new if w in older]
         known.update((w, older[w]) for w in again)
         fresh = list(new.difference(again))
-        common = [w for w in fresh if self.fast and (w.isascii() or max(w) < UNCOMMON)]
+        common = [w for w in fresh if self._settled(w)]
         known.update((w, np.array(self.fast(" " + w), "<u4").tobytes()) for w in common)
         if len(common) < len(fresh):
             rare = [w for w in fresh if w not in known]
@@ -118,6 +138,10 @@ class Words:
         return fresh
 
     def _span(self, text: str, first: bool) -> bytes:
+        if len(text) <= LONG_SPAN and self._settled(text):
+            return np.array(self.fast(text), "<u4").tobytes()
+        if not first:
+            text = text[1:]
         words = BORDER.split(text) if INSIDE.search(text) else text.split(" ")
         head = self._ids([words[0]])[0] if first else b""
         if not first:
@@ -140,7 +164,7 @@ class Words:
             end = cut.start() if cut else len(text)
             span = text[begin:end]
             # the blank at a border belongs to the word after it
-            out.append(self._span(span, True) if begin == 0 else self._span(span[1:], False))
+            out.append(self._span(span, begin == 0))
             begin = end
         return np.frombuffer(b"".join(out), "<u4")
 

@@ -42,6 +42,14 @@ def test_ids_of_spans_and_special_texts(monkeypatch):
         assert packing.words_of(PATH).encode(text).tolist() == library(text)
 
 
+def test_ids_of_every_character_of_the_first_planes():
+    for first in range(0, 0x12000, 0x400):
+        points = [k for k in range(first, first + 0x400) if not 0xD800 <= k < 0xE000]
+        texts = [f"a{chr(k)}1{chr(k)} {chr(k)}{chr(k)}b {chr(k)}1 .{chr(k)} \n{chr(k)} x" for k in points]
+        for text, found in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)):
+            assert packing.words_of(PATH).encode(text).tolist() == found.ids, hex(ord(text[1]))
+
+
 def covered(counts, windows):
     places, seen = packing.Places(windows, 0), collections.defaultdict(list)
     for rest, many in counts.items():
