@@ -15,8 +15,10 @@ and joins the places with the tokens.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -56,7 +58,7 @@ LONG_SPAN = 1 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _unsettled() -> regex.Pattern:
+def _unsettled() -> re.Pattern:
     """Characters whose class may differ between two libraries' versions of Unicode.
 
     Those that an early version had not given out yet, those moved since, and all beyond
@@ -67,7 +69,8 @@ def _unsettled() -> regex.Pattern:
     moved = [k for k in range(1 << 16) if (was := kind(early, chr(k))) == "Cn" or was != kind(unicodedata, chr(k))]
     ends = np.flatnonzero(np.diff(moved) > 1)
     ranges = zip([moved[0], *(moved[k + 1] for k in ends)], [*(moved[k] for k in ends), moved[-1]])
-    return regex.compile("[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in (*ranges, (1 << 16, 0x10FFFF))) + "]")
+    # re looks a character up in a bitmap, regex goes through the ranges
+    return re.compile("[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in (*ranges, (1 << 16, 0x10FFFF))) + "]")
 
 
 def _letters() -> dict[str, int]:
@@ -139,7 +142,7 @@ class Words:
 
     def _span(self, text: str, first: bool) -> bytes:
         if len(text) <= LONG_SPAN and self._settled(text):
-            return np.array(self.fast(text), "<u4").tobytes()
+            return array("I", self.fast(text)).tobytes()
         if not first:
             text = text[1:]
         words = BORDER.split(text) if INSIDE.search(text) else text.split(" ")
