@@ -87,6 +87,95 @@ STUDY_COLUMNS = {
 }
 # Tags every object should carry.
 REQUIRED_TAGS = ["study_uid", "series_uid", "sop_instance_uid", "patient_id", "modality", "study_date"]
+# Columns, tags and kinds of the imaging model. ``_key`` columns, counts and places in a file are derived.
+MODEL = {
+    "dicom_patient": {
+        "patient_id": ("PatientID", "string"), "issuer_of_patient_id": ("IssuerOfPatientID", "string"), "patient_name": ("PatientName", "string"),
+        "patient_sex": ("PatientSex", "string"), "patient_birth_date": ("PatientBirthDate", "date"), "patient_age": ("PatientAge", "string"),
+        "other_patient_ids": ("OtherPatientIDs", "strings"), "other_patient_names": ("OtherPatientNames", "strings"), "comments": ("PatientComments", "string"),
+    },
+    "dicom_study": {
+        "study_instance_uid": ("StudyInstanceUID", "string"), "accession_number": ("AccessionNumber", "string"), "study_id": ("StudyID", "string"),
+        "study_date": ("StudyDate", "date"), "study_time": ("StudyTime", "string"), "study_description": ("StudyDescription", "string"),
+        "referring_physician": ("ReferringPhysicianName", "string"), "admitting_diagnosis": ("AdmittingDiagnosesDescription", "string"),
+    },
+    "dicom_procedure_step": {
+        "requested_procedure_id": ("RequestedProcedureID", "string"), "requested_procedure_description": ("RequestedProcedureDescription", "string"),
+        "requested_procedure_code_seq": ("RequestedProcedureCodeSequence", "variant"),
+        "performed_procedure_step_id": ("PerformedProcedureStepID", "string"),
+        "performed_procedure_description": ("PerformedProcedureStepDescription", "string"),
+        "performed_procedure_type": ("PerformedProcedureTypeDescription", "string"),
+        "performed_procedure_code_seq": ("PerformedProtocolCodeSequence", "variant"),
+    },
+    "dicom_series": {
+        "series_instance_uid": ("SeriesInstanceUID", "string"), "series_number": ("SeriesNumber", "int"), "modality": ("Modality", "string"),
+        "body_part_examined": ("BodyPartExamined", "string"), "laterality": ("Laterality", "string"), "series_description": ("SeriesDescription", "string"),
+        "frame_of_reference_uid": ("FrameOfReferenceUID", "string"), "patient_position": ("PatientPosition", "string"),
+        "performed_station_name": ("PerformedStationName", "string"), "performed_location": ("PerformedLocation", "string"),
+        "series_date": ("SeriesDate", "date"), "series_time": ("SeriesTime", "string"), "protocol_name": ("ProtocolName", "string"),
+    },
+    "dicom_equipment": {
+        "manufacturer": ("Manufacturer", "string"), "manufacturer_model_name": ("ManufacturerModelName", "string"),
+        "device_serial_number": ("DeviceSerialNumber", "string"), "software_versions": ("SoftwareVersions", "string"),
+        "institution_name": ("InstitutionName", "string"), "institution_address": ("InstitutionAddress", "string"),
+        "station_name": ("StationName", "string"), "institutional_dept_name": ("InstitutionalDepartmentName", "string"),
+    },
+    "dicom_dose_summary": {
+        "ctdi_vol": ("CTDIvol", "double"), "dose_length_product": ("DoseLengthProduct", "double"), "exposure_time": ("ExposureTime", "double"),
+        "kvp": ("KVP", "double"), "xray_tube_current": ("XRayTubeCurrent", "double"), "exposure": ("Exposure", "double"),
+        "acquisition_protocol": ("ProtocolName", "string"),
+    },
+    "dicom_instance": {
+        "sop_instance_uid": ("SOPInstanceUID", "string"), "sop_class_uid": ("SOPClassUID", "string"), "instance_number": ("InstanceNumber", "int"),
+        "image_type": ("ImageType", "strings"), "acquisition_date": ("AcquisitionDate", "date"), "acquisition_time": ("AcquisitionTime", "string"),
+        "content_date": ("ContentDate", "date"), "content_time": ("ContentTime", "string"), "number_of_frames": ("NumberOfFrames", "int"),
+        "specific_character_set": ("SpecificCharacterSet", "string"), "burned_in_annotation": ("BurnedInAnnotation", "string"),
+        "presentation_intent": ("PresentationIntentType", "string"), "transfer_syntax_uid": ("TransferSyntaxUID", "string"),
+    },
+    "dicom_image_pixel": {
+        "image_rows": ("Rows", "int"), "image_columns": ("Columns", "int"), "number_of_frames": ("NumberOfFrames", "int"),
+        "samples_per_pixel": ("SamplesPerPixel", "int"), "photometric_interpretation": ("PhotometricInterpretation", "string"),
+        "bits_allocated": ("BitsAllocated", "int"), "bits_stored": ("BitsStored", "int"), "high_bit": ("HighBit", "int"),
+        "pixel_representation": ("PixelRepresentation", "int"), "planar_configuration": ("PlanarConfiguration", "int"),
+        "rescale_intercept": ("RescaleIntercept", "double"), "rescale_slope": ("RescaleSlope", "double"),
+        "window_center": ("WindowCenter", "numbers"), "window_width": ("WindowWidth", "numbers"),
+    },
+    "dicom_image_plane": {
+        "pixel_spacing": ("PixelSpacing", "numbers"), "slice_thickness": ("SliceThickness", "double"),
+        "image_position_patient": ("ImagePositionPatient", "numbers"), "image_orientation_patient": ("ImageOrientationPatient", "numbers"),
+        "spacing_between_slices": ("SpacingBetweenSlices", "double"), "position_reference_indicator": ("PositionReferenceIndicator", "string"),
+    },
+    "dicom_structured_report_header": {
+        "completion_flag": ("CompletionFlag", "string"), "verification_flag": ("VerificationFlag", "string"),
+        "document_title": ("ConceptNameCodeSequence[0].CodeMeaning", "string"),
+        "coding_scheme_identification": ("CodingSchemeIdentificationSequence", "variant"),
+    },
+    "dicom_frame": {
+        "image_position_patient": ("PlanePositionSequence[0].ImagePositionPatient", "numbers"),
+        "image_orientation_patient": ("PlaneOrientationSequence[0].ImageOrientationPatient", "numbers"),
+        "slice_location": ("FrameContentSequence[0].SliceLocation", "double"),
+        "temporal_position_index": ("FrameContentSequence[0].TemporalPositionIndex", "int"),
+        "cardiac_cycle_position": ("FrameContentSequence[0].NominalPercentageOfCardiacPhase", "double"),
+    },
+    "dicom_segmentation_metadata": {
+        "segment_number": ("SegmentNumber", "int"), "segment_label": ("SegmentLabel", "string"), "segment_description": ("SegmentDescription", "string"),
+        "recommended_display_grayscale": ("RecommendedDisplayGrayscaleValue", "variant"), "anatomic_region_code_seq": ("AnatomicRegionSequence", "variant"),
+        "property_category_code_seq": ("SegmentedPropertyCategoryCodeSequence", "variant"),
+        "property_type_code_seq": ("SegmentedPropertyTypeCodeSequence", "variant"),
+    },
+}
+# The tables about embeddings, which are no metadata of a file.
+EMBEDDING_TABLES = {
+    "image_embedding": """
+        embedding_key bigint, instance_key bigint, frame_key bigint, segmentation_key bigint, embedding_vector array<double>, model_key bigint,
+        representation_scope string, representation_version string, created_at timestamp_ntz, source_image_uri string""",
+    "embedding_model": """
+        model_key bigint, model_name string, model_version string, modality_scope array<string>, task_scope array<string>, dimensionality int,
+        training_data_summary string, preprocessing_spec string, postprocessing_notes string, owning_team string, regulatory_notes string""",
+    "embedding_evaluation": """
+        evaluation_key bigint, model_key bigint, dataset_name string, dataset_description string, metric_name string, metric_value double,
+        metric_details string, evaluated_at timestamp_ntz""",
+}
 
 
 def parse(raw: DataFrame, json: str) -> DataFrame:
@@ -119,6 +208,169 @@ def entities(metadata: DataFrame, json: str = "metadata", path: str = "file_path
     return out
 
 
+def _read(value: str, tag: str, kind: str) -> Column:
+    """A tag of the kinds of MODEL. Several values are a JSON list or one text with backslashes."""
+    get = lambda k: F.try_variant_get(value, f"$.{tag}", k)
+    if kind == "date":
+        return dates.compact_date(get("string"))
+    if kind in ("strings", "numbers"):
+        several = F.coalesce(get("array<string>"), F.split(get("string"), r"\\"))
+        return several if kind == "strings" else F.transform(several, lambda x: x.try_cast("double"))
+    return get(kind)
+
+
+def _columns(table: str, value: str = "_value") -> list[Column]:
+    return [_read(value, tag, kind).alias(c) for c, (tag, kind) in MODEL[table].items()]
+
+
+def _key(kind: str, *parts: Column | str) -> Column:
+    """A number that names a row the same way in every load, from what names it in the files."""
+    return F.xxhash64(F.lit(kind), *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])
+
+
+def model(parsed: DataFrame, path: str = "file_path") -> dict[str, DataFrame]:
+    """The fifteen tables of the imaging model that metadata fills, from rows of ``parse``.
+
+    Keys are hashes of the uids, so that tables are built apart and still join. Of
+    several files with one uid the first by path counts; files without the uid of a
+    table give it no row. Store ``parsed`` first to parse once for all tables.
+    """
+    uid = lambda tag: F.try_variant_get("_value", f"$.{tag}", "string")
+    files = parsed.select(
+        "_value",
+        F.col(path).alias("file_path"),
+        uid("StudyInstanceUID").alias("_study"),
+        uid("SeriesInstanceUID").alias("_series"),
+        uid("SOPInstanceUID").alias("_sop"),
+        uid("PatientID").alias("_patient"),
+        uid("IssuerOfPatientID").alias("_issuer"),
+    )
+
+    def of(table: str, names: list[str], keys: dict[str, Column], *more: Column) -> DataFrame:
+        rows = files.filter(F.coalesce(F.col(names[0]), F.lit("")) != "").select(
+            *[c.alias(k) for k, c in keys.items()], *_columns(table), *more, F.col("file_path").alias("_source_file")
+        )
+        first = next(iter(keys))
+        return aggregates.first_by(rows, [first], [F.col("_source_file")])
+
+    patient, study, series, instance = (
+        _key("patient", "_patient", "_issuer"), _key("study", "_study"), _key("series", "_series"), _key("instance", "_sop")
+    )
+    by_series = files.groupBy("_study", "_series").agg(
+        F.count_distinct("_sop").alias("n"), F.collect_set(uid("Modality")).alias("kinds")
+    )
+    by_study = by_series.groupBy("_study").agg(
+        F.count("_series").cast("int").alias("number_of_series"),
+        F.sum("n").cast("int").alias("number_of_instances"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("modalities_in_study"),
+    )
+    in_series = by_series.groupBy("_series").agg(F.sum("n").cast("int").alias("number_of_instances"))
+    frames = F.try_variant_get("_value", "$.PerFrameFunctionalGroupsSequence", "array<variant>")
+    many = F.greatest(F.coalesce(F.try_variant_get("_value", "$.NumberOfFrames", "int"), F.lit(1)), F.coalesce(F.size(frames), F.lit(0)), F.lit(1))
+    held = files.filter(F.coalesce("_sop", F.lit("")) != "")
+    one_file = aggregates.first_by(held.select("_sop", "file_path"), ["_sop"], [F.col("file_path")])
+    held = held.join(one_file, ["_sop", "file_path"], "left_semi")
+    framed = held.filter(many > 1).select(instance.alias("instance_key"), "_sop", frames.alias("_frames"), F.explode(F.sequence(F.lit(1), many)).alias("frame_number"))
+    framed = framed.withColumn("_frame", F.get("_frames", F.col("frame_number") - 1))
+    parts = held.select(
+        instance.alias("instance_key"), "_sop", uid("SegmentationType").alias("segmentation_type"), uid("SegmentationFractionalType").alias("segmentation_fractional_type"),
+        _key("series", F.try_variant_get("_value", "$.ReferencedSeriesSequence[0].SeriesInstanceUID", "string")).alias("referenced_series_key"),
+        F.posexplode(F.try_variant_get("_value", "$.SegmentSequence", "array<variant>")).alias("_at", "_segment"),
+    )
+    tags = held.select(
+        instance.alias("instance_key"), "_sop", F.explode(F.try_variant_get("_value", "$", "map<string,variant>")).alias("name", "_tag")
+    )
+    text, listed = F.try_variant_get("_tag", "$", "string"), F.try_variant_get("_tag", "$", "array<variant>")
+    hexed = F.when(F.col("name").rlike("^[0-9A-Fa-f]{8}$"), F.upper("name"))
+    number = lambda begin: F.conv(F.substring(hexed, begin, 4), 16, 10).cast("int")
+    elements = tags.select(
+        _key("element", "_sop", "name").alias("element_key"),
+        "instance_key",
+        number(1).alias("tag_group"),
+        number(5).alias("tag_element"),
+        hexed.alias("tag_hex"),
+        "name",
+        F.coalesce(F.size(listed), F.lit(1)).alias("vm"),
+        F.when(listed.isNull(), text).alias("value_string"),
+        F.when(listed.isNull(), text.try_cast("double")).alias("value_number"),
+        F.coalesce(number(1) % 2 == 1, F.lit(False)).alias("is_private"),
+        F.col("name").alias("sequence_path"),
+        listed.alias("_items"),
+        "_sop",
+    )
+    items = elements.select("instance_key", F.col("element_key").alias("parent_element_key"), "_sop", "name", F.posexplode("_items").alias("item_index", "_item"))
+    items = items.filter(F.startswith(F.schema_of_variant("_item"), F.lit("OBJECT")))
+    dose = [F.col(c).isNotNull() for c, (_, kind) in MODEL["dicom_dose_summary"].items() if kind == "double"]
+    any_dose = dose[0]
+    for one in dose[1:]:
+        any_dose = any_dose | one
+    made = {
+        "dicom_patient": of("dicom_patient", ["_patient"], {"patient_key": patient}),
+        "dicom_study": of("dicom_study", ["_study"], {"study_key": study, "patient_key": patient, "_study": F.col("_study")})
+        .join(by_study, "_study", "left")
+        .drop("_study"),
+        "dicom_procedure_step": of("dicom_procedure_step", ["_study"], {"study_key": study}).withColumn(
+            "procedure_key", F.xxhash64(F.lit("procedure"), "study_key")
+        ),
+        "dicom_series": of("dicom_series", ["_series"], {"series_key": series, "study_key": study, "_series": F.col("_series")})
+        .join(in_series, "_series", "left")
+        .drop("_series"),
+        "dicom_equipment": of("dicom_equipment", ["_series"], {"series_key": series}).withColumn("equipment_key", F.xxhash64(F.lit("equipment"), "series_key")),
+        "dicom_dose_summary": of("dicom_dose_summary", ["_series"], {"series_key": series, "study_key": study})
+        .filter(any_dose)
+        .withColumn("dose_key", F.xxhash64(F.lit("dose"), "series_key")),
+        "dicom_instance": of("dicom_instance", ["_sop"], {"instance_key": instance, "series_key": series}, F.col("file_path")),
+        "dicom_image_pixel": of("dicom_image_pixel", ["_sop"], {"instance_key": instance}).filter("image_rows IS NOT NULL"),
+        "dicom_image_plane": of("dicom_image_plane", ["_sop"], {"instance_key": instance}).filter("pixel_spacing IS NOT NULL OR image_position_patient IS NOT NULL"),
+        "dicom_structured_report_header": of(
+            "dicom_structured_report_header", ["_sop"], {"instance_key": instance, "_modality": uid("Modality")}
+        )
+        .filter("_modality = 'SR'")
+        .drop("_modality"),
+        "dicom_file_location": held.select(
+            instance.alias("instance_key"),
+            F.col("file_path").alias("storage_uri"),
+            F.when(F.col("file_path").rlike("^[a-z0-9]+://"), F.regexp_extract("file_path", "^([a-z0-9]+)://", 1)).otherwise("file").alias("storage_provider"),
+            F.regexp_extract("file_path", "^(?:[a-z0-9]+://)?(.*)/[^/]*$", 1).alias("storage_container"),
+            F.regexp_extract("file_path", "([^/]*)$", 1).alias("object_key"),
+            uid("TransferSyntaxUID").alias("transfer_syntax_uid"),
+        ),
+        "dicom_frame": framed.select(
+            F.xxhash64(F.lit("frame"), "_sop", "frame_number").alias("frame_key"), "instance_key", "frame_number", *_columns("dicom_frame", "_frame")
+        ),
+        "dicom_segmentation_metadata": parts.select(
+            F.xxhash64(F.lit("segment"), "_sop", "_at").alias("segmentation_key"), "instance_key", "referenced_series_key", "segmentation_type",
+            "segmentation_fractional_type", *_columns("dicom_segmentation_metadata", "_segment"),
+        ),
+        "dicom_element": elements.drop("_items", "_sop"),
+        "dicom_sequence_item": items.select(
+            F.xxhash64(F.lit("item"), "_sop", "name", "item_index").alias("sequence_item_key"), "instance_key", "parent_element_key", "item_index",
+            F.concat("name", F.lit("["), "item_index", F.lit("]")).alias("sequence_path"),
+        ),
+    }
+    return made
+
+
+def embedding_rows(embeddings: DataFrame, uid: str, vector: str, model_name: str, model_version: str, scope: str = "instance") -> dict[str, DataFrame]:
+    """Rows of ``image_embedding`` and of ``embedding_model``, one model a length of vectors. Null vectors give no row."""
+    length = F.size(vector)
+    number = F.xxhash64(F.lit("model"), F.lit(model_name), F.lit(model_version), length)
+    rows = embeddings.filter(F.col(vector).isNotNull())
+    vectors = rows.select(
+        F.xxhash64(F.lit("embedding"), F.col(uid).cast("string"), number).alias("embedding_key"),
+        _key("instance", F.col(uid).cast("string")).alias("instance_key"),
+        F.col(vector).cast("array<double>").alias("embedding_vector"),
+        number.alias("model_key"),
+        F.lit(scope).alias("representation_scope"),
+        F.lit(model_version).alias("representation_version"),
+    )
+    models = rows.select(number.alias("model_key"), length.alias("dimensionality")).distinct()
+    return {
+        "image_embedding": vectors,
+        "embedding_model": models.withColumns({"model_name": F.lit(model_name), "model_version": F.lit(model_version)}),
+    }
+
+
 def study_table(raw: DataFrame, json: str = "metadata", keep: tuple[str, ...] = ("file_path",)) -> DataFrame:
     """Flat study rows with typed columns."""
     return parse(raw, json).select(

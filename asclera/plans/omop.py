@@ -1,19 +1,20 @@
-"""OMOP loads: vocabulary mapping, persons, condition occurrences, quality queries."""
+"""OMOP loads: vocabulary mapping, persons, condition occurrences, eras, concept ancestors, quality queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dates
 from ..operators import aggregates, ranges
+from ..session import kept
 
 # Concepts for gender, and the type concept of an encounter diagnosis.
 GENDER_CONCEPTS = {"M": 8507, "F": 8532}
 EHR_DIAGNOSIS = 32817
 
-# The vocabulary tables and clinical tables that loads read and write. Keys of rows are wide.
+# The tables of the common data model, vocabulary, clinical, health system and derived. Keys of rows are wide.
 TABLES = {
     "concept": """
         concept_id int not null, concept_name string not null, domain_id string not null, vocabulary_id string not null,
@@ -73,6 +74,46 @@ TABLES = {
     "death": """
         person_id bigint not null, death_date date not null, death_datetime timestamp_ntz, death_type_concept_id int,
         cause_concept_id int, cause_source_value string, cause_source_concept_id int""",
+    "vocabulary": """
+        vocabulary_id string not null, vocabulary_name string not null, vocabulary_reference string, vocabulary_version string,
+        vocabulary_concept_id int not null""",
+    "domain": "domain_id string not null, domain_name string not null, domain_concept_id int not null",
+    "concept_class": "concept_class_id string not null, concept_class_name string not null, concept_class_concept_id int not null",
+    "relationship": """
+        relationship_id string not null, relationship_name string not null, is_hierarchical string not null,
+        defines_ancestry string not null, reverse_relationship_id string not null, relationship_concept_id int not null""",
+    "concept_synonym": "concept_id int not null, concept_synonym_name string not null, language_concept_id int not null",
+    "concept_ancestor": """
+        ancestor_concept_id int not null, descendant_concept_id int not null, min_levels_of_separation int not null,
+        max_levels_of_separation int not null""",
+    "drug_strength": """
+        drug_concept_id int not null, ingredient_concept_id int not null, amount_value double, amount_unit_concept_id int,
+        numerator_value double, numerator_unit_concept_id int, denominator_value double, denominator_unit_concept_id int,
+        box_size int, valid_start_date date not null, valid_end_date date not null, invalid_reason string""",
+    "visit_detail": """
+        visit_detail_id bigint not null, person_id bigint not null, visit_detail_concept_id int not null,
+        visit_detail_start_date date not null, visit_detail_start_datetime timestamp_ntz, visit_detail_end_date date not null,
+        visit_detail_end_datetime timestamp_ntz, visit_detail_type_concept_id int not null, provider_id bigint,
+        care_site_id bigint, visit_detail_source_value string, visit_detail_source_concept_id int,
+        admitted_from_concept_id int, admitted_from_source_value string, discharged_to_concept_id int,
+        discharged_to_source_value string, preceding_visit_detail_id bigint, parent_visit_detail_id bigint,
+        visit_occurrence_id bigint not null""",
+    "location": """
+        location_id bigint not null, address_1 string, address_2 string, city string, state string, zip string, county string,
+        location_source_value string, country_concept_id int, country_source_value string, latitude double, longitude double""",
+    "care_site": """
+        care_site_id bigint not null, care_site_name string, place_of_service_concept_id int, location_id bigint,
+        care_site_source_value string, place_of_service_source_value string""",
+    "provider": """
+        provider_id bigint not null, provider_name string, npi string, dea string, specialty_concept_id int, care_site_id bigint,
+        year_of_birth int, gender_concept_id int, provider_source_value string, specialty_source_value string,
+        specialty_source_concept_id int, gender_source_value string, gender_source_concept_id int""",
+    "drug_era": """
+        drug_era_id bigint not null, person_id bigint not null, drug_concept_id int not null, drug_era_start_date date not null,
+        drug_era_end_date date not null, drug_exposure_count int, gap_days int""",
+    "condition_era": """
+        condition_era_id bigint not null, person_id bigint not null, condition_concept_id int not null,
+        condition_era_start_date date not null, condition_era_end_date date not null, condition_occurrence_count int""",
 }
 
 
@@ -163,6 +204,82 @@ def load_conditions(diagnoses: DataFrame, concept: DataFrame, relationship: Data
     )
 
 
+def _eras(spans: DataFrame, gap_days: int) -> DataFrame:
+    """Spans (person_id, concept, start, end) joined into eras while at most ``gap_days`` lie between them.
+
+    Rows of one person, concept and first day are one row before the window, so a group
+    of it holds at most a row for each day of the calendar, however hot its person is.
+    """
+    days = (
+        spans.filter("concept <> 0 AND start IS NOT NULL")
+        .groupBy("person_id", "concept", "start")
+        .agg(F.max(F.greatest("start", "end")).alias("end"), F.count("*").alias("n"))
+    )
+    one = Window.partitionBy("person_id", "concept").orderBy("start")
+    gap = F.date_diff("start", "reached")
+    return (
+        days.withColumn("reached", F.max("end").over(one.rowsBetween(Window.unboundedPreceding, -1)))
+        .withColumn("opens", F.when(F.col("reached").isNull() | (gap > gap_days), 1).otherwise(0))
+        .withColumn("era", F.sum("opens").over(one.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("person_id", "concept", "era")
+        .agg(
+            F.min("start").alias("start"),
+            F.max("end").alias("end"),
+            F.sum("n").alias("n"),
+            F.sum(F.when(F.col("opens") == 0, F.greatest(gap - 1, F.lit(0))).otherwise(0)).alias("gap_days"),
+        )
+    )
+
+
+def condition_eras(conditions: DataFrame, gap_days: int = 30) -> DataFrame:
+    """Condition eras of mapped occurrences; one without an end lasts its first day."""
+    spans = conditions.select(
+        "person_id", F.col("condition_concept_id").alias("concept"), F.col("condition_start_date").alias("start"), F.col("condition_end_date").alias("end")
+    )
+    numbered = ranges.row_numbers(_eras(spans, gap_days), ["person_id", "concept", "start"], "condition_era_id")
+    renamed = {"concept": "condition_concept_id", "start": "condition_era_start_date", "end": "condition_era_end_date", "n": "condition_occurrence_count"}
+    return conformed(numbered.withColumnsRenamed(renamed), schemas()["condition_era"])
+
+
+def drug_eras(exposures: DataFrame, gap_days: int = 30) -> DataFrame:
+    """Drug eras of mapped exposures, with the days between exposures that none covers.
+
+    An exposure without an end lasts its days of supply, or its first day.
+    """
+    start = F.col("drug_exposure_start_date")
+    supplied = F.date_add(start, F.greatest(F.col("days_supply"), F.lit(1)) - 1) if "days_supply" in exposures.columns else start
+    spans = exposures.select(
+        "person_id", F.col("drug_concept_id").alias("concept"), start.alias("start"), F.coalesce("drug_exposure_end_date", supplied).alias("end")
+    )
+    numbered = ranges.row_numbers(_eras(spans, gap_days), ["person_id", "concept", "start"], "drug_era_id")
+    renamed = {"concept": "drug_concept_id", "start": "drug_era_start_date", "end": "drug_era_end_date", "n": "drug_exposure_count"}
+    return conformed(numbered.withColumnsRenamed(renamed), schemas()["drug_era"])
+
+
+def concept_ancestors(relationship: DataFrame, child_of: str = "Is a") -> DataFrame:
+    """All ancestors of each concept that takes part in ``child_of``, itself at level 0, with the fewest and most levels.
+
+    One join a level: paths of a length are made distinct before they grow. Each level is
+    kept in the checkpoint folder. A cycle is an error, since its levels have no end.
+    """
+    links = relationship.filter(F.col("relationship_id") == child_of).select(
+        F.col("concept_id_1").alias("descendant"), F.col("concept_id_2").alias("ancestor")
+    )
+    links = kept(links.filter("descendant <> ancestor").distinct())
+    concepts = links.select("descendant").union(links.select("ancestor")).distinct()
+    paths = concepts.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("level"))
+    level, parents = links.select("ancestor", "descendant", F.lit(1).alias("level")), links.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("next"))
+    while not level.isEmpty():
+        if not level.filter("ancestor = descendant").isEmpty():
+            raise ValueError(f"the relation {child_of!r} has a cycle")
+        paths = paths.union(level)
+        grown = level.join(parents, "ancestor").select(F.col("next").alias("ancestor"), "descendant", (F.col("level") + 1).alias("level"))
+        level = kept(grown.distinct())
+    held = paths.groupBy("ancestor", "descendant").agg(F.min("level").alias("fewest"), F.max("level").alias("most"))
+    renamed = {"ancestor": "ancestor_concept_id", "descendant": "descendant_concept_id", "fewest": "min_levels_of_separation", "most": "max_levels_of_separation"}
+    return conformed(held.withColumnsRenamed(renamed), schemas()["concept_ancestor"])
+
+
 def unmapped_codes(conditions: DataFrame, n: int = 100) -> DataFrame:
     return (
         conditions.filter("condition_concept_id = 0")

@@ -40,6 +40,21 @@ ANNOTATED = (
 )
 
 
+# Columns of the annotated table that annotation fills, and what fills them.
+FILLED = {
+    "rsid": "id", "clinvar_sig": "CLNSIG", "clinvar_disease": "CLNDN", "clinvar_review": "CLNREVSTAT",
+    "gnomad_af": "gnomAD_AF", "gnomad_af_popmax": "gnomAD_AF_popmax", "gnomad_hom": "gnomAD_nhomalt",
+}
+
+
+def annotated_rows(variants: DataFrame) -> DataFrame:
+    """Annotated variants in the columns and types of ANNOTATED; what no source fills is NULL, as is text that is no number."""
+    have = set(variants.columns)
+    source = lambda name: FILLED.get(name, name)
+    value = lambda f: F.col(source(f.name)) if source(f.name) in have else F.lit(None)
+    return variants.select(*[value(f).try_cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ANNOTATED)])
+
+
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Variant rows of tab-separated lines; header lines and lines under eight fields are left out."""
     fields = F.split(F.rtrim(F.col(value)), "\t")

@@ -489,3 +489,64 @@ def _(t):
     return omop.conformed(omop.load_person(rows, concepts(t)), omop.schemas()["person"])
 
 
+
+
+def era_sql(spans, name, count, gap):
+    """Eras of SPANS (p, c, s, e) by running greatest ends."""
+    return f"""WITH x AS ({spans}), d AS (SELECT p, c, s, MAX(e) AS e, COUNT(*) AS n FROM x GROUP BY ALL),
+       r AS (SELECT *, MAX(e) OVER (PARTITION BY p, c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM d),
+       f AS (SELECT *, CASE WHEN reached IS NULL OR s - reached > 30 THEN 1 ELSE 0 END AS opens FROM r),
+       g AS (SELECT *, SUM(opens) OVER (PARTITION BY p, c ORDER BY s) AS era FROM f),
+       h AS (SELECT p, c, MIN(s) AS s, MAX(e) AS e, SUM(n)::BIGINT AS n, SUM(CASE WHEN opens = 0 THEN GREATEST(s - reached - 1, 0) ELSE 0 END)::BIGINT AS gap FROM g GROUP BY p, c, era)
+       SELECT ROW_NUMBER() OVER (ORDER BY p, c, s) AS {name}_era_id, p AS person_id, c::BIGINT AS {name}_concept_id, s::VARCHAR AS {name}_era_start_date,
+       e::VARCHAR AS {name}_era_end_date, n AS {count}{gap} FROM h"""
+
+
+@query(
+    "OM-04-drug-era",
+    era_sql(
+        "SELECT o_custkey AS p, l_partkey % 3 + 1 AS c, l_shipdate::DATE AS s, l_shipdate::DATE + l_quantity::INT AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+        "drug", "drug_exposure_count", ", gap AS gap_days",
+    ),
+)
+def _(t):
+    """Lines as exposures of one of three drugs, for as many days as their quantity."""
+    start = F.col("l_shipdate").cast("date")
+    exposures = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").alias("person_id"),
+        (F.col("l_partkey") % 3 + 1).alias("drug_concept_id"),
+        start.alias("drug_exposure_start_date"),
+        F.date_add(start, F.col("l_quantity").cast("int")).alias("drug_exposure_end_date"),
+    )
+    return omop.drug_eras(exposures)
+
+
+@query(
+    "OM-04-condition-era",
+    era_sql(
+        f"WITH m AS ({MAPS}) SELECT o_custkey AS p, std AS c, o_orderdate::DATE AS s, o_orderdate::DATE AS e FROM orders JOIN m ON m.k = o_orderkey % 2500 WHERE is_s",
+        "condition", "condition_occurrence_count", "",
+    ),
+)
+def _(t):
+    diagnoses = t.orders.select(
+        F.col("o_custkey").alias("patient_id"),
+        F.col("o_orderdate").alias("diagnosis_date"),
+        F.concat(F.lit("C"), F.col("o_orderkey") % 2500).alias("icd10_code"),
+        "o_orderkey",
+    )
+    return omop.condition_eras(omop.load_conditions(diagnoses, concepts(t), relations(t), ["o_orderkey"]))
+
+
+@query(
+    "OM-04-ancestor",
+    """WITH RECURSIVE l AS (SELECT c_custkey AS d, c_custkey // 3 AS a FROM customer WHERE c_custkey >= 3 UNION SELECT c_custkey, c_custkey // 9 FROM customer WHERE c_custkey >= 9),
+       p AS (SELECT d, a, 1 AS n FROM l UNION SELECT p.d, l.a, n + 1 FROM p JOIN l ON l.d = p.a)
+       SELECT a AS ancestor_concept_id, d AS descendant_concept_id, MIN(n)::BIGINT AS min_levels_of_separation, MAX(n)::BIGINT AS max_levels_of_separation
+       FROM (SELECT * FROM p UNION ALL SELECT x, x, 0 FROM (SELECT d AS x FROM l UNION SELECT a FROM l)) GROUP BY 1, 2""",
+)
+def _(t):
+    """Customers as concepts, each under a third and a ninth of its number."""
+    k = F.col("c_custkey")
+    link = lambda n: t.customer.filter(k >= n).select(k.alias("concept_id_1"), F.floor(k / n).alias("concept_id_2"), F.lit("Is a").alias("relationship_id"))
+    return omop.concept_ancestors(link(3).union(link(9)))

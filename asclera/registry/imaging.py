@@ -156,12 +156,57 @@ def _(t):
 
 @query(
     "DI-09",
-    "SELECT COUNT(DISTINCT l_orderkey || '-' || l_linenumber) AS rows, 10::BIGINT AS columns FROM lineitem",
+    X + """, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY series_uid ORDER BY path) AS rn, COUNT(*) OVER (PARTITION BY series_uid) AS n FROM x)
+       SELECT series_uid AS series_instance_uid, NULL::BIGINT AS series_number, modality, body_part AS body_part_examined, NULL::VARCHAR AS series_date, n AS number_of_instances, path AS _source_file FROM f WHERE rn = 1""",
 )
 def _(t):
-    """The series entity: rows and declared columns."""
-    made = dicom.entities(exported(t))["series"]
-    return made.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(dicom.ENTITIES["series"])))
+    """The series table; uids of instances are unique in a series."""
+    made = dicom.model(dicom.parse(exported(t), "metadata"))["dicom_series"]
+    return made.select("series_instance_uid", "series_number", "modality", "body_part_examined", "series_date", "number_of_instances", "_source_file")
+
+
+@query(
+    "DI-09-study",
+    X + """, n AS (SELECT study_uid, COUNT(DISTINCT series_uid) AS number_of_series, COUNT(DISTINCT uid) AS number_of_instances, COALESCE(string_agg(DISTINCT modality, '|' ORDER BY modality), '') AS modalities_in_study FROM x GROUP BY 1),
+       f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY study_uid ORDER BY path) AS rn FROM x)
+       SELECT study_uid AS study_instance_uid, strptime(study_date, '%Y%m%d')::DATE::VARCHAR AS study_date, number_of_series, number_of_instances, modalities_in_study, path AS _source_file FROM f JOIN n USING (study_uid) WHERE rn = 1""",
+)
+def _(t):
+    made = dicom.model(dicom.parse(exported(t), "metadata"))["dicom_study"]
+    return made.select(
+        "study_instance_uid", "study_date", "number_of_series", "number_of_instances", F.array_join("modalities_in_study", "|").alias("modalities_in_study"), "_source_file"
+    )
+
+
+@query(
+    "DI-09-element",
+    X + """, e AS (UNPIVOT (SELECT uid, patient_id AS "PatientID", modality AS "Modality", image_rows::VARCHAR AS "Rows", image_columns::VARCHAR AS "Columns", body_part AS "BodyPartExamined", station AS "StationName" FROM x)
+       ON "PatientID", "Modality", "Rows", "Columns", "BodyPartExamined", "StationName" INTO NAME name VALUE v)
+       SELECT name, COUNT(*) AS files, COUNT(DISTINCT v) AS kinds, SUM(TRY_CAST(v AS DOUBLE)) AS total, 1::BIGINT AS vm, false AS is_private FROM e GROUP BY 1""",
+)
+def _(t):
+    """Every element of every file; six tags are compared by their values."""
+    made = dicom.model(dicom.parse(exported(t), "metadata"))["dicom_element"]
+    names = ["PatientID", "Modality", "Rows", "Columns", "BodyPartExamined", "StationName"]
+    return (
+        made.filter(F.col("name").isin(names))
+        .groupBy("name")
+        .agg(
+            F.count("*").alias("files"), F.count_distinct("value_string").alias("kinds"), F.sum("value_number").alias("total"),
+            F.max("vm").alias("vm"), F.bool_or("is_private").alias("is_private"),
+        )
+    )
+
+
+@query(
+    "DI-09-pixel",
+    X + "SELECT image_rows, image_columns, 16::BIGINT AS bits_allocated, COUNT(*) AS instances FROM x GROUP BY ALL",
+)
+def _(t):
+    """Instances by pixel grid, of the instance and pixel tables joined by key."""
+    made = dicom.model(dicom.parse(exported(t), "metadata"))
+    grid = made["dicom_image_pixel"].join(made["dicom_instance"].select("instance_key"), "instance_key")
+    return grid.groupBy("image_rows", "image_columns", "bits_allocated").agg(F.count("*").alias("instances"))
 
 
 @query(
