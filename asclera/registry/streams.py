@@ -8,8 +8,13 @@ from . import query
 from .sources import scratch
 
 
+def table_feed(t, name):
+    """Feed of a table, be it one file or a folder of files; the braces make the path a glob, which may name a file."""
+    return feeds.change_feed(t.spark, f"{t.folder}/{{{name}}}.parquet", getattr(t, name).schema)
+
+
 def event_feed(t):
-    return feeds.change_feed(t.spark, t.folder, t.events.schema, "events.parquet")
+    return table_feed(t, "events")
 
 
 def result(t, place):
@@ -58,7 +63,7 @@ def _(t):
 )
 def _(t):
     place = scratch(t)
-    stream = feeds.change_feed(t.spark, t.folder, t.conversations.schema, "conversations.parquet")
+    stream = table_feed(t, "conversations")
 
     def build(batch):
         k = F.col("conv_id")
