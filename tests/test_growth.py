@@ -2,7 +2,7 @@
 
 import json
 
-from asclera.plans import lab
+from asclera.plans import dicom, lab
 
 
 def plan(df):
@@ -34,3 +34,13 @@ def test_lab_checks_look_for_plain_words_without_patterns(spark):
     assert (row["calculated_identifiers"], row["measurement_identifiers"], row["data_source_identifiers"]) == (1, 1, 0)
     # but for the two words with a stroke
     assert plan(checks).count("RLIKE") <= 2
+
+
+def test_entities_are_counted_with_one_parse(spark):
+    row = lambda p, s, i: (json.dumps({"PatientID": p, "StudyInstanceUID": s, "SeriesInstanceUID": s + i, "StationName": p}), i)
+    rows = spark.createDataFrame([row("a", "1", "x"), row("a", "1", "y"), row("", "2", "x"), row("b", "", ""), ("bad", "z")], "metadata string, file_path string")
+    counts = dicom.entity_counts(rows)
+    want = {name: df.count() for name, df in dicom.entities(rows).items()}
+    assert {r["entity"]: r["rows"] for r in counts.collect()} == want
+    assert plan(counts).count("parseJson") == 1
+    assert {r["rows"] for r in dicom.entity_counts(rows.limit(0)).collect()} == {0}
