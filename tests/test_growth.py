@@ -2,7 +2,7 @@
 
 import json
 
-from asclera.plans import dicom, lab, notes
+from asclera.plans import dicom, lab, notes, search
 
 
 def plan(df):
@@ -53,3 +53,14 @@ def test_a_text_is_cut_once_per_term(spark):
     assert len(rows) == 55 and all(text.lower()[r["start"] :].startswith(r["term"]) for r in rows)
     assert len({(r["term"], r["start"]) for r in rows}) == 55
     assert plan(found).count("split(") == 2
+
+
+def test_search_partitions_grow_with_queries_and_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a w{i % 5}") for i in range(40)], "doc long, text string")
+    queries = spark.createDataFrame([(i, f"a w{i}") for i in range(5)], "item long, text string")
+    want = {tuple(r) for r in search.search_many(queries, "item", "text", docs, "doc", "text", 2).select("query_id", "doc").collect()}
+    monkeypatch.setattr(search, "PAIRS", 10)
+    found = search.search_many(queries, "item", "text", docs, "doc", "text", 2)
+    assert {tuple(r) for r in found.select("query_id", "doc").collect()} == want
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "RepartitionByExpression [doc" in plan(found) and f"], {max(parts, 20)}" in plan(found)
