@@ -269,6 +269,8 @@ def concept_ancestors(relationship: DataFrame, child_of: str = "Is a") -> DataFr
     concepts = links.select("descendant").union(links.select("ancestor")).distinct()
     paths = concepts.select(F.col("descendant").alias("ancestor"), "descendant", F.lit(0).alias("level"))
     level, parents = links.select("ancestor", "descendant", F.lit(1).alias("level")), links.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("next"))
+    # by their compressed files the links look small; a broadcast would send all of them through the driver on every level
+    parents = parents.hint("merge")
     while not level.isEmpty():
         if not level.filter("ancestor = descendant").isEmpty():
             raise ValueError(f"the relation {child_of!r} has a cycle")

@@ -2,7 +2,7 @@
 
 import json
 
-from asclera.plans import dicom, lab, notes, search
+from asclera.plans import dicom, lab, notes, omop, search
 
 
 def plan(df):
@@ -64,3 +64,16 @@ def test_search_partitions_grow_with_queries_and_documents(spark, monkeypatch):
     assert {tuple(r) for r in found.select("query_id", "doc").collect()} == want
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "RepartitionByExpression [doc" in plan(found) and f"], {max(parts, 20)}" in plan(found)
+
+
+def test_ancestor_links_are_not_broadcast(spark):
+    links = spark.createDataFrame([(2, 1, "Is a"), (3, 2, "Is a"), (3, 1, "Is a")], "concept_id_1 long, concept_id_2 long, relationship_id string")
+    seen = []
+    real = omop.kept
+    try:
+        omop.kept = lambda df: seen.append(df._jdf.queryExecution().sparkPlan().toString()) or real(df)
+        found = {tuple(r)[:4] for r in omop.concept_ancestors(links).collect()}
+    finally:
+        omop.kept = real
+    assert (1, 3, 1, 2) in found and len(found) == 6
+    assert any("Join" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
