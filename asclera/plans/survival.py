@@ -210,9 +210,10 @@ def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps:
     ``steps`` raises an error.
     """
     x, p = list(covariates), len(covariates)
-    means = df.agg(*[F.avg(c).alias(c) for c in x]).first()
-    # every step reads the same narrow rows, so they are kept for the fit
-    centred = df.select(F.col(time), F.col(event), *[(F.col(c) - F.lit(float(means[c]))).alias(c) for c in x]).persist()
+    # the means and every step read the same narrow rows, so they are kept for the fit
+    rows = df.select(time, event, *x).persist()
+    means = rows.agg(*[F.avg(c).alias(c) for c in x]).first()
+    centred = rows.select(F.col(time), F.col(event), *[(F.col(c) - F.lit(float(means[c]))).alias(c) for c in x])
     beta = np.zeros(p)
     for _ in range(steps):
         m = _cox_moments(centred, time, event, x, beta)
@@ -234,9 +235,9 @@ def cox(df: DataFrame, time: str, event: str, covariates: Sequence[str], steps:
             break
         beta = beta + step
     else:
-        centred.unpersist()
+        rows.unpersist()
         raise ValueError(f"no convergence in {steps} steps; the covariates may separate the events")
-    centred.unpersist()
+    rows.unpersist()
     return {"covariates": x, "beta": beta, "covariance": np.linalg.inv(info), "log_likelihood": loglik, "means": [float(means[c]) for c in x]}
 
 
@@ -256,7 +257,9 @@ def schoenfeld(df: DataFrame, fit: dict, time: str, event: str) -> DataFrame:
     A clear correlation speaks against proportional hazards.
     """
     x, p = fit["covariates"], len(fit["covariates"])
-    centred = df.select(F.col(time), F.col(event), *[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(x, fit["means"])])
+    # the moments, the count and the correlations read the same narrow rows
+    rows = df.select(time, event, *x).persist()
+    centred = rows.select(F.col(time), F.col(event), *[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(x, fit["means"])])
     m = _cox_moments(centred, time, event, x, fit["beta"])
     mean = {c: F.col(f"n_rx{i}") / F.col("n_r") for i, c in enumerate(x)}
     expected = m.select(F.col("time").alias("_t"), *[mean[c].alias(f"_m{i}") for i, c in enumerate(x)])
@@ -264,9 +267,10 @@ def schoenfeld(df: DataFrame, fit: dict, time: str, event: str) -> DataFrame:
     raw = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(x)]
     v, d = fit["covariance"], residuals.count()
     scaled = [sum((raw[j] * float(v[i][j]) * d for j in range(p)), F.lit(float(fit["beta"][i]))) for i in range(p)]
-    one = residuals.agg(*[F.corr(scaled[i], F.col(time).cast("double")).alias(f"c{i}") for i in range(p)])
-    rows = F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(f"c{i}").alias("time_correlation")) for i, c in enumerate(x)])
-    return one.select(F.inline(rows))
+    one = residuals.agg(*[F.corr(scaled[i], F.col(time).cast("double")).alias(f"c{i}") for i in range(p)]).first()
+    rows.unpersist()
+    found = F.array(*[F.struct(F.lit(c).alias("covariate"), F.lit(one[f"c{i}"]).cast("double").alias("time_correlation")) for i, c in enumerate(x)])
+    return df.sparkSession.range(1).select(F.inline(found))
 
 
 def concordance(df: DataFrame, score: str, time: str, event: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 import json
 
-from asclera.plans import dicom, lab, notes, omop, search
+from asclera.plans import dicom, lab, notes, omop, search, survival
+from pyspark.sql import functions as F
 
 
 def plan(df):
@@ -77,3 +78,18 @@ def test_ancestor_links_are_not_broadcast(spark):
         omop.kept = real
     assert (1, 3, 1, 2) in found and len(found) == 6
     assert any("Join" in p for p in seen) and not any("BroadcastHashJoin" in p for p in seen)
+
+
+def test_residuals_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(60).select((F.col("id") % 7 + 1).alias("time"), (F.col("id") % 3 > 0).cast("int").alias("event"), counted(((F.col("id") * 37) % 11).cast("double")).alias("x"))
+    fit = survival.cox(rows, "time", "event", ["x"])
+    assert seen.value == 60
+    assert survival.schoenfeld(rows, fit, "time", "event").first()["covariate"] == "x"
+    assert seen.value == 120
