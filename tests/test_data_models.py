@@ -126,3 +126,29 @@ def test_annotated_rows(spark):
     made = variants.annotated_rows(given)
     assert len(made.columns) == 20
     assert rows(made.select("chrom", "rsid", "gnomad_af", "gnomad_hom", "ref")) == [("chr1", "rs1", 0.5, None, None)]
+
+
+def parses(df):
+    """How often the metadata is parsed in a plan."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("AS _value#")
+
+
+def odd_model(spark, **more):
+    """Repeated uids, studies that share a series, several modalities and missing uids."""
+    tag = lambda study, series, sop, kind=None: json.dumps({"StudyInstanceUID": study, "SeriesInstanceUID": series, "SOPInstanceUID": sop, "Modality": kind, "Rows": 4})
+    given = [
+        ("/3", tag("s1", "e1", "i1", "MR")), ("/1", tag("s1", "e1", "i1", "CT")), ("/2", tag("s1", "e1", "i2", "PT")), ("/4", tag("s1", "e2", None, "CT")),
+        ("/5", tag("s2", "e1", "i1")), ("/6", tag("s2", None, "i3", "CT")), ("/7", tag(None, "e3", "i4")), ("/8", tag("", "e3", "i4")), ("/9", tag("s2", "e1", "i1")),
+    ]
+    return dicom.model(dicom.parse(spark.createDataFrame(given, "file_path string, metadata string"), "metadata"), **more)
+
+
+def test_series_and_their_counts_come_from_one_parse(spark):
+    made = odd_model(spark)["dicom_series"]
+    assert parses(made) == 1
+    got = rows(made.select("series_instance_uid", "modality", "number_of_instances", "_source_file"), "series_instance_uid")
+    # a file counts once per study and uid
+    assert got == [("e1", "CT", 3, "/1"), ("e2", "CT", 0, "/4"), ("e3", None, 2, "/7")]
+    few = odd_model(spark, only={"dicom_series": ["modality"]})["dicom_series"]
+    assert few.columns == ["series_key", "study_key", "modality", "_source_file", "number_of_instances"]
+    assert rows(few.select("modality", "number_of_instances", "_source_file"), "_source_file") == [g[1:] for g in got]
