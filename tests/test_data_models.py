@@ -152,3 +152,10 @@ def test_series_and_their_counts_come_from_one_parse(spark):
     few = odd_model(spark, only={"dicom_series": ["modality"]})["dicom_series"]
     assert few.columns == ["series_key", "study_key", "modality", "_source_file", "number_of_instances"]
     assert rows(few.select("modality", "number_of_instances", "_source_file"), "_source_file") == [g[1:] for g in got]
+
+
+def test_studies_and_their_counts_come_from_one_parse(spark):
+    made = odd_model(spark)["dicom_study"]
+    assert parses(made) == 1
+    got = rows(made.select("study_instance_uid", "number_of_series", "number_of_instances", "modalities_in_study", "_source_file"), "study_instance_uid")
+    assert got == [("s1", 2, 2, ["CT", "MR", "PT"], "/1"), ("s2", 1, 2, ["CT"], "/5")]
