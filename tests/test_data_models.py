@@ -2,10 +2,12 @@
 
 import datetime as dt
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
+from asclera import registry
 from asclera.plans import dicom, omop, variants
 
 
@@ -159,3 +161,15 @@ def test_studies_and_their_counts_come_from_one_parse(spark):
     assert parses(made) == 1
     got = rows(made.select("study_instance_uid", "number_of_series", "number_of_instances", "modalities_in_study", "_source_file"), "study_instance_uid")
     assert got == [("s1", 2, 2, ["CT", "MR", "PT"], "/1"), ("s2", 1, 2, ["CT"], "/5")]
+
+
+def test_pixel_grid_parses_once_and_loses_nothing_without_the_join(spark):
+    made = odd_model(spark)
+    pixel, instance = made["dicom_image_pixel"], made["dicom_instance"]
+    assert rows(pixel.join(instance.select("instance_key"), "instance_key"), "instance_key") == rows(pixel, "instance_key")
+    registry.load()
+    build = registry.QUERIES["DI-09-pixel"]
+    one = spark.createDataFrame([(1, 1, 7, 8, "A", "O")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string")
+    t = SimpleNamespace(lineitem=one, orders=spark.createDataFrame([(1, 5, dt.datetime(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
+    grid = build(t)
+    assert parses(grid) == 1 and rows(grid) == [(7, 8, 16, 1)]
