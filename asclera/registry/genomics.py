@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import neighbors
+from ..operators import neighbors, partitions
 from ..plans import cells, variants
 from . import query
 
@@ -11,11 +11,9 @@ def cell_counts(t):
     """Counts per order (cell) and part group (gene) with a batch and a label per cell."""
     k = F.col("l_partkey") % 60
     gene = F.when(k < 4, F.concat(F.lit("MT-"), k)).when(k < 9, F.concat(F.lit("RPL"), k)).when(k == 9, "HBA1").otherwise(F.concat(F.lit("G"), k))
-    counts = (
-        t.lineitem.select(F.col("l_orderkey").alias("cell_id"), gene.alias("gene"), "l_quantity")
-        .groupBy("cell_id", "gene")
-        .agg(F.sum("l_quantity").alias("count"))
-    )
+    lines = t.lineitem.select(F.col("l_orderkey").alias("cell_id"), gene.alias("gene"), "l_quantity")
+    # a cell's rows lie together, so that neither genes nor cells are shuffled again
+    counts = partitions.dealt(lines, "cell_id").groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("count"))
     obs = counts.select("cell_id").distinct().select("cell_id", (F.col("cell_id") % 3).alias("batch"), (F.col("cell_id") % 7).alias("label"))
     return counts, obs
 
