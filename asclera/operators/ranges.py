@@ -250,9 +250,26 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums:
     return joined.select(*kept_columns, *[(F.col(parts[n]) + add(i)).alias(n) for i, n in enumerate(names)])
 
 
-def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Dense 1..n numbering of the whole table without a one-task window."""
-    return running_sums(df, [], order, {name: F.lit(1).cast("bigint")})
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_number", keep: Sequence[str] | None = None) -> DataFrame:
+    """Dense 1..n numbering of the whole table without a one-task window, with the columns ``keep`` (all by default).
+
+    Sorted ranges number their own rows, and every range gets the rows of the ranges
+    before it. The driver sees one row per range.
+    """
+    order = list(order)
+    columns = [c for c in (df.columns if keep is None else keep) if c != name]
+    near = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    # kept, since the totals and the rows must come from the same partitioning; an id holds the partition above its lowest 33 bits
+    local = kept(near.select(*columns, F.monotonically_increasing_id().alias("_id")))
+    part = F.shiftright("_id", 33)
+    offsets, before = [], 0
+    for r in local.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect():
+        offsets.append((r["_part"], before + 1))
+        before += r["n"]
+    ahead = df.sparkSession.createDataFrame(offsets, "_part bigint, _first bigint")
+    # at most a row per partition
+    joined = local.withColumn("_part", part).join(F.broadcast(ahead), "_part")
+    return joined.select(*columns, (F.col("_first") + F.col("_id").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
 #: Bits of one digit in ``order_statistics``: 64 bits are four digits.

@@ -272,12 +272,15 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
     A feature is shuffled by pairing rows in key order with rows in hash order, both
     numbered without a one-task window.
     """
-    base = ranges.row_numbers(df, [key], "_n")
+    # only what the model reads is numbered and kept
+    read = model.stages[0].getStatement()
+    used = [c for c in df.columns if c == label or _quoted(c) in read]
+    base = ranges.row_numbers(df, [key], "_n", keep=used)
     base_error = regression_metrics(score(model, df), label).select("mse").scalar()
     out = None
     for i, f in enumerate(features):
         mixed = df.select(F.col(f).alias("_other"), F.xxhash64(F.col(key), F.lit(i)).alias("_h"), F.col(key).alias("_k"))
-        pairs = ranges.row_numbers(mixed, ["_h", "_k"], "_n").select("_n", "_other")
+        pairs = ranges.row_numbers(mixed, ["_h", "_k"], "_n", keep=["_other"])
         shuffled = base.join(pairs, "_n").withColumn(f, F.col("_other")).drop("_other", "_n")
         one = regression_metrics(score(model, shuffled), label).select(F.lit(f).alias("feature"), (F.col("mse") - base_error).alias("importance"))
         out = one if out is None else out.unionByName(one)
