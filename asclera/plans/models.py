@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import naming
 from ..operators import joins, ranges
+from ..session import kept
 
 FOREST_SAMPLE = 256
 
@@ -49,6 +50,8 @@ def split(df: DataFrame, key: str, test_share: float = 0.2) -> tuple[DataFrame,
     return joins.split_by_key(df, key, round(100 * (1 - test_share)))
 
 
+#: Rows that a task of a training holds at a time, on average.
+TASK_ROWS = 500_000
 #: Working columns of a model, so that a table may have columns of any other name.
 _WORK = "_model_"
 
@@ -57,6 +60,17 @@ def _quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def _training_rows(df: DataFrame, features: Sequence[str], label: Column, name: str) -> DataFrame:
+    """Features and label of the rows that have one, computed once for all passes of the training.
+
+    A pass of the tree training holds a whole partition as objects, so no partition has
+    many more than TASK_ROWS rows, however large the splits of the table are.
+    """
+    rows = df.select(*[F.col(_quoted(f)) for f in dict.fromkeys(features)], label.alias(name)).filter(F.col(name).isNotNull())
+    parts = -(-rows.count() // TASK_ROWS)
+    return kept(rows.repartition(parts) if parts > 1 else rows)
+
+
 def _pipeline(rows: DataFrame, features: Sequence[str], model, after: Sequence = ()) -> PipelineModel:
     """Features of any numeric or boolean type as doubles; missing ones become the mean of the training rows.
 
@@ -81,7 +95,7 @@ def _pipeline(rows: DataFrame, features: Sequence[str], model, after: Sequence =
 
 def _classified(df: DataFrame, target: str, features: Sequence[str], choose) -> PipelineModel:
     """Learn classes of any type; the prediction is the class itself (a number where the target is one)."""
-    known = df.withColumn(f"{_WORK}target", F.col(_quoted(target)).cast("string")).filter(F.col(f"{_WORK}target").isNotNull())
+    known = _training_rows(df, features, F.col(_quoted(target)).cast("string"), f"{_WORK}target")
     index = StringIndexer(inputCol=f"{_WORK}target", outputCol=f"{_WORK}label", stringOrderType="alphabetAsc").fit(known)
     kind = df.schema[target].dataType
     named = f"{_WORK}named"
@@ -99,7 +113,7 @@ def train(df: DataFrame, target: str, features: Sequence[str], task: str, trees:
     Classes may be numbers or texts. Rows whose target is null are not learned from.
     """
     if task == "regression":
-        known = df.withColumn(f"{_WORK}label", F.col(_quoted(target)).cast("double")).filter(F.col(f"{_WORK}label").isNotNull())
+        known = _training_rows(df, features, F.col(_quoted(target)).cast("double"), f"{_WORK}label")
         return _pipeline(known, features, GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, predictionCol=f"{_WORK}prediction"))
 
     def choose(classes: int):
