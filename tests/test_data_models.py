@@ -173,3 +173,16 @@ def test_pixel_grid_parses_once_and_loses_nothing_without_the_join(spark):
     t = SimpleNamespace(lineitem=one, orders=spark.createDataFrame([(1, 5, dt.datetime(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
     grid = build(t)
     assert parses(grid) == 1 and rows(grid) == [(7, 8, 16, 1)]
+
+
+def test_equipment_counts_series_and_studies_without_copies_of_rows(spark):
+    equipment = spark.createDataFrame(
+        [("e1", "a", None, "x"), ("e1", "a", None, "x"), ("e1", "b", "m", "x"), ("e2", "a", None, "x"), ("e3", "a", None, "x"), ("e4", "a", None, "x"), (None, "a", None, "x")],
+        "series_key string, manufacturer string, manufacturer_model_name string, station_name string",
+    )
+    # e1 lies in two studies, e2 and e3 in studies that are not known or null
+    series = spark.createDataFrame([("e1", 1), ("e1", 2), ("e1", 0), ("e2", 9), ("e3", None), ("e4", 2), ("e4", 2), (None, 1)], "series_key string, study_key int")
+    study = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "study_key int")
+    made = dicom.equipment_use(equipment, series, study)
+    assert rows(made, "manufacturer") == [("a", None, "x", 2, 2), ("b", "m", "x", 1, 2)]
+    assert "Expand" not in made._jdf.queryExecution().executedPlan().toString()
