@@ -60,14 +60,15 @@ def _quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
-def _training_rows(df: DataFrame, features: Sequence[str], label: Column, name: str) -> DataFrame:
+def _training_rows(df: DataFrame, features: Sequence[str], label: Column, name: str, at_most: int | None = None) -> DataFrame:
     """Features and label of the rows that have one, computed once for all passes of the training.
 
     A pass of the tree training holds a whole partition as objects, so no partition has
-    many more than TASK_ROWS rows, however large the splits of the table are.
+    many more than TASK_ROWS rows, however large the splits of the table are. Rows are
+    counted unless the caller knows that there are ``at_most`` so many.
     """
     rows = df.select(*[F.col(_quoted(f)) for f in dict.fromkeys(features)], label.alias(name)).filter(F.col(name).isNotNull())
-    parts = -(-rows.count() // TASK_ROWS)
+    parts = -(-(rows.count() if at_most is None else at_most) // TASK_ROWS)
     return kept(rows.repartition(parts) if parts > 1 else rows)
 
 
@@ -93,9 +94,9 @@ def _pipeline(rows: DataFrame, features: Sequence[str], model, after: Sequence =
     return Pipeline(stages=[*stages, *after]).fit(rows)
 
 
-def _classified(df: DataFrame, target: str, features: Sequence[str], choose) -> PipelineModel:
+def _classified(df: DataFrame, target: str, features: Sequence[str], choose, at_most: int | None = None) -> PipelineModel:
     """Learn classes of any type; the prediction is the class itself (a number where the target is one)."""
-    known = _training_rows(df, features, F.col(_quoted(target)).cast("string"), f"{_WORK}target")
+    known = _training_rows(df, features, F.col(_quoted(target)).cast("string"), f"{_WORK}target", at_most)
     index = StringIndexer(inputCol=f"{_WORK}target", outputCol=f"{_WORK}label", stringOrderType="alphabetAsc").fit(known)
     kind = df.schema[target].dataType
     named = f"{_WORK}named"
@@ -107,13 +108,16 @@ def _classified(df: DataFrame, target: str, features: Sequence[str], choose) ->
     return _pipeline(index.transform(known), features, choose(len(index.labels)).setPredictionCol(f"{_WORK}class"), after)
 
 
-def train(df: DataFrame, target: str, features: Sequence[str], task: str, trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
+def train(
+    df: DataFrame, target: str, features: Sequence[str], task: str, trees: int = 20, depth: int = 5, seed: int = 42, at_most: int | None = None
+) -> PipelineModel:
     """Scaling and boosted trees; more than two classes use a random forest.
 
     Classes may be numbers or texts. Rows whose target is null are not learned from.
+    ``at_most`` is a known bound of the number of rows, which need not be counted then.
     """
     if task == "regression":
-        known = _training_rows(df, features, F.col(_quoted(target)).cast("double"), f"{_WORK}label")
+        known = _training_rows(df, features, F.col(_quoted(target)).cast("double"), f"{_WORK}label", at_most)
         return _pipeline(known, features, GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, predictionCol=f"{_WORK}prediction"))
 
     def choose(classes: int):
@@ -121,7 +125,7 @@ def train(df: DataFrame, target: str, features: Sequence[str], task: str, trees:
             return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed)
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
 
-    return _classified(df, target, features, choose)
+    return _classified(df, target, features, choose, at_most)
 
 
 def train_forest(df: DataFrame, target: str, features: Sequence[str], trees: int = 20, depth: int = 5, seed: int = 42) -> PipelineModel:
@@ -303,10 +307,11 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: Sequen
 
 def build(df: DataFrame, target: str, key: str, exclude: Sequence[str] = (), **options) -> DataFrame:
     """Choose the task and features, train, score the holdout and return its metrics."""
-    task = task_type(df, target).first()["task"]
+    found = task_type(df, target).first()
+    task = found["task"]
     features = naming.numeric_columns(df, target, [key, *exclude])
     train_rows, test_rows = split(df, key)
-    model = train(train_rows, target, features, task, **options)
+    model = train(train_rows, target, features, task, **{"at_most": found["rows"], **options})
     scored = score(model, test_rows)
     metrics = classification_metrics(scored, target) if task == "classification" else regression_metrics(scored, target)
     return metrics.select(F.lit(task).alias("task"), F.lit(len(features)).alias("features"), "*")
