@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from asclera.operators import partitions, ranges
 from asclera.plans import cells, models
-from asclera.registry import genomics
+from asclera.registry import genomics, imaging
 
 
 def plan(df):
@@ -51,3 +51,16 @@ def test_cells_are_shuffled_once(spark, monkeypatch):
     assert plan(obs).count("Exchange hashpartitioning") == 1 and "hashpartitioning(cell_id#" in plan(obs) and ", 9)" in plan(obs)
     want = lines.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("s"))
     assert obs.join(want, (F.col("cell_id") == F.col("l_orderkey")) & (F.col("total_counts") == F.col("s"))).count() == 40
+
+
+def test_metadata_partitions_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "ROWS", 100)
+    key = F.col("id") % 40
+    lines = spark.range(900).select(
+        F.when(F.col("id") % 9 > 0, key).alias("l_orderkey"), key.cast("int").alias("l_linenumber"), F.col("id").alias("l_partkey"), key.alias("l_suppkey"),
+        F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"),
+    )
+    orders = spark.range(40).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit("2024-01-02").cast("timestamp_ntz").alias("o_orderdate"))
+    made = imaging.exported(SimpleNamespace(lineitem=lines, orders=orders))
+    assert "hashpartitioning(l_orderkey#" in plan(made) and ", 9)" in plan(made)
+    assert made.count() == 800 and made.select("file_path").distinct().count() == 800
