@@ -75,3 +75,33 @@ def test_an_index_of_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "id int, body string")
     path = search.build_index(docs, "id", "body", str(tmp_path / "none"), buckets=2)
     assert search.search_index(spark, path, "w1", 3).count() == 0
+
+
+def test_the_second_bound_leaves_few_documents_to_score(spark, stored):
+    """Before it, nearly all documents that hold a word of the query were scored in full."""
+    texts, path = stored
+    queries = spark.createDataFrame([(0, texts[3]), (1, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w90")], "q int, x string")
+    asked = search.asked_words(queries, "q", "x")
+    plan = search.BlockMax(search.Index(spark, path, asked), asked, 3)
+    scored = []
+    full = plan.scored
+    plan.scored = lambda found: (scored.append(found.count()), full(found))[1]
+    assert plan.best().count() == 6
+    assert len(scored) == 3 and scored[1] <= 2 * 3 * search.PROMISING and scored[2] < 300
+
+
+def test_keys_of_several_texts(spark, tmp_path):
+    """A key's texts add up, also where a word lies in a read and in an unread block."""
+    texts = corpus(120, seed=5)
+    rows = [(i % 40, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "id int, body string")
+    path = search.build_index(docs, "id", "body", str(tmp_path / "keys"), buckets=2)
+    queries = spark.createDataFrame([(0, "w0 w1 w2 w5 w9 w20 w40"), (1, "w0 w3")], "q int, x string")
+    asked = search.asked_words(queries, "q", "x")
+    index = search.Index(spark, path, asked)
+    words = search.BlockMax(index, asked, 4).words.select("query_id", "term", "idf")
+    every = index.postings.join(words, "term").groupBy("query_id", "doc").agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
+    for q in (0, 1):
+        want = sorted(((round(-r.score, 9), r.doc) for r in every.filter(F.col("query_id") == q).collect()))[:4]
+        got = search.search_many_index(spark, path, queries, "q", "x", "id", 4).filter(F.col("query_id") == q).collect()
+        assert sorted((round(-r.score, 9), r.id) for r in got) == want
