@@ -112,3 +112,19 @@ def test_vectors_of_many_lengths(spark):
     rows = [(2 * n + k, [1.0 + i + k * 1e-4 for i in range(n)]) for n in range(2, 140) for k in (0, 1)]
     got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, 1, i - i % 2) for i, _ in rows}
+
+
+def test_components_of_few_links_need_no_shuffle(spark, monkeypatch):
+    """Rounds of few links are planned without an exchange and give what shuffled rounds give."""
+    from asclera.llm import components as stars
+
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(40)] + [(rng.randint(50, 120), rng.randint(50, 120)) for _ in range(60)] + [(7, 7), (200, 201), (201, 200)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    written = stars.stored(links)  # as between rounds
+    assert "Exchange" not in plan(stars._small_star(stars._large_star(written, True), True))
+    few = sorted(map(tuple, stars.components(links).collect()))
+    monkeypatch.setattr(stars, "FEW", 0)
+    assert few == sorted(map(tuple, stars.components(links).collect()))
+    assert (40, 0) in few and (201, 200) in few
