@@ -8,7 +8,7 @@ piece fits are remembered in a bitfield and never entered again.
 
 No piece holds the blank mark after another character, so a text is cut before the
 blank marks and at characters outside the vocabulary, and each part is encoded once
-per worker while it stays in a bounded cache.
+per worker while it stays in a bounded cache, for as long as the worker's tasks use the vocabulary.
 """
 
 from __future__ import annotations
@@ -282,15 +282,22 @@ def _register() -> None:
 
 
 _register()
-_CODERS: dict[int, Coder] = {}
 
 
-def coder_of(shared) -> Coder:
-    """The worker's coder of a broadcast vocabulary; its caches live as long as the worker."""
-    if shared.id not in _CODERS:
-        _CODERS.clear()
-        _CODERS[shared.id] = Coder(shared.value)
-    return _CODERS[shared.id]
+class _Vocabulary:
+    """A vocabulary and, once a worker asks for it, its coder.
+
+    Spark keeps a broadcast value in a worker as long as tasks use it; coder and caches go with it.
+    """
+
+    def __init__(self, words: dict):
+        self.words = words
+        self.own: Coder | None = None
+
+    def coder(self) -> Coder:
+        if self.own is None:
+            self.own = Coder(self.words)
+        return self.own
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -298,34 +305,27 @@ def texts_of(column: pa.Array) -> list[str]:
     return [(b or b"").decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
 
 
-class _Shared:
-    """A broadcast vocabulary with a name that workers can keep a coder under."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.handle = spark.sparkContext.broadcast(vocabulary(path))
-        self.id = f"{spark.sparkContext.applicationId}-{path}-{id(self.handle)}"
-
-    @property
-    def value(self) -> dict:
-        return self.handle.value
+def _shared(spark: SparkSession, path: str):
+    """The vocabulary of a model file, broadcast."""
+    return spark.sparkContext.broadcast(_Vocabulary(vocabulary(path)))
 
 
 def encode_column(spark: SparkSession, path: str, text: str):
     """An array<int> column with the ids and the end id of every text."""
-    shared = _Shared(spark, path)
+    shared = _shared(spark, path)
 
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(coder_of(shared).encode(texts_of(column)), pa.list_(pa.int32()))
+        return pa.array(shared.value.coder().encode(texts_of(column)), pa.list_(pa.int32()))
 
     return arrow_column(run, "array<int>")(text)
 
 
 def decode_column(spark: SparkSession, path: str, ids: str):
     """A text column decoded from an array<int> column; null ids give an empty text."""
-    shared = _Shared(spark, path)
+    shared = _shared(spark, path)
 
     def run(column: pa.Array) -> pa.Array:
-        coder = coder_of(shared)
+        coder = shared.value.coder()
         return pa.array([coder.decode(x or []) for x in column.to_pylist()], pa.string())
 
     return arrow_column(run, "string")(ids)
@@ -341,10 +341,10 @@ def round_trip(docs: DataFrame, path: str, text_col: str = "text", out: str = "c
     replaced. An empty table stays empty.
     """
     spark = text_session(docs.sparkSession)
-    shared = _Shared(spark, path)
+    shared = _shared(spark, path)
 
     def run(column: pa.Array) -> pa.Array:
-        coder = coder_of(shared)
+        coder = shared.value.coder()
         ids = coder.encode(texts_of(column))
         decoded = [coder.decode(x) for x in ids]
         return pa.StructArray.from_arrays(

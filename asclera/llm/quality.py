@@ -275,7 +275,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     if len({label for label, _ in chosen}) < 2:
         return Constant(float(chosen[0][0]) if chosen else 1.0)
     # no more rows than the sample has documents
-    wanted = F.broadcast(bags.sparkSession.createDataFrame(chosen, "label int, place bigint"))
+    # as an Arrow table, since a list would go through Python workers of its own on every executor
+    label, place = zip(*chosen)
+    wanted = pa.table({"label": pa.array(label, pa.int32()), "place": pa.array(place, pa.int64())})
+    wanted = F.broadcast(bags.sparkSession.createDataFrame(wanted))
     table = bags.join(wanted, ["label", "place"]).select("label", "bag", "place").toArrow()
     table = table.sort_by([("place", "ascending"), ("label", "ascending")])
     y = table["label"].to_numpy().astype(float)

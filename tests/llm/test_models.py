@@ -1,6 +1,7 @@
 """Toxicity, quality and language: their parts against plain forms, and held-out accuracy."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -192,6 +193,25 @@ def test_parts_do_not_change_verdicts(spark):
         assert (a.lang, a.rejected) == (b.lang, b.rejected) and np.isclose(a.entropy, b.entropy) and np.isclose(a.score, b.score)
 
 
+def test_batches_hold_a_word_once():
+    """400,000 words, 1,000 of them different: what waits to be scored stays near the bytes of its text."""
+    texts = pa.array([" ".join(f"{chr(97 + i // 40)}{chr(97 + k % 25)}{chr(97 + k // 25)}word" for k in range(1000)) for i in range(400)])
+    model = language.Parts(["en"], [None], np.zeros(1), np.zeros(1), 40)
+    tracemalloc.start()
+    sizes, _texts = next(model.batches(iter([texts])))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sizes == [400] and peak < 2 * texts.nbytes
+
+
+def test_whole_model_needs_no_choice_of_runs(spark):
+    counts = spark.createDataFrame([("x", "  abc", 2, 1), ("x", " abc ", 1, 0)], "lang string, gram string, n long, n_rest long")
+    plans = [language.own_probabilities(counts, language.Settings(most_grams=n))[0]._jdf.queryExecution().toString() for n in (None, 2)]
+    assert ["LeftSemi" in p for p in plans] == [False, True]
+    kept = [sorted(map(tuple, language.own_probabilities(counts, language.Settings(most_grams=n))[0].collect()), key=repr) for n in (None, 2)]
+    assert kept[0] == kept[1] and len(kept[0]) == 10
+
+
 def test_numerals_are_no_letters():
     assert language.words_in("a½b ² Ⅷ ٣ x_y 日本 é") == ["a", "b", "x", "y", "日本", "é"]
 
