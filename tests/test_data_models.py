@@ -175,6 +175,49 @@ def test_pixel_grid_parses_once_and_loses_nothing_without_the_join(spark):
     assert parses(grid) == 1 and rows(grid) == [(7, 8, 16, 1)]
 
 
+def one_line(spark):
+    one = spark.createDataFrame([(1, 1, 7, 8, "A", "O")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string")
+    return SimpleNamespace(lineitem=one, orders=spark.createDataFrame([(1, 5, dt.datetime(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
+
+
+def test_elements_are_read_from_one_parse(spark):
+    registry.load()
+    made = registry.QUERIES["DI-09-element"](one_line(spark))
+    planned = made._jdf.queryExecution().optimizedPlan().toString()
+    # neither a join of the first files nor a filter on their uids parses or makes the metadata again
+    assert planned.count("parseJson") == 1 and planned.count("StructsToJsonEvaluator") == 1
+    assert rows(made.select("name", "files", "kinds", "total", "vm"), "name") == [
+        ("BodyPartExamined", 1, 1, None, 1), ("Columns", 1, 1, 8.0, 1), ("Modality", 1, 1, None, 1), ("PatientID", 1, 1, 5.0, 1), ("Rows", 1, 1, 7.0, 1),
+        ("StationName", 1, 1, None, 1),
+    ]
+
+
+def test_elements_of_the_first_file_of_a_uid(spark):
+    tag = lambda sop, rows: json.dumps({"SOPInstanceUID": sop, "Rows": rows})
+    given = [
+        ("/2", tag("i1", 2)), ("/1", tag("i1", 1)), ("/1", tag("i1", 1)), ("/3", tag("i2", 3)), (None, tag("i3", 4)), ("/4", tag("i3", 5)), ("/5", tag("", 6)),
+        ("/6", tag(None, 7)), ("/7", "[1]"), ("/8", "{"), ("/9", None),
+    ]
+    made = dicom.model(dicom.parse(spark.createDataFrame(given, "file_path string, metadata string"), "metadata"))
+    # a file that is listed twice counts twice, and a uid with a file without path has no first one
+    assert rows(made["dicom_element"].filter("name = 'Rows'").select("value_number"), "value_number") == [(1.0,), (1.0,), (3.0,)]
+    assert rows(made["dicom_file_location"].select("storage_uri"), "storage_uri") == [("/1",), ("/1",), ("/3",)]
+
+
+def test_numbers_and_names_of_elements_as_by_plain_casts_and_patterns(spark):
+    texts = [
+        "", " ", "7", "-7", "+7", " 7 ", "\t7\n", "\x007", ".5", "5.", "-.5e3", "1e400", "1f", "2D", "0x1p3", "inf", "-Inf", "+INFINITY", " Infinity", "nan", "NaN", "-nan",
+        "n", "iron", "N/A", "CT", "ST1", "x7", "--7", ":", "9:", "\u00a07", "\uff17", "1,5", "1_0", "e5", "\u0130nf",
+    ]
+    names = ["00091001", "0009100a", "00080010\n", "00091001\r\n", "00091001\n\n", "0009100", "000910010", "Modality", "0009100g", "\u0660" * 8]
+    file = {"SOPInstanceUID": "i"} | {f"t{i}": text for i, text in enumerate(texts)} | dict.fromkeys(names, "v") | {"list": ["1"], "number": 1.5, "none": None}
+    made = dicom.model(dicom.parse(spark.createDataFrame([("/1", json.dumps(file))], "file_path string, metadata string"), "metadata"))["dicom_element"]
+    want = made.select("name", F.col("value_string").try_cast("double"), F.when(F.col("name").rlike("^[0-9A-Fa-f]{8}$"), F.upper("name")))
+    plain = lambda df: sorted(map(repr, rows(df)))
+    assert plain(made.select("name", "value_number", "tag_hex")) == plain(want) and made.count() == len(file)
+    assert made.filter("value_number IS NOT NULL").count() >= 17 and made.filter("tag_hex IS NOT NULL").count() == 4
+
+
 def test_equipment_counts_series_and_studies_without_copies_of_rows(spark):
     equipment = spark.createDataFrame(
         [("e1", "a", None, "x"), ("e1", "a", None, "x"), ("e1", "b", "m", "x"), ("e2", "a", None, "x"), ("e3", "a", None, "x"), ("e4", "a", None, "x"), (None, "a", None, "x")],
