@@ -1,6 +1,7 @@
 """The imaging model and the derived tables of the common data model."""
 
 import datetime as dt
+import hashlib
 import json
 from types import SimpleNamespace
 
@@ -175,6 +176,52 @@ def test_pixel_grid_parses_once_and_loses_nothing_without_the_join(spark):
     assert parses(grid) == 1 and rows(grid) == [(7, 8, 16, 1)]
 
 
+def held(rows_of, names):
+    """Filled values and content of a table, by hand."""
+    lines = [[r[n] for n in names] for r in rows_of]
+    number = lambda v: int(hashlib.md5("|".join("~" if x is None else x for x in v).encode()).hexdigest()[:8], 16)
+    return sum(x is not None for v in lines for x in v), sum(map(number, lines))
+
+
+def test_entity_counts_make_all_columns_of_all_tables(spark):
+    def file(path, **tags):
+        return path, json.dumps(tags)
+
+    uids = {"PatientID": "p1", "StudyInstanceUID": "s1", "SeriesInstanceUID": "e1"}
+    given = [
+        file("/3", **uids, SOPInstanceUID="i1", Modality="MR", PatientName="late", StudyDate="20240103", StationName="x"),
+        file("/1", **uids, SOPInstanceUID="i2", Modality="CT", StudyDate="20240101", SeriesNumber=7, Rows=512, PixelSpacing=[0.5, 1e-7], ImageType="A|~\\B"),
+        file("/2", **uids, PatientName="ü", Manufacturer="None", StationName="x", SoftwareVersions={"a": [1.50, None]}, BitsAllocated=16.0),
+        file("/4", PatientID="", StudyInstanceUID="s2", SeriesInstanceUID=None, SOPInstanceUID="", InstitutionName="h", SliceThickness=True),
+        file(None, PatientID="p2", StudyInstanceUID="s2", SOPInstanceUID="i0", StudyDescription="no path comes first"),
+        ("/5", "{broken"), ("/6", None), ("/7", "[1]"), ("/8", '{"PatientID": "p9", "PatientID": "p8"}'),
+    ]
+    metadata = spark.createDataFrame(given, "file_path string, metadata string")
+    made = dicom.entity_counts(metadata)
+    got = {r["entity"]: (r["rows"], r["first_key"], r["filled"], r["content"]) for r in made.collect()}
+    want = {}
+    for name, table in dicom.entities(metadata).items():
+        key = {"instance": "sop_instance_uid", "equipment": "equipment_id"}.get(name) or dicom.KEYS[name]
+        lines = table.collect()
+        more = {"instance": ["file_path"], "equipment": ["equipment_id"]}.get(name, [])
+        keys = [r[key] for r in lines if r[key] is not None]
+        want[name] = (len(lines), min(keys), *held(lines, [*dicom.ENTITIES[name], *more]))
+    assert got == want and got["patient"][:2] == (2, "p1") and got["instance"][:2] == (9, "")
+    # the first files of a key: with others in their place the tables hold something else
+    turned = dicom.entity_counts(metadata.withColumn("file_path", F.translate("file_path", "123", "321"))).collect()
+    assert {r["entity"]: r["content"] for r in turned}["study"] != got["study"][3]
+    assert parses(made) == 1
+    registry.load()
+    planned = registry.QUERIES["DI-01"](one_line(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert planned.count("parseJson") == 1 and planned.count("StructsToJsonEvaluator") == 1
+
+
+def test_of_files_with_one_path_the_smaller_values_come_first(spark):
+    tag = lambda name: json.dumps({"PatientID": "p", "PatientName": name})
+    one = [dicom.entity_counts(spark.createDataFrame([("/1", tag(n)) for n in names], "file_path string, metadata string")).filter("entity = 'patient'").collect() for names in ("ab", "ba", "a")]
+    assert one[0] == one[1] == one[2]
+
+
 def one_line(spark):
     one = spark.createDataFrame([(1, 1, 7, 8, "A", "O")], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string")
     return SimpleNamespace(lineitem=one, orders=spark.createDataFrame([(1, 5, dt.datetime(2024, 1, 2))], "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz"))
